@@ -57,28 +57,28 @@ def _thompson(mu: Column, var: Column, a: UtilityArgs) -> Column:
     return mu + F.sqrt(var) * hash_normal(a.key, f"thompson/{a.salt}")
 
 
-def _gain(mu: Column, a: UtilityArgs) -> Column:
-    return mu - a.best + F.lit(float(a.xi))
-
-
-def _z(mu: Column, var: Column, a: UtilityArgs) -> Column:
-    return _gain(mu, a) / F.nullif(F.sqrt(var), F.lit(0.0))
-
-
 def _expected_improvement(mu: Column, var: Column, a: UtilityArgs) -> Column:
-    gain, z = _gain(mu, a), _z(mu, var, a)
+    gain, z = F.col("_gain"), F.col("_z")
     return F.when(var == 0, gain).otherwise(gain * normal_cdf(z) + F.sqrt(var) * normal_pdf(z))
 
 
 def _probability_of_improvement(mu: Column, var: Column, a: UtilityArgs) -> Column:
-    sure = F.when(_gain(mu, a) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(var == 0, sure).otherwise(normal_cdf(_z(mu, var, a)))
+    sure = F.when(F.col("_gain") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(var == 0, sure).otherwise(normal_cdf(F.col("_z")))
+
+
+def _with_gain(preds: DataFrame, a: UtilityArgs) -> DataFrame:
+    """The improvement and its z value as columns: the utility reads them many times."""
+    gain = F.col("mu") - a.best + F.lit(float(a.xi))
+    z = F.col("_gain") / F.nullif(F.sqrt("var"), F.lit(0.0))
+    return preds.withColumn("_gain", gain).withColumn("_z", z)
 
 
 @dataclass(frozen=True)
 class Metric:
     build: Callable[[Column, Column, UtilityArgs], Column]
     needs: frozenset
+    prepare: Callable[[DataFrame, UtilityArgs], DataFrame] = lambda df, args: df
 
 
 _MEANS, _BOTH = frozenset({"means"}), frozenset({"means", "vars"})
@@ -92,8 +92,8 @@ METRICS: dict[str, Metric] = {
     "lcb": Metric(_lcb, _BOTH),
     "thompson": Metric(_thompson, _BOTH),
     "ts": Metric(_thompson, _BOTH),
-    "ei": Metric(_expected_improvement, _BOTH),
-    "pi": Metric(_probability_of_improvement, _BOTH),
+    "ei": Metric(_expected_improvement, _BOTH, _with_gain),
+    "pi": Metric(_probability_of_improvement, _BOTH, _with_gain),
 }
 
 
@@ -128,8 +128,10 @@ def with_utility(preds: DataFrame, metric: str, args: UtilityArgs, name: str = "
     metric_needs(metric)
     if metric == "noisy" and args.spread is None:
         args = UtilityArgs(**{**args.__dict__, "spread": one_row(mean_spread(preds))["spread"]})
+    chosen = METRICS[metric]
     var = F.col("var") if "var" in preds.columns else F.lit(None).cast("double")
-    return preds.withColumn(name, METRICS[metric].build(F.col("mu"), var, args))
+    rated = chosen.prepare(preds, args).withColumn(name, chosen.build(F.col("mu"), var, args))
+    return rated.select(*[c for c in preds.columns if c != name], name)
 
 
 def unexplored(pool: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:

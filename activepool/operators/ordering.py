@@ -18,11 +18,13 @@ BLOCK = 100_000
 _SLOT_BITS = 33
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+def _keyed_join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on equal names, NULL equal to NULL; the right copies are dropped."""
+    renamed = right.withColumnsRenamed({n: f"_r_{n}" for n in names})
     condition = F.lit(True)
     for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+        condition = condition & F.col(name).eqNullSafe(F.col(f"_r_{name}"))
+    return left.join(renamed, condition).drop(*[f"_r_{n}" for n in names])
 
 
 def number_rows(
@@ -57,10 +59,8 @@ def number_rows(
         *by,
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    joined = placed.join(offsets, _null_safe(placed, offsets, ["_part", *by]))
-    return joined.select(
-        *[placed[c] for c in df.columns], (placed["_slot"] + offsets["_shift"]).alias(name)
-    )
+    joined = _keyed_join(placed, offsets, ["_part", *by])
+    return joined.select(*df.columns, (F.col("_slot") + F.col("_shift")).alias(name))
 
 
 def running_totals(
@@ -87,13 +87,7 @@ def running_totals(
         *by, "_block", *[F.sum(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in names]
     )
     inside = W.partitionBy(*by, "_block").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    joined = rows.join(totals, _null_safe(rows, totals, [*by, "_block"])).select(
-        *[rows[c] for c in df.columns],
-        rows["_block"],
-        *[rows[f"_v_{n}"] for n in names],
-        *[totals[f"_b_{n}"] for n in names],
-    )
-    return joined.select(
+    return _keyed_join(rows, totals, [*by, "_block"]).select(
         *df.columns,
         *[
             (
@@ -144,11 +138,11 @@ def top_quota(
     """
     order = [F.col(value).desc_nulls_last(), F.col(key).desc()]
     numbered = number_rows(df, order, by=[by], name="_pos")
-    limits = quotas.select(F.col(by).alias("_by"), F.col(quota).alias("_quota"))
+    limits = quotas.select(by, F.col(quota).alias("_quota"))
     return (
-        numbered.join(limits, numbered[by].eqNullSafe(limits["_by"]))
+        _keyed_join(numbered, limits, [by])
         .filter(F.col("_pos") <= F.col("_quota"))
-        .drop("_by", "_quota", "_pos")
+        .drop("_quota", "_pos")
     )
 
 

@@ -86,6 +86,7 @@ class Explorer:
         if config.prune and "vars" not in model.provides:
             raise ValueError("pruning by probability needs a model with variances")
         self.spark, self.pool, self.objective, self.model = spark, pool, objective, model
+        self.full_pool = pool
         self.config, self.path, self.true_top = config, path.rstrip("/"), true_top
         self.pool_size = pool.count()
         self.k = min(resolve_size(config.k, self.pool_size), self.pool_size)
@@ -203,7 +204,7 @@ class Explorer:
             "overwrite"
         ).parquet(path)
         kept = self.spark.read.parquet(path)
-        self.pool = self.pool.join(kept.select("id"), "id", "left_semi")
+        self.pool = self.full_pool.join(kept.select("id"), "id", "left_semi")
         log.info("kept %d rows, expected hits pruned: %.2f", audit["n_kept"], audit["expected_hits_pruned"])
         self._preds = kept
         return kept
@@ -322,5 +323,5 @@ class Explorer:
             kind = "retained" if state["pruned"] else "preds"
             self._preds = self.spark.read.parquet(f"{self.path}/{kind}/iter={last}")
             if state["pruned"]:
-                self.pool = self.pool.join(self._preds.select("id"), "id", "left_semi")
+                self.pool = self.full_pool.join(self._preds.select("id"), "id", "left_semi")
         return self
