@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import one_row
 from .ordering import BLOCK, running_totals
 
-_ONE = F.lit(1)
-
 
 def hit_curve_scores(points: DataFrame, true_top: DataFrame, block: int = BLOCK) -> DataFrame:
     """Share of the true scores reached: all scores above the lowest true score, and of the scores

@@ -142,7 +142,7 @@ def long_targets(df: DataFrame, targets: str = "targets", preds: str = "preds")
     """Parallel arrays to one row per (row, task), missing targets dropped."""
     pairs = F.arrays_zip(F.col(targets).alias("target"), F.col(preds).alias("pred"))
     cells = df.select(F.posexplode(pairs).alias("task", "cell"))
-    long = cells.select("task", F.col("cell")["0"].alias("target"), F.col("cell")["1"].alias("pred"))
+    long = cells.select("task", "cell.target", "cell.pred")
     return long.filter(F.col("target").isNotNull() & ~F.isnan(F.col("target").cast("double")))
 
 

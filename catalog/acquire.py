@@ -59,10 +59,10 @@ def acq1(t):
 
 @query(
     "acq2_threshold",
-    _utility_sql(f"CASE WHEN mu >= 55.0 THEN {u_sql('id', 'threshold/7')} ELSE -1.0 END"),
+    _utility_sql(f"CASE WHEN mu >= 10.6 THEN {u_sql('id', 'threshold/7')} ELSE -1.0 END"),
 )
 def acq2(t):
-    return _utility(t, "threshold", threshold=55.0)
+    return _utility(t, "threshold", threshold=10.6)
 
 
 @query("acq3_greedy", _utility_sql("mu"))
@@ -178,7 +178,7 @@ CLUSTER_BATCH = 60
     local AS (SELECT cluster_id, max(utility) AS top FROM free GROUP BY 1),
     quotas AS (
       SELECT l.cluster_id,
-             ceil(least(1.0, exp(-((SELECT max(mu) FROM joined) - l.top) / ((60.0 - 2.0) * exp(-1.0::double) + 2.0)))
+             ceil(least(1.0, exp(-((SELECT max(mu) FROM joined) - l.top) / ((2.0 - 0.5) * exp(-1.0::double) + 0.5)))
                   * ceil({CLUSTER_BATCH} * s.n / (SELECT count(*)::double FROM joined))) AS quota
       FROM local l JOIN sizes s ON s.cluster_id = l.cluster_id),
     ranked AS (
@@ -191,7 +191,7 @@ def acq12(t):
     rated = rated.withColumn("utility", F.round("utility", 6)).join(
         pool(t).select("id", "cluster_id"), "id"
     )
-    picked = acq.acquire_cluster_batch(rated, explored(t), CLUSTER_BATCH, 1, 60.0, 2.0)
+    picked = acq.acquire_cluster_batch(rated, explored(t), CLUSTER_BATCH, 1, 2.0, 0.5)
     return picked.select("id", "cluster_id", "utility")
 
 

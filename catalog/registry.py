@@ -79,31 +79,31 @@ def cdf_sql(z: str) -> str:
 
 
 # --- shared test roles ---------------------------------------------------------------------------
-# Pool: part. Predictions: mean and variance of the prices (in thousands) of a part's line items.
-# Explored: a 1 % seeded draw of the pool. Oracle: the part's best line item price.
+# Pool: part. Predictions: mean and variance of the log prices of a part's line items.
+# Explored: a 1 % seeded draw of the pool. Oracle: the part's best log price.
 
 
 def predictions(t: Tables) -> DataFrame:
-    price = F.col("l_extendedprice") / 1000
+    price = F.log("l_extendedprice")
     return t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(
         F.round(F.avg(price), 6).alias("mu"), F.round(F.var_pop(price), 6).alias("var")
     )
 
 
 PREDS = """preds AS (
-  SELECT l_partkey AS id, round(avg(l_extendedprice / 1000), 6) AS mu,
-         round(var_pop(l_extendedprice / 1000), 6) AS var
+  SELECT l_partkey AS id, round(avg(ln(l_extendedprice)), 6) AS mu,
+         round(var_pop(ln(l_extendedprice)), 6) AS var
   FROM lineitem GROUP BY l_partkey)"""
 
 
 def oracle(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(
-        (F.max("l_extendedprice") / 1000).alias("y")
+        F.round(F.log(F.max("l_extendedprice")), 6).alias("y")
     )
 
 
 TRUTH = """truth AS (
-  SELECT l_partkey AS id, max(l_extendedprice) / 1000 AS y FROM lineitem GROUP BY l_partkey)"""
+  SELECT l_partkey AS id, round(ln(max(l_extendedprice)), 6) AS y FROM lineitem GROUP BY l_partkey)"""
 
 
 def pool(t: Tables) -> DataFrame:
