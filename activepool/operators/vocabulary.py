@@ -40,9 +40,9 @@ def build_vocabulary(df: DataFrame, text: str, pattern: str = LINE_NOTATION) ->
 
 def read_vocabulary(spark, path: str) -> DataFrame:
     """One token per line; the line number is the id."""
-    from ..sources.text import LINE, _line_key
+    from ..sources.text import LINE, line_key
 
-    lines = spark.read.text(path).select(F.col("value").alias("token"), _line_key().alias(LINE))
+    lines = spark.read.text(path).select(F.col("value").alias("token"), line_key().alias(LINE))
     numbered = number_rows(lines, [F.col(LINE).asc()], name="_pos")
     return numbered.select("token", (F.col("_pos") - 1).cast("int").alias("token_id"))
 

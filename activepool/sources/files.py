@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import parse_float
 from ..operators.ordering import number_rows
-from .text import LINE, _line_key, read_columns
+from .text import LINE, line_key, read_columns
 
 # --- features ---------------------------------------------------------------------------------
 
@@ -45,7 +45,11 @@ def read_numpy(spark: SparkSession, paths) -> DataFrame:
 
     One task per file (a file must fit in a task); pickled content is refused.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return decode_numpy(spark.read.format("binaryFile").load(paths).select("path", "content"))
+
+
+def decode_numpy(files: DataFrame) -> DataFrame:
+    """``(path, content)`` of array files to one row per matrix row."""
 
     def rows(frames):
         import io
@@ -178,7 +182,7 @@ def read_run_scores(spark: SparkSession, run_dir: str) -> DataFrame:
 
 def read_columns_with_path(spark: SparkSession, paths) -> DataFrame:
     df = spark.read.csv(paths, schema="_c0 string, _c1 string", header=True, quote='"', escape='"')
-    return df.select("_c0", "_c1", _line_key().alias(LINE), F.col("_metadata.file_path").alias("_path"))
+    return df.select("_c0", "_c1", line_key().alias(LINE), F.col("_metadata.file_path").alias("_path"))
 
 
 def read_ordered_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -214,11 +218,11 @@ def gather_shards(spark: SparkSession, path: str, keys: DataFrame | None = None)
 def write_feature_table(df: DataFrame, path: str, features: Column, key: str = "id") -> tuple[str, DataFrame]:
     """Writes ``(id, features)`` of the valid rows once; returns the path and the invalid ids."""
     built = df.select(F.col(key).alias("id"), features.alias("features"))
-    flagged = built.withColumn("valid", F.col("features").isNotNull())
+    flagged = built.withColumn("valid", F.col("features").isNotNull().cast("int"))
     flagged.write.mode("overwrite").partitionBy("valid").parquet(path)
     spark = df.sparkSession
     written = spark.read.schema(flagged.schema).parquet(path)
-    return path, written.filter(~F.col("valid")).select("id")
+    return path, written.filter(F.col("valid") == 0).select("id")
 
 
 def write_splits(df: DataFrame, path: str) -> str:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import parse_float, signed
-from ..operators.ordering import top_n
 from ..operators.scores import first_per_key, last_per_key
 
 CXSMILES_SUFFIX = r"\s\|.*\|"
@@ -18,7 +17,7 @@ def _string_schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
 
 
-def _line_key(paths: Sequence[str] | None = None) -> Column:
+def line_key() -> Column:
     """Orders rows as they stand in the files: file name, split start, row within the split."""
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
@@ -50,7 +49,7 @@ def read_columns(
         enforceSchema=True,
     )
     wanted = [F.col(f"_c{i}") for i in dict.fromkeys(columns)]
-    return df.select(*wanted, *([_line_key().alias(LINE)] if line else []))
+    return df.select(*wanted, *([line_key().alias(LINE)] if line else []))
 
 
 def read_library(
@@ -84,21 +83,21 @@ def read_oracle(
         signed(parse_float(F.col(f"_c{score_col}")), maximize).alias("y"),
         LINE,
     ).filter(F.col("y").isNotNull())
-    return last_per_key(rows, "id", LINE)
+    return last_per_key(rows, "id", LINE).drop(LINE)
 
 
 def read_scores(spark: SparkSession, paths) -> DataFrame:
     """``(id, score)``: no number means a failed evaluation (NULL); the last row of a key counts."""
     rows = read_columns(spark, paths, [0, 1], line=True)
     rows = rows.select(F.col("_c0").alias("id"), parse_float(F.col("_c1")).alias("score"), LINE)
-    return last_per_key(rows, "id", LINE)
+    return last_per_key(rows, "id", LINE).drop(LINE)
 
 
 def read_scores_and_failures(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Scored keys (last number counts) and keys with at least one failed row."""
     rows = read_columns(spark, paths, [0, 1], line=True)
     rows = rows.select(F.col("_c0").alias("id"), parse_float(F.col("_c1")).alias("score"), LINE)
-    scored = last_per_key(rows.filter(F.col("score").isNotNull()), "id", LINE)
+    scored = last_per_key(rows.filter(F.col("score").isNotNull()), "id", LINE).drop(LINE)
     failed = rows.filter(F.col("score").isNull()).select("id").distinct()
     return scored, failed
 
@@ -135,7 +134,7 @@ def read_training(
     df = raw.select(
         F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in keys]).alias("inputs"),
         F.array(*[parse_float(F.col(f"`{c}`")) for c in targets]).alias("targets"),
-        *([_line_key().alias(LINE)] if max_data_size else []),
+        *([line_key().alias(LINE)] if max_data_size else []),
     )
     if skip_none_targets:
         df = df.filter(F.exists("targets", lambda t: t.isNotNull()))
@@ -237,7 +236,3 @@ def validate_training(spark: SparkSession, path: str, is_key=None) -> DataFrame:
     ]
     errors = F.array(*[F.when(bad, F.lit(text)) for bad, text in checks])
     return audit.select(F.explode(F.filter(errors, lambda e: e.isNotNull())).alias("error"))
-
-
-def head_rows(df: DataFrame, n: int, value: str, key: str) -> DataFrame:
-    return top_n(df, n, value, key)
