@@ -4,6 +4,7 @@ from .numbers import (  # noqa: F401
     abbreviate_count,
     boltzmann_decay,
     decode_mean_var,
+    let,
     nan_to_null,
     one_hot_unknown,
     parse_float,

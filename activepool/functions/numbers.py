@@ -12,6 +12,15 @@ FLOAT_PATTERN = (
 )
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once per row.
+
+    An expression used inside a per-element function is evaluated again for every element; a bound
+    variable is not.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def parse_float(text: Column) -> Column:
     """Text to double; anything that is not a number gives NULL instead of an error."""
     return F.when(text.rlike(FLOAT_PATTERN), F.trim(text).try_cast("double"))

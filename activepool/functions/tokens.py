@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .numbers import let
+
 # The token pattern of the chemical line notation and the special tokens.
 LINE_NOTATION = (
     r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|\%[0-9]{2}|[0-9])"
@@ -72,9 +74,29 @@ def grams(tokens: Column, kind: str, radius: int = 2) -> Column:
 
 def count_keys(text: Column) -> Column:
     """167 0/1 keys: key j says that symbol ``j mod S`` occurs more than ``j div S`` times."""
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))) for s in KEY_SYMBOLS]
     n = len(KEY_SYMBOLS)
-    return F.array(*[(counts[j % n] > j // n).cast("int") for j in range(KEY_COUNT)])
+    counts = F.array(
+        *[F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))) for s in KEY_SYMBOLS]
+    )
+    keys = F.sequence(F.lit(0), F.lit(KEY_COUNT - 1))
+    return let(
+        counts,
+        lambda c: F.transform(
+            keys,
+            lambda j: (F.element_at(c, (j % n + 1).cast("int")) > F.floor(j / n)).cast("int"),
+        ),
+    )
+
+
+def _min_hashes(pieces: Column, length: int) -> Column:
+    """For each of ``length`` hash functions the smallest hash over the pieces."""
+    signature = F.transform(
+        F.sequence(F.lit(0), F.lit(length - 1)),
+        lambda p: F.array_min(
+            F.transform(pieces, lambda g: F.md5(F.concat_ws(":", p.cast("string"), g)))
+        ),
+    )
+    return F.filter(signature, lambda m: m.isNotNull())
 
 
 def feature_slots(
@@ -88,20 +110,10 @@ def feature_slots(
         ones = F.transform(count_keys(text), lambda v, i: F.when(v == 1, i))
         slots = F.filter(ones, lambda i: i.isNotNull())
     else:
-        pieces = grams(tokenize(text, pattern), kind, radius)
+        pieces = let(tokenize(text, pattern), lambda tokens: grams(tokens, kind, radius))
         if kind == "map4":
-            signature = F.transform(
-                F.sequence(F.lit(0), F.lit(length - 1)),
-                lambda p: F.array_min(
-                    F.transform(pieces, lambda g: F.md5(F.concat_ws(":", p.cast("string"), g)))
-                ),
-            )
-            slots = F.transform(
-                F.filter(signature, lambda m: m.isNotNull()), lambda m: slot_of(m, length)
-            )
-        else:
-            slots = F.transform(pieces, lambda g: slot_of(g, length))
-        slots = F.array_sort(F.array_distinct(slots))
+            pieces = let(pieces, lambda g: _min_hashes(g, length))
+        slots = F.array_sort(F.array_distinct(F.transform(pieces, lambda g: slot_of(g, length))))
     return F.when(F.length(F.trim(text)) > 0, slots)
 
 
@@ -109,9 +121,13 @@ def dense(slots: Column, length: int) -> Column:
     """Sorted slots to a 0/1 array: zeros up to each slot, a one, zeros to the end."""
     zero, one = F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint")
 
-    def stretch(slot, i):
-        before = F.when(i == 0, F.lit(-1)).otherwise(F.element_at(slots, F.greatest(i, F.lit(1))))
-        return F.concat(F.array_repeat(zero, slot - before - 1), F.array(one))
+    def fill(at):
+        def stretch(slot, i):
+            before = F.when(i == 0, F.lit(-1)).otherwise(F.element_at(at, F.greatest(i, F.lit(1))))
+            return F.concat(F.array_repeat(zero, slot - before - 1), F.array(one))
+
+        last = F.when(F.size(at) > 0, F.element_at(at, -1)).otherwise(F.lit(-1))
+        tail = F.array_repeat(zero, F.lit(length - 1) - last)
+        return F.concat(F.flatten(F.transform(at, stretch)), tail)
 
-    last = F.when(F.size(slots) > 0, F.element_at(slots, -1)).otherwise(F.lit(-1))
-    return F.concat(F.flatten(F.transform(slots, stretch)), F.array_repeat(zero, F.lit(length - 1) - last))
+    return let(slots, fill)

@@ -45,6 +45,8 @@ def hashed_vectors(
     df: DataFrame, text: Column, kind: str = "pair", radius: int = 2, length: int = 2048, **options
 ) -> DataFrame:
     """Sparse 0/1 ml vectors of the hashed token pieces (Murmur3, in the JVM)."""
-    pieces = df.withColumn("_grams", grams(tokenize(text, **options), kind, radius))
+    pieces = df.withColumn("_tokens", tokenize(text, **options)).withColumn(
+        "_grams", grams(F.col("_tokens"), kind, radius)
+    )
     tf = HashingTF(numFeatures=length, binary=True, inputCol="_grams", outputCol="features_vec")
-    return tf.transform(pieces).drop("_grams")
+    return tf.transform(pieces).drop("_grams", "_tokens")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import hash_uniform
+from ..functions import hash_uniform, let
 
 MODELS: dict[str, Callable[..., "Surrogate"]] = {}
 
@@ -131,7 +131,9 @@ def wide_moments(members: Column) -> tuple[Column, Column]:
     """The same over an array column of member predictions, without a shuffle."""
     n = F.size(members).cast("double")
     mean = F.aggregate(members, F.lit(0.0), lambda a, x: a + x) / n
-    squares = F.aggregate(members, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    squares = let(
+        mean, lambda m: F.aggregate(members, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    )
     return mean, squares / n
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -80,8 +81,6 @@ class LinearGaussianSurrogate(Surrogate):
         return self
 
     def predict(self, pool: DataFrame, need_var: bool = True) -> DataFrame:
-        import pandas as pd
-
         weights, mean, std, sigma0 = self.weights, self.mean, self.std, self.sigma0
         half = np.linalg.cholesky(self.cov) if need_var else None
 

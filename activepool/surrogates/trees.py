@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
     GBTRegressionModel,
@@ -32,7 +33,7 @@ def node_tables(spark: SparkSession, path: str) -> list[tuple]:
             "leftChild",
             "rightChild",
             F.col("split.featureIndex").alias("feature"),
-            F.element_at("split.leftCategoriesOrThreshold", 1).alias("threshold"),
+            F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         )
         .toPandas()
     )
@@ -54,8 +55,6 @@ def node_tables(spark: SparkSession, path: str) -> list[tuple]:
 
 def tree_moments(features: Column, tables: list[tuple], weights, depth: int) -> Column:
     """Struct (mean, var) over the trees' outputs, one vectorised walk per tree and Arrow batch."""
-    import pandas as pd
-
     weights = [float(w) for w in weights]
 
     @F.pandas_udf("mean double, var double")

@@ -43,11 +43,11 @@ VOCAB = f"""names AS (SELECT c_custkey AS id, c_name || '/' || c_mktsegment AS t
   counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(tk) AS token FROM cut) GROUP BY 1),
   vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM counts
             QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 12),
-  coded AS (SELECT c.id, u.at, coalesce(v.token_id, 2) AS token_id
-            FROM cut c, unnest(c.tk, range(1, len(c.tk) + 1)) AS u(token, at)
+  coded AS (SELECT u.id, u.place, coalesce(v.token_id, 2) AS token_id
+            FROM (SELECT id, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS place FROM cut) u
             LEFT JOIN vocab v ON v.token = u.token),
   rows AS (SELECT c.id, len(c.tk) AS n, (SELECT max(len(tk)) FROM cut) AS longest,
-             (SELECT coalesce(string_agg(token_id::varchar, ' ' ORDER BY at), '') FROM coded d WHERE d.id = c.id) AS body FROM cut c)"""
+             (SELECT coalesce(string_agg(token_id::varchar, ' ' ORDER BY place), '') FROM coded d WHERE d.id = c.id) AS body FROM cut c)"""
 
 
 def _names(t):

@@ -208,29 +208,29 @@ def agg4_observed(t):
 @query(
     "agg5_expected_hits_pruned",
     f"""WITH {PREDS}, {THRESHOLD}, {HIT}
-    SELECT count(*) FILTER (WHERE p >= 0.2) AS n_kept, count(*) FILTER (WHERE p < 0.2) AS n_pruned,
-           round(coalesce(sum(p) FILTER (WHERE p < 0.2), 0), 6) AS expected_hits_pruned FROM rated""",
+    SELECT count(*) FILTER (WHERE p >= 0.4) AS n_kept, count(*) FILTER (WHERE p < 0.4) AS n_pruned,
+           round(coalesce(sum(p) FILTER (WHERE p < 0.4), 0), 6) AS expected_hits_pruned FROM rated""",
 )
 def agg5(t):
-    return pr.expected_pruned(predictions(t), _threshold(t), 0.2).withColumn(
+    return pr.expected_pruned(predictions(t), _threshold(t), 0.4).withColumn(
         "expected_hits_pruned", F.round("expected_hits_pruned", 6)
     )
 
 
 @query(
     "fil4_prune_by_probability",
-    f"WITH {PREDS}, {THRESHOLD}, {HIT} SELECT id, mu, var, round(p, 6) AS p_hit FROM rated WHERE p >= 0.2",
+    f"WITH {PREDS}, {THRESHOLD}, {HIT} SELECT id, mu, var, round(p, 6) AS p_hit FROM rated WHERE p >= 0.4",
 )
 def fil4(t):
-    return pr.prune(predictions(t), _threshold(t), 0.2).withColumn("p_hit", F.round("p_hit", 6))
+    return pr.prune(predictions(t), _threshold(t), 0.4).withColumn("p_hit", F.round("p_hit", 6))
 
 
 @query(
     "snk7_retained_rows",
-    f"WITH {PREDS}, {THRESHOLD}, {HIT} SELECT id FROM rated WHERE p >= 0.2",
+    f"WITH {PREDS}, {THRESHOLD}, {HIT} SELECT id FROM rated WHERE p >= 0.4",
 )
 def snk7(t):
-    return pr.retained_ids(predictions(t), _threshold(t), 0.2)
+    return pr.retained_ids(predictions(t), _threshold(t), 0.4)
 
 
 @query(
