@@ -282,7 +282,8 @@ class Explorer:
             else:
                 self.explore_batch()
             while not self.completed():
-                log.info("%s | retrieval %s", self.status(), self.retrieval())
+                if log.isEnabledFor(logging.INFO):
+                    log.info("%s | retrieval %s", self.status(), self.retrieval())
                 self.explore_batch()
         except Exception:
             self.checkpoint()
