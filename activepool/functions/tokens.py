@@ -60,7 +60,7 @@ def token_pairs(tokens: Column, gap: int) -> Column:
 
 
 def grams(tokens: Column, kind: str, radius: int = 2) -> Column:
-    """The text pieces that a feature kind hashes."""
+    """The text pieces that a feature kind hashes (repeats included: they share a slot)."""
     if kind == "pair":
         parts = [token_pairs(tokens, gap) for gap in range(1, 2 + radius)]
     elif kind == "morgan":
@@ -69,7 +69,7 @@ def grams(tokens: Column, kind: str, radius: int = 2) -> Column:
         parts = [ngrams(tokens, n) for n in range(1, 2 + radius)]
     else:
         raise ValueError(f"unknown feature kind: {kind}")
-    return F.array_distinct(F.concat(*parts))
+    return F.concat(*parts)
 
 
 def count_keys(text: Column) -> Column:

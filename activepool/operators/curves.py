@@ -109,7 +109,7 @@ def top_average_curve(points: DataFrame, k: int, block: int | None = None) -> Da
     """
     block = block or max(BLOCK, 10 * k)
     rows = points.select(
-        "run_id", "seq", "score", F.floor((F.col("seq") - 1) / F.lit(block)).alias("_block")
+        "run_id", "seq", "score", (F.col("seq") - 1 - F.pmod(F.col("seq") - 1, F.lit(block))).alias("_block")
     )
     w = W.partitionBy("run_id", "_block").orderBy(F.col("score").desc_nulls_last(), "seq")
     reduced = (

@@ -18,13 +18,10 @@ BLOCK = 100_000
 _SLOT_BITS = 33
 
 
-def _keyed_join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner join on equal names, NULL equal to NULL; the right copies are dropped."""
-    renamed = right.withColumnsRenamed({n: f"_r_{n}" for n in names})
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-    return left.join(renamed, condition).drop(*[f"_r_{n}" for n in names])
+def _group_key(names: Sequence[str]) -> Column:
+    """The names as one struct: never NULL itself, so a plain equi join matches NULL with NULL, and
+    join and window share one hash partitioning."""
+    return F.struct(*[F.col(n) for n in names])
 
 
 def number_rows(
@@ -50,17 +47,17 @@ def number_rows(
         .withColumn("_slot", F.monotonically_increasing_id())
     )
     placed = pinned(placed, "numbered").withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
-    stretch = placed.groupBy("_part", *by).agg(
-        F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_n")
+    placed = placed.withColumn("_g", _group_key(["_part", *by]))
+    stretch = placed.groupBy("_g").agg(F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = (
+        W.partitionBy(*[F.col("_g")[c] for c in by])
+        .orderBy(F.col("_g")["_part"])
+        .rowsBetween(W.unboundedPreceding, -1)
     )
-    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = stretch.select(
-        "_part",
-        *by,
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
-    )
-    joined = _keyed_join(placed, offsets, ["_part", *by])
-    return joined.select(*df.columns, (F.col("_slot") + F.col("_shift")).alias(name))
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
+    # Written, so that its true size (partitions + groups) decides between broadcast and shuffle.
+    offsets = pinned(stretch.select("_g", shift.alias("_shift")), "offsets")
+    return placed.join(offsets, "_g").select(*df.columns, (F.col("_slot") + F.col("_shift")).alias(name))
 
 
 def running_totals(
@@ -79,15 +76,19 @@ def running_totals(
     """
     by = list(by)
     names = list(sums)
-    rows = df.withColumn("_block", F.floor(F.col(pos) / F.lit(block)))
-    rows = rows.withColumns({f"_v_{n}": e for n, e in sums.items()})
-    totals = rows.groupBy(*by, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    earlier = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        *by, "_block", *[F.sum(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in names]
+    # The block is named by its first position: integer arithmetic only.
+    start = F.col(pos) - F.pmod(F.col(pos), F.lit(block))
+    rows = df.withColumns({"_block": start, **{f"_v_{n}": e for n, e in sums.items()}})
+    rows = rows.withColumn("_g", _group_key([*by, "_block"]))
+    totals = rows.groupBy("_g").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    earlier = (
+        W.partitionBy(*[F.col("_g")[c] for c in by])
+        .orderBy(F.col("_g")["_block"])
+        .rowsBetween(W.unboundedPreceding, -1)
     )
-    inside = W.partitionBy(*by, "_block").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    return _keyed_join(rows, totals, [*by, "_block"]).select(
+    totals = totals.select("_g", *[F.sum(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in names])
+    inside = W.partitionBy("_g").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(totals, "_g").select(
         *df.columns,
         *[
             (
@@ -138,12 +139,9 @@ def top_quota(
     """
     order = [F.col(value).desc_nulls_last(), F.col(key).desc()]
     numbered = number_rows(df, order, by=[by], name="_pos")
-    limits = quotas.select(by, F.col(quota).alias("_quota"))
-    return (
-        _keyed_join(numbered, limits, [by])
-        .filter(F.col("_pos") <= F.col("_quota"))
-        .drop("_quota", "_pos")
-    )
+    limits = pinned(quotas.select(F.col(by).alias("_by"), F.col(quota).alias("_quota")), "quotas")
+    within = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_pos") <= F.col("_quota"))
+    return numbered.join(limits, within).drop("_by", "_quota", "_pos")
 
 
 def chunk_rows(

@@ -24,8 +24,10 @@ def make_pool(
     """
     if clusters and not eager:
         raise ValueError("clusters need an eager pool")
-    rows = df.select(F.col(key).alias("id"), F.col(payload).alias("payload"), features.alias("features"))
-    rows = rows.filter(F.col("features").isNotNull())
+    # A filter on the features would be pushed below the projection and compute them twice;
+    # exploding a list of at most one drops the invalid rows in the same pass.
+    valid = F.filter(F.array(features), lambda f: f.isNotNull())
+    rows = df.select(F.col(key).alias("id"), F.col(payload).alias("payload"), F.explode(valid).alias("features"))
     if not eager:
         return rows
     rows = pinned(rows, "pool")

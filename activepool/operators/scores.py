@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import rank_score
 from .ordering import number_rows, top_n
@@ -30,20 +30,18 @@ def scheduled_size(sizes, t: int) -> int:
 
 
 def last_per_key(df: DataFrame, key: str, order) -> DataFrame:
-    """One row per key, the last in ``order``. Partial aggregation: a hot key costs one row per task."""
+    """One row per key, the last in ``order`` (unique per key).
+
+    One ``max_by`` per column: over numbers it stays a hash aggregate with partial results, so a hot
+    key costs one row per task.
+    """
     order = F.col(order) if isinstance(order, str) else order
-    rest = [c for c in df.columns if c != key]
-    row = F.struct(*[F.col(c) for c in rest])
-    picked = df.groupBy(key).agg(F.max_by(row, order).alias("_row"))
-    return picked.select(key, *[F.col("_row")[c].alias(c) for c in rest])
+    return df.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in df.columns if c != key])
 
 
 def first_per_key(df: DataFrame, key: str, order) -> DataFrame:
     order = F.col(order) if isinstance(order, str) else order
-    rest = [c for c in df.columns if c != key]
-    row = F.struct(*[F.col(c) for c in rest])
-    picked = df.groupBy(key).agg(F.min_by(row, order).alias("_row"))
-    return picked.select(key, *[F.col("_row")[c].alias(c) for c in rest])
+    return df.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in df.columns if c != key])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -172,7 +170,3 @@ def status_line(run_log_row: dict, max_iters: int, k: int, budget: int) -> str:
 def multiset_missing(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of ``wanted`` left after taking out ``found`` with multiplicity."""
     return wanted.exceptAll(found)
-
-
-def rank_column(score: str) -> Column:
-    return rank_score(F.col(score))

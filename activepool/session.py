@@ -57,6 +57,15 @@ def pinned(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spreads a table of fewer splits than cores before CPU-heavy work on its rows.
+
+    A table with enough splits (any large one) is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def one_row(df: DataFrame):
     """A one-row aggregate as a struct column (scalar subquery), so no join is planned."""
     from pyspark.sql import functions as F

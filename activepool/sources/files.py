@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import parse_float
 from ..operators.ordering import number_rows
+from ..operators.scores import final_scores
+from ..session import pinned
 from .text import LINE, line_key, read_columns
 
 # --- features ---------------------------------------------------------------------------------
@@ -121,10 +123,11 @@ def read_archives(spark: SparkSession, paths) -> DataFrame:
 def extract_members(archives: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(node_id, member, content)`` of members whose file name contains a wanted name.
 
-    ``wanted(node_id, name)`` is a top-k list, so its per-node lists are bounded by k. Archives
-    without a wanted name are never opened; the others are opened one at a time in their task.
+    ``wanted(node_id, name)`` is a top-k list, so its per-node lists are bounded by k. It is written
+    first: with its true size known the join is a broadcast and no archive content is shuffled.
+    Archives without a wanted name are never opened; the others one at a time in their task.
     """
-    lists = wanted.groupBy("node_id").agg(F.collect_set("name").alias("names"))
+    lists = pinned(wanted.groupBy("node_id").agg(F.collect_set("name").alias("names")), "wanted")
 
     def pull(frames):
         import io
@@ -162,8 +165,6 @@ def write_round_scores(scores: DataFrame, run_dir: str, iteration: int, n_scored
 
 def write_final_scores(scores: DataFrame, run_dir: str) -> str:
     """All scored rows, best first, failures last."""
-    from ..operators.scores import final_scores
-
     path = f"{run_dir}/data/all_explored_final.csv"
     final_scores(scores).select("id", "score").write.csv(path, header=True, mode="overwrite")
     return path

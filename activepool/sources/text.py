@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import parse_float, signed
+from ..operators.ordering import SMALL_N, number_rows
 from ..operators.scores import first_per_key, last_per_key
 
 CXSMILES_SUFFIX = r"\s\|.*\|"
@@ -139,7 +140,12 @@ def read_training(
     if skip_none_targets:
         df = df.filter(F.exists("targets", lambda t: t.isNotNull()))
     if max_data_size:
-        df = df.orderBy(LINE).limit(max_data_size).drop(LINE)
+        first = [F.col(LINE).asc()]
+        if max_data_size <= SMALL_N:
+            df = df.orderBy(*first).limit(max_data_size)
+        else:
+            df = number_rows(df, first, name="_pos").filter(F.col("_pos") <= max_data_size).drop("_pos")
+        df = df.drop(LINE)
     return df
 
 

@@ -52,6 +52,8 @@ class LinearGaussianSurrogate(Surrogate):
     """``alpha`` is the noise variance in units of normalised targets, ``sigma0`` the bias scale."""
 
     def __init__(self, alpha: float = 1e-2, sigma0: float = 1.0, **_):
+        if alpha <= 0 or sigma0 <= 0:
+            raise ValueError("alpha and sigma0 must be greater than 0")
         self.alpha, self.sigma0 = float(alpha), float(sigma0)
         self.gram = None
         self.n = 0
@@ -62,7 +64,8 @@ class LinearGaussianSurrogate(Surrogate):
         if len(parts) == 0:
             raise ValueError("no rows to fit on")
         gram = np.stack(parts["row"].to_numpy())
-        n = rows.count()
+        # The bias column counts the rows, so the table is not read again.
+        n = round(gram[0, 0] / self.sigma0**2)
         if online and self.gram is not None:
             gram, n = gram + self.gram, n + self.n
         self.gram, self.n = gram, n

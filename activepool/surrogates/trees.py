@@ -130,7 +130,11 @@ class ForestSurrogate(_TreeSurrogate):
         return self._fit(
             rows,
             RandomForestRegressor(
-                featuresCol="x", labelCol="y", featureSubsetStrategy="all", **self.options
+                featuresCol="x",
+                labelCol="y",
+                featureSubsetStrategy="all",
+                maxMemoryInMB=1024,
+                **self.options,
             ),
         )
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from activepool.functions.tokens import KEY_COUNT, KEY_SYMBOLS, WORDS, feature_slots, fully_tokenized
 from activepool.operators import rows as rw
+from activepool.operators.pool import make_pool
+from activepool.session import spread
 
 from .registry import POOL, pool, query
 
@@ -112,8 +114,8 @@ def _features_sql(grams: str, table: str = "documents") -> str:
 
 def _features(t, kind: str, radius: int = 2):
     slots = feature_slots(F.col("text"), kind, radius, WIDTH, WORDS)
-    rows = t.documents.select("doc_id", slots.alias("s")).filter(F.col("s").isNotNull())
-    return rows.select(
+    rows = make_pool(spread(t.documents, "doc_id"), "doc_id", "lang", slots, eager=False)
+    return rows.select(F.col("id").alias("doc_id"), F.col("features").alias("s")).select(
         "doc_id",
         F.size("s").alias("n_ones"),
         F.array_join(F.transform("s", lambda v: v.cast("string")), " ").alias("ones"),
@@ -165,9 +167,9 @@ def prj1_maccs(t):
     from activepool.functions.tokens import dense
 
     slots = feature_slots(F.col("text"), "maccs")
-    rows = t.documents.select("doc_id", slots.alias("s")).filter(F.col("s").isNotNull())
-    bits = F.transform(dense(F.col("s"), KEY_COUNT), lambda b: b.cast("string"))
-    return rows.select("doc_id", F.array_join(bits, "").alias("bits"))
+    rows = make_pool(spread(t.documents, "doc_id"), "doc_id", "lang", slots, eager=False)
+    bits = F.transform(dense(F.col("features"), KEY_COUNT), lambda b: b.cast("string"))
+    return rows.select(F.col("id").alias("doc_id"), F.array_join(bits, "").alias("bits"))
 
 
 @query(

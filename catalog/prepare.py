@@ -9,7 +9,7 @@ from activepool.functions.tokens import LINE_NOTATION, detokenize, tokenize
 from activepool.operators import prepare as prep
 from activepool.operators.ordering import chunk_rows
 from activepool.operators.vocabulary import build_vocabulary, encode
-from activepool.session import one_row
+from activepool.session import one_row, spread
 
 from .registry import query, u_sql
 
@@ -24,7 +24,7 @@ TOKENS = f"regexp_extract_all(text, '{RX}', 1)"
 )
 def prj3(t):
     """Whole texts; the digest covers every token."""
-    rows = t.documents.select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    rows = spread(t.documents, "doc_id").select("doc_id", tokenize(F.col("text")).alias("tokens"))
     return rows.select(
         "doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest")
     )
@@ -35,7 +35,7 @@ def prj3(t):
     f"SELECT doc_id, md5(trim(array_to_string({TOKENS}, ''))) AS digest FROM documents",
 )
 def prj5(t):
-    return t.documents.select("doc_id", F.md5(detokenize(tokenize(F.col("text")))).alias("digest"))
+    return spread(t.documents, "doc_id").select("doc_id", F.md5(detokenize(tokenize(F.col("text")))).alias("digest"))
 
 
 VOCAB = f"""names AS (SELECT c_custkey AS id, c_name || '/' || c_mktsegment AS text FROM customer),
