@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import pinned
 
-SMALL_N = 10_000
+SMALL_N = 1_000
 BLOCK = 100_000
 _SLOT_BITS = 33
 

@@ -11,7 +11,7 @@ import json
 import logging
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.acquisition import (
     UtilityArgs,
@@ -26,7 +26,6 @@ from ..operators.acquisition import (
 )
 from ..operators.prune import expected_pruned, prune, prune_threshold
 from ..operators.scores import (
-    batch_average,
     final_averages,
     kth_best,
     resolve_size,
@@ -96,7 +95,7 @@ class Explorer:
         self.init_size = resolve_size(config.init_size, self.pool_size, "ceil")
         self.batch_sizes = [resolve_size(b, self.pool_size, "ceil") for b in config.batch_sizes]
         self.iter = 0
-        self.n_prior = 0
+        self.n_prior = self.n_scored = 0
         self.run_log: list[dict] = []
         self._fitted = False
         self._preds: DataFrame | None = None
@@ -112,10 +111,13 @@ class Explorer:
         id_type = dict(self.pool.dtypes)["id"]
         return f"id {id_type}, score double, utility double, is_prior boolean, iter int"
 
-    def _write_round(self, rows: DataFrame, iteration: int) -> DataFrame:
-        path = f"{self.path}/scores/iter={iteration}"
-        rows.select("id", "score", "utility", "is_prior").write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+    def _write_round(self, rows: DataFrame, iteration: int) -> dict:
+        """Writes one round; its row count and mean are observed during the write."""
+        seen = Observation(f"round {iteration}")
+        rows.select("id", "score", "utility", "is_prior").observe(
+            seen, F.count(F.lit(1)).alias("n"), F.avg("score").alias("batch_avg")
+        ).write.mode("overwrite").parquet(f"{self.path}/scores/iter={iteration}")
+        return seen.get
 
     # --- rounds ---------------------------------------------------------------------------------
 
@@ -127,8 +129,7 @@ class Explorer:
             F.lit(None).cast("double").alias("utility"),
             F.lit(True).alias("is_prior"),
         )
-        written = self._write_round(rows, 0)
-        self.n_prior = written.count()
+        self.n_prior = self.n_scored = self._write_round(rows, 0)["n"]
         self.iter = 1
 
     def explore_initial(self) -> float | None:
@@ -211,9 +212,10 @@ class Explorer:
 
     def _score_batch(self, batch: DataFrame, size: int, exhausted_below: int) -> float | None:
         path = f"{self.path}/batches/iter={self.iter}"
-        batch.write.mode("overwrite").parquet(path)
+        taken = Observation(f"batch {self.iter}")
+        batch.observe(taken, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
         batch = self.spark.read.parquet(path)
-        n = batch.count()
+        n = taken.get["n"]
         wanted = batch
         if any(c not in batch.columns for c in self.pool.columns):
             payload = getattr(self.objective, "payload", "id")
@@ -223,18 +225,17 @@ class Explorer:
         rows = batch.join(scored, "id", "left").select(
             "id", "score", "utility", F.lit(False).alias("is_prior")
         )
-        written = self._write_round(rows, self.iter)
-        average = batch_average(written).first()["batch_avg"]
+        average = self._write_round(rows, self.iter)["batch_avg"]
         self.iter += 1
-        scores = self.scores()
-        n_scored = scores.count()
-        enough = n_scored >= self.k
-        top = top_average(scores, self.k).first()["top_avg"] if enough else None
+        # A batch holds unexplored rows only, so the rows add up.
+        self.n_scored += n
+        enough = self.n_scored >= self.k
+        top = top_average(self.scores(), self.k).first()["top_avg"] if enough else None
         self.run_log.append(
             {
                 "iter": self.iter,
                 "n_new": n,
-                "n_acquired": n_scored,
+                "n_acquired": self.n_scored,
                 "n_prior": self.n_prior,
                 "exhausted": n < exhausted_below,
                 "batch_avg": average,
@@ -317,6 +318,7 @@ class Explorer:
         """Continues a run from a checkpoint; the next batch is the one the run would have taken."""
         state = json.loads(self.spark.read.text(state_path).first()["value"])
         self.iter, self.n_prior, self.run_log = state["iter"], state["n_prior"], state["run_log"]
+        self.n_scored = self.run_log[-1]["n_acquired"] if self.run_log else self.n_prior
         last = self.iter - 1
         if state["model"]:
             self.model.load(self.spark, state["model"])

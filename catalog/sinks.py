@@ -8,7 +8,7 @@ from activepool.functions.tokens import feature_slots
 from activepool.operators import prepare as prep
 from activepool.operators.ordering import number_rows
 from activepool.sources import files
-from activepool.sources.text import read_columns
+from activepool.sources.text import read_columns, read_config
 
 from .registry import BASE, DOC_SCORES, PREDS, document_scores, explored, predictions, query
 
@@ -56,6 +56,23 @@ def snk6(t):
     return files.read_predictions(t.spark, path, 1)
 
 
+@query(
+    "snk8_effective_config",
+    """SELECT 'pool-size' AS key, count(*)::varchar AS value FROM part
+    UNION ALL SELECT 'budget', (count(*) // 4)::varchar FROM part
+    UNION ALL SELECT 'batch-sizes', (SELECT '[' || string_agg(n::varchar, ', ' ORDER BY c_mktsegment) || ']'
+      FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1))""",
+)
+def snk8(t):
+    """Settings taken from table sizes; unset and false ones are left out."""
+    n = t.part.count()
+    sizes = [r["count"] for r in t.customer.groupBy("c_mktsegment").count().orderBy("c_mktsegment").collect()]
+    settings = {
+        "pool_size": n, "budget": n // 4, "batch_sizes": sizes, "retrain": False, "previous_scores": None
+    }
+    return read_config(t.spark, files.write_config(t.spark, settings, t.scratch("config")))
+
+
 @query(
     "snk11_scoring_input",
     f"{BASE} SELECT id, 'd' || (row_number() OVER (ORDER BY id) - 1) AS ext_id FROM explored",
