@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import one_row
-from .ordering import BLOCK, running_totals
+from .ordering import BLOCK, running_totals, top_per_group
 
 
 def hit_curve_scores(points: DataFrame, true_top: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -81,18 +81,15 @@ def class_curve(points: DataFrame, classes: DataFrame, names, block: int = BLOCK
 def boundary_top_average(points: DataFrame, k: int) -> DataFrame:
     """Top-k average after each round (``points`` has ``iter``), a missing place counting as 0.
 
-    Each round is cut to its k best rows first (map-side), so the join of rounds with earlier
-    rounds sees at most k rows per round.
+    Each round is cut to its k best rows first, so the join of rounds with earlier rounds sees at
+    most k rows per round, whatever the size of a round.
     """
     best_first = [F.col("score").desc_nulls_last(), F.col("id").desc()]
-    per_round = W.partitionBy("run_id", "iter").orderBy(*best_first)
-    kept = points.withColumn("_r", F.row_number().over(per_round)).filter(F.col("_r") <= k).drop("_r")
+    kept = top_per_group(points, k, best_first, ["run_id", "iter"])
     rounds = points.select("run_id", F.col("iter").alias("boundary")).distinct()
     upto = kept.join(rounds, "run_id").filter(F.col("iter") <= F.col("boundary"))
-    overall = W.partitionBy("run_id", "boundary").orderBy(*best_first)
     return (
-        upto.withColumn("_r", F.row_number().over(overall))
-        .filter(F.col("_r") <= k)
+        top_per_group(upto, k, best_first, ["run_id", "boundary"])
         .groupBy("run_id", "boundary")
         .agg((F.sum(F.coalesce("score", F.lit(0.0))) / F.lit(k)).alias("reward"))
         .withColumnRenamed("boundary", "iter")

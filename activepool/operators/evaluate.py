@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import safe_softplus
 from ..session import one_row
-from .ordering import SMALL_N, number_rows, running_totals
+from .ordering import number_rows, running_totals, top_per_group
 
 LOG_2PI = 1.8378770664093453
 
@@ -150,18 +150,9 @@ def long_targets(df: DataFrame, targets: str = "targets", preds: str = "preds")
 
 
 def best_found(runs: DataFrame, iteration: int, n: int) -> DataFrame:
-    """The best n rows of each run up to round ``iteration`` (rounds hold their new rows only).
-
-    Small n: ``row_number() <= n`` is planned as a per-task limit before the shuffle. Large n: range
-    partitions, so that a run of any size is split.
-    """
+    """The best n rows of each run up to round ``iteration`` (rounds hold their new rows only)."""
     order = [F.col("score").desc_nulls_last(), F.col("id").desc()]
-    seen = runs.filter(F.col("iter") <= iteration)
-    if n <= SMALL_N:
-        ranked = seen.withColumn("_r", F.row_number().over(W.partitionBy("run_id").orderBy(*order)))
-    else:
-        ranked = number_rows(seen, order, by=["run_id"], name="_r")
-    return ranked.filter(F.col("_r") <= n).drop("_r")
+    return top_per_group(runs.filter(F.col("iter") <= iteration), n, order, ["run_id"])
 
 
 def rewards(runs: DataFrame, true_top: DataFrame, iteration: int, n: int) -> DataFrame:

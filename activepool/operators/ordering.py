@@ -116,30 +116,142 @@ def loose_cut(df: DataFrame, column: str, n: int, accuracy: int = 10_000) -> flo
     return float(cut) if kept >= n else None
 
 
+def order_boundaries(
+    df: DataFrame, value: str, key: str, ks: Sequence[int], accuracy: int = 10_000
+) -> list[tuple]:
+    """The exact k-th smallest ``(value, key)`` for each k, NULL values left out.
+
+    Three passes whatever the number of ks: quantile sketches give a bracket per k, exact counts
+    prove it (a bracket that fails becomes the whole table), and only the rows inside the brackets
+    are put in order. A row's side of a boundary is then a plain comparison, so cutting a table into
+    exact parts moves none of its rows.
+    """
+    if not ks:
+        return []
+    rows = df.select(F.col(value).alias("_v"), F.col(key).alias("_k")).filter(F.col("_v").isNotNull())
+    total = rows.count()
+    slack = 2.0 / accuracy
+    points = []
+    for k in ks:
+        points += [max(0.0, k / total - slack), min(1.0, k / total + slack)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in points]), F.lit(accuracy))
+    ends = rows.agg(sketch.alias("e")).first()["e"]
+    brackets = list(zip(ends[0::2], ends[1::2]))
+    below = rows.agg(
+        *[F.count_if(F.col("_v") < F.lit(lo)).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)],
+        *[F.count_if(F.col("_v") <= F.lit(hi)).alias(f"u{i}") for i, (_, hi) in enumerate(brackets)],
+    ).first()
+    inside, targets = [], []
+    for i, (k, (lo, hi)) in enumerate(zip(ks, brackets)):
+        proven = below[f"b{i}"] < k <= below[f"u{i}"]
+        member = F.col("_v").between(F.lit(lo), F.lit(hi)) if proven else F.lit(True)
+        inside.append(F.when(member, F.lit(i)))
+        targets.append(k - below[f"b{i}"] if proven else k)
+    tagged = rows.select(
+        "_v", "_k", F.explode(F.filter(F.array(*inside), lambda i: i.isNotNull())).alias("_i")
+    )
+    ordered = number_rows(tagged, [F.col("_v").asc(), F.col("_k").asc()], by=["_i"], name="_pos")
+    wanted = F.array(*[F.lit(t) for t in targets])
+    found = ordered.filter(F.col("_pos") == F.get(wanted, F.col("_i"))).collect()
+    at = {r["_i"]: (r["_v"], r["_k"]) for r in found}
+    return [at[i] for i in range(len(ks))]
+
+
+def not_after(value: str, key: str, boundary: tuple) -> Column:
+    """True for rows at or before the boundary in (value, key) order."""
+    v, k = F.lit(boundary[0]), F.lit(boundary[1])
+    return (F.col(value) < v) | ((F.col(value) == v) & (F.col(key) <= k))
+
+
+def not_before(value: str, key: str, boundary: tuple) -> Column:
+    v, k = F.lit(boundary[0]), F.lit(boundary[1])
+    return (F.col(value) > v) | ((F.col(value) == v) & (F.col(key) >= k))
+
+
 def top_n(df: DataFrame, n: int, value: str, key: str) -> DataFrame:
     """The ``n`` rows with the largest ``value`` (NULL last), ties to the larger ``key``.
 
-    Small n: Spark's own top-k. Large n: rows below a proven cut are dropped in the scan and the
-    rest is numbered by range partitions, so no task holds n rows.
+    Small n: Spark's own top-k. Large n: a filter at the exact boundary row, so the rows stay where
+    they are and no task holds n of them.
+    """
+    if n <= max(SMALL_N, 0):
+        return df.orderBy(F.col(value).desc_nulls_last(), F.col(key).desc()).limit(n)
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.count(value).alias("valued")).first()
+    if n >= counts["rows"]:
+        return df
+    if n <= counts["valued"]:
+        (boundary,) = order_boundaries(df, value, key, [counts["valued"] - n + 1])
+        return df.filter(not_before(value, key, boundary))
+    valued = df.filter(F.col(value).isNotNull())
+    if n == counts["valued"]:
+        return valued
+    # Some rows without a value are taken too, by key alone.
+    rest = df.filter(F.col(value).isNull()).withColumn("_zero", F.lit(0))
+    missing = counts["rows"] - counts["valued"]
+    (boundary,) = order_boundaries(rest, "_zero", key, [missing - (n - counts["valued"]) + 1])
+    return valued.unionByName(rest.filter(F.col(key) >= F.lit(boundary[1])).drop("_zero"))
+
+
+def top_per_group(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows of each group.
+
+    Small n: ``row_number() <= n`` is planned as a per-task limit before the shuffle. Large n: range
+    partitions, so that a group of any size is split.
     """
-    order = [F.col(value).desc_nulls_last(), F.col(key).desc()]
     if n <= SMALL_N:
-        return df.orderBy(*order).limit(n)
-    cut = loose_cut(df, value, n)
-    rows = df if cut is None else df.filter(F.col(value) >= F.lit(cut))
-    return number_rows(rows, order, name="_pos").filter(F.col("_pos") <= n).drop("_pos")
+        ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    else:
+        ranked = number_rows(df, order, by=by, name="_r")
+    return ranked.filter(F.col("_r") <= n).drop("_r")
+
+
+GRID = (0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999, 0.9995, 0.9999)
+
+
+def _quota_candidates(
+    df: DataFrame, quotas: DataFrame, by: str, value: str, quota: str, accuracy: int = 10_000
+) -> DataFrame:
+    """Rows that can be among their group's quota: those above a quantile of the group.
+
+    The quantile leaves more rows than the quota by the sketch's error; groups where the count does
+    not prove that keep all their rows.
+    """
+    grid = F.array(*[F.lit(p) for p in GRID])
+    sketch = F.percentile_approx(value, grid, F.lit(accuracy)).alias("_cuts")
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count(value).alias("_n"), sketch)
+    wanted = quotas.select(F.col(by).alias("_q_by"), F.col(quota).alias("_quota"))
+    need = (F.col("_quota") * 1.01 / F.col("_n")) + F.lit(2.0 / accuracy)
+    levels = F.size(F.filter(grid, lambda p: F.lit(1.0) - p >= need))
+    cuts = sizes.join(wanted, F.col("_by").eqNullSafe(F.col("_q_by"))).select(
+        "_by", "_quota", F.get("_cuts", levels - 1).alias("_cut")
+    )
+    cuts = pinned(cuts, "cuts")
+    above = df.join(cuts, F.col(by).eqNullSafe(F.col("_by")) & (F.col(value) >= F.col("_cut")))
+    proven = above.groupBy("_by", "_quota", "_cut").agg(F.count(F.lit(1)).alias("_kept"))
+    proven = pinned(proven.filter(F.col("_kept") >= F.col("_quota")).select("_by", "_cut"), "proven")
+    joined = df.join(proven, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.filter(F.col("_cut").isNull() | (F.col(value) >= F.col("_cut"))).select(*df.columns)
 
 
 def top_quota(
-    df: DataFrame, quotas: DataFrame, by: str, value: str, key: str, quota: str = "quota"
+    df: DataFrame,
+    quotas: DataFrame,
+    by: str,
+    value: str,
+    key: str,
+    quota: str = "quota",
+    prefilter: bool = True,
 ) -> DataFrame:
     """Per group, the ``quota`` rows with the largest ``value``; a group may be of any size.
 
-    ``quotas`` has one row per group.
+    ``quotas`` has one row per group. With ``prefilter`` rows below a proven quantile of their group
+    are dropped in the scan, so that about the quotas are put in order and not the table.
     """
     order = [F.col(value).desc_nulls_last(), F.col(key).desc()]
-    numbered = number_rows(df, order, by=[by], name="_pos")
-    limits = pinned(quotas.select(F.col(by).alias("_by"), F.col(quota).alias("_quota")), "quotas")
+    limits = pinned(quotas.select(F.col(by), F.col(quota).alias("_quota")), "quotas")
+    rows = _quota_candidates(df, limits, by, value, "_quota") if prefilter else df
+    numbered = number_rows(rows, order, by=[by], name="_pos")
+    limits = limits.withColumnRenamed(by, "_by")
     within = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_pos") <= F.col("_quota"))
     return numbered.join(limits, within).drop("_by", "_quota", "_pos")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hash_uniform, nan_to_null
 from ..session import one_row
-from .ordering import number_rows
+from .ordering import not_after, number_rows, order_boundaries
 
 
 # --- scaling ---------------------------------------------------------------------------------
@@ -77,6 +77,29 @@ def shuffled_position(df: DataFrame, key: str, seed, by: Sequence[str] = ()) ->
     return number_rows(drawn, [F.col("_u").asc(), F.col(key).asc()], by=by, name="_pos").drop("_u")
 
 
+def _labelled(df: DataFrame, key: str, seed, ends: Sequence[int], labels: Sequence) -> Column:
+    """Label of a row by its place in the seeded shuffle: ``labels[i]`` up to position ``ends[i]``.
+
+    Only the rows next to the cuts are put in order; labelling is then a comparison in the scan.
+    """
+    drawn = df.select(key, hash_uniform(F.col(key), f"shuffle/{seed}").alias("_u"))
+    cuts = order_boundaries(drawn, "_u", key, [e for e in ends if e > 0])
+    used = [label for e, label in zip(ends, labels) if e > 0]
+    column = None
+    for cut, label in zip(cuts, used):
+        inside = not_after("_u", key, cut)
+        column = F.when(inside, label) if column is None else column.when(inside, label)
+    rest = F.lit(labels[-1])
+    return rest if column is None else column.otherwise(rest)
+
+
+def _with_label(df: DataFrame, key: str, seed, ends, labels, name: str) -> DataFrame:
+    label = _labelled(df, key, seed, ends, labels)
+    return (
+        df.withColumn("_u", hash_uniform(F.col(key), f"shuffle/{seed}")).withColumn(name, label).drop("_u")
+    )
+
+
 def random_split(
     df: DataFrame, key: str, seed, sizes: Sequence[float] = (0.8, 0.1, 0.1)
 ) -> DataFrame:
@@ -84,33 +107,33 @@ def random_split(
     if len(sizes) != 3 or abs(sum(sizes) - 1.0) > 1e-9:
         raise ValueError("give three sizes that sum to 1")
     n = df.count()
-    first = int(sizes[0] * n)
-    second = int((sizes[0] + sizes[1]) * n)
-    split = (
-        F.when(F.col("_pos") <= first, "train").when(F.col("_pos") <= second, "val").otherwise("test")
-    )
-    return shuffled_position(df, key, seed).withColumn("split", split).drop("_pos")
+    ends = [int(sizes[0] * n), int((sizes[0] + sizes[1]) * n)]
+    return _with_label(df, key, seed, ends, ["train", "val", "test"], "split")
 
 
 def holdout_split(df: DataFrame, key: str, seed, val_ratio: float) -> DataFrame:
     """Train and validation only: floor((1 - ratio) * n) rows train."""
-    n_train = int((1.0 - val_ratio) * df.count())
-    split = F.when(F.col("_pos") <= n_train, "train").otherwise("val")
-    return shuffled_position(df, key, seed).withColumn("split", split).drop("_pos")
+    ends = [int((1.0 - val_ratio) * df.count())]
+    return _with_label(df, key, seed, ends, ["train", "val"], "split")
 
 
 def kfold_split(df: DataFrame, key: str, seed: int, folds: int) -> DataFrame:
-    """Adds ``fold`` (sizes differ by at most one) and ``split``: test = seed mod k, val = the next."""
-    if folds <= 1:
-        raise ValueError("folds must be at least 2")
-    fold = F.pmod(F.col("_pos") - 1, F.lit(folds)).cast("int")
+    """Adds ``fold`` and ``split``: test = seed mod k, validation = the next fold.
+
+    Folds are runs of 1 + n div k rows of the shuffle; the last one takes what is left.
+    """
+    n = df.count()
+    if folds <= 1 or folds > n:
+        raise ValueError("folds must be between 2 and the number of rows")
+    size = 1 + n // folds
+    ends = [min(size * (i + 1), n) for i in range(folds - 1)]
     split = (
         F.when(F.col("fold") == seed % folds, "test")
         .when(F.col("fold") == (seed + 1) % folds, "val")
         .otherwise("train")
     )
-    placed = shuffled_position(df, key, 0).withColumn("fold", fold)
-    return placed.withColumn("split", split).drop("_pos")
+    placed = _with_label(df, key, 0, ends, list(range(folds)), "fold")
+    return placed.withColumn("split", split)
 
 
 def given_split(df: DataFrame, assignment: DataFrame, key: str) -> DataFrame:

@@ -134,9 +134,9 @@ class Explorer:
 
     def explore_initial(self) -> float | None:
         if self.config.cluster:
-            batch = initial_cluster_batch(self.pool, self.init_size, self.config.seed)
+            batch = initial_cluster_batch(self.pool.select("id", "cluster_id"), self.init_size, self.config.seed)
         else:
-            batch = initial_batch(self.pool, self.init_size, self.config.seed)
+            batch = initial_batch(self.pool.select("id"), self.init_size, self.config.seed)
         batch = batch.select("id", F.lit(None).cast("double").alias("utility"))
         return self._score_batch(batch, self.init_size, exhausted_below=1)
 

@@ -297,8 +297,8 @@ def mlp1(t):
 @query(
     "mlp2_kfold_split",
     f"""WITH {_pos_sql('0', 'orders', 'o_orderkey')}
-    SELECT o_orderkey, ((p - 1) % 5)::int AS fold, CASE (p - 1) % 5 WHEN 3 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS split
-    FROM pos""",
+    SELECT o_orderkey, fold, CASE fold WHEN 3 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS split
+    FROM (SELECT o_orderkey, ((p - 1) // (1 + (SELECT count(*) FROM orders) // 5))::int AS fold FROM pos)""",
 )
 def mlp2(t):
     return prep.kfold_split(t.orders.select("o_orderkey"), "o_orderkey", 3, 5)

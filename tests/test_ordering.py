@@ -78,6 +78,25 @@ def test_top_quota(spark):
     assert got == want
 
 
+def test_order_boundaries(spark):
+    rows, df = skewed(spark)
+    valued = sorted((v, i) for i, _, v in rows if v is not None)
+    ks = [1, 7, 300, 420, len(valued)]
+    assert od.order_boundaries(df, "v", "id", ks) == [valued[k - 1] for k in ks]
+    assert od.order_boundaries(df, "v", "id", ks, accuracy=2) == [valued[k - 1] for k in ks]
+    assert od.order_boundaries(df, "v", "id", []) == []
+
+
+def test_quota_prefilter_changes_nothing(spark):
+    df = spark.range(5000).select(
+        "id", F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 3)).alias("grp"),
+        (F.hash("id") % 1000).cast("double").alias("v"),
+    )
+    quotas = df.groupBy("grp").agg(F.ceil(F.count("*") / 40).alias("quota"))
+    pick = lambda p: sorted(r["id"] for r in od.top_quota(df, quotas, "grp", "v", "id", prefilter=p).collect())
+    assert pick(True) == pick(False)
+
+
 def test_chunks_with_empty_size_and_tail(spark):
     df = spark.range(7)
     rows = od.chunk_rows(df, [2, 0, 3], [F.col("id").asc()]).orderBy("id").collect()
