@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boltzmann_decay, hash_normal, hash_uniform, normal_cdf, normal_pdf, temperature
-from ..session import one_row
+from ..session import one_row, pinned
 from .ordering import loose_cut, top_n, top_quota
 
 
@@ -220,8 +220,10 @@ def acquire_cluster_batch(
     """Clustered batch: ``preds`` has key, cluster, mu and utility.
 
     Each cluster's quota is shrunk by a decay in the gap between the best predicted mean of the
-    whole pool and the best unexplored utility of the cluster.
+    whole pool and the best unexplored utility of the cluster. The rated rows are read several
+    times, so their four narrow columns are written first.
     """
+    preds = pinned(preds.select(key, cluster, "mu", "utility"), "rated")
     open_rows = unexplored(preds, scores, key)
     top = one_row(preds.agg(F.max("mu").alias("top")))["top"]
     local = open_rows.groupBy(cluster).agg(F.max("utility").alias("_local"))

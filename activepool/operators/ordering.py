@@ -15,6 +15,7 @@ from ..session import pinned
 
 SMALL_N = 1_000
 BLOCK = 100_000
+PREFILTER_ROWS = 1_000_000
 _SLOT_BITS = 33
 
 
@@ -117,7 +118,12 @@ def loose_cut(df: DataFrame, column: str, n: int, accuracy: int = 10_000) -> flo
 
 
 def order_boundaries(
-    df: DataFrame, value: str, key: str, ks: Sequence[int], accuracy: int = 10_000
+    df: DataFrame,
+    value: str,
+    key: str,
+    ks: Sequence[int],
+    accuracy: int = 10_000,
+    total: int | None = None,
 ) -> list[tuple]:
     """The exact k-th smallest ``(value, key)`` for each k, NULL values left out.
 
@@ -129,7 +135,7 @@ def order_boundaries(
     if not ks:
         return []
     rows = df.select(F.col(value).alias("_v"), F.col(key).alias("_k")).filter(F.col("_v").isNotNull())
-    total = rows.count()
+    total = rows.count() if total is None else total
     slack = 2.0 / accuracy
     points = []
     for k in ks:
@@ -180,7 +186,9 @@ def top_n(df: DataFrame, n: int, value: str, key: str) -> DataFrame:
     if n >= counts["rows"]:
         return df
     if n <= counts["valued"]:
-        (boundary,) = order_boundaries(df, value, key, [counts["valued"] - n + 1])
+        (boundary,) = order_boundaries(
+            df, value, key, [counts["valued"] - n + 1], total=counts["valued"]
+        )
         return df.filter(not_before(value, key, boundary))
     valued = df.filter(F.col(value).isNotNull())
     if n == counts["valued"]:
@@ -188,7 +196,9 @@ def top_n(df: DataFrame, n: int, value: str, key: str) -> DataFrame:
     # Some rows without a value are taken too, by key alone.
     rest = df.filter(F.col(value).isNull()).withColumn("_zero", F.lit(0))
     missing = counts["rows"] - counts["valued"]
-    (boundary,) = order_boundaries(rest, "_zero", key, [missing - (n - counts["valued"]) + 1])
+    (boundary,) = order_boundaries(
+        rest, "_zero", key, [missing - (n - counts["valued"]) + 1], total=missing
+    )
     return valued.unionByName(rest.filter(F.col(key) >= F.lit(boundary[1])).drop("_zero"))
 
 
@@ -240,13 +250,16 @@ def top_quota(
     value: str,
     key: str,
     quota: str = "quota",
-    prefilter: bool = True,
+    prefilter: bool | None = None,
 ) -> DataFrame:
     """Per group, the ``quota`` rows with the largest ``value``; a group may be of any size.
 
     ``quotas`` has one row per group. With ``prefilter`` rows below a proven quantile of their group
-    are dropped in the scan, so that about the quotas are put in order and not the table.
+    are dropped in the scan, so that about the quotas are put in order and not the table; by default
+    that is done for tables where the extra passes pay.
     """
+    if prefilter is None:
+        prefilter = df.count() >= PREFILTER_ROWS
     order = [F.col(value).desc_nulls_last(), F.col(key).desc()]
     limits = pinned(quotas.select(F.col(by), F.col(quota).alias("_quota")), "quotas")
     rows = _quota_candidates(df, limits, by, value, "_quota") if prefilter else df

@@ -77,13 +77,13 @@ def shuffled_position(df: DataFrame, key: str, seed, by: Sequence[str] = ()) ->
     return number_rows(drawn, [F.col("_u").asc(), F.col(key).asc()], by=by, name="_pos").drop("_u")
 
 
-def _labelled(df: DataFrame, key: str, seed, ends: Sequence[int], labels: Sequence) -> Column:
+def _labelled(df: DataFrame, key: str, seed, ends: Sequence[int], labels: Sequence, n: int) -> Column:
     """Label of a row by its place in the seeded shuffle: ``labels[i]`` up to position ``ends[i]``.
 
     Only the rows next to the cuts are put in order; labelling is then a comparison in the scan.
     """
     drawn = df.select(key, hash_uniform(F.col(key), f"shuffle/{seed}").alias("_u"))
-    cuts = order_boundaries(drawn, "_u", key, [e for e in ends if e > 0])
+    cuts = order_boundaries(drawn, "_u", key, [e for e in ends if e > 0], total=n)
     used = [label for e, label in zip(ends, labels) if e > 0]
     column = None
     for cut, label in zip(cuts, used):
@@ -93,8 +93,8 @@ def _labelled(df: DataFrame, key: str, seed, ends: Sequence[int], labels: Sequen
     return rest if column is None else column.otherwise(rest)
 
 
-def _with_label(df: DataFrame, key: str, seed, ends, labels, name: str) -> DataFrame:
-    label = _labelled(df, key, seed, ends, labels)
+def _with_label(df: DataFrame, key: str, seed, ends, labels, name: str, n: int) -> DataFrame:
+    label = _labelled(df, key, seed, ends, labels, n)
     return (
         df.withColumn("_u", hash_uniform(F.col(key), f"shuffle/{seed}")).withColumn(name, label).drop("_u")
     )
@@ -108,13 +108,13 @@ def random_split(
         raise ValueError("give three sizes that sum to 1")
     n = df.count()
     ends = [int(sizes[0] * n), int((sizes[0] + sizes[1]) * n)]
-    return _with_label(df, key, seed, ends, ["train", "val", "test"], "split")
+    return _with_label(df, key, seed, ends, ["train", "val", "test"], "split", n)
 
 
 def holdout_split(df: DataFrame, key: str, seed, val_ratio: float) -> DataFrame:
     """Train and validation only: floor((1 - ratio) * n) rows train."""
-    ends = [int((1.0 - val_ratio) * df.count())]
-    return _with_label(df, key, seed, ends, ["train", "val"], "split")
+    n = df.count()
+    return _with_label(df, key, seed, [int((1.0 - val_ratio) * n)], ["train", "val"], "split", n)
 
 
 def kfold_split(df: DataFrame, key: str, seed: int, folds: int) -> DataFrame:
@@ -132,7 +132,7 @@ def kfold_split(df: DataFrame, key: str, seed: int, folds: int) -> DataFrame:
         .when(F.col("fold") == (seed + 1) % folds, "val")
         .otherwise("train")
     )
-    placed = _with_label(df, key, 0, ends, list(range(folds)), "fold")
+    placed = _with_label(df, key, 0, ends, list(range(folds)), "fold", n)
     return placed.withColumn("split", split)
 
 
