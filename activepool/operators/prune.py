@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import prob_above
 from ..session import pinned
-from .scores import kth_best
+from .scores import kth_best, top_explored
 
 
 def prune_threshold(
     preds: DataFrame, scores: DataFrame | None, k: int, observed: bool = False
 ) -> DataFrame:
-    """One row ``kth_best``: the k-th best predicted mean, or the k-th best observed score."""
+    """One row ``kth_best``: the k-th best predicted mean, or the worst of the k best observed scores."""
     if observed:
-        return kth_best(scores, k)
+        return top_explored(scores, k).agg(F.min("score").alias("kth_best"))
     return kth_best(preds.select("id", F.col("mu").alias("score")), k)
 
 

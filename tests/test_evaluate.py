@@ -116,3 +116,9 @@ def test_prune_without_variance_is_a_hard_cut(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 1.5)], "id long, mu double")
     assert [r["id"] for r in pr.prune(df, 1.0).collect()] == [2]
     assert pr.expected_pruned(df, 1.0).first()["n_pruned"] == 1
+
+
+def test_observed_threshold_with_few_scores(spark):
+    scores = spark.createDataFrame([("a", 5.0), ("b", 2.0), ("c", None)], "id string, score double")
+    assert pr.prune_threshold(None, scores, 10, observed=True).first()["kth_best"] == 2.0
+    assert pr.prune_threshold(None, scores, 1, observed=True).first()["kth_best"] == 5.0
