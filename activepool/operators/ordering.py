@@ -127,7 +127,8 @@ def order_boundaries(
 ) -> list[tuple]:
     """The exact k-th smallest ``(value, key)`` for each k, NULL values left out.
 
-    Three passes whatever the number of ks: quantile sketches give a bracket per k, exact counts
+    A table of moderate size is put in order as it is (its two columns). Beyond that three passes,
+    whatever the number of ks: quantile sketches give a bracket per k, exact counts
     prove it (a bracket that fails becomes the whole table), and only the rows inside the brackets
     are put in order. A row's side of a boundary is then a plain comparison, so cutting a table into
     exact parts moves none of its rows.
@@ -136,6 +137,11 @@ def order_boundaries(
         return []
     rows = df.select(F.col(value).alias("_v"), F.col(key).alias("_k")).filter(F.col("_v").isNotNull())
     total = rows.count() if total is None else total
+    order = [F.col("_v").asc(), F.col("_k").asc()]
+    if total < PREFILTER_ROWS:
+        placed = number_rows(rows, order, name="_pos").filter(F.col("_pos").isin(list(ks)))
+        at = {r["_pos"]: (r["_v"], r["_k"]) for r in placed.collect()}
+        return [at[k] for k in ks]
     slack = 2.0 / accuracy
     points = []
     for k in ks:
@@ -156,7 +162,7 @@ def order_boundaries(
     tagged = rows.select(
         "_v", "_k", F.explode(F.filter(F.array(*inside), lambda i: i.isNotNull())).alias("_i")
     )
-    ordered = number_rows(tagged, [F.col("_v").asc(), F.col("_k").asc()], by=["_i"], name="_pos")
+    ordered = number_rows(tagged, order, by=["_i"], name="_pos")
     wanted = F.array(*[F.lit(t) for t in targets])
     found = ordered.filter(F.col("_pos") == F.get(wanted, F.col("_i"))).collect()
     at = {r["_i"]: (r["_v"], r["_k"]) for r in found}

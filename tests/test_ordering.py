@@ -54,7 +54,9 @@ def test_top_n_paths_agree(spark, monkeypatch, n):
     small = {r["id"] for r in od.top_n(df, n, "v", "id").collect()}
     monkeypatch.setattr(od, "SMALL_N", -1)
     large = {r["id"] for r in od.top_n(df, n, "v", "id").collect()}
-    assert small == large == want
+    monkeypatch.setattr(od, "PREFILTER_ROWS", 0)
+    bracketed = {r["id"] for r in od.top_n(df, n, "v", "id").collect()}
+    assert small == large == bracketed == want
 
 
 def test_loose_cut_keeps_enough(spark):
@@ -78,7 +80,9 @@ def test_top_quota(spark):
     assert got == want
 
 
-def test_order_boundaries(spark):
+@pytest.mark.parametrize("bracketed_from", [0, 10**6])
+def test_order_boundaries(spark, monkeypatch, bracketed_from):
+    monkeypatch.setattr(od, "PREFILTER_ROWS", bracketed_from)
     rows, df = skewed(spark)
     valued = sorted((v, i) for i, _, v in rows if v is not None)
     ks = [1, 7, 300, 420, len(valued)]
