@@ -70,7 +70,61 @@ def op2(spark, folder):
     )
 
 
-@query("op3_url_filters")
+def _url_sql() -> str:
+    """Rules and template trees as SQL, with the numbers of the query written out."""
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rules = [("allow", "www.example.com", "/en/"), ("block", "example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"), ("allow", "com", "/")]
+    pick = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h, p)}'" for v, h, p in rules) + " END"
+    end = "(\\.[A-Za-z]{1,5})?\\z"
+    varies = f"regexp_matches(s, '^[0-9]+{end}') OR regexp_matches(s, '^[0-9a-fA-F-]{{16,}}{end}') OR regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?\\z')"
+    step = lambda part, of: f"floor((8 * {part} + {of}) / (2.0 * {of}))::bigint::varchar"
+    levels = ""
+    for k in range(4):
+        levels += f"""
+n{k} AS (SELECT host, branch, count(DISTINCT named[{k + 1}]) AS names FROM t{k} WHERE len(named) > {k + 1} GROUP BY ALL),
+t{k + 1} AS (
+  SELECT t.host, named, n, labelled, blocked, leaf, CASE WHEN len(named) > {k + 1} THEN t.branch ELSE parent END AS parent,
+         CASE WHEN len(named) > {k + 1} THEN t.branch || '/' || CASE WHEN names > 64 THEN '*' ELSE named[{k + 1}] END ELSE t.branch END AS branch
+  FROM t{k} t LEFT JOIN n{k} USING (host, branch)),"""
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+ruled AS (SELECT *, {pick(lambda v, h, p: h + p)} AS rule, {pick(lambda v, h, p: v)} AS ruled FROM split),
+pages2 AS (
+  SELECT *, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS vote,
+         list_transform(regexp_split_to_array(regexp_replace(path, '^/+', ''), '/+'),
+           lambda s: CASE WHEN {varies} THEN '*' || regexp_extract(s, '{end}', 1) ELSE s END) AS named
+  FROM ruled),
+t0 AS (
+  SELECT host, named, count(*) AS n, count(vote) AS labelled, coalesce(sum(vote), 0)::bigint AS blocked, '' AS parent, '' AS branch,
+         coalesce(named[len(named)], '') AS leaf FROM pages2 GROUP BY host, named),{levels}
+t5 AS (
+  SELECT host, named, n, labelled, blocked, leaf, CASE WHEN len(named) > 5 THEN branch ELSE parent END AS parent,
+         CASE WHEN len(named) > 5 THEN branch || '/**' ELSE branch END AS branch FROM t4),
+many AS (SELECT host, branch, count(DISTINCT leaf) AS leaves FROM t5 GROUP BY ALL),
+tree AS (SELECT host, named, n, labelled, blocked, parent, branch, CASE WHEN leaves > 64 THEN '*' ELSE leaf END AS leaf FROM t5 JOIN many USING (host, branch)),
+leaf AS (SELECT host, parent, branch, leaf, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree GROUP BY ALL),
+whole AS (SELECT host, parent, branch, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(blocked) AS all_blocked FROM leaf GROUP BY ALL),
+shape AS (
+  SELECT host, parent, branch, string_agg(leaf || ':' || {step('n', 'all_n')}, '|' ORDER BY leaf || ':' || {step('n', 'all_n')}) AS leaves,
+         max(CASE WHEN all_labelled >= 10 THEN {step('all_blocked', 'all_labelled')} ELSE 'none' END) AS state
+  FROM leaf JOIN whole USING (host, parent, branch) GROUP BY host, parent, branch),
+merged AS (SELECT host, branch, min(branch) OVER (PARTITION BY host, parent, leaves, state) AS merged FROM shape),
+placed AS (SELECT * FROM tree JOIN merged USING (host, branch)),
+templates AS (SELECT host, merged, leaf, sum(labelled) AS labelled, sum(blocked) AS blocked FROM placed GROUP BY ALL),
+branches AS (SELECT host, merged, sum(labelled) AS bl, sum(blocked) AS bb FROM templates GROUP BY ALL),
+hosts AS (SELECT host, sum(bl) AS hl, sum(bb) AS hb FROM branches GROUP BY ALL),
+total AS (SELECT coalesce(sum(hb) / greatest(sum(hl), 1)::double, 0) AS t FROM hosts),
+judged AS (
+  SELECT host, merged, leaf, labelled, (blocked + 5 * ((bb + 5 * ((hb + 5 * t) / (hl + 5))) / (bl + 5))) / (labelled + 5) AS share
+  FROM templates JOIN branches USING (host, merged) JOIN hosts USING (host) CROSS JOIN total)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN judged.labelled >= 10 AND share >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages2 LEFT JOIN placed USING (host, named) LEFT JOIN judged USING (host, merged, leaf)"""
+
+
+@query("op3_url_filters", _url_sql())
 def op3(spark, folder):
     return url_filter.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 

@@ -92,11 +92,10 @@ def template_tree(voted: DataFrame, most_names: int = MOST_NAMES, least_labels:
     )
     for k in range(LEVELS):
         tree = pinned(tree, "url-tree")
-        inner = F.size("named") > k + 2  # the last entry is the leaf
-        names = tree.where(inner).groupBy("host", "branch").agg(F.count_distinct(at(k)).alias("names"))
+        is_dir = F.size("named") > k + 1  # the last entry is the leaf
+        names = tree.where(is_dir).groupBy("host", "branch").agg(F.count_distinct(at(k)).alias("names"))
         tree = tree.join(names, ["host", "branch"], "left")
         name = F.when(F.col("names") > most_names, F.lit("*")).otherwise(at(k))
-        is_dir = F.size("named") > k + 1
         tree = tree.select(
             "host", "named", "n", "labelled", "blocked", "leaf",
             F.when(is_dir, F.col("branch")).otherwise(F.col("parent")).alias("parent"),
