@@ -172,6 +172,41 @@ def random_share(candidates: DataFrame, batch: int, epsilon: float, salt: str, k
     return top_n(drawn, math.ceil(batch * epsilon), "_u", key).drop("_u")
 
 
+def _worth_reading(
+    rated: DataFrame, scores: DataFrame, batch: int, epsilon: float, salt: str, key: str, prefilter_from: int
+) -> DataFrame:
+    """Rows that can be in the batch, by proven cuts of the utility and of the epsilon draw.
+
+    Of the best (batch + scored) rows at least ``batch`` are unexplored, whatever was scored, so rows
+    below them cannot be taken; the same holds for the draw. Nothing is cut while few rows are scored.
+    """
+    if not prefilter_from:
+        return rated
+    n_scored = scores.count()
+    if n_scored < prefilter_from:
+        return rated
+    cut = loose_cut(rated, "utility", batch + n_scored)
+    if cut is None:
+        return rated
+    keep = F.col("utility") >= F.lit(cut)
+    if epsilon > 0.0:
+        drawn = hash_uniform(F.col(key), f"epsilon/{salt}")
+        edge = loose_cut(rated.select(drawn.alias("_u")), "_u", math.ceil(batch * epsilon) + n_scored)
+        if edge is None:
+            return rated
+        keep = keep | (drawn >= F.lit(edge))
+    return rated.filter(keep)
+
+
+def _lifted(open_rows: DataFrame, batch: int, epsilon: float, salt: str, key: str) -> DataFrame:
+    """The drawn share of the batch gets the utility +inf."""
+    if epsilon == 0.0:
+        return open_rows
+    forced = random_share(open_rows, batch, epsilon, salt, key).withColumn("_forced", F.lit(True))
+    lifted = F.when(F.col("_forced"), F.lit(float("inf"))).otherwise(F.col("utility"))
+    return open_rows.join(forced, key, "left").withColumn("utility", lifted).drop("_forced")
+
+
 def acquire_batch(
     preds: DataFrame,
     scores: DataFrame,
@@ -182,29 +217,19 @@ def acquire_batch(
     key: str = "id",
     prefilter_from: int = 0,
 ) -> DataFrame:
-    """The next batch, with its utility: best unexplored rows, ties to the larger key.
+    """The next batch, best first, with its utility: best unexplored rows, ties to the larger key.
 
     A share ``epsilon`` of the batch is drawn uniformly from the unexplored rows (utility +inf).
-    With ``prefilter_from`` > 0 and at least that many scored rows, rows that cannot be among the
-    best (batch + scored) are dropped by a proven utility cut before the anti join, so the pool
-    itself is not shuffled.
+    With ``prefilter_from`` > 0 and at least that many scored rows, rows that cannot be in the batch
+    are dropped by proven cuts before the anti join, so the pool itself is not shuffled.
     """
     args = args or UtilityArgs()
     ranked = with_utility(preds, metric, args).select(key, "utility")
-    if epsilon == 0.0:
-        if prefilter_from:
-            n_scored = scores.count()
-            if n_scored >= prefilter_from:
-                cut = loose_cut(ranked, "utility", batch + n_scored)
-                if cut is not None:
-                    ranked = ranked.filter(F.col("utility") >= F.lit(cut))
-        return top_n(unexplored(ranked, scores, key), batch, "utility", key)
+    ranked = _worth_reading(ranked, scores, batch, epsilon, args.salt, key, prefilter_from)
     open_rows = unexplored(ranked, scores, key)
-    forced = random_share(open_rows, batch, epsilon, args.salt, key).withColumn("_forced", F.lit(True))
-    lifted = open_rows.join(forced, key, "left").withColumn(
-        "utility", F.when(F.col("_forced"), F.lit(float("inf"))).otherwise(F.col("utility"))
-    )
-    return top_n(lifted.drop("_forced"), batch, "utility", key)
+    if epsilon > 0.0:  # read by the draw and by the cut
+        open_rows = pinned(open_rows, "open")
+    return top_n(_lifted(open_rows, batch, epsilon, args.salt, key), batch, "utility", key)
 
 
 def acquire_cluster_batch(
@@ -216,24 +241,41 @@ def acquire_cluster_batch(
     temp_end: float,
     key: str = "id",
     cluster: str = "cluster_id",
+    epsilon: float = 0.0,
+    salt: str = "0",
+    prefilter: bool | None = None,
 ) -> DataFrame:
     """Clustered batch: ``preds`` has key, cluster, mu and utility.
 
     Each cluster's quota is shrunk by a decay in the gap between the best predicted mean of the
-    whole pool and the best unexplored utility of the cluster. The rated rows are read several
-    times, so their four narrow columns are written first.
+    whole pool and the best unexplored utility of the cluster. A share ``epsilon`` of the batch is
+    drawn uniformly from all unexplored rows; drawn rows come first within their cluster's quota. The
+    rated rows are read several times, so their narrow columns are written first, with the mark of
+    what was scored. ``prefilter`` cuts each cluster at a proven utility before rows are put in order.
     """
-    preds = pinned(preds.select(key, cluster, "mu", "utility"), "rated")
-    open_rows = unexplored(preds, scores, key)
-    top = one_row(preds.agg(F.max("mu").alias("top")))["top"]
-    local = open_rows.groupBy(cluster).agg(F.max("utility").alias("_local"))
-    lam = boltzmann_decay(top, F.col("_local"), temperature(F.lit(float(t)), temp_start, temp_end))
-    quotas = (
-        cluster_quotas(preds, batch, cluster)
-        .join(local, cluster)
-        .withColumn("quota", F.ceil(F.least(lam, F.lit(1.0)) * F.col("quota")))
+    marked = preds.select(key, cluster, "mu", "utility").join(
+        scores.select(key).distinct().withColumn("_scored", F.lit(True)), key, "left"
+    )
+    marked = pinned(marked, "rated")
+    open_rows = marked.filter(F.col("_scored").isNull()).drop("_scored")
+    # Size, best open utility and best mean of each cluster in one pass.
+    sizes = pinned(
+        marked.groupBy(cluster).agg(
+            F.count(F.lit(1)).alias("cluster_size"),
+            F.max(F.when(F.col("_scored").isNull(), F.col("utility"))).alias("_local"),
+            F.count_if(F.col("_scored").isNull()).alias("_open"),
+            F.max("mu").alias("_mu"),
+        ),
+        "clusters",
+    )
+    whole = one_row(sizes.agg(F.sum("cluster_size").alias("total"), F.max("_mu").alias("top")))
+    lam = boltzmann_decay(whole["top"], F.col("_local"), temperature(F.lit(float(t)), temp_start, temp_end))
+    share = F.ceil(F.lit(batch) * F.col("cluster_size") / whole["total"])
+    quotas = sizes.filter(F.col("_open") > 0).select(
+        cluster, F.ceil(F.least(lam, F.lit(1.0)) * share).alias("quota")
     )
-    return top_quota(open_rows, quotas, cluster, "utility", key)
+    rows = _lifted(open_rows, batch, epsilon, salt, key)
+    return top_quota(rows, quotas, cluster, "utility", key, prefilter=prefilter)
 
 
 def retrieval_rate(explored_top: DataFrame, true_top: DataFrame, k: int, key: str = "id") -> DataFrame:

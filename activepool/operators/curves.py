@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import one_row
+from ..session import one_row, pinned
 from .ordering import BLOCK, running_totals, top_per_group
 
 
@@ -81,19 +82,41 @@ def class_curve(points: DataFrame, classes: DataFrame, names, block: int = BLOCK
 def boundary_top_average(points: DataFrame, k: int) -> DataFrame:
     """Top-k average after each round (``points`` has ``iter``), a missing place counting as 0.
 
-    Each round is cut to its k best rows first, so the join of rounds with earlier rounds sees at
-    most k rows per round, whatever the size of a round.
+    Each round is cut to its k best rows first; the best k are carried forward over the rounds.
     """
-    best_first = [F.col("score").desc_nulls_last(), F.col("id").desc()]
-    kept = top_per_group(points, k, best_first, ["run_id", "iter"])
-    rounds = points.select("run_id", F.col("iter").alias("boundary")).distinct()
-    upto = kept.join(rounds, "run_id").filter(F.col("iter") <= F.col("boundary"))
-    return (
-        top_per_group(upto, k, best_first, ["run_id", "boundary"])
-        .groupBy("run_id", "boundary")
-        .agg((F.sum(F.coalesce("score", F.lit(0.0))) / F.lit(k)).alias("reward"))
-        .withColumnRenamed("boundary", "iter")
+    lists = _best_lists(points.filter(F.col("score").isNotNull()), ["run_id", "iter"], k)
+    rounds = points.select("run_id", "iter").distinct()
+    place = W.partitionBy("run_id").orderBy("iter")
+    states = pinned(
+        rounds.withColumn("_at", F.row_number().over(place)).join(lists, ["run_id", "iter"], "left"), "rounds"
     )
+    total = F.aggregate("_upto", F.lit(0.0), lambda a, x: a + x)
+    return best_upto(states, ["run_id"], "_at", k).select("run_id", "iter", (total / F.lit(k)).alias("reward"))
+
+
+def _best_lists(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """``_best``: the k largest scores of each group, best first."""
+    ranked = top_per_group(rows.select(*by, "score"), k, [F.col("score").desc()], by)
+    return ranked.groupBy(*by).agg(F.sort_array(F.collect_list("score"), asc=False).alias("_best"))
+
+
+def best_upto(states: DataFrame, by: list[str], at: str, k: int) -> DataFrame:
+    """Adds ``_upto``: the k largest of all ``_best`` lists of places 1..``at`` (dense per group).
+
+    A prefix scan by doubled steps: after j rounds a place knows the lists of the last 2^j places, so
+    the work is places x log(places) lists of k values and no task holds a group.
+    """
+    none = F.array().cast("array<double>")
+    out = states.withColumn("_upto", F.coalesce("_best", none)).drop("_best")
+    longest = states.agg(F.max(at).alias("n")).first()["n"] or 0
+    step = 1
+    while step < longest:
+        out = pinned(out, "upto")
+        behind = out.select(*by, (F.col(at) + step).alias(at), F.col("_upto").alias("_more"))
+        both = F.sort_array(F.concat("_upto", F.coalesce("_more", none)), asc=False)
+        out = out.join(behind, [*by, at], "left").withColumn("_upto", F.slice(both, 1, k)).drop("_more")
+        step *= 2
+    return out
 
 
 def top_average_curve(points: DataFrame, k: int, block: int | None = None) -> DataFrame:
@@ -101,66 +124,60 @@ def top_average_curve(points: DataFrame, k: int, block: int | None = None) -> Da
 
     The first k rows all get the value reached after k rows. A failure among those leaves its place
     empty for good, counting as 0: the number of places m is the number of scored rows among the
-    first k. Three steps: (1) the k best of each block, (2) per run, the best m before each block,
-    from those reduced lists only, (3) each block replayed on its own, starting from (2).
+    first k. Three steps: (1) the k best of each block, (2) the best m before each block, from those
+    reduced lists only, by a prefix scan, (3) each block on its own, starting from (2). In a block
+    only the rows above the worst kept value so far are looked at; the others repeat the value before.
     """
     block = block or max(BLOCK, 10 * k)
     rows = points.select(
-        "run_id", "seq", "score", (F.col("seq") - 1 - F.pmod(F.col("seq") - 1, F.lit(block))).alias("_block")
-    )
-    w = W.partitionBy("run_id", "_block").orderBy(F.col("score").desc_nulls_last(), "seq")
-    reduced = (
-        rows.filter(F.col("score").isNotNull())
-        .withColumn("_r", F.row_number().over(w))
-        .filter(F.col("_r") <= k)
-        .groupBy("run_id", "_block")
-        .agg(F.collect_list("score").alias("_best"))
+        "run_id", "seq", "score", F.floor((F.col("seq") - 1) / F.lit(block)).alias("_block")
     )
+    lists = _best_lists(rows.filter(F.col("score").isNotNull()), ["run_id", "_block"], k)
     places = rows.filter(F.col("seq") <= k).groupBy("run_id").agg(F.count("score").alias("_m"))
     blocks = rows.select("run_id", "_block").distinct()
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        heap, before = [], []
-        m = int(pdf["_m"].iloc[0])
-        pdf = pdf.sort_values("_block")
-        for best in pdf["_best"]:
-            before.append(list(heap))
-            if best is not None:
-                heap = heapq.nlargest(m, heap + list(best))
-        return pdf.assign(_before=before)[["run_id", "_block", "_m", "_before"]]
-
-    run_type = dict(points.dtypes)["run_id"]
-    states = (
-        blocks.join(reduced, ["run_id", "_block"], "left")
+    states = pinned(blocks.join(lists, ["run_id", "_block"], "left").withColumn("_at", F.col("_block") + 1), "blocks")
+    upto = best_upto(states, ["run_id"], "_at", k)
+    # A block starts from what was reached at the end of the one before.
+    before = upto.select("run_id", F.col("_at").alias("_block"), F.col("_upto").alias("_before"))
+    starts = (
+        blocks.join(before, ["run_id", "_block"], "left")
         .join(places, "run_id")
-        .groupBy("run_id")
-        .applyInPandas(carry, f"run_id {run_type}, _block bigint, _m bigint, _before array<double>")
+        .select("run_id", "_block", "_m", F.slice(F.coalesce("_before", F.array().cast("array<double>")), F.lit(1), F.col("_m")).alias("_before"))
     )
+    starts = pinned(starts, "starts")
 
     def replay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("seq")
         if left.empty:
             return pd.DataFrame({"run_id": [], "n_sampled": [], "reward": []})
+        left = left.sort_values("seq")
         m = int(right["_m"].iloc[0])
         heap = [float(x) for x in right["_before"].iloc[0]]
         heapq.heapify(heap)
-        total, out = sum(heap), []
-        for seq, score in zip(left["seq"], left["score"]):
-            if score == score and score is not None and m:
+        scores = left["score"].to_numpy(dtype="float64")
+        gain = np.zeros(len(scores))
+        for start in range(0, len(scores), 2048):
+            part = scores[start : start + 2048]
+            if len(heap) < m:
+                enter = np.nonzero(~np.isnan(part))[0]
+            else:
+                enter = np.nonzero(part > heap[0])[0] if m else []
+            for i in enter:
+                x = float(part[i])
                 if len(heap) < m:
-                    heapq.heappush(heap, score)
-                    total += score
-                else:
-                    total += score - heapq.heappushpop(heap, score)
-            out.append(total / k)
-        first = [i for i, s in enumerate(left["seq"]) if s <= k]
-        for i in first:
-            out[i] = out[first[-1]]
+                    heapq.heappush(heap, x)
+                    gain[start + i] = x
+                elif x > heap[0]:
+                    gain[start + i] = x - heapq.heapreplace(heap, x)
+        out = (sum(float(x) for x in right["_before"].iloc[0]) + np.cumsum(gain)) / k
+        early = left["seq"].to_numpy() <= k
+        if early.any():
+            out[early] = out[early][-1]
         return pd.DataFrame({"run_id": left["run_id"], "n_sampled": left["seq"], "reward": out})
 
+    run_type = dict(points.dtypes)["run_id"]
     return (
         rows.groupBy("run_id", "_block")
-        .cogroup(states.groupBy("run_id", "_block"))
+        .cogroup(starts.groupBy("run_id", "_block"))
         .applyInPandas(replay, f"run_id {run_type}, n_sampled bigint, reward double")
     )
 

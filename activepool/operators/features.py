@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hash_uniform
 from ..functions.tokens import grams, tokenize
-
-# 1000 mini-batches of 1024 rows are drawn for the cluster centres.
-CLUSTER_FIT_ROWS = 1000 * 1024
-
+from ..session import pinned
 
 def hashed_sample(df: DataFrame, key: str, share: float, salt: str) -> DataFrame:
     """About ``share`` of the rows, the same rows on every run."""
@@ -23,21 +20,35 @@ def as_vector(features: DataFrame) -> DataFrame:
     return features.withColumn("_x", array_to_vector(F.col("features").cast("array<double>")))
 
 
-def cluster_rows(features: DataFrame, k: int = 100, seed: int = 0, max_iter: int = 20) -> DataFrame:
-    """``(id, cluster_id)``: k-means centres from a bounded sample, every row assigned in the scan."""
+def cluster_centres(
+    features: DataFrame, k: int = 100, seed: int = 0, max_iter: int = 20, share: float = 1.0
+):
+    """The fitted k-means model, on all rows; a ``share`` below 1 fits on a hashed sample instead."""
     rows = as_vector(features.select("id", "features"))
-    share = CLUSTER_FIT_ROWS / max(features.count(), 1)
-    sample = hashed_sample(rows, "id", share, f"kmeans/{seed}")
+    sample = pinned(hashed_sample(rows, "id", share, f"kmeans/{seed}").select("_x"), "kmeans")
     estimator = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_x", predictionCol="cluster_id")
-    return estimator.fit(sample).transform(rows).select("id", "cluster_id")
+    return estimator.fit(sample)
 
 
-def project(features: DataFrame, share: float = 0.1, seed: int = 0) -> DataFrame:
-    """``(id, x, y)``: two principal components fitted on a sample, applied to all rows."""
-    rows = as_vector(features.select("id", "features"))
-    sample = hashed_sample(rows, "id", share, f"pca/{seed}")
-    model = PCA(k=2, inputCol="_x", outputCol="_xy").fit(sample)
+def cluster_rows(
+    features: DataFrame, k: int = 100, seed: int = 0, max_iter: int = 20, share: float = 1.0
+) -> DataFrame:
+    """``(id, cluster_id)``: k-means centres of all rows, every row assigned in the scan."""
+    model = cluster_centres(features, k, seed, max_iter, share)
+    return model.transform(as_vector(features.select("id", "features"))).select("id", "cluster_id")
+
+
+def components(features: DataFrame, share: float = 1.0, seed: int = 0):
+    """The fitted two-component projection, on all rows or a hashed ``share`` of them."""
+    sample = hashed_sample(as_vector(features.select("id", "features")), "id", share, f"pca/{seed}")
+    return PCA(k=2, inputCol="_x", outputCol="_xy").fit(sample)
+
+
+def project(features: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """``(id, x, y)``: two principal components of all rows, applied to all rows."""
+    model = components(features, share, seed)
     xy = vector_to_array("_xy")
+    rows = as_vector(features.select("id", "features"))
     return model.transform(rows).select("id", xy[0].alias("x"), xy[1].alias("y"))
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from ..session import pinned
 
 SMALL_N = 1_000
 BLOCK = 100_000
 PREFILTER_ROWS = 1_000_000
+GATHER = 100_000
 _SLOT_BITS = 33
 
 
@@ -124,24 +125,20 @@ def order_boundaries(
     ks: Sequence[int],
     accuracy: int = 10_000,
     total: int | None = None,
+    gather: int = GATHER,
 ) -> list[tuple]:
     """The exact k-th smallest ``(value, key)`` for each k, NULL values left out.
 
-    A table of moderate size is put in order as it is (its two columns). Beyond that three passes,
-    whatever the number of ks: quantile sketches give a bracket per k, exact counts
-    prove it (a bracket that fails becomes the whole table), and only the rows inside the brackets
-    are put in order. A row's side of a boundary is then a plain comparison, so cutting a table into
-    exact parts moves none of its rows.
+    Whatever the number of ks: quantile sketches give a bracket per k, exact counts prove it (a
+    bracket that fails becomes the whole table), and only the rows inside the brackets are put in
+    order: in one task while they are at most ``gather`` rows, else in range partitions. A row's side
+    of a boundary is then a plain comparison, so cutting a table into exact parts moves none of its
+    rows. ``df`` is read three times: give a written table.
     """
     if not ks:
         return []
     rows = df.select(F.col(value).alias("_v"), F.col(key).alias("_k")).filter(F.col("_v").isNotNull())
     total = rows.count() if total is None else total
-    order = [F.col("_v").asc(), F.col("_k").asc()]
-    if total < PREFILTER_ROWS:
-        placed = number_rows(rows, order, name="_pos").filter(F.col("_pos").isin(list(ks)))
-        at = {r["_pos"]: (r["_v"], r["_k"]) for r in placed.collect()}
-        return [at[k] for k in ks]
     slack = 2.0 / accuracy
     points = []
     for k in ks:
@@ -153,16 +150,21 @@ def order_boundaries(
         *[F.count_if(F.col("_v") < F.lit(lo)).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)],
         *[F.count_if(F.col("_v") <= F.lit(hi)).alias(f"u{i}") for i, (_, hi) in enumerate(brackets)],
     ).first()
-    inside, targets = [], []
+    inside, targets, n_inside = [], [], 0
     for i, (k, (lo, hi)) in enumerate(zip(ks, brackets)):
         proven = below[f"b{i}"] < k <= below[f"u{i}"]
         member = F.col("_v").between(F.lit(lo), F.lit(hi)) if proven else F.lit(True)
         inside.append(F.when(member, F.lit(i)))
         targets.append(k - below[f"b{i}"] if proven else k)
+        n_inside += below[f"u{i}"] - below[f"b{i}"] if proven else total
     tagged = rows.select(
         "_v", "_k", F.explode(F.filter(F.array(*inside), lambda i: i.isNotNull())).alias("_i")
     )
-    ordered = number_rows(tagged, order, by=["_i"], name="_pos")
+    if n_inside <= gather:
+        rank = F.row_number().over(W.partitionBy("_i").orderBy("_v", "_k"))
+        ordered = tagged.withColumn("_pos", rank)
+    else:
+        ordered = number_rows(tagged, [F.col("_v").asc(), F.col("_k").asc()], by=["_i"], name="_pos")
     wanted = F.array(*[F.lit(t) for t in targets])
     found = ordered.filter(F.col("_pos") == F.get(wanted, F.col("_i"))).collect()
     at = {r["_i"]: (r["_v"], r["_k"]) for r in found}
@@ -180,41 +182,64 @@ def not_before(value: str, key: str, boundary: tuple) -> Column:
     return (F.col(value) > v) | ((F.col(value) == v) & (F.col(key) >= k))
 
 
-def top_n(df: DataFrame, n: int, value: str, key: str) -> DataFrame:
-    """The ``n`` rows with the largest ``value`` (NULL last), ties to the larger ``key``.
+def _tie_break(df: DataFrame, value: str, key: str) -> list[Column]:
+    """Order among rows of one (value, key): a hash of the other columns, so that reruns agree."""
+    others = [c for c, t in df.dtypes if c not in (value, key) and "map<" not in t and t != "variant"]
+    return [F.xxhash64(*[F.col(f"`{c}`") for c in others]).asc()] if others else []
 
-    Small n: Spark's own top-k. Large n: a filter at the exact boundary row, so the rows stay where
-    they are and no task holds n of them.
-    """
-    if n <= max(SMALL_N, 0):
-        return df.orderBy(F.col(value).desc_nulls_last(), F.col(key).desc()).limit(n)
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.count(value).alias("valued")).first()
-    if n >= counts["rows"]:
-        return df
-    if n <= counts["valued"]:
-        (boundary,) = order_boundaries(
-            df, value, key, [counts["valued"] - n + 1], total=counts["valued"]
-        )
-        return df.filter(not_before(value, key, boundary))
-    valued = df.filter(F.col(value).isNotNull())
-    if n == counts["valued"]:
-        return valued
-    # Some rows without a value are taken too, by key alone.
-    rest = df.filter(F.col(value).isNull()).withColumn("_zero", F.lit(0))
-    missing = counts["rows"] - counts["valued"]
-    (boundary,) = order_boundaries(
-        rest, "_zero", key, [missing - (n - counts["valued"]) + 1], total=missing
-    )
-    return valued.unionByName(rest.filter(F.col(key) >= F.lit(boundary[1])).drop("_zero"))
 
+def top_n(
+    df: DataFrame, n: int, value: str, key: str, small_n: int = SMALL_N, gather: int = GATHER
+) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows: the largest ``value`` first (NULL last), ties to the larger ``key``.
 
-def top_per_group(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    Rows that repeat a (value, key) pair count one by one. Up to ``small_n`` Spark's own top-k gives
+    them. Beyond, the table is written once (give narrow rows), the exact boundary row is found, rows
+    past it are kept by a comparison, of the rows equal to it as many as are wanted, and the result is
+    sorted by range, so no task holds n rows. The rows and their order are the same either way.
+    """
+    tie = _tie_break(df, value, key)
+    best = [F.col(value).desc_nulls_last(), F.col(key).desc(), *tie]
+    if n <= small_n:
+        return df.orderBy(*best).limit(n)
+    seen = Observation("top")
+    rows = pinned(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(value).alias("valued")), "top")
+    counts = seen.get
+    if n < counts["rows"]:
+        if n <= counts["valued"]:
+            part, total, order_by, rest = rows.filter(F.col(value).isNotNull()), counts["valued"], value, None
+            wanted = n
+        else:  # some rows without a value are taken too, by key alone
+            part, total, order_by = rows.filter(F.col(value).isNull()), counts["rows"] - counts["valued"], "_zero"
+            part, rest, wanted = part.withColumn("_zero", F.lit(0)), rows.filter(F.col(value).isNotNull()), n - counts["valued"]
+        kept = part
+        if wanted == 0:
+            kept = part.limit(0)
+        elif wanted < total:
+            (boundary,) = order_boundaries(part, order_by, key, [total - wanted + 1], total=total, gather=gather)
+            at_or_past = not_before(order_by, key, boundary)
+            equal = (F.col(order_by) == F.lit(boundary[0])) & (F.col(key) == F.lit(boundary[1]))
+            tally = part.agg(F.count_if(at_or_past).alias("all"), F.count_if(equal).alias("equal")).first()
+            kept = part.filter(at_or_past)
+            if tally["all"] > wanted:
+                surplus = wanted - (tally["all"] - tally["equal"])
+                placed = number_rows(part.filter(equal), [*tie, F.col(key).asc()], name="_pos")
+                kept = part.filter(at_or_past & ~equal).unionByName(
+                    placed.filter(F.col("_pos") <= surplus).drop("_pos")
+                )
+        rows = kept.drop("_zero") if rest is None else rest.unionByName(kept.drop("_zero"))
+    return rows.orderBy(*best)
+
+
+def top_per_group(
+    df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str], small_n: int = SMALL_N
+) -> DataFrame:
     """The first ``n`` rows of each group.
 
     Small n: ``row_number() <= n`` is planned as a per-task limit before the shuffle. Large n: range
-    partitions, so that a group of any size is split.
+    partitions, so that a group of any size is split. The rows are the same either way.
     """
-    if n <= SMALL_N:
+    if n <= small_n:
         ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
     else:
         ranked = number_rows(df, order, by=by, name="_r")
@@ -278,15 +303,21 @@ def top_quota(
 def chunk_rows(
     df: DataFrame, sizes: Sequence[int], order: Sequence[Column], name: str = "chunk"
 ) -> DataFrame:
-    """Cut an ordered table into chunks of the given sizes; rows past the last are single chunks."""
-    label, total, used = None, 0, 0
-    pos = F.col("_pos")
-    for size in sizes:
-        if size <= 0:
-            continue
+    """Cut an ordered table into chunks of the given sizes; rows past the last are single chunks.
+
+    The sizes become a table of (chunk, last position) that the positions are joined with.
+    """
+    sizes = [s for s in sizes if s > 0]
+    total, ends = 0, []
+    for i, size in enumerate(sizes):
+        ends.append((i, total + 1, total + size))
         total += size
-        label = F.when(pos <= total, used) if label is None else label.when(pos <= total, used)
-        used += 1
-    tail = pos - F.lit(total) - 1 + F.lit(used)
-    label = tail if label is None else label.otherwise(tail)
-    return number_rows(df, order, name="_pos").withColumn(name, label.cast("bigint")).drop("_pos")
+    spark = df.sparkSession
+    placed = number_rows(df, order, name="_pos")
+    single = F.col("_pos") - F.lit(total) - 1 + F.lit(len(sizes))
+    if not sizes:
+        return placed.withColumn(name, single.cast("bigint")).drop("_pos")
+    ranges = spark.createDataFrame(ends, "_chunk bigint, _from bigint, _to bigint")
+    starts = ranges.select(F.explode(F.sequence("_from", "_to")).alias("_at"), "_chunk")
+    joined = placed.join(starts, F.col("_pos") == F.col("_at"), "left")
+    return joined.withColumn(name, F.coalesce("_chunk", single.cast("bigint"))).drop("_pos", "_at", "_chunk")

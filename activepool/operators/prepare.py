@@ -117,22 +117,32 @@ def holdout_split(df: DataFrame, key: str, seed, val_ratio: float) -> DataFrame:
     return _with_label(df, key, seed, [int((1.0 - val_ratio) * n)], ["train", "val"], "split", n)
 
 
+CUT_FOLDS = 64
+
+
 def kfold_split(df: DataFrame, key: str, seed: int, folds: int) -> DataFrame:
     """Adds ``fold`` and ``split``: test = seed mod k, validation = the next fold.
 
-    Folds are runs of 1 + n div k rows of the shuffle; the last one takes what is left.
+    Folds are runs of 1 + n div k rows of the shuffle (fixed values of the split that is reproduced);
+    the last one takes what is left. Keys are unique.
     """
     n = df.count()
     if folds <= 1 or folds > n:
         raise ValueError("folds must be between 2 and the number of rows")
     size = 1 + n // folds
-    ends = [min(size * (i + 1), n) for i in range(folds - 1)]
     split = (
         F.when(F.col("fold") == seed % folds, "test")
         .when(F.col("fold") == (seed + 1) % folds, "val")
         .otherwise("train")
     )
-    placed = _with_label(df, key, 0, ends, list(range(folds)), "fold", n)
+    if folds <= CUT_FOLDS:
+        ends = [min(size * (i + 1), n) for i in range(folds - 1)]
+        placed = _with_label(df, key, 0, ends, list(range(folds)), "fold", n)
+    else:  # too many cuts to compare each row with: the fold follows from the position
+        at = shuffled_position(df.select(key), key, 0).select(
+            key, F.least(F.floor((F.col("_pos") - 1) / size), F.lit(folds - 1)).cast("int").alias("fold")
+        )
+        placed = df.join(at.distinct(), key)
     return placed.withColumn("split", split)
 
 

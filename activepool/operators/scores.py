@@ -75,6 +75,17 @@ def kth_best(scores: DataFrame, k: int, key: str = "id", score: str = "score") -
     return best.agg(kth.alias("kth_best"))
 
 
+def progress(scores: DataFrame, k: int, key: str = "id", score: str = "score") -> DataFrame:
+    """One row: ``top_avg`` and ``kth_best`` (see there) and ``n``, from one pass over the scores."""
+    best = top_n(scores.select(F.col(key), rank_score(F.col(score)).alias("_v"), F.col(score).alias("_s")), k, "_v", key)
+    n = F.count(F.lit(1))
+    return best.agg(
+        (F.sum(F.coalesce(F.col("_s"), F.lit(0.0))) / F.nullif(n, F.lit(0))).alias("top_avg"),
+        F.when(n >= k, F.min("_v")).otherwise(F.max("_v")).alias("kth_best"),
+        n.alias("n"),
+    )
+
+
 def final_scores(scores: DataFrame, key: str = "id", score: str = "score") -> DataFrame:
     """Best first, failures last, as a globally sorted table."""
     return scores.orderBy(F.col(score).desc_nulls_last(), F.col(key).desc())
@@ -127,6 +138,20 @@ def stop_rule(
     return checked.withColumn("stop", stop)
 
 
+def stops(run_log: list[dict], max_iters: int, budget: int, window: int, delta: float) -> bool:
+    """The stop rule for the last of a run's rounds, as the driver holds them (one small row a round)."""
+    if not run_log:
+        return False
+    last = run_log[-1]
+    if last["iter"] > max_iters or last["n_acquired"] - last["n_prior"] >= budget or last["exhausted"]:
+        return True
+    tops = [r["top_avg"] for r in run_log[-window:]]
+    if len(tops) < window or any(t is None for t in tops):
+        return False
+    mean = sum(tops) / window
+    return mean != 0 and (last["top_avg"] - mean) / mean <= delta
+
+
 def warm_start(scores: DataFrame, prior: DataFrame, key: str = "id") -> DataFrame:
     """Earlier results join the scores; they are flagged so that they are not charged."""
     current = scores.select(key, "score", F.lit(False).alias("is_prior"))
@@ -140,12 +165,7 @@ def final_averages(scores: DataFrame, pool_size: int, fractions=(0.0001, 0.0005,
     """
     ks = [int(f * pool_size) for f in fractions]
     best = top_explored(scores.select("id", "score"), max(max(ks), 1))
-    if max(ks) <= 10_000:
-        ranked = best.withColumn(
-            "_r", F.row_number().over(W.orderBy(F.col("score").desc_nulls_last(), F.col("id").desc()))
-        )
-    else:
-        ranked = number_rows(best, [F.col("score").desc_nulls_last(), F.col("id").desc()], name="_r")
+    ranked = number_rows(best, [F.col("score").desc_nulls_last(), F.col("id").desc()], name="_r")
     filled = F.coalesce(F.col("score"), F.lit(0.0))
     cells = []
     for f, k in zip(fractions, ks):

@@ -6,10 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tokens import BOS, EOS, LINE_NOTATION, PAD, SPECIAL_TOKENS, tokenize
-from ..session import one_row
+from ..session import one_row, pinned
 from .ordering import number_rows
 
-MAP_LIMIT = 64
 DICT_LIMIT = 50_000
 
 
@@ -18,7 +17,7 @@ def _dictionary_ids(table: dict) -> Column:
 
     @F.pandas_udf("array<int>")
     def code(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda row: [table.get(t, unknown) for t in row])
+        return batch.map(lambda row: None if row is None else [table.get(t, unknown) for t in row])
 
     return code("_tokens")
 
@@ -53,37 +52,33 @@ def encode(
     vocabulary: DataFrame,
     pattern: str = LINE_NOTATION,
     pad_to: int | None = None,
-    key: str = "id",
+    dict_limit: int = DICT_LIMIT,
 ) -> DataFrame:
     """Adds ``ids`` (begin and end marks, padded) and ``mask``; an unknown token gets the pad id.
 
-    ``pad_to=None`` pads to the longest row of the table. The vocabulary is read once up to a limit:
-    a few tokens become a constant map expression, up to ``DICT_LIMIT`` a dictionary in an Arrow UDF
-    (Spark's map lookup is a linear scan), and a larger vocabulary is joined.
+    ``pad_to=None`` pads to the longest row of the table. A token listed twice has its smallest id; a
+    NULL text has NULL ids and mask; every row is coded by itself, whatever its columns repeat. Up to
+    ``dict_limit`` tokens the vocabulary is a dictionary in an Arrow UDF, a larger one is joined; the
+    ids are the same either way.
     """
-    tokens = df.withColumn("_tokens", tokenize(F.col(text), pattern))
-    words = vocabulary.select("token", "token_id").limit(DICT_LIMIT + 1).collect()
-    if len(words) <= MAP_LIMIT:
-        table = F.create_map(*[F.lit(v) for w in words for v in (w["token"], w["token_id"])])
-        ids: Column = F.transform("_tokens", lambda t: F.coalesce(table[t], F.lit(PAD)))
-        coded = tokens.withColumn("_ids", ids)
-    elif len(words) <= DICT_LIMIT:
-        coded = tokens.withColumn("_ids", _dictionary_ids({w["token"]: w["token_id"] for w in words}))
+    tokens = df.withColumn("_tokens", F.when(F.col(text).isNotNull(), tokenize(F.col(text), pattern)))
+    words = vocabulary.groupBy("token").agg(F.min("token_id").alias("token_id"))
+    known = words.limit(dict_limit + 1).collect() if dict_limit else None
+    if known is not None and len(known) <= dict_limit:
+        coded = tokens.withColumn("_ids", _dictionary_ids({w["token"]: w["token_id"] for w in known}))
     else:
-        flat = tokens.select(key, F.posexplode("_tokens").alias("_at", "token"))
+        tokens = pinned(tokens.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+        flat = tokens.select("_row", F.posexplode("_tokens").alias("_at", "token"))
+        cell = F.struct("_at", F.coalesce("token_id", F.lit(PAD)).alias("v"))
         matched = (
-            flat.join(vocabulary.select("token", "token_id"), "token", "left")
-            .groupBy(key)
-            .agg(
-                F.array_sort(
-                    F.collect_list(F.struct("_at", F.coalesce("token_id", F.lit(PAD)).alias("v")))
-                ).alias("_cells")
-            )
-            .select(F.col(key), F.transform("_cells", lambda c: c["v"]).alias("_ids"))
-        )
-        coded = tokens.join(matched, key, "left").withColumn(
-            "_ids", F.coalesce("_ids", F.array().cast("array<int>"))
+            flat.join(words, "token", "left")
+            .groupBy("_row")
+            .agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+            .select("_row", F.transform("_cells", lambda c: c["v"]).alias("_coded"))
         )
+        none = F.when(F.col("_tokens").isNotNull(), F.array().cast("array<int>"))
+        coded = tokens.join(matched, "_row", "left").withColumn("_ids", F.coalesce("_coded", none))
+        coded = coded.drop("_coded", "_row")
     marked = coded.withColumn("_ids", F.concat(F.array(F.lit(BOS)), F.col("_ids"), F.array(F.lit(EOS))))
     if pad_to is None:
         longest = df.select(F.size(tokenize(F.col(text), pattern)).alias("n")).agg(F.max("n").alias("n"))

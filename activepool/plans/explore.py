@@ -27,14 +27,14 @@ from ..operators.acquisition import (
 from ..operators.prune import expected_pruned, prune, prune_threshold
 from ..operators.scores import (
     final_averages,
-    kth_best,
+    progress,
     resolve_size,
     scheduled_size,
     status_line,
-    stop_rule,
-    top_average,
+    stops,
     top_explored,
 )
+from ..session import scratch_scope
 from ..sources.files import write_final_scores
 from ..surrogates import Surrogate, training_rows
 from .objective import Objective
@@ -42,6 +42,7 @@ from .objective import Objective
 log = logging.getLogger(__name__)
 
 
+# The defaults below are those of the configurations that this loop reproduces.
 @dataclass
 class ExploreConfig:
     k: int | float = 0.0005
@@ -99,13 +100,28 @@ class Explorer:
         self.run_log: list[dict] = []
         self._fitted = False
         self._preds: DataFrame | None = None
+        self._preds_path: str | None = None
+        self.prior_paths: list[str] = []
 
     # --- tables ---------------------------------------------------------------------------------
 
     def scores(self) -> DataFrame:
-        """All scored rows of finished rounds (a half-written later round is not seen)."""
+        """All scored rows of finished rounds (a half-written later round is not seen).
+
+        Results loaded after the first round replace earlier ones of the same key.
+        """
         rows = self.spark.read.schema(self._score_schema()).parquet(f"{self.path}/scores")
-        return rows.filter(F.col("iter") < self.iter)
+        rows = rows.filter(F.col("iter") < self.iter)
+        if not self.prior_paths:
+            return rows
+        rows = rows.withColumn("_age", F.lit(0))
+        for age, path in enumerate(self.prior_paths, 1):
+            loaded = self.spark.read.schema(self._score_schema()).parquet(path)
+            rows = rows.unionByName(loaded.withColumn("_age", F.lit(age)))
+        # One struct holds the NULLs, too, which max_by over single columns would pass over.
+        kept = [c for c in rows.columns if c not in ("id", "_age")]
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*kept), "_age").alias("_last"))
+        return last.select("id", "_last.*")
 
     def _score_schema(self) -> str:
         id_type = dict(self.pool.dtypes)["id"]
@@ -115,24 +131,52 @@ class Explorer:
         """Writes one round; its row count and mean are observed during the write."""
         seen = Observation(f"round {iteration}")
         rows.select("id", "score", "utility", "is_prior").observe(
-            seen, F.count(F.lit(1)).alias("n"), F.avg("score").alias("batch_avg")
+            seen,
+            F.count(F.lit(1)).alias("n"),
+            F.count("score").alias("n_valid"),
+            F.avg("score").alias("batch_avg"),
         ).write.mode("overwrite").parquet(f"{self.path}/scores/iter={iteration}")
         return seen.get
 
     # --- rounds ---------------------------------------------------------------------------------
 
     def load_scores(self, prior: DataFrame) -> None:
-        """Warm start: earlier results replace the initial batch and are not charged."""
-        rows = prior.select(
+        """Earlier results as an upsert: a key counts once, with its largest loaded score.
+
+        Before the first round they replace the initial batch. Later they join the rounds that are
+        there, replacing scores of the same keys; nothing is rewound. Loaded rows are not charged.
+        """
+        rows = prior.groupBy("id").agg(F.max("score").alias("score")).select(
             "id",
             "score",
             F.lit(None).cast("double").alias("utility"),
             F.lit(True).alias("is_prior"),
         )
-        self.n_prior = self.n_scored = self._write_round(rows, 0)["n"]
-        self.iter = 1
+        if self.iter == 0:
+            self.n_prior = self.n_scored = self._write_round(rows, 0)["n"]
+            self.iter = 1
+            return
+        path = f"{self.path}/prior/part={len(self.prior_paths)}"
+        rows = rows.withColumn("iter", F.lit(self.iter - 1))
+        rows.write.mode("overwrite").parquet(path)
+        loaded = self.spark.read.schema(self._score_schema()).parquet(path)
+        # A key that a round paid for stays charged.
+        fresh = loaded.join(self.scores().select("id"), "id", "left_anti").count()
+        self.prior_paths.append(path)
+        self.n_prior += fresh
+        self.n_scored += fresh
 
     def explore_initial(self) -> float | None:
+        """Scores the initial batch; scratch tables of the round are dropped at its end."""
+        with scratch_scope(self.spark):
+            return self._initial()
+
+    def explore_batch(self) -> float | None:
+        """Fits, predicts and scores the next batch; scratch tables of the round are dropped at its end."""
+        with scratch_scope(self.spark):
+            return self._batch()
+
+    def _initial(self) -> float | None:
         if self.config.cluster:
             batch = initial_cluster_batch(self.pool.select("id", "cluster_id"), self.init_size, self.config.seed)
         else:
@@ -140,7 +184,7 @@ class Explorer:
         batch = batch.select("id", F.lit(None).cast("double").alias("utility"))
         return self._score_batch(batch, self.init_size, exhausted_below=1)
 
-    def explore_batch(self) -> float | None:
+    def _batch(self) -> float | None:
         if self.iter == 0:
             raise RuntimeError("score an initial batch first")
         if self.run_log and self.run_log[-1]["exhausted"]:
@@ -151,8 +195,7 @@ class Explorer:
         if self.config.prune:
             preds = self._prune(preds, scores)
         size = scheduled_size(self.batch_sizes, self.iter - 1)
-        best = kth_best(scores, self.k).first()["kth_best"]
-        best = float("-inf") if best is None else best
+        best = self._kth_best(scores)
         args = UtilityArgs(
             best=F.lit(best),
             threshold=self.config.threshold,
@@ -165,7 +208,14 @@ class Explorer:
                 self.pool.select("id", "cluster_id"), "id"
             )
             batch = acquire_cluster_batch(
-                rated, scores, size, self.iter - 1, self.config.temp_start, self.config.temp_end
+                rated,
+                scores,
+                size,
+                self.iter - 1,
+                self.config.temp_start,
+                self.config.temp_end,
+                epsilon=self.config.epsilon,
+                salt=args.salt,
             )
         else:
             batch = acquire_batch(
@@ -175,25 +225,48 @@ class Explorer:
                 self.config.metric,
                 args,
                 self.config.epsilon,
-                prefilter_from=self.config.prefilter_from,
+                prefilter_from=1 if self.n_scored >= self.config.prefilter_from > 0 else 0,
             )
         # Clustered quotas may fall below the batch on purpose, so only an empty batch ends the pool.
         floor = 1 if self.config.cluster else size
         return self._score_batch(batch.select("id", "utility"), size, exhausted_below=floor)
 
+    def _kth_best(self, scores: DataFrame) -> float:
+        """The k-th best score so far, as the last round left it unless results were loaded since."""
+        if self.run_log and self.run_log[-1]["n_acquired"] == self.n_scored and not self.prior_paths:
+            best = self.run_log[-1]["kth_best"]
+        else:
+            best = progress(scores, self.k).first()["kth_best"]
+        return float("-inf") if best is None else best
+
+    def _any_valid(self, rows: DataFrame) -> bool:
+        """Whether there is a row to fit on, from the run log where it says so."""
+        if self.run_log and not self.prior_paths:
+            seen = self.run_log if self.config.retrain else self.run_log[-1:]
+            if any(r["n_valid"] for r in seen):
+                return True
+            if not self.config.retrain:
+                return False
+        return not rows.isEmpty()
+
     def _predict(self, scores: DataFrame) -> DataFrame:
         """Fits on the new rows (or all), predicts the pool once, keeps the result as a table."""
         need_var = "vars" in metric_needs(self.config.metric) or self.config.prune
         # Results loaded at the start count as the last round of the first fit.
         rows = training_rows(self.pool, scores, self.config.retrain, self.iter - 1)
-        if rows.isEmpty():
+        if not self._any_valid(rows):
             if self._preds is None:
                 raise RuntimeError("no scored rows to fit a model on")
             return self._preds
-        self.model.fit(rows)
+        if self.model.online and not self.config.retrain:
+            # The new rows are added to what earlier rounds taught.
+            self.model.fit(rows, online=self._fitted)
+        else:
+            self.model.fit(rows)
+        self._fitted = True
         path = f"{self.path}/preds/iter={self.iter}"
         self.model.predict(self.pool, need_var).write.mode("overwrite").parquet(path)
-        self._preds = self.spark.read.parquet(path)
+        self._preds, self._preds_path = self.spark.read.parquet(path), path
         return self._preds
 
     def _prune(self, preds: DataFrame, scores: DataFrame) -> DataFrame:
@@ -207,7 +280,7 @@ class Explorer:
         kept = self.spark.read.parquet(path)
         self.pool = self.full_pool.join(kept.select("id"), "id", "left_semi")
         log.info("kept %d rows, expected hits pruned: %.2f", audit["n_kept"], audit["expected_hits_pruned"])
-        self._preds = kept
+        self._preds, self._preds_path = kept, path
         return kept
 
     def _score_batch(self, batch: DataFrame, size: int, exhausted_below: int) -> float | None:
@@ -225,12 +298,15 @@ class Explorer:
         rows = batch.join(scored, "id", "left").select(
             "id", "score", "utility", F.lit(False).alias("is_prior")
         )
-        average = self._write_round(rows, self.iter)["batch_avg"]
+        seen = self._write_round(rows, self.iter)
+        average = seen["batch_avg"]
+        if seen["n"] > seen["n_valid"]:
+            log.warning("%d of %d rows of round %d failed", seen["n"] - seen["n_valid"], seen["n"], self.iter)
         self.iter += 1
         # A batch holds unexplored rows only, so the rows add up.
         self.n_scored += n
-        enough = self.n_scored >= self.k
-        top = top_average(self.scores(), self.k).first()["top_avg"] if enough else None
+        reached = progress(self.scores(), self.k).first()
+        top = reached["top_avg"] if self.n_scored >= self.k else None
         self.run_log.append(
             {
                 "iter": self.iter,
@@ -240,6 +316,8 @@ class Explorer:
                 "exhausted": n < exhausted_below,
                 "batch_avg": average,
                 "top_avg": top,
+                "kth_best": reached["kth_best"],
+                "n_valid": seen["n_valid"],
             }
         )
         every = self.config.checkpoint_every
@@ -250,19 +328,8 @@ class Explorer:
     # --- control --------------------------------------------------------------------------------
 
     def completed(self) -> bool:
-        if not self.run_log:
-            return False
-        schema = (
-            "iter int, n_new bigint, n_acquired bigint, n_prior bigint, exhausted boolean, "
-            "batch_avg double, top_avg double"
-        )
-        rows = self.spark.createDataFrame(
-            [tuple(r[c] for c in ("iter", "n_new", "n_acquired", "n_prior", "exhausted", "batch_avg", "top_avg")) for r in self.run_log],
-            schema,
-        )
         cfg = self.config
-        checked = stop_rule(rows.coalesce(1), cfg.max_iters, self.budget, cfg.window, cfg.delta)
-        return checked.orderBy(F.col("iter").desc()).first()["stop"]
+        return stops(self.run_log, cfg.max_iters, self.budget, cfg.window, cfg.delta)
 
     def status(self) -> str:
         if not self.run_log:
@@ -287,7 +354,10 @@ class Explorer:
                     log.info("%s | retrieval %s", self.status(), self.retrieval())
                 self.explore_batch()
         except Exception:
-            self.checkpoint()
+            try:
+                self.checkpoint()
+            except Exception:  # the first error is the one to see
+                log.exception("no checkpoint could be written after the failure")
             raise
         log.info("finished: %s", self.status())
         write_final_scores(self.scores(), self.path)
@@ -299,14 +369,15 @@ class Explorer:
         """Writes the model and, last, the state; the tables of the rounds are already there."""
         base = f"{self.path}/chkpts/iter_{self.iter}"
         model_path = None
-        if self.iter > 1 and self._preds is not None:
+        if self._fitted:
             model_path = self.model.save(f"{base}/model")
         state = {
             "iter": self.iter,
             "n_prior": self.n_prior,
             "run_log": self.run_log,
             "model": model_path,
-            "preds": f"{self.path}/preds" if self._preds is not None else None,
+            "preds": self._preds_path,
+            "priors": self.prior_paths,
             "pruned": self.config.prune and self._preds is not None,
             "config": asdict(self.config),
         }
@@ -319,12 +390,13 @@ class Explorer:
         state = json.loads(self.spark.read.text(state_path).first()["value"])
         self.iter, self.n_prior, self.run_log = state["iter"], state["n_prior"], state["run_log"]
         self.n_scored = self.run_log[-1]["n_acquired"] if self.run_log else self.n_prior
-        last = self.iter - 1
+        self.prior_paths = list(state["priors"])
         if state["model"]:
             self.model.load(self.spark, state["model"])
+            self._fitted = True
         if state["preds"]:
-            kind = "retained" if state["pruned"] else "preds"
-            self._preds = self.spark.read.parquet(f"{self.path}/{kind}/iter={last}")
+            self._preds_path = state["preds"]
+            self._preds = self.spark.read.parquet(self._preds_path)
             if state["pruned"]:
                 self.pool = self.full_pool.join(self._preds.select("id"), "id", "left_semi")
         return self

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import nan_to_null, signed
 from ..operators.rows import lookup_scores
+from ..session import pinned
+
+log = logging.getLogger(__name__)
 
 OBJECTIVES: dict[str, Callable[..., "Objective"]] = {}
 
@@ -42,13 +46,31 @@ class LookupObjective(Objective):
 class FunctionObjective(Objective):
     """Runs a user's function row by row inside the tasks; an error or NaN is a failed row.
 
-    ``fn(payload) -> float``; the batch is spread over ``partitions`` tasks, since one score may
-    take minutes.
+    ``fn(payload) -> float``; one score may take minutes, so the batch is spread over ``partitions``
+    tasks (by default one row a task, up to four tasks a core) and the scores are written before they
+    are used. Failures are counted and logged with an example; when every row of a batch fails with
+    an error, the example is raised, since that is more often a broken function than a bad batch
+    (``raise_if_all_fail=False`` takes it as a batch of failed rows).
     """
 
-    def __init__(self, fn, payload: str = "id", maximize: bool = True, partitions: int | None = None, **_):
+    def __init__(
+        self,
+        fn,
+        payload: str = "id",
+        maximize: bool = True,
+        partitions: int | None = None,
+        raise_if_all_fail: bool = True,
+        **_,
+    ):
         super().__init__(maximize)
         self.fn, self.payload, self.partitions = fn, payload, partitions
+        self.raise_if_all_fail = raise_if_all_fail
+
+    def _spread(self, rows: DataFrame, batch_rows: int | None) -> DataFrame:
+        cores = 4 * rows.sparkSession.sparkContext.defaultParallelism
+        n = self.partitions or (min(batch_rows, cores) if batch_rows else cores)
+        # Keys are dealt by their rank in the batch, not by a hash that may leave tasks empty.
+        return rows.repartition(max(n, 1))
 
     def score(self, batch: DataFrame, batch_rows: int | None = None) -> DataFrame:
         fn = self.fn
@@ -57,19 +79,33 @@ class FunctionObjective(Objective):
             import pandas as pd
 
             for frame in frames:
-                out = []
+                out, errors = [], []
                 for value in frame["payload"]:
                     try:
                         out.append(float(fn(value)))
-                    except Exception:
+                        errors.append(None)
+                    except Exception as e:
                         out.append(None)
-                yield pd.DataFrame({"id": frame["id"], "score": pd.Series(out, dtype="float64")})
+                        errors.append(f"{type(e).__name__}: {e}")
+                yield pd.DataFrame(
+                    {"id": frame["id"], "score": pd.Series(out, dtype="float64"), "error": pd.Series(errors, dtype=object)}
+                )
 
-        rows = batch.select("id", F.col(self.payload).alias("payload"))
-        if self.partitions:
-            rows = rows.repartition(self.partitions, "id")
+        rows = self._spread(batch.select("id", F.col(self.payload).alias("payload")), batch_rows)
         id_type = dict(rows.dtypes)["id"]
-        scored = rows.mapInPandas(run, f"id {id_type}, score double")
+        seen = Observation("scored")
+        scored = rows.mapInPandas(run, f"id {id_type}, score double, error string").observe(
+            seen,
+            F.count(F.lit(1)).alias("n"),
+            F.count("error").alias("failed"),
+            F.max("error").alias("example"),
+        )
+        scored = pinned(scored, "scored")
+        told = seen.get
+        if told["failed"]:
+            log.warning("%d of %d rows failed, one with %s", told["failed"], told["n"], told["example"])
+            if told["failed"] == told["n"] and self.raise_if_all_fail:
+                raise RuntimeError(f"all {told['n']} rows failed, one with {told['example']}")
         return scored.select("id", signed(nan_to_null(F.col("score")), self.maximize).alias("score"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +28,47 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return session
 
 
+_local_roots: dict[str, str] = {}
+_scope: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder of its own.
+    Only a session whose executors are threads of the driver gets a temporary folder of its own
+    without that setting; no session setting is changed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="activepool-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="activepool-")
+    return _local_roots[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; never reused."""
-    return f"{scratch_root(spark)}/activepool/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder (below the open scope, if there is one); never reused."""
+    base = _scope.get() or f"{scratch_root(spark)}/activepool"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables made inside are deleted at the end; what is to stay is written elsewhere before.
+
+    Scopes nest; an inner scope's tables go first.
+    """
+    base = scratch_path(spark, "scope")
+    token = _scope.set(base)
+    try:
+        yield base
+    finally:
+        _scope.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame, name: str = "table") -> DataFrame:

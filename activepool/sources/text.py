@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import parse_float, signed
-from ..operators.ordering import SMALL_N, number_rows
+from ..operators.ordering import number_rows
 from ..operators.scores import first_per_key, last_per_key
 
 CXSMILES_SUFFIX = r"\s\|.*\|"
@@ -19,7 +19,10 @@ def _string_schema(width: int) -> T.StructType:
 
 
 def line_key() -> Column:
-    """Orders rows as they stand in the files: file name, split start, row within the split."""
+    """Orders rows as they stand in the files: file name, split start, row within the split.
+
+    Over several paths the file names decide, not the order in which the paths are given.
+    """
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -117,11 +120,13 @@ def read_training(
     skip_none_targets: bool = False,
     max_data_size: int | None = None,
     n_keys: int = 1,
+    with_row: bool = False,
 ) -> DataFrame:
     """``(inputs ARRAY<STRING>, targets ARRAY<DOUBLE>)`` by column name.
 
     Keys default to the first column(s), targets to all columns that are neither key nor ignored.
-    An empty cell is a missing target.
+    An empty cell is a missing target. ``with_row`` adds ``row``, the row's place in the file from 0
+    (skipped rows counted), by which extra features are attached.
     """
     columns = read_header(spark, path)
     keys = list(key_columns) if key_columns else columns[:n_keys]
@@ -135,24 +140,38 @@ def read_training(
     df = raw.select(
         F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in keys]).alias("inputs"),
         F.array(*[parse_float(F.col(f"`{c}`")) for c in targets]).alias("targets"),
-        *([line_key().alias(LINE)] if max_data_size else []),
+        *([line_key().alias(LINE)] if max_data_size or with_row else []),
     )
+    if with_row:
+        df = number_rows(df, [F.col(LINE).asc()], name="row").withColumn("row", F.col("row") - 1)
     if skip_none_targets:
         df = df.filter(F.exists("targets", lambda t: t.isNotNull()))
     if max_data_size:
-        first = [F.col(LINE).asc()]
-        if max_data_size <= SMALL_N:
-            df = df.orderBy(*first).limit(max_data_size)
-        else:
-            df = number_rows(df, first, name="_pos").filter(F.col("_pos") <= max_data_size).drop("_pos")
-        df = df.drop(LINE)
-    return df
-
-
-def read_keys(spark: SparkSession, path: str, key_columns=None, flatten: bool = False) -> DataFrame:
-    """Key columns of a CSV with a title line, one array per row or one row per key."""
-    columns = list(key_columns) if key_columns else read_header(spark, path)[:1]
-    df = read_training(spark, path, columns, target_columns=columns).select("inputs")
+        df = number_rows(df, [F.col(LINE).asc()], name="_pos").filter(F.col("_pos") <= max_data_size).drop("_pos")
+    return df.drop(LINE)
+
+
+def attach_features(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """Training rows read ``with_row`` joined to extra features ``(row, ...)`` of the same file order."""
+    return rows.join(features, "row", "left")
+
+
+def read_keys(
+    spark: SparkSession, path: str, key_columns=None, flatten: bool = False, header: bool = True, n_keys: int = 1
+) -> DataFrame:
+    """Key columns of a CSV, one array per row or one row per key.
+
+    Keys are the named columns, or the first ``n_keys``; a file without a title line (``header=False``)
+    has keys by position only.
+    """
+    if header:
+        columns = list(key_columns) if key_columns else read_header(spark, path)[:n_keys]
+        df = read_training(spark, path, columns, target_columns=columns).select("inputs")
+    else:
+        if key_columns:
+            raise ValueError("a file without a title line has no named columns")
+        cells = [F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(n_keys)]
+        df = read_columns(spark, path, list(range(n_keys)), title_line=False).select(F.array(*cells).alias("inputs"))
     return df.select(F.explode("inputs").alias("key")) if flatten else df
 
 
@@ -205,40 +224,47 @@ def read_pose_index(spark: SparkSession, paths, top_keys: DataFrame) -> DataFram
     return index.join(top_keys.select("id"), "id", "left_semi").select("node_id", "name")
 
 
-def validate_training(spark: SparkSession, path: str, is_key=None) -> DataFrame:
-    """Error texts of a training CSV, as rows; empty when the file is sound.
+def audit_training(spark: SparkSession, path: str, is_key=None) -> DataFrame:
+    """``(code, n)``: what is wrong with a training CSV, with the number of rows hit; no row, no fault.
 
-    One pass of counts over the text lines; ``is_key`` is the validity predicate for keys. Cells
-    must not hold the delimiter.
+    Codes: ``no_header``, ``no_targets_in_header``, ``header_is_key`` (each once), ``no_rows``,
+    ``bad_key``, ``row_width`` (more or fewer cells than the header), ``target_not_number``,
+    ``no_target`` (counted when no row has any target). The CSV reader splits the cells, so quoted
+    delimiters belong to their cell, and the title is skipped by its position: a data row that repeats
+    it is a row like others. ``is_key`` is the validity predicate for keys. One pass over the file.
     """
     is_key = is_key or (lambda c: F.length(F.trim(c)) > 0)
-    lines = spark.read.text(path).select("value")
-    header = (spark.read.text(path).limit(1).first() or [""])[0]
-    names = header.split(",") if header else []
-    cells = F.split(F.col("value"), ",", -1)
-    targets = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
-    body = lines.filter(F.col("value") != F.lit(header))
-    audit = body.agg(
+    names = read_header(spark, path)
+    if not names:
+        return spark.createDataFrame([("no_header", 1)], "code string, n bigint")
+    cells = [f"c{i}" for i in range(len(names))]
+    fields = [T.StructField(c, T.StringType()) for c in [*cells, "_broken"]]
+    rows = spark.read.csv(
+        path, schema=T.StructType(fields), header=True, quote='"', escape='"', columnNameOfCorruptRecord="_broken",
+        enforceSchema=True,
+    )
+    targets = F.array(*[F.col(c) for c in cells[1:]]) if len(cells) > 1 else F.array().cast("array<string>")
+    some = F.exists(targets, lambda t: t.isNotNull() & (t != ""))
+    no_number = F.exists(targets, lambda t: t.isNotNull() & (t != "") & parse_float(t).isNull())
+    rows = rows.select(
+        (~F.coalesce(is_key(F.col("c0")), F.lit(False))).alias("bad_key"),
+        F.col("_broken").isNotNull().alias("row_width"),
+        no_number.alias("target_not_number"),
+        some.alias("some"),
+    )
+    counted = rows.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(~F.coalesce(is_key(cells[0]), F.lit(False))).alias("bad_keys"),
-        F.min(F.size(cells)).alias("narrow"),
-        F.max(F.size(cells)).alias("wide"),
-        F.count_if(F.exists(targets, lambda t: t != "")).alias("with_target"),
-        F.count_if(F.exists(targets, lambda t: (t != "") & parse_float(t).isNull())).alias("bad_targets"),
+        *[F.count_if(c).alias(c) for c in ("bad_key", "row_width", "target_not_number", "some")],
     )
-    first = F.lit(names[0] if names else "")
-    checks = [
-        (F.lit(len(names) == 0), "Empty header"),
-        (F.lit(len(names) == 1), "Header must include task names."),
-        (F.lit(bool(names)) & F.coalesce(is_key(first), F.lit(False)), "First row is a key instead of a header."),
-        (F.col("bad_keys") > 0, "Data includes an invalid key."),
-        ((F.col("narrow") != F.col("wide")) | (F.col("n") == 0), "Inconsistent number of tasks for each row."),
-        (
-            (F.col("narrow") == F.col("wide")) & (F.col("wide") != len(names)),
-            "Number of tasks for each row doesn't match number of tasks in header.",
-        ),
-        (F.col("with_target") == 0, "All targets are missing."),
-        (F.col("bad_targets") > 0, "Found a target which is not a number."),
-    ]
-    errors = F.array(*[F.when(bad, F.lit(text)) for bad, text in checks])
-    return audit.select(F.explode(F.filter(errors, lambda e: e.isNotNull())).alias("error"))
+    first = F.lit(names[0])
+    found = {
+        "no_targets_in_header": F.lit(int(len(names) == 1)),
+        "header_is_key": F.coalesce(is_key(first), F.lit(False)).cast("int"),
+        "no_rows": (F.col("n") == 0).cast("int"),
+        "bad_key": F.col("bad_key"),
+        "row_width": F.col("row_width"),
+        "target_not_number": F.col("target_not_number"),
+        "no_target": F.when(F.col("some") == 0, F.col("n")).otherwise(F.lit(0)),
+    }
+    table = F.array(*[F.struct(F.lit(c).alias("code"), n.cast("bigint").alias("n")) for c, n in found.items()])
+    return counted.select(F.inline(F.filter(table, lambda r: r["n"] > 0)))

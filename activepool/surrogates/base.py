@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import hash_uniform, let
 
@@ -35,6 +36,8 @@ class Surrogate:
 
     name = "base"
     provides: frozenset = frozenset({"means", "vars"})
+    #: Whether ``fit(rows, online=True)`` adds rows to an earlier fit.
+    online = False
 
     def fit(self, rows: DataFrame) -> "Surrogate":
         raise NotImplementedError
@@ -77,10 +80,17 @@ class BatchFunctionSurrogate(Surrogate):
     """A user's model (a network, say): ``fit_fn(rows DataFrame)`` then batched prediction.
 
     ``make_predict()`` runs once per Python worker and returns ``f(matrix) -> (n, 2)`` array of
-    mean and variance.
+    mean and variance. A checkpoint keeps ``make_predict`` as a serialised function in a one-row
+    table; a model with files of its own gives ``save_fn(path)`` and ``load_fn(spark, path) ->
+    make_predict`` instead. Only load checkpoints that you wrote.
     """
 
-    def __init__(self, make_predict, width: int, fit_fn=None, batch_size: int = 4096, **_):
+    def __init__(
+        self, make_predict, width: int, fit_fn=None, batch_size: int = 4096, save_fn=None, load_fn=None, **_
+    ):
+        if (save_fn is None) != (load_fn is None):
+            raise ValueError("give both save_fn and load_fn, or none")
+        self.save_fn, self.load_fn = save_fn, load_fn
         self.make_predict = make_predict
         self.width = width
         self.fit_fn = fit_fn
@@ -106,6 +116,22 @@ class BatchFunctionSurrogate(Surrogate):
             columns.append(F.col("_p")[1].alias("var"))
         return out.select(*columns)
 
+    def save(self, path: str) -> str:
+        if self.save_fn is not None:
+            self.save_fn(path)
+            return path
+        spark = SparkSession.getActiveSession()
+        row = (bytearray(cloudpickle.dumps(self.make_predict)),)
+        spark.createDataFrame([row], "make_predict binary").coalesce(1).write.mode("overwrite").parquet(path)
+        return path
+
+    def load(self, spark, path: str) -> "BatchFunctionSurrogate":
+        if self.load_fn is not None:
+            self.make_predict = self.load_fn(spark, path)
+        else:
+            self.make_predict = cloudpickle.loads(bytes(spark.read.parquet(path).first()["make_predict"]))
+        return self
+
 
 def training_rows(
     pool: DataFrame, scores: DataFrame, retrain: bool, last_iter: int | None = None

@@ -7,8 +7,6 @@ the feature width on the driver, and a per-row prediction.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -51,6 +49,8 @@ def gram_rows(rows: DataFrame, sigma0: float) -> DataFrame:
 class LinearGaussianSurrogate(Surrogate):
     """``alpha`` is the noise variance in units of normalised targets, ``sigma0`` the bias scale."""
 
+    online = True
+
     def __init__(self, alpha: float = 1e-2, sigma0: float = 1.0, **_):
         if alpha <= 0 or sigma0 <= 0:
             raise ValueError("alpha and sigma0 must be greater than 0")
@@ -60,7 +60,7 @@ class LinearGaussianSurrogate(Surrogate):
 
     def fit(self, rows: DataFrame, online: bool = False) -> "LinearGaussianSurrogate":
         """With ``online`` the new rows' Gram matrix is added to the earlier ones (exact)."""
-        parts = gram_rows(rows, self.sigma0).orderBy("i").toPandas()
+        parts = gram_rows(rows, self.sigma0).toPandas().sort_values("i")
         if len(parts) == 0:
             raise ValueError("no rows to fit on")
         gram = np.stack(parts["row"].to_numpy())
@@ -107,14 +107,14 @@ class LinearGaussianSurrogate(Surrogate):
     def save(self, path: str) -> str:
         from pyspark.sql import SparkSession
 
-        state = {"gram": self.gram.tolist(), "n": self.n, "alpha": self.alpha, "sigma0": self.sigma0}
-        spark = SparkSession.getActiveSession()
-        rows = spark.createDataFrame([(json.dumps(state),)], "value string")
-        rows.coalesce(1).write.mode("overwrite").text(path)
+        # One row of the matrix a table row; every row repeats the few settings.
+        rows = [(i, [float(v) for v in row], int(self.n), self.alpha, self.sigma0) for i, row in enumerate(self.gram)]
+        schema = "i int, row array<double>, n bigint, alpha double, sigma0 double"
+        SparkSession.getActiveSession().createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
         return path
 
     def load(self, spark, path: str) -> "LinearGaussianSurrogate":
-        state = json.loads(spark.read.text(path).first()["value"])
-        self.gram, self.n = np.array(state["gram"]), state["n"]
-        self.alpha, self.sigma0 = state["alpha"], state["sigma0"]
+        rows = spark.read.parquet(path).orderBy("i").collect()  # as wide as the features
+        self.gram, self.n = np.array([r["row"] for r in rows]), rows[0]["n"]
+        self.alpha, self.sigma0 = rows[0]["alpha"], rows[0]["sigma0"]
         return self._solve()

@@ -6,12 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from activepool.functions import boltzmann_decay, temperature
+from activepool.functions import boltzmann_decay, hash_uniform, temperature
 from activepool.operators import acquisition as acq
-from activepool.operators.ordering import number_rows, top_n
+from activepool.operators.ordering import number_rows, top_n, top_quota
 from activepool.operators.rows import lookup_scores
 from activepool.operators.scores import kth_best, top_explored
-from activepool.session import one_row
+from activepool.session import one_row, pinned
 
 from .registry import (
     BASE,
@@ -195,6 +195,57 @@ def acq12(t):
     return picked.select("id", "cluster_id", "utility")
 
 
+def _cluster_rated(t: Tables):
+    rated = acq.with_utility(predictions(t), "ucb", acq.UtilityArgs())
+    return rated.withColumn("utility", F.round("utility", 6)).join(pool(t).select("id", "cluster_id"), "id")
+
+
+CLUSTER_PICKS = f"""{BASE}, joined AS (
+      SELECT r.id, r.mu, p.cluster_id, round(r.mu + 2.0 * sqrt(r.var), 6) AS utility
+      FROM preds r JOIN pool p ON p.id = r.id),
+    sizes AS (SELECT cluster_id, count(*) AS n FROM joined GROUP BY 1),
+    free AS (SELECT * FROM joined WHERE id NOT IN (SELECT id FROM explored)),
+    local AS (SELECT cluster_id, max(utility) AS top FROM free GROUP BY 1),
+    quotas AS (
+      SELECT l.cluster_id,
+             ceil(least(1.0, exp(-((SELECT max(mu) FROM joined) - l.top) / ((2.0 - 0.5) * exp(-1.0::double) + 0.5)))
+                  * ceil({CLUSTER_BATCH} * s.n / (SELECT count(*)::double FROM joined))) AS quota
+      FROM local l JOIN sizes s ON s.cluster_id = l.cluster_id)"""
+
+
+@query(
+    "acq12_cluster_quota_with_epsilon",
+    f"""{CLUSTER_PICKS}, forced AS (
+      SELECT id FROM free ORDER BY {u_sql('id', 'epsilon/4')} DESC, id DESC LIMIT ceil({CLUSTER_BATCH} * 0.2)::int),
+    ranked AS (
+      SELECT *, id IN (SELECT id FROM forced) AS forced, row_number() OVER (
+        PARTITION BY cluster_id ORDER BY id IN (SELECT id FROM forced) DESC, utility DESC, id DESC) AS r FROM free)
+    SELECT ranked.id, ranked.cluster_id, forced FROM ranked
+    JOIN quotas ON quotas.cluster_id = ranked.cluster_id WHERE r <= quota""",
+)
+def acq12_epsilon(t):
+    """A fifth of the batch is drawn from all open rows and comes first in its clusters' quotas."""
+    picked = acq.acquire_cluster_batch(
+        _cluster_rated(t), explored(t), CLUSTER_BATCH, 1, 2.0, 0.5, epsilon=0.2, salt="4"
+    )
+    return picked.select("id", "cluster_id", (F.col("utility") == float("inf")).alias("forced"))
+
+
+@query(
+    "acq12_cluster_quota_prefiltered",
+    f"""{CLUSTER_PICKS}, ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY utility DESC, id DESC) AS r FROM free)
+    SELECT ranked.id, ranked.cluster_id, utility FROM ranked
+    JOIN quotas ON quotas.cluster_id = ranked.cluster_id WHERE r <= quota""",
+)
+def acq12_prefiltered(t):
+    """The same batch with each cluster cut at a proven utility first."""
+    picked = acq.acquire_cluster_batch(
+        _cluster_rated(t), explored(t), CLUSTER_BATCH, 1, 2.0, 0.5, prefilter=True
+    )
+    return picked.select("id", "cluster_id", "utility")
+
+
 @query(
     "prj21_temperature_and_decay",
     f"""WITH {TRUTH}, {POOL}, rounds AS (
@@ -278,6 +329,48 @@ def top3_large(t):
     return acq.initial_batch(t.orders.select(F.col("o_orderkey").alias("id")), 12_000, 5)
 
 
+REPEATED = """WITH r AS (
+  SELECT l_quantity AS v, l_linenumber AS k, row_number() OVER (ORDER BY l_quantity DESC, l_linenumber DESC) AS rank FROM lineitem)
+  SELECT v, k, rank FROM r WHERE rank <= {n}"""
+
+
+def _ranked_top(t, n, **options):
+    """350 pairs of (quantity, line number) over all line items: every pair repeats many times."""
+    rows = t.lineitem.select(F.col("l_quantity").alias("v"), F.col("l_linenumber").alias("k"))
+    top = top_n(rows, n, "v", "k", **options)
+    return number_rows(top, [F.col("v").desc(), F.col("k").desc()], name="rank")
+
+
+@query("top2_repeated_pairs_small", REPEATED.format(n=900))
+def top2_repeated_small(t):
+    return _ranked_top(t, 900)
+
+
+@query("top2_repeated_pairs_large", REPEATED.format(n=5000))
+def top2_repeated_large(t):
+    """Beyond Spark's own top-k: exactly n rows of repeated pairs, the bracket's rows in one task."""
+    return _ranked_top(t, 5000)
+
+
+@query("top2_repeated_pairs_ranged", REPEATED.format(n=5000))
+def top2_repeated_ranged(t):
+    """The same with the bracket's rows in range partitions, as when they are many."""
+    return _ranked_top(t, 5000, gather=0)
+
+
+@query(
+    "top2_stated_order_large",
+    """SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS pos
+       FROM orders QUALIFY pos <= 3000""",
+)
+def top2_order(t):
+    """A large cut comes best first: the position as it stands in the result."""
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
+    top = top_n(rows, 3000, "v", "id").withColumn("_at", F.monotonically_increasing_id())
+    # Partitions of a sorted result follow each other, so ids that rise with them keep its order.
+    return number_rows(top, [F.col("_at").asc()], name="pos").select("id", "pos")
+
+
 RATED = f"""{BASE}, {BEST}, {Z_ROWS}, scored AS (SELECT id, round({EI}, 6) AS utility FROM rated),
   free AS (SELECT * FROM scored WHERE id NOT IN (SELECT id FROM explored))"""
 
@@ -350,6 +443,40 @@ def win8(t):
     return acq.initial_cluster_batch(pool(t).select("id", "cluster_id"), 100, 3)
 
 
+@query(
+    "win8_cluster_quota_prefiltered",
+    f"""WITH {POOL}, sizes AS (SELECT cluster_id, count(*) AS n FROM pool GROUP BY 1),
+    drawn AS (
+      SELECT id, cluster_id,
+             row_number() OVER (PARTITION BY cluster_id ORDER BY {u_sql('id', 'init/3')} DESC, id DESC) AS r
+      FROM pool)
+    SELECT d.id, d.cluster_id FROM drawn d JOIN sizes s ON s.cluster_id = d.cluster_id
+    WHERE r <= ceil(100 * s.n / (SELECT count(*)::double FROM pool))""",
+)
+def win8_prefiltered(t):
+    """The same sample with each cluster cut at a proven quantile before rows are put in order."""
+    rows = pool(t).select("id", "cluster_id").withColumn("_u", hash_uniform(F.col("id"), "init/3"))
+    quotas = acq.cluster_quotas(rows, 100)
+    return top_quota(rows, quotas, "cluster_id", "_u", "id", prefilter=True).select("id", "cluster_id")
+
+
+@query(
+    "top5_random_share_prefiltered",
+    f"""{RATED}, forced AS (
+      SELECT id FROM free ORDER BY {u_sql('id', 'epsilon/9')} DESC, id DESC LIMIT 5),
+    lifted AS (SELECT id, id IN (SELECT id FROM forced) AS forced, utility FROM free)
+    SELECT id, forced, CASE WHEN forced THEN NULL ELSE utility END AS utility
+    FROM lifted ORDER BY forced DESC, lifted.utility DESC, id DESC LIMIT 20""",
+)
+def top5_prefiltered(t):
+    """A drawn share with the cuts of utility and draw before the anti join."""
+    picked = acq.acquire_batch(
+        _rated(t), explored(t), 20, args=acq.UtilityArgs(salt="9"), epsilon=0.25, prefilter_from=1
+    )
+    forced = F.col("utility") == float("inf")
+    return picked.select("id", forced.alias("forced"), F.when(~forced, F.col("utility")).alias("utility"))
+
+
 @query("agg6_cluster_sizes", f"WITH {POOL} SELECT cluster_id, count(*) AS cluster_size FROM pool GROUP BY 1")
 def agg6(t):
     return acq.cluster_sizes(pool(t))
@@ -387,12 +514,29 @@ FLAGSHIP = f"""{RATED}, {TRUE_K}, batch AS (
 
 @query("flagship_one_round", FLAGSHIP)
 def flagship(t):
-    """One whole round: predictions, best so far, utility, batch, its scores, retrieval rate."""
-    scored, truth = explored(t), oracle(t)
-    batch = acq.acquire_batch(_rated(t), scored, 20)
+    """One whole round: predictions, best so far, utility, batch, its scores, retrieval rate.
+
+    The line items are read once: predictions and true scores are one aggregate, written narrow, and so
+    are the explored rows.
+    """
+    price = F.log("l_extendedprice")
+    per_part = t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(
+        F.round(F.avg(price), 6).alias("mu"),
+        F.round(F.var_pop(price), 6).alias("var"),
+        F.round(F.log(F.max("l_extendedprice")), 6).alias("y"),
+    )
+    per_part = pinned(per_part, "per-part")
+    truth = per_part.select("id", "y")
+    ids = pinned(t.part.select(F.col("p_partkey").alias("id")), "pool")
+    n = math.ceil(ids.count() * 0.01)
+    scored = pinned(lookup_scores(acq.initial_batch(ids, n, "s"), truth, True, n), "explored")
+    best = one_row(kth_best(scored, K))["kth_best"]
+    rated = acq.with_utility(per_part.select("id", "mu", "var"), "ei", acq.UtilityArgs(salt="7", best=best))
+    rated = rated.select("id", F.round("utility", 6).alias("mu"))
+    batch = pinned(acq.acquire_batch(rated, scored, 20), "batch")
     result = batch.join(lookup_scores(batch.select("id"), truth, True, 20), "id", "left")
-    best = top_explored(scored.unionByName(result.select("id", "score")), 100)
-    rate = one_row(acq.retrieval_rate(best, top_n(truth, 100, "y", "id"), 100))["rate"]
+    top = top_explored(scored.unionByName(result.select("id", "score")), 100)
+    rate = one_row(acq.retrieval_rate(top, top_n(truth, 100, "y", "id"), 100))["rate"]
     return result.withColumn("rate", F.round(rate, 6))
 
 

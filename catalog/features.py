@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from activepool.functions import hash_uniform
 from activepool.functions.tokens import WORDS
 from activepool.operators import acquisition as acq
-from activepool.operators.features import cluster_rows, hashed_vectors, project
+from activepool.operators.features import as_vector, cluster_centres, components, hashed_vectors, project
 from activepool.operators.pool import make_pool
 from activepool.plans.objective import FunctionObjective, LookupObjective, build_objective
+from activepool.session import one_row
 from activepool.surrogates import (
     BatchFunctionSurrogate,
     LinearGaussianSurrogate,
@@ -50,25 +51,111 @@ def _rounded(df):
     return df.select("id", *[F.round(c, 6).alias(c) for c in df.columns if c != "id"])
 
 
-@query("mlp5_cluster_assignment")
+@query("mlp5_cluster_assignment", "SELECT vec_id AS id, true AS nearest FROM embeddings")
 def mlp5(t):
-    """k-means centres from a bounded sample, every row assigned."""
-    return cluster_rows(vectors(t), k=10, seed=1)
+    """100 k-means centres of all rows; each row's assigned centre is the nearest of them."""
+    rows = vectors(t)
+    model = cluster_centres(rows, k=100, seed=1)
+    assigned = model.transform(as_vector(rows)).select("id", "features", "cluster_id")
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+
+    def distance(c):
+        gap = F.zip_with(F.col("features").cast("array<double>"), c, lambda a, b: (a - b) * (a - b))
+        return F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)
+
+    far = assigned.withColumn("_d", F.transform(centres, distance))
+    own = F.get("_d", F.col("cluster_id"))
+    return far.select("id", (own <= F.array_min("_d") * (1 + 1e-9) + 1e-9).alias("nearest"))
+
+
+def _tree_facts(t, name, **options):
+    """Mean of the model, mean over its trees walked one by one, variance over them."""
+    model = _fitted(t, name, **options)
+    both = model.predict(vectors(t)).join(
+        model.predict(vectors(t), need_var=False).withColumnRenamed("mu", "mean"), "id"
+    )
+    return both, model
 
 
-@query("mlp6_random_forest")
+@query(
+    "mlp6_random_forest",
+    "SELECT vec_id AS id, true AS mean_of_trees, true AS sound, true AS in_range FROM embeddings",
+)
 def mlp6(t):
-    return _rounded(_fitted(t, "rf", n_estimators=100, max_depth=8, seed=1).predict(vectors(t)))
+    """A forest of 100 trees: its mean is that of its trees and stays within the scores it saw."""
+    both, _ = _tree_facts(t, "rf", n_estimators=100, max_depth=8, seed=1)
+    seen = one_row(scored_vectors(t).agg(F.min("score").alias("lo"), F.max("score").alias("hi")))
+    return both.select(
+        "id",
+        (F.abs(F.col("mu") - F.col("mean")) < 1e-6).alias("mean_of_trees"),
+        (F.col("var") >= 0).alias("sound"),
+        F.col("mu").between(seen["lo"] - 1e-6, seen["hi"] + 1e-6).alias("in_range"),
+    )
 
 
-@query("mlp7_boosted_trees")
+@query(
+    "mlp7_boosted_trees",
+    "SELECT vec_id AS id, true AS sum_of_trees, true AS sound FROM embeddings",
+)
 def mlp7(t):
-    return _rounded(_fitted(t, "gbt", n_estimators=20, max_depth=4, seed=1).predict(vectors(t)))
+    """100 boosted trees: the walk over the trees gives the model's own prediction."""
+    both, _ = _tree_facts(t, "gbt", n_estimators=100, max_depth=4, seed=1)
+    return both.select(
+        "id", (F.abs(F.col("mu") - F.col("mean")) < 1e-6).alias("sum_of_trees"), (F.col("var") >= 0).alias("sound")
+    )
 
 
-@query("mlp8_linear_gaussian_process")
+def _two(t):
+    """The first two coordinates: few enough features for the normal equations to be written out."""
+    e = F.col("embedding")
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.array(e[0], e[1]).alias("features"))
+
+
+ALPHA = 0.01
+# Normal equations of the weight-space process on (1, a, b): P = Z'Z / alpha + I, w = P^-1 Z'(y - mean) / (std alpha).
+NORMAL = f"""WITH x AS (
+    SELECT vec_id AS id, embedding[1]::double AS a, embedding[2]::double AS b,
+      round((embedding[1] * 3 - embedding[2] * 2 + embedding[3] * embedding[4] + label / 10.0::double)::double, 6) AS y FROM embeddings),
+  chosen AS (
+    SELECT * FROM x QUALIFY row_number() OVER (ORDER BY {u_sql('id', 'init/fit')} DESC, id DESC)
+      <= (SELECT ceil(count(*) * 0.2) FROM embeddings)),
+  m AS (SELECT count(*)::double AS n, avg(y) AS mean, stddev_pop(y) AS std FROM chosen),
+  g AS (
+    SELECT max(n) / {ALPHA}::double + 1 AS p11, sum(a) / {ALPHA}::double AS p12, sum(b) / {ALPHA}::double AS p13,
+      sum(a * a) / {ALPHA}::double + 1 AS p22, sum(a * b) / {ALPHA}::double AS p23, sum(b * b) / {ALPHA}::double + 1 AS p33,
+      sum(y - mean) / max(std) / {ALPHA}::double AS q1, sum(a * (y - mean)) / max(std) / {ALPHA}::double AS q2,
+      sum(b * (y - mean)) / max(std) / {ALPHA}::double AS q3 FROM chosen, m),
+  adj AS (
+    SELECT *, p22 * p33 - p23 * p23 AS c11, p13 * p23 - p12 * p33 AS c12, p12 * p23 - p13 * p22 AS c13,
+      p11 * p33 - p13 * p13 AS c22, p12 * p13 - p11 * p23 AS c23, p11 * p22 - p12 * p12 AS c33 FROM g),
+  inv AS (SELECT *, p11 * c11 + p12 * c12 + p13 * c13 AS det FROM adj),
+  pred AS (
+    SELECT x.id,
+      ((c11 * q1 + c12 * q2 + c13 * q3) + a * (c12 * q1 + c22 * q2 + c23 * q3) + b * (c13 * q1 + c23 * q2 + c33 * q3)) / det * std + mean AS mu,
+      (c11 + a * a * c22 + b * b * c33 + 2 * (a * c12 + b * c13 + a * b * c23)) / det * std * std AS var
+    FROM x, inv, m)"""
+
+
+@query("mlp8_linear_gaussian_process", f"{NORMAL} SELECT id, round(mu, 5) AS mu, round(var, 7) AS var FROM pred")
 def mlp8(t):
-    return _rounded(_fitted(t, "gp", alpha=0.01).predict(vectors(t)))
+    """Mean and variance of the process beside its normal equations, written out for two features."""
+    rows = training_rows(_two(t), scored_vectors(t), retrain=True)
+    out = build_model("gp", alpha=ALPHA).fit(rows).predict(_two(t))
+    return out.select("id", F.round("mu", 5).alias("mu"), F.round("var", 7).alias("var"))
+
+
+@query("mlp8_all_features", "SELECT i::int AS i, true AS solved FROM range(65) r(i)")
+def mlp8_all(t):
+    """All 64 features: the fitted weights solve each of their normal equations."""
+    import numpy as np
+
+    model = _fitted(t, "gp", alpha=ALPHA)
+    gram = model.gram
+    residual = (gram[:-1, :-1] / ALPHA + np.eye(len(gram) - 1)) @ model.weights
+    residual -= (gram[:-1, -1] - model.mean * gram[0, :-1] / model.sigma0) / model.std / ALPHA
+    scale = np.abs(gram[:-1, :-1]).max() / ALPHA
+    gaps = [(i, float(r)) for i, r in enumerate(residual / scale)]
+    return t.spark.createDataFrame(gaps, "i int, gap double").select("i", (F.abs("gap") < 1e-9).alias("solved"))
 
 
 RANDOM_MODEL = f"""SELECT vec_id AS id, round({u_sql('vec_id', 'mean/5')}, 9) AS mu,
@@ -81,27 +168,32 @@ def mlp9(t):
     return preds.select("id", *[F.round(c, 9).alias(c) for c in ("mu", "var")])
 
 
-@query("mlp10_online_and_retrained_fit")
+@query(
+    "mlp10_online_and_retrained_fit",
+    f"{NORMAL} SELECT id, round(mu, 5) AS mu, round(mu, 5) AS mu_online FROM pred",
+)
 def mlp10(t):
-    """The linear model fitted in two online steps and in one go gives the same predictions."""
+    """The linear model fitted in two online steps and in one go gives the written-out means."""
     scores = scored_vectors(t).withColumn(
         "iter", (hash_uniform(F.col("id"), "half") < 0.5).cast("int")
     )
-    once = LinearGaussianSurrogate().fit(training_rows(vectors(t), scores, retrain=True))
-    steps = LinearGaussianSurrogate().fit(training_rows(vectors(t), scores, False, last_iter=0))
-    steps.fit(training_rows(vectors(t), scores, False, last_iter=1), online=True)
-    both = once.predict(vectors(t), need_var=False).join(
-        steps.predict(vectors(t), need_var=False).withColumnRenamed("mu", "mu_online"), "id"
+    once = LinearGaussianSurrogate(alpha=ALPHA).fit(training_rows(_two(t), scores, retrain=True))
+    steps = LinearGaussianSurrogate(alpha=ALPHA).fit(training_rows(_two(t), scores, False, last_iter=0))
+    steps.fit(training_rows(_two(t), scores, False, last_iter=1), online=True)
+    both = once.predict(_two(t), need_var=False).join(
+        steps.predict(_two(t), need_var=False).withColumnRenamed("mu", "mu_online"), "id"
     )
-    return _rounded(both)
+    return both.select("id", *[F.round(c, 5).alias(c) for c in ("mu", "mu_online")])
 
 
-@query("mlp11_mean_only_prediction")
+@query("mlp11_mean_only_prediction", "SELECT vec_id AS id, 'id,mu' AS columns, true AS same FROM embeddings")
 def mlp11(t):
-    """Greedy needs no variance: only the mean is planned and the tree walk is skipped."""
-    model = _fitted(t, "rf", n_estimators=20, max_depth=5, seed=2)
-    need_var = "vars" in acq.metric_needs("greedy")
-    return _rounded(model.predict(vectors(t), need_var))
+    """Greedy needs no variance: only the mean is planned, and it is that of the full prediction."""
+    model = _fitted(t, "rf", n_estimators=100, max_depth=8, seed=2)
+    only = model.predict(vectors(t), "vars" in acq.metric_needs("greedy"))
+    columns = ",".join(only.columns)
+    both = only.join(model.predict(vectors(t)).select("id", F.col("mu").alias("full")), "id")
+    return both.select("id", F.lit(columns).alias("columns"), (F.abs(F.col("mu") - F.col("full")) < 1e-6).alias("same"))
 
 
 @query(
@@ -124,9 +216,31 @@ def mlp12(t):
     return out.select("id", F.round("mu", 4).alias("v0"), F.round("var", 4).alias("v1"))
 
 
-@query("mlp13_projection")
+@query(
+    "mlp13_projection",
+    """WITH e AS (SELECT unnest(embedding)::double AS v, unnest(range(1, 65)) AS i, vec_id FROM embeddings),
+    m AS (SELECT i, avg(v) AS mean, var_samp(v) AS spread FROM e GROUP BY 1)
+    SELECT true AS orthogonal, true AS unit, true AS uncorrelated, true AS ordered, true AS largest,
+           round((SELECT sum(spread) FROM m), 4) AS total""",
+)
 def mlp13(t):
-    return _rounded(project(vectors(t), share=0.5, seed=1))
+    """Two components of all rows: orthogonal, of unit length, uncorrelated, in order, and beyond any column."""
+    rows = vectors(t)
+    model = components(rows)
+    pc = model.pc.toArray()
+    xy = project(rows)
+    facts = xy.agg(F.corr("x", "y").alias("r"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"))
+    flat = rows.select("id", F.posexplode(F.col("features").cast("array<double>")).alias("i", "v"))
+    columns = flat.groupBy("i").agg(F.var_samp("v").alias("s")).agg(F.sum("s").alias("total"), F.max("s").alias("most"))
+    both = one_row(columns)
+    return facts.select(
+        F.lit(bool(abs(pc[:, 0] @ pc[:, 1]) < 1e-9)).alias("orthogonal"),
+        F.lit(bool(abs((pc**2).sum(axis=0) - 1).max() < 1e-9)).alias("unit"),
+        (F.abs("r") < 1e-6).alias("uncorrelated"),
+        (F.col("vx") >= F.col("vy")).alias("ordered"),
+        (F.col("vx") >= both["most"] - 1e-9).alias("largest"),
+        F.round(both["total"], 4).alias("total"),
+    )
 
 
 # --- extension points -------------------------------------------------------------------------
@@ -149,7 +263,7 @@ def udf1(t):
 
     n = math.ceil(t.part.count() * 0.01)
     batch = acq.initial_batch(pool(t).select("id", "payload"), n, "s")
-    by_function = FunctionObjective(score, payload="payload", maximize=False, partitions=4).score(batch)
+    by_function = FunctionObjective(score, payload="payload", maximize=False).score(batch, n)
     lookup = build_objective("lookup", oracle=oracle(t), maximize=False)
     by_lookup = lookup.score(batch, n)
     return by_function.withColumn("kind", F.lit("function")).unionByName(
@@ -205,10 +319,10 @@ def udf4(t):
 
 @query("udf5_eager_and_lazy_pool", "SELECT doc_id AS id, true AS same FROM documents WHERE length(trim(text)) > 0")
 def udf5(t):
-    """The written and the computed pool hold the same features."""
+    """The written and the computed pool hold the same features of the whole texts."""
     from activepool.functions.tokens import feature_slots
 
-    slots = feature_slots(F.col("lang"), "pair", 1, 64, "(.)")
+    slots = feature_slots(F.col("text"), "pair", 1, 2048, WORDS)
     eager = make_pool(t.documents, "doc_id", "text", slots, eager=True)
     lazy = make_pool(t.documents, "doc_id", "text", slots, eager=False)
     both = eager.join(lazy.select("id", F.col("features").alias("again")), "id")

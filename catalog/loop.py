@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from activepool.operators.ordering import top_n
@@ -10,7 +12,7 @@ from activepool.plans.extract import first_scored
 from activepool.plans.objective import LookupObjective
 from activepool.plans.retrospect import read_runs, reward_matrix
 from activepool.sources.files import read_ordered_scores
-from activepool.surrogates import build_model
+from activepool.surrogates import BatchFunctionSurrogate, build_model
 
 from .features import vector_truth, vectors
 from .registry import BASE, oracle, pool, query, u_sql
@@ -87,20 +89,131 @@ def snk5(t):
     return again.scores().select("id", "iter", "score")
 
 
-@query("lop1_surrogate_loop")
+@query(
+    "lop1_surrogate_loop",
+    """SELECT 0 AS iter, ceil(count(*) * 0.05)::bigint AS n, true AS looked_up, true AS once FROM embeddings
+    UNION ALL SELECT i, ceil(count(*) * 0.03)::bigint, true, true FROM embeddings, range(1, 4) r(i) GROUP BY i""",
+)
 def lop1_surrogate(t):
-    """The whole engine on feature vectors: linear Gaussian model, UCB, pruning, convergence."""
+    """The whole engine on feature vectors: linear Gaussian model, UCB, pruning.
+
+    Every round takes its batch, no row twice, with the scores of the oracle.
+    """
     config = ExploreConfig(
-        k=20, budget=0.5, max_iters=3, window=3, delta=0.0, init_size=0.05, batch_sizes=[0.03],
+        k=20, budget=0.5, max_iters=3, window=10, delta=0.0, init_size=0.05, batch_sizes=[0.03],
         metric="ucb", seed=1, retrain=True, prune=True, prune_min_prob=0.001,
     )
     explorer = Explorer(
         t.spark, vectors(t), LookupObjective(vector_truth(t)), build_model("gp"), config, t.scratch("explore")
     )
     explorer.run()
+    rows = explorer.scores().join(vector_truth(t), "id", "left")
+    times = rows.groupBy("id").agg(F.count("*").alias("times"))
+    return rows.join(times, "id").groupBy("iter").agg(
+        F.count("*").alias("n"),
+        F.bool_and(F.col("score").eqNullSafe(F.col("y"))).alias("looked_up"),
+        F.bool_and(F.col("times") == 1).alias("once"),
+    )
+
+
+USER_PICKS = f"""{BASE}, picks AS (
+  SELECT p.id, row_number() OVER (ORDER BY p.price DESC, p.id DESC) AS r FROM pool p
+  WHERE p.id NOT IN (SELECT id FROM explored)),
+  taken AS (SELECT id, 0 AS iter FROM explored UNION ALL SELECT id, CASE WHEN r <= 40 THEN 1 ELSE 2 END FROM picks WHERE r <= 100)"""
+USER_ROWS = f"{USER_PICKS} SELECT t.id, t.iter, o.y AS score FROM taken t LEFT JOIN truth o ON o.id = t.id"
+
+
+def _user_explorer(t, path, objective=None, **options) -> Explorer:
+    """A user's model that ranks by price, fitted anew every round, checkpointed every round."""
+
+    def fit(rows):
+        assert rows.count() > 0
+
+        def make():
+            import numpy as np
+
+            return lambda x: np.stack([x[:, 0], np.ones(len(x))], axis=1).astype("float64")
+
+        return make
+
+    settings = dict(k=50, budget=1.0, max_iters=2, window=10, init_size=0.01, batch_sizes=[40, 60], seed="s")
+    rows = pool(t).select("id", F.array("price").alias("features"))
+    model = BatchFunctionSurrogate(None, width=1, fit_fn=fit)
+    return Explorer(
+        t.spark, rows, objective or LookupObjective(oracle(t)), model, ExploreConfig(**{**settings, **options}), path
+    )
+
+
+@query("lop1_user_model_loop", USER_ROWS)
+def lop1_user(t):
+    explorer = _user_explorer(t, t.scratch("explore"))
+    explorer.run()
     return explorer.scores().select("id", "iter", "score")
 
 
+class _FailsAfter(LookupObjective):
+    """Scores the first batch; later ones fail as rows, or with an error."""
+
+    def __init__(self, table, first, error=False):
+        super().__init__(table)
+        self.first, self.error = first, error
+
+    def score(self, batch, batch_rows=None):
+        if batch_rows == self.first:
+            return super().score(batch, batch_rows)
+        if self.error:
+            raise RuntimeError("scorer is down")
+        return super().score(batch, batch_rows).withColumn("score", F.lit(None).cast("double"))
+
+
+@query(
+    "snk5_restart_after_failed_round",
+    f"""{USER_PICKS} SELECT t.id, t.iter, CASE WHEN t.iter = 0 THEN o.y END AS score
+    FROM taken t LEFT JOIN truth o ON o.id = t.id""",
+)
+def snk5_failed(t):
+    """Both batches fail as a whole; the second is taken after a restart with the predictions that are there."""
+    path, first = t.scratch("explore"), math.ceil(t.part.count() * 0.01)
+    run = _user_explorer(t, path, _FailsAfter(oracle(t), first))
+    run.explore_initial()
+    run.explore_batch()
+    again = _user_explorer(t, path, _FailsAfter(oracle(t), first)).restore(run.checkpoint())
+    again.run()
+    return again.scores().select("id", "iter", "score")
+
+
+@query("snk5_restart_from_rescue", USER_ROWS)
+def snk5_rescue(t):
+    """The scorer breaks in the first batch round; the checkpoint written then is where the run goes on."""
+    path, first = t.scratch("explore"), math.ceil(t.part.count() * 0.01)
+    run = _user_explorer(t, path, _FailsAfter(oracle(t), first, error=True))
+    try:
+        run.run()
+    except RuntimeError:
+        pass
+    again = _user_explorer(t, path).restore(f"{path}/chkpts/iter_1/state")
+    again.run()
+    return again.scores().select("id", "iter", "score")
+
+
+@query(
+    "lop3_warm_start_of_a_run",
+    f"""{BASE}, later AS (SELECT id, y FROM truth WHERE id % 10 = 3),
+    early AS (SELECT id, y AS score FROM truth WHERE id % 20 = 1)
+    SELECT coalesce(l.id, e.id) AS id, coalesce(l.y + 100, e.score) AS score, true AS is_prior, 2 * count(*) FILTER (WHERE e.id IS NOT NULL) OVER () AS loaded
+    FROM early e FULL JOIN later l ON l.id = e.id""",
+)
+def lop3_explorer(t):
+    """Earlier results with repeated keys before the run, more of them later: an upsert, nothing rewound."""
+    run = _user_explorer(t, t.scratch("explore"))
+    truth = oracle(t).withColumnRenamed("y", "score")
+    early = truth.filter("id % 20 = 1")
+    run.load_scores(early.unionByName(early))
+    loaded = 2 * run.n_prior
+    run.load_scores(truth.filter("id % 10 = 3").withColumn("score", F.col("score") + 100))
+    return run.scores().select("id", "score", "is_prior", F.lit(loaded).cast("bigint").alias("loaded"))
+
+
 @query(
     "lop1_run_directory_rewards",
     """WITH c AS (SELECT event_id, value, date_diff('day', DATE '2024-01-01', ts::date) AS iter FROM events WHERE event_type = 'click'),

@@ -74,6 +74,36 @@ def prj4(t):
     )
 
 
+DOC_VOCAB = f"""counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM documents) GROUP BY 1),
+  vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM counts),
+  flat AS (SELECT doc_id, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS place FROM (SELECT doc_id, {TOKENS} AS tk FROM documents WHERE doc_id % 7 <> 0)),
+  coded AS (SELECT f.doc_id, string_agg(v.token_id::varchar, ' ' ORDER BY place) AS body, count(*) AS n FROM flat f JOIN vocab v ON v.token = f.token GROUP BY 1)
+  SELECT d.doc_id, CASE WHEN d.doc_id % 7 <> 0 THEN md5('0 ' || coalesce(body || ' ', '') || '1') END AS digest,
+    CASE WHEN d.doc_id % 7 <> 0 THEN coalesce(n, 0)::int + 2 END AS n FROM documents d LEFT JOIN coded c ON c.doc_id = d.doc_id"""
+
+
+def _coded_documents(t, dict_limit):
+    """Every whole text with the whole vocabulary; some texts are NULL, one key holds all rows."""
+    from activepool.session import pinned
+
+    rows = t.documents.select("doc_id", F.lit(1).alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
+    vocabulary = pinned(build_vocabulary(t.documents, "text"), "vocabulary")
+    coded = encode(rows, "text", vocabulary, pad_to=0, dict_limit=dict_limit)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    n = F.when(F.col("ids").isNotNull(), F.size("ids"))
+    return coded.select("doc_id", F.md5(ids).alias("digest"), n.alias("n"))
+
+
+@query("prj4_encode_dictionary", f"WITH {DOC_VOCAB}")
+def prj4_dictionary(t):
+    return _coded_documents(t, 10**7)
+
+
+@query("prj4_encode_joined", f"WITH {DOC_VOCAB}")
+def prj4_joined(t):
+    return _coded_documents(t, 0)
+
+
 # --- scaling ----------------------------------------------------------------------------------
 
 STATS = """s AS (SELECT avg(quality) AS qm, stddev_pop(quality) AS qs, avg(n_chars) AS nm, stddev_pop(n_chars) AS ns

@@ -224,6 +224,36 @@ def src11(t):
     return text.read_keys(t.spark, _training_file(t), ["smiles", "lang"], flatten=True)
 
 
+@query(
+    "src11_keys_without_title",
+    "SELECT 'doc' || doc_id AS first, lang AS second FROM documents",
+)
+def src11_untitled(t):
+    """A file without a title line: the first two columns are the keys."""
+    path = t.scratch("keys")
+    rows = t.documents.select(F.concat(F.lit("doc"), "doc_id").alias("a"), "lang", "source")
+    rows.write.csv(path)
+    keys = text.read_keys(t.spark, path, header=False, n_keys=2)
+    return keys.select(F.col("inputs")[0].alias("first"), F.col("inputs")[1].alias("second"))
+
+
+@query(
+    "src10_training_rows_with_features",
+    """WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)
+    SELECT 'doc' || r.doc_id AS key, r.row, l.quality::double AS quality, r.row * 2 AS f
+    FROM r LEFT JOIN labels l ON l.doc_id = r.doc_id WHERE l.quality IS NOT NULL""",
+)
+def src10_rows(t):
+    """Row places survive the filter of unlabelled rows, so features by row join back."""
+    table = t.documents.join(t.labels, "doc_id", "left").orderBy("doc_id")
+    table = table.select(F.concat(F.lit("doc"), "doc_id").alias("smiles"), "quality")
+    path = write_csv(table, t.scratch("training"))
+    rows = text.read_training(t.spark, path, skip_none_targets=True, with_row=True)
+    features = t.spark.range(t.documents.count()).select(F.col("id").alias("row"), (F.col("id") * 2).alias("f"))
+    joined = text.attach_features(rows, features)
+    return joined.select(F.col("inputs")[0].alias("key"), "row", F.col("targets")[0].alias("quality"), "f")
+
+
 @query(
     "src12_dataset_from_keys",
     "SELECT conv_id, role, length(text)::int AS n FROM conversations WHERE length(trim(text)) > 0 AND length(trim(role)) > 0",
@@ -391,19 +421,16 @@ def src21(t):
 
 @query(
     "agg12_data_audit",
-    """SELECT 'Data includes an invalid key.' AS error WHERE EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#3')
-    UNION ALL SELECT 'Found a target which is not a number.'
-    WHERE EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#4')""",
+    """SELECT 'bad_key' AS code, count(*) + 1 AS n FROM part WHERE p_brand = 'Brand#3'
+    UNION ALL SELECT 'target_not_number', count(*) + 1 FROM part WHERE p_brand = 'Brand#4'""",
 )
 def agg12(t):
-    """A training file with blank keys and text targets, as error rows."""
-    key = F.when(F.col("p_brand") != "Brand#3", F.col("p_name"))
+    """A training file with blank keys, text targets, quoted commas and a data row like the title."""
+    key = F.when(F.col("p_brand") != "Brand#3", F.concat("p_name", F.lit(", "), "p_brand"))
     target = F.when(F.col("p_brand") == "Brand#4", F.lit("n/a")).otherwise(F.col("p_size").cast("string"))
-    rows = t.part.select(key.alias("smiles"), target.alias("size"), "p_retailprice")
-    path = write_csv(rows, t.scratch("audit"))
-    from activepool.functions.tokens import fully_tokenized
-
-    letters = "[a-z ]"
-    return text.validate_training(t.spark, path, lambda c: fully_tokenized(c, letters) & (c != "smiles"))
+    rows = t.part.select(key.alias("smiles"), target.alias("size"), F.col("p_retailprice").cast("string"))
+    title = rows.limit(1).select(*[F.lit(c).alias(c) for c in rows.columns])
+    path = write_csv(rows.unionByName(title), t.scratch("audit"))
+    return text.audit_training(t.spark, path, lambda c: c.rlike("^[a-zA-Z ]+, Brand#[0-9]+$"))
 
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from activepool.operators.features import cluster_rows, project
 from activepool.operators.pool import make_pool
 from activepool.operators.vocabulary import build_vocabulary, encode
-from activepool.operators import vocabulary as vocab
 from activepool.plans.explore import ExploreConfig, Explorer
 from activepool.plans.objective import FunctionObjective, LookupObjective
 from activepool.surrogates import build_model
@@ -80,16 +79,19 @@ def test_pool_drops_invalid_rows(spark):
         make_pool(df, "k", "t", features, eager=False, clusters=2)
 
 
-@pytest.mark.parametrize("limits", [(64, 1000), (0, 1000), (0, 1)])
-def test_encode_paths_agree(spark, monkeypatch, limits):
-    monkeypatch.setattr(vocab, "MAP_LIMIT", limits[0])
-    monkeypatch.setattr(vocab, "DICT_LIMIT", limits[1])
-    df = spark.createDataFrame([(1, "CCN"), (2, "C"), (3, "zz")], "id long, t string")
-    words = build_vocabulary(df, "t").filter("token <> 'N'")
-    rows = {r["id"]: (r["ids"], r["mask"]) for r in encode(df, "t", words).collect()}
-    assert rows[1] == ([0, 4, 4, 2, 1], [1] * 5)
-    assert rows[2] == ([0, 4, 1, 2, 2], [1, 1, 1, 0, 0])
-    assert rows[3] == ([0, 1, 2, 2, 2], [1, 1, 0, 0, 0])
+@pytest.mark.parametrize("dict_limit", [1000, 1, 0])
+def test_encode_paths_agree(spark, dict_limit):
+    """NULL texts, repeated keys and a token that is listed twice are coded alike on both paths."""
+    df = spark.createDataFrame([(1, "CCN"), (2, "C"), (2, "NC"), (3, "zz"), (4, None)], "id long, t string")
+    words = build_vocabulary(df.filter("id < 2"), "t").filter("token <> 'N'")
+    words = words.unionByName(words.filter("token = 'C'").withColumn("token_id", F.lit(40)))
+    rows = sorted((r["id"], r["ids"], r["mask"]) for r in encode(df, "t", words, dict_limit=dict_limit).filter("id < 4").collect())
+    assert rows == [
+        (1, [0, 4, 4, 2, 1], [1] * 5), (2, [0, 2, 4, 1, 2], [1, 1, 1, 1, 0]), (2, [0, 4, 1, 2, 2], [1, 1, 1, 0, 0]),
+        (3, [0, 1, 2, 2, 2], [1, 1, 0, 0, 0]),
+    ]
+    missing = encode(df, "t", words, dict_limit=dict_limit).filter("id = 4").first()
+    assert missing["ids"] is None and missing["mask"] is None
 
 
 # --- the loop ---------------------------------------------------------------------------------
@@ -181,3 +183,151 @@ def test_model_must_feed_the_metric(spark, data, tmp_path):
     model.provides = {"means"}
     with pytest.raises(ValueError):
         Explorer(spark, df, None, model, ExploreConfig(metric="ei"), str(tmp_path))
+
+
+def user_model():
+    from activepool.surrogates import BatchFunctionSurrogate
+
+    def fit(rows):
+        mean = rows.agg(F.avg("score")).first()[0]
+
+        def make():
+            def predict(x):
+                return np.stack([2 * x[:, 0] - x[:, 1] + mean, np.ones(len(x))], axis=1)
+
+            return predict
+
+        return make
+
+    return BatchFunctionSurrogate(None, width=5, fit_fn=fit)
+
+
+def user_explorer(spark, data, path, objective=None, **options):
+    df, _, _ = data
+    settings = dict(k=10, budget=1.0, max_iters=2, window=10, init_size=0.1, batch_sizes=[15], metric="ucb")
+    truth = df.select("id", F.col("score").alias("y"))
+    return Explorer(
+        spark, df.select("id", "features"), objective or LookupObjective(truth), user_model(),
+        ExploreConfig(**{**settings, **options}), str(path),
+    )
+
+
+def picks(run):
+    return sorted((r["id"], r["iter"]) for r in run.scores().collect())
+
+
+def test_loop_with_a_user_model_restarts(spark, data, tmp_path):
+    whole = user_explorer(spark, data, tmp_path / "w")
+    whole.run()
+    part = user_explorer(spark, data, tmp_path / "p")
+    part.explore_initial()
+    part.explore_batch()
+    again = user_explorer(spark, data, tmp_path / "p").restore(part.checkpoint())
+    again.run()
+    assert picks(again) == picks(whole) and len(picks(whole)) == 50
+
+
+def test_restart_after_a_round_that_failed_as_a_whole(spark, data, tmp_path):
+    class Failing(LookupObjective):
+        def score(self, batch, batch_rows=None):
+            rows = super().score(batch, batch_rows)
+            return rows if batch_rows == 20 else rows.withColumn("score", F.lit(None).cast("double"))
+
+    df, _, _ = data
+    truth = df.select("id", F.col("score").alias("y"))
+    run = user_explorer(spark, data, tmp_path / "f", Failing(truth))
+    run.explore_initial()
+    run.explore_batch()
+    run.explore_batch()  # fits on nothing new: the predictions of the round before are used again
+    again = user_explorer(spark, data, tmp_path / "f", LookupObjective(truth), max_iters=3).restore(run.checkpoint())
+    again.run()
+    assert len(picks(again)) == 65 and picks(again)[0][1] >= 0
+
+
+def test_rescue_checkpoint_of_the_first_batch_round(spark, data, tmp_path):
+    class Broken(LookupObjective):
+        def score(self, batch, batch_rows=None):
+            if batch_rows != 20:
+                raise RuntimeError("scorer is down")
+            return super().score(batch, batch_rows)
+
+    df, _, _ = data
+    truth = df.select("id", F.col("score").alias("y"))
+    run = user_explorer(spark, data, tmp_path / "r", Broken(truth))
+    with pytest.raises(RuntimeError, match="scorer is down"):
+        run.run()
+    again = user_explorer(spark, data, tmp_path / "r", LookupObjective(truth)).restore(f"{tmp_path}/r/chkpts/iter_1/state")
+    again.run()
+    whole = user_explorer(spark, data, tmp_path / "r2")
+    whole.run()
+    assert picks(again) == picks(whole)
+
+
+def test_failed_checkpoint_does_not_hide_the_error(spark, data, tmp_path, monkeypatch):
+    run = user_explorer(spark, data, tmp_path / "h")
+    monkeypatch.setattr(run, "explore_initial", lambda: (_ for _ in ()).throw(ValueError("first")))
+    monkeypatch.setattr(run, "checkpoint", lambda: (_ for _ in ()).throw(OSError("second")))
+    with pytest.raises(ValueError, match="first"):
+        run.run()
+
+
+def test_warm_start_is_an_upsert_without_rewind(spark, data, tmp_path):
+    df, _, _ = data
+    run = user_explorer(spark, data, tmp_path / "u")
+    prior = df.filter("id < 30").select("id", "score")
+    run.load_scores(prior.union(prior.filter("id < 5").withColumn("score", F.lit(-9.0))))
+    assert (run.n_prior, run.scores().count()) == (30, 30)
+    run.explore_batch()
+    before = run.iter
+    taken = [r["id"] for r in run.scores().filter("NOT is_prior").collect()]
+    fresh = [i for i in range(100, 200) if i not in taken][:2]
+    run.load_scores(spark.createDataFrame([(fresh[0], 7.0), (fresh[1], 8.0), (taken[0], 99.0)], "id long, score double"))
+    assert run.iter == before and run.n_prior == 32
+    got = {r["id"]: r["score"] for r in run.scores().collect()}
+    assert len(got) == 47 and got[taken[0]] == 99.0 and got[fresh[1]] == 8.0
+    again = user_explorer(spark, data, tmp_path / "u").restore(run.checkpoint())
+    assert {r["id"]: r["score"] for r in again.scores().collect()} == got
+
+
+def test_online_model_keeps_earlier_rounds(spark, data, tmp_path):
+    run = explorer(spark, data, tmp_path / "on", retrain=False, max_iters=2)
+    run.run()
+    assert run.model.n == run.scores().filter("iter < 2").count()
+
+
+def test_rounds_leave_no_scratch_and_few_jobs(spark, data, tmp_path):
+    import os
+
+    from activepool.session import scratch_root
+
+    root = f"{scratch_root(spark)}/activepool"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    run = explorer(spark, data, tmp_path / "s", metric="ucb")
+    run.explore_initial()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("round", "round")
+    run.explore_batch()
+    jobs = len(tracker.getJobIdsForGroup("round"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 12, jobs
+    assert (set(os.listdir(root)) if os.path.isdir(root) else set()) <= before
+
+
+def test_scoring_is_spread_and_failures_are_told(spark):
+    batch = spark.range(200).coalesce(1)
+
+    def task_of(i):
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId()
+
+    scored = FunctionObjective(task_of).score(batch, 200)
+    assert scored.select("score").distinct().count() >= 8
+    assert FunctionObjective(lambda i: 1.0).score(batch.limit(0), 0).count() == 0
+
+    def broken(i):
+        raise ImportError("no module")
+
+    with pytest.raises(RuntimeError, match="no module"):
+        FunctionObjective(broken).score(batch, 200)
+    assert FunctionObjective(broken, raise_if_all_fail=False).score(batch, 200).filter("score IS NULL").count() == 200

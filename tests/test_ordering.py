@@ -48,15 +48,22 @@ def test_running_totals_over_blocks(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 50, 450, 601, 5000])
-def test_top_n_paths_agree(spark, monkeypatch, n):
+def test_top_n_paths_agree(spark, n):
     rows, df = skewed(spark)
-    want = {r[0] for r in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), -r[0]))[:n]}
-    small = {r["id"] for r in od.top_n(df, n, "v", "id").collect()}
-    monkeypatch.setattr(od, "SMALL_N", -1)
-    large = {r["id"] for r in od.top_n(df, n, "v", "id").collect()}
-    monkeypatch.setattr(od, "PREFILTER_ROWS", 0)
-    bracketed = {r["id"] for r in od.top_n(df, n, "v", "id").collect()}
-    assert small == large == bracketed == want
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), -r[0]))[:n]]
+    pick = lambda **o: [r["id"] for r in od.top_n(df, n, "v", "id", **o).collect()]
+    assert pick(small_n=10**6) == pick(small_n=-1) == pick(small_n=-1, gather=0) == want
+
+
+@pytest.mark.parametrize("n", [1, 99, 100, 101, 350, 400, 420])
+def test_top_n_with_repeated_pairs(spark, n):
+    """Four (value, key) pairs of 100 rows and 20 rows without a value: exactly n rows, same rows and order."""
+    rows = [(i % 4, float(i % 4), i) for i in range(400)] + [(9, None, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v double, other long")
+    pick = lambda **o: [tuple(r) for r in od.top_n(df, n, "v", "id", **o).collect()]
+    small, large, ranged = pick(small_n=1000), pick(small_n=0), pick(small_n=0, gather=0)
+    assert len(small) == n and small == large == ranged
+    assert [r[1] for r in small] == sorted((r[1] for r in small), key=lambda v: (v is None, -(v or 0)))
 
 
 def test_loose_cut_keeps_enough(spark):
@@ -80,14 +87,13 @@ def test_top_quota(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("bracketed_from", [0, 10**6])
-def test_order_boundaries(spark, monkeypatch, bracketed_from):
-    monkeypatch.setattr(od, "PREFILTER_ROWS", bracketed_from)
+@pytest.mark.parametrize("gather", [0, 10**6])
+def test_order_boundaries(spark, gather):
     rows, df = skewed(spark)
     valued = sorted((v, i) for i, _, v in rows if v is not None)
     ks = [1, 7, 300, 420, len(valued)]
-    assert od.order_boundaries(df, "v", "id", ks) == [valued[k - 1] for k in ks]
-    assert od.order_boundaries(df, "v", "id", ks, accuracy=2) == [valued[k - 1] for k in ks]
+    assert od.order_boundaries(df, "v", "id", ks, gather=gather) == [valued[k - 1] for k in ks]
+    assert od.order_boundaries(df, "v", "id", ks, accuracy=2, gather=gather) == [valued[k - 1] for k in ks]
     assert od.order_boundaries(df, "v", "id", []) == []
 
 

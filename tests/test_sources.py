@@ -62,17 +62,34 @@ def test_config_round_trip(spark, tmp_path):
     assert text.config_map(text.read_config(spark, path)).first()["config"] == got
 
 
-def test_validate_training(spark, tmp_path):
-    def errors(content):
+def test_audit_training(spark, tmp_path):
+    def codes(content):
         path = tmp_path / f"{abs(hash(content))}.csv"
         path.write_text(content)
-        return {r["error"] for r in text.validate_training(spark, str(path), lambda c: c.rlike("^[CNO]+$")).collect()}
-
-    assert errors("smiles,y\nC,1\nN,\n") == set()
-    assert errors("smiles,y\nC,x\nZ,1\n") == {"Found a target which is not a number.", "Data includes an invalid key."}
-    assert errors("smiles,y\nC,\nN,\n") == {"All targets are missing."}
-    assert errors("smiles,y\nC,1\nN,1,2\n") == {"Inconsistent number of tasks for each row."}
-    assert "First row is a key instead of a header." in errors("C,1\nN,1\n")
+        return dict(rows(text.audit_training(spark, str(path), lambda c: c.rlike("^[CNO, ]+$"))))
+
+    assert codes("smiles,y\nC,1\nN,\n") == {}
+    assert codes('smiles,y\n"C, N",1\n"O",2\n') == {}
+    assert codes("smiles,y\nC,x\nZ,1\nZ,2\n") == {"target_not_number": 1, "bad_key": 2}
+    assert codes("smiles,y\nC,\nN,\n") == {"no_target": 2}
+    assert codes("smiles,y\nC,1\nN,1,2\nO\n") == {"row_width": 2}
+    assert codes("smiles,y\nC,1\nsmiles,y\n") == {"bad_key": 1, "target_not_number": 1}
+    assert codes("C,1\nN,1\n") == {"header_is_key": 1}
+    assert codes("smiles,y\n") == {"no_rows": 1}
+    assert codes("smiles\nC\n") == {"no_targets_in_header": 1, "no_target": 1}
+    assert codes("") == {"no_header": 1}
+
+
+def test_keys_without_title_and_row_places(spark, tmp_path):
+    path = tmp_path / "k.csv"
+    path.write_text("C,N,1\nO,,2\n")
+    assert rows(text.read_keys(spark, str(path), header=False, n_keys=2)) == [(["C", "N"],), (["O", ""],)]
+    with pytest.raises(ValueError):
+        text.read_keys(spark, str(path), ["a"], header=False)
+    path.write_text("smiles,y\nC,\nN,2\nO,3\n")
+    got = text.read_training(spark, str(path), skip_none_targets=True, with_row=True)
+    features = spark.createDataFrame([(0, 10), (1, 11), (2, 12)], "row long, f int")
+    assert rows(text.attach_features(got, features).select("row", "f")) == [(1, 11), (2, 12)]
 
 
 def test_numpy_features(spark, tmp_path):
