@@ -11,11 +11,11 @@ leave at once, and keys that very many unrelated documents share fall behind the
 Lists are merged with skipping. In each of a few rounds every list is paired with its most popular
 document whose group was not tried yet (popularity: how many postings its keys have; the origin of a
 group of copies comes first). Then each pair still open is met once, at the first key both post. A pair
-is skipped when links found earlier join both already (only components are asked for), when the sizes
-can't reach the threshold, or when the distances to one pivot differ by too much (Jaccard distance is a
-metric). Collisions of the other pairs are counted over all coordinates, and pairs above the match
-threshold are confirmed on the full sets. So a group of copies costs a few pairs for each copy, and only
-documents of a group that link with nothing in it meet the whole group.
+is skipped when links found earlier join both already (only components are asked for), when sizes or the
+rare shingles that both do not share rule the threshold out, or when the distances to one pivot differ by
+too much (Jaccard distance is a metric). Collisions of the other pairs are counted over all coordinates,
+and pairs above the match threshold are confirmed on the full sets. So a group of copies costs a few
+pairs for each copy.
 """
 
 from __future__ import annotations
@@ -27,17 +27,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from activepool.llm.common import bounded, components, maybe_broadcast, mix64, picked, texts_of
+from activepool.llm.common import BROADCAST_IDS, bounded, components, maybe_broadcast, mix64, picked, texts_of
 from activepool.session import pinned
 
 POSTED = 64
 CHECKED = 192
-#: A pair at similarity 0.8 has 51 of 64 and 205 of 256 matches on average, with deviations of 3.2 and
-#: 6.4: fewer than these have a chance below 1e-5.
+#: A pair at similarity 0.8 has 51 of 64 posted and 205 of all 256 matches on average, with deviations of
+#: 3.2 and 6.4: fewer than these have a chance below 1e-5.
 MATCHES = 36
 ALL_MATCHES = 174
 #: Rounds in which each list is paired with one document only, before the pairs that are still open.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
+#: Documents in lists of at least DENSE have their rare shingles (in at most RARE of them) listed before they
+#: are paired; sets over RARE_SIZE are paired without.
+DENSE = 64
+RARE = 40
+RARE_SIZE = 2_000
 
 _SEEDS = mix64(np.arange(1, POSTED + CHECKED + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -70,7 +75,7 @@ def shingle_set(text: bytes | None, size: int, hashes: dict) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Posting keys (64 bits: the coordinate and its smallest shingle) and one byte of each checked minimum."""
+    """Posting keys (64 bits: the coordinate and its smallest shingle) and one byte of every coordinate."""
     x = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
     least = np.full(POSTED + CHECKED, 0xFFFFFFFF, np.uint32)
     at = np.zeros(POSTED, np.int64)
@@ -83,117 +88,142 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, bytes]:
         least[:POSTED] = np.minimum(least[:POSTED], values)
         least[POSTED:] = np.minimum(least[POSTED:], part[POSTED:].min(axis=1))
     keys = mix64(s[at] ^ _SEEDS[:POSTED])
-    return keys.view(np.int64), ((least[POSTED:] * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+    return keys.view(np.int64), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def _signed(size: int):
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.list_(pa.int64())), ("chk", pa.binary())]
-    )
+def _name(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _named(size: int):
+    """Size and name of each row's set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
 
     def run(batches):
         hashes = _WordHashes()
         for batch in bounded(batches):
-            n, key, sig, chk = [], [], [], []
-            for text in texts_of(batch.column("text")):
-                s = shingle_set(text, size, hashes)
-                n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                keys, check = sketch(s) if len(s) else (np.empty(0, np.int64), b"")
-                sig.append(keys)
-                chk.append(check)
+            sets = [shingle_set(text, size, hashes) for text in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
-                 pa.array(sig, pa.list_(pa.int64())), pa.array(chk, pa.binary())],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.binary())],
                 schema=schema,
-            )
+            )
 
     return run
 
 
-def _sets(size: int):
-    """Full sets of the class owners; a row of the same id with another text is passed over."""
-    schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
+def _of_owners(size: int, make, fields: list):
+    """``make`` of the set of each class, from the text of its owner.
+
+    A row of the owner's id with another text is passed over, and so are repeated rows of one task.
+    """
+    schema = pa.schema([("cid", pa.int64()), *fields])
 
     def run(batches):
-        hashes = _WordHashes()
+        hashes, seen = _WordHashes(), set()
         for batch in bounded(batches):
-            cids, sets = [], []
-            for cid, key, text in zip(batch.column("cid"), batch.column("key"), texts_of(batch.column("text"))):
-                s = shingle_set(text, size, hashes).tobytes()
-                if hashlib.blake2b(s, digest_size=16).digest() == key.as_py():
-                    cids.append(cid.as_py())
-                    sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+            rows = []
+            for cid, key, text in zip(batch.column("cid").to_pylist(), batch.column("key"), texts_of(batch.column("text"))):
+                if cid not in seen:
+                    s = shingle_set(text, size, hashes)
+                    if _name(s) == key.as_py():
+                        seen.add(cid)
+                        rows.append((cid, *make(s)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, with one row for each cid; only repeated rows in several tasks make that a shuffle."""
+    df = pinned(df, name)
+    counts = df.agg(F.count("*").alias("n"), F.count_distinct("cid").alias("cids")).first()
+    return df if counts["n"] == counts["cids"] else pinned(df.dropDuplicates(["cid"]), name)
+
+
+def _short(s: np.ndarray) -> tuple[bytes, int]:
+    """The set as sorted 32-bit hashes, with its size: two sets of n share a hash by chance with n * n / 2^32."""
+    return np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes(), len(s)
+
+
 def _counted(batches):
-    """Collisions over all coordinates; pairs below the match thresholds go."""
+    """Collisions over all coordinates; pairs below the match threshold go."""
     for batch in batches:
         if not batch.num_rows:
             continue
 
-        def ints(name):
-            return np.asarray(batch.column(name).flatten()).reshape(batch.num_rows, POSTED)
-
         def bytes_(name):
-            return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(batch.num_rows, CHECKED)
+            return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(batch.num_rows, POSTED + CHECKED)
 
-        posted = (ints("sig_a") == ints("sig_b")).sum(axis=1)
-        total = posted + (bytes_("chk_a") == bytes_("chk_b")).sum(axis=1)
-        keep = (posted >= MATCHES) & (total >= ALL_MATCHES)
+        keep = (bytes_("chk_a") == bytes_("chk_b")).sum(axis=1) >= ALL_MATCHES
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _confirmed(batches):
-    """Exact size of the intersection of each pair of sets."""
+    """Size of the intersection and union of each pair of full sets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("united", pa.int64())])
     for batch in batches:
         common, united = [], []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+        for x, y, n, m in zip(*(batch.column(c) for c in ("set_a", "set_b", "n_a", "n_b"))):
+            x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
             common.append(both)
-            united.append(len(x) + len(y) - both)
+            united.append(n.as_py() + m.as_py() - both)
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(united, pa.int64())], schema=schema
         )
 
 
 def _checked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) above the match threshold with their exact similarity, as a written table."""
-    left = sketches.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a"), F.col("chk").alias("chk_a"))
-    right = sketches.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b"), F.col("chk").alias("chk_b"))
-    counted = pinned(
-        pairs.join(left, "a").join(right, "b").mapInArrow(_counted, "a long, b long"), f"{name}-counted"
-    )
+    """Pairs (a, b) above the match threshold with their similarity, as a written table.
+
+    Sketches and sets of documents without a pair stay where they are: the ids of the pairs, while
+    few, are sent to the scans.
+    """
+    counted = pinned(_with_both(pinned(pairs, f"{name}-pairs"), sketches, "chk").mapInArrow(_counted, "a long, b long"), f"{name}-counted")
     return pinned(
-        counted.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .mapInArrow(_confirmed, "a long, b long, common long, united long")
+        _with_both(counted, sets, "set").mapInArrow(_confirmed, "a long, b long, common long, united long")
         .select("a", "b", (F.col("common") / F.col("united")).alias("jaccard"),
                 (100 * F.col("common") >= percent * F.col("united")).alias("linked")),
         f"{name}-checked",
     )
 
 
-def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b), enough of them to join every component."""
+def _with_both(pairs: DataFrame, table: DataFrame, prefix: str) -> DataFrame:
+    """Written ``pairs`` with the columns of ``table`` for a and b.
+
+    The b side is one row of the table for each of its pairs; the a sides, few and shared by many
+    pairs, come once.
+    """
+    columns = [c for c in table.columns if c != "cid"]
+    named = lambda side: [F.col(c).alias(f"{prefix if c == 'data' else c}_{side}") for c in columns]
+    left = table.join(maybe_broadcast(pairs.select(F.col("a").alias("cid")).distinct()), "cid", "left_semi")
+    both = table.select(F.col("cid").alias("b"), *named("b")).join(maybe_broadcast(pairs), "b")
+    return both.join(left.select(F.col("cid").alias("a"), *named("a")), "a")
+
+
+def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, rare_shingles) -> DataFrame:
+    """Confirmed links (a, b), enough of them to join every component.
+
+    ``rare_shingles`` gives, for documents (cid), those of their shingles that few of them have (``rare``).
+    """
     share = percent / 100
     posts = pinned(alive.select("cid", "n", "pop", F.explode("prefix").alias("token")), "near-posts")
+    # Tables of a row for each document in question: sent to the tasks while they are few, else shuffled.
+    few = alive.count() <= BROADCAST_IDS
+    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     state = alive.select(
         "cid", F.col("cid").alias("root"), F.lit(None).cast("long").alias("pivot"), F.lit(0.0).alias("near")
     )
     found, tried = [], None
     close = (F.col("n") >= share * F.col("ln")) & (F.col("ln") >= share * F.col("n"))
     for turn in range(STAR_ROUNDS):
-        placed = posts.join(state.select("cid", "root"), "cid")
+        placed = posts.join(sent(state.select("cid", "root")), "cid")
         rest = placed
         if tried is not None:
             roots = state.select(F.col("cid").alias("leader"), "root")
-            rest = placed.join(tried.join(roots, "leader").select("token", "root").distinct(), ["token", "root"], "left_anti")
+            done = pinned(tried.join(sent(roots), "leader").select("token", "root").distinct(), f"near-done{turn}")
+            rest = placed.join(maybe_broadcast(done), ["token", "root"], "left_anti")
         lead = pinned(
             rest.groupBy("token")
             .agg(F.max(F.struct("pop", "cid", "n", "root")).alias("m"))
@@ -201,36 +231,55 @@ def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
             f"near-lead{turn}",
         )
         pairs = (
-            placed.join(lead, "token").where((F.col("root") != F.col("lroot")) & close)
+            placed.join(maybe_broadcast(lead), "token").where((F.col("root") != F.col("lroot")) & close)
             .select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
         )
         checked = _checked(pairs, sketches, sets, percent, f"near-star{turn}")
         found.append(checked)
-        # Follow the closest linked leader, then one step along that leader's own link.
-        hook = checked.where("linked").groupBy(F.col("b").alias("cid")).agg(F.max_by("a", F.struct("jaccard", "a")).alias("up"))
+        # Of two linked roots the less popular one hooks on the other; then every root is followed to its end.
+        place = alive.select("cid", F.struct("pop", "cid").alias("o"))
+        ends = checked.where("linked").select("a", "b")
+        for side in ("a", "b"):
+            at = state.select(F.col("cid").alias(side), F.col("root").alias("cid")).join(sent(place), "cid")
+            ends = ends.join(sent(at.select(side, F.col("o").alias(f"o_{side}"))), side)
+        hook = (
+            ends.where("o_a <> o_b")
+            .select(F.least("o_a", "o_b")["cid"].alias("root"), F.greatest("o_a", "o_b").alias("o"))
+            .groupBy("root").agg(F.max("o").alias("o")).select("root", F.col("o.cid").alias("next"))
+        )
         pivots = checked.select("b", "a", "jaccard").union(checked.select(F.col("a").alias("b"), "a", F.lit(1.0).alias("jaccard")))
         pivots = pivots.groupBy(F.col("b").alias("cid")).agg(F.max(F.struct("jaccard", "a")).alias("p"))
-        ups = state.select(F.col("cid").alias("up"), F.col("root").alias("uproot"))
-        hooked = pinned(
-            state.join(hook, "cid", "left").join(ups, "up", "left").join(pivots, "cid", "left")
-            .select("cid", F.coalesce("uproot", "root").alias("root"),
+        state = pinned(
+            state.join(sent(pivots), "cid", "left").join(sent(hook), "root", "left")
+            .select("cid", F.coalesce("next", "root").alias("root"),
                     F.when(F.col("p.jaccard") > F.col("near"), F.col("p.a")).otherwise(F.col("pivot")).alias("pivot"),
                     F.greatest(F.coalesce("p.jaccard", F.lit(0.0)), "near").alias("near")),
             f"near-hook{turn}",
         )
-        ups = hooked.select(F.col("cid").alias("root"), F.col("root").alias("uproot"))
-        state = pinned(
-            hooked.join(ups, "root", "left").select("cid", F.coalesce("uproot", "root").alias("root"), "pivot", "near"),
-            f"near-state{turn}",
-        )
+        while True:
+            ups = state.select(F.col("cid").alias("root"), F.col("root").alias("uproot"))
+            step = pinned(
+                state.join(sent(ups), "root", "left").select("cid", F.coalesce("uproot", "root").alias("root"), "pivot", "near", (F.col("uproot") != F.col("root")).alias("moved")),
+                f"near-state{turn}",
+            )
+            state = step.drop("moved")
+            if not step.where("moved").limit(1).count():
+                break
         tried = lead.select("token", "leader") if tried is None else tried.union(lead.select("token", "leader"))
 
     # What the rounds have not joined: every pair of two roots, once, at the first key both post.
-    placed = posts.select("token", "cid", "n").join(state, "cid")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = placed.join(mixed.select("token"), "token", "left_semi").join(alive.select("cid", "prefix"), "cid")
+    placed = posts.select("token", "cid", "n").join(sent(state), "cid")
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
+    open_ = placed.join(maybe_broadcast(pinned(mixed.select("token", "size"), "near-mixed")), "token")
+    open_ = open_.join(alive.select("cid", "prefix"), "cid")
     open_ = pinned(open_, "near-open")
+    dense = pinned(open_.where(F.col("size") >= DENSE).select("cid").distinct(), "near-dense")
+    open_ = open_.drop("size").join(pinned(rare_shingles(dense), "near-rare"), "cid", "left")
     other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
+    # Of the rare shingles exactly the common ones are shared, of the others at most all of the smaller set's.
+    others = F.least(F.col("n") - F.size("rare"), F.col("o_n") - F.size("o_rare"))
+    most = others + F.size(F.array_intersect("rare", "o_rare"))
+    in_reach = F.coalesce(100 * most >= percent * (F.col("n") + F.col("o_n") - most), F.lit(True))
     pairs = open_.join(
         other,
         (F.col("token") == F.col("o_token"))
@@ -238,6 +287,7 @@ def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         & (F.col("root") != F.col("o_root"))
         & (F.col("n") >= share * F.col("o_n"))
         & (F.col("o_n") >= share * F.col("n"))
+        & in_reach
         & ~(F.coalesce(F.col("pivot") == F.col("o_pivot"), F.lit(False)) & (F.abs(F.col("near") - F.col("o_near")) > 1 - share + 1e-9))
         & (F.array_intersect("prefix", "o_prefix")[0] == F.col("token")),
     ).select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
@@ -245,7 +295,7 @@ def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
-    return pinned(links.where("linked").select("a", "b"), "near-links")
+    return pinned(links.where("linked").select("a", "b").distinct(), "near-links")
 
 
 def near_duplicates(
@@ -266,16 +316,23 @@ def near_duplicates(
     if percent < 80:
         raise ValueError("similarity below 0.8 isn't covered by the match thresholds")
     rows = picked(docs, doc_id=id_col, text=text_col)
-    signed = pinned(
-        rows.mapInArrow(_signed(size), "doc_id long, n long, key binary, sig array<long>, chk binary"), "near-signed"
-    )
-    classes = pinned(
-        signed.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("key", "n", "sig", "chk").agg(F.min("doc_id").alias("rep"))
+    signed = pinned(rows.mapInArrow(_named(size), "doc_id long, n long, key binary"), "near-named")
+    owners = pinned(
+        signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
         .withColumn("cid", F.monotonically_increasing_id()),
-        "near-classes",
+        "near-owners",
     )
-    posts = classes.select("cid", F.explode("sig").alias("token"))
+
+    def of_owners(classes: DataFrame, make, fields, ddl: str) -> DataFrame:
+        classes = maybe_broadcast(classes.select(F.col("rep").alias("doc_id"), "cid", "key"))
+        texts = rows.join(classes, "doc_id").select("cid", "key", "text")
+        return texts.mapInArrow(_of_owners(size, make, fields), ddl)
+
+    signatures = of_owners(
+        owners, sketch, [("sig", pa.list_(pa.int64())), ("data", pa.binary())], "cid long, sig array<long>, data binary"
+    )
+    signatures = _once(signatures, "near-signatures")
+    posts = signatures.select("cid", F.explode("sig").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     listed = (
         posts.join(shared, "token")
@@ -288,26 +345,32 @@ def near_duplicates(
             F.slice(F.col("ts.token"), F.lit(1), F.size("ts") - MATCHES + 1).alias("prefix"),
         )
     )
-    alive = pinned(listed.join(classes.select("cid", "rep", "key", "n"), "cid"), "near-alive")
+    alive = pinned(listed.join(owners, "cid"), "near-alive")
     sketches = pinned(
-        classes.select("cid", "sig", "chk").join(maybe_broadcast(alive.select("cid")), "cid", "left_semi"), "near-sketches"
+        signatures.select("cid", "data").join(maybe_broadcast(alive.select("cid")), "cid", "left_semi"), "near-sketches"
     )
-    owners = maybe_broadcast(alive.select(F.col("rep").alias("doc_id"), "cid", "key"))
-    sets = pinned(
-        rows.join(owners, "doc_id").select("cid", "key", "text").mapInArrow(_sets(size), "cid long, shingles binary")
-        .dropDuplicates(["cid"]),
-        "near-sets",
-    )
-    links = _near_links(alive.drop("key"), sketches, sets, percent)
+    sets = of_owners(alive, _short, [("data", pa.binary()), ("n", pa.int64())], "cid long, data binary, n long")
+
+    def rare_shingles(ids: DataFrame) -> DataFrame:
+        short = alive.where(F.col("n") <= RARE_SIZE).join(ids, "cid", "left_semi")
+        texts = of_owners(short, lambda s: (s.view(np.int64),), [("hs", pa.list_(pa.int64()))], "cid long, hs array<long>")
+        flat = pinned(texts.select("cid", F.explode("hs").alias("h")).distinct(), "near-flat")
+        few = flat.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+        listed = flat.join(few, "h").groupBy("cid").agg(F.collect_list("h").alias("rare"))
+        return short.select("cid").join(listed, "cid", "left").select("cid", F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
+
+    links = _near_links(alive.drop("key"), sketches, _once(sets, "near-sets"), percent, rare_shingles)
+    classes = owners
 
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("n_links"))
     labels = components(links, "near-components")
     joined = labels.join(classes.select(F.col("cid").alias("node"), "key", "rep"), "node").join(
         degree.withColumnRenamed("cid", "node"), "node", "left"
     )
+    joined = pinned(joined, "near-joined")
     lowest = joined.groupBy("label").agg(F.min("rep").alias("lowest"))
-    by_key = joined.join(lowest, "label").select("key", "lowest", "n_links")
-    placed = classes.select("key", "rep").join(by_key, "key", "left")
+    by_key = pinned(joined.join(lowest, "label").select("key", "lowest", "n_links"), "near-lowest")
+    placed = classes.select("key", "rep").join(maybe_broadcast(by_key), "key", "left")
     placed = placed.select("key", F.coalesce("lowest", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     named = signed.select("doc_id", F.col("n").alias("n_shingles"), "key")
     out = named.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed, "key").select("doc_id", "n_shingles", "component_id", "n_links")
