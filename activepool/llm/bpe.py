@@ -5,7 +5,8 @@
 2. A shard's words travel as one sorted block for each word bucket (a hash of the word), so all shards
    meet a word in one bucket, where it is encoded once. A word that is in every text still is one entry
    for each shard.
-3. The ids come back as blocks in the same order, and each word position takes its ids by number.
+3. The ids come back as blocks in the same order, and each word position takes its ids by number. The
+   texts are written in buckets of the shard, so they are not shuffled for that.
    Decoding joins ids with the id-to-piece table, whose size is that of the vocabulary.
 
 Blocks instead of rows keep word, position and ids at a few bytes each through both shuffles.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -25,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from activepool.llm.common import bounded, picked
-from activepool.session import pinned
+from activepool.session import scratch_path
 
 #: A shard ends at this many words or distinct words.
-SHARD_WORDS = 8_000_000
+SHARD_WORDS = 3_000_000
 SHARD_DISTINCT = 1_000_000
 
 #: Fixed value: the splitting pattern of byte-level BPE, with letters and digits as Python's re names them.
@@ -70,7 +72,7 @@ class _Splitter:
         self.text, self.library = text, None
 
     def plain(self, text: str) -> list[str]:
-        if text.isascii() and "\x00" not in text or not AGREED.search(text):
+        if not AGREED.search(text):
             return WORD.findall(text)
         if self.library is None:
             self.library = _load(self.text).pre_tokenizer
@@ -221,6 +223,16 @@ def _joined(texts: pa.Table, blocks: pa.Table) -> pa.Table:
     return pa.Table.from_batches(batches, schema=_IDS)
 
 
+def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """``df`` written in buckets of ``by`` and read back: what is grouped by it later need not be shuffled."""
+    spark = df.sparkSession
+    name = f"bpe_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).option("path", scratch_path(spark, "bpe-split")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay where the path says
+    return table
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: what the tokenizer file encodes the whole text to, no tokens added.
 
@@ -230,7 +242,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     text = tokenizer_json(path)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    split = pinned(picked(docs, doc_id=id_col, text=text_col).mapInArrow(_split(text, buckets), _SPLIT_DDL), "bpe-split")
+    split = picked(docs, doc_id=id_col, text=text_col).mapInArrow(_split(text, buckets), _SPLIT_DDL)
+    split = _bucketed(split, "shard", buckets)
     words = (
         split.where("kind = 1").select("shard", "bucket", "data")
         .groupBy("bucket").applyInArrow(_encoded_bucket(text), "shard long, bucket int, lens binary, ids binary")
