@@ -167,6 +167,24 @@ def _summed(batches):
         yield rows(*kept)
 
 
+def _binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Binomial numbers from hashes: by inversion where few are expected, else rounded normal ones."""
+    u, out = uniform(draw), np.zeros(len(n))
+    few = n * p < 10
+    odds = p / np.maximum(1 - p, 1e-12)
+    chance = np.where(few, np.exp(n * np.log1p(-np.minimum(p, 1 - 1e-12))), 1.0)
+    upto = chance.copy()
+    for k in range(60):
+        more = few & (u > upto) & (out < n)
+        if not more.any():
+            break
+        out[more] += 1
+        chance = chance * (n - k) / (k + 1) * odds
+        upto = upto + np.maximum(chance, 0)
+    z = np.sqrt(-2 * np.log(uniform(mix64(draw + np.uint64(1))))) * np.cos(2 * np.pi * uniform(mix64(draw + np.uint64(2))))
+    return np.where(few, out, np.clip(np.rint(n * p + np.sqrt(n * p * (1 - p)) * z), 0, n))
+
+
 def reseat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
     """Tables of each dish after its customers are seated one by one; ``weight`` is that of a new table."""
     tables = np.minimum(customers, 1).astype(np.float64)
@@ -178,12 +196,8 @@ def reseat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.n
         a, t = weight[active], tables[active]
         p = a / (a + np.maximum(seated + (left - 1) / 2 - discount * t, 1e-9))
         step += 1
-        draw = mix64(key[active] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
-        if m == 1:
-            new = uniform(draw) < p
-        else:
-            z = np.sqrt(-2 * np.log(uniform(draw))) * np.cos(2 * np.pi * uniform(mix64(draw + np.uint64(1))))
-            new = np.clip(np.floor(left * p + np.sqrt(left * p * (1 - p)) * z + uniform(mix64(draw + np.uint64(2)))), 0, left)
+        draw = mix64(key[active] + np.array(step, np.uint64) * np.array(0x9E3779B97F4A7C15, np.uint64))
+        new = (uniform(draw) < p).astype(np.float64) if m == 1 else _binomial(left, p, draw)
         tables[active] = t + new
         seated += m
         active = active[customers[active] > seated]

@@ -154,7 +154,7 @@ LANGUAGES = {
 
 def test_language_identification(spark):
     rng = random.Random(3)
-    rows = [(i, sentence(rng, LANGUAGES[n], rng.randrange(3, 30)), n) for i, n in enumerate(list(LANGUAGES) * 80)]
+    rows = [(i, sentence(rng, LANGUAGES[n], rng.randrange(3, 30)), n) for i, n in enumerate(rng.choices(list(LANGUAGES), k=400))]
     rows += [(1000, None, "en"), (1001, "", None), (1002, "123 ... 45", "de"), (1003, "the house", None), (1003, "the house", None), (None, "la casa", "es")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     found = langid.identify_held_out(df, lambda d: d % 5 != 0).collect()
