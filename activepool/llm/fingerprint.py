@@ -192,7 +192,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = ordered.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000) if parts > 1 else F.lit(None)).first()[0]
-    splits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     keyed = ordered.withColumn("key", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
     ranged = Bucketizer(splits=splits, inputCol="key", outputCol="range", handleInvalid="keep").transform(keyed)
     # The least (id, text) of each range: one row a range.
