@@ -136,7 +136,7 @@ def _split(text: str, buckets: int):
         return pa.RecordBatch.from_pylist([dict(zip(_SPLIT.names, x)) for x in items], schema=_SPLIT)
 
     def run(batches):
-        split, numbers, seen = _Splitter(text), _Numbers(), 0
+        split, numbers, seen, held = _Splitter(text), _Numbers(), 0, False
         shard = TaskContext.get().partitionId() << 32
 
         def flush():
@@ -160,10 +160,11 @@ def _split(text: str, buckets: int):
             seen += sum(lens)
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             yield rows((shard, 0, -1, ids, lens, _packed(np.concatenate(codes))))
+            held = True
             if seen >= SHARD_WORDS or len(numbers) >= SHARD_DISTINCT:
                 yield from flush()
-                numbers, seen, shard = _Numbers(), 0, shard + 1
-        if numbers or seen:
+                numbers, seen, shard, held = _Numbers(), 0, shard + 1, False
+        if held:  # empty texts only, perhaps
             yield from flush()
 
     return run
