@@ -72,16 +72,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), f"{name}-edges"
     )
     labels = pinned(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), name)
+    few = labels.count() <= BROADCAST_IDS
+    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     while True:
         near = (
-            edges.join(labels, edges.b == labels.node)
+            edges.join(sent(labels.select(F.col("node").alias("b"), "label")), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        lower = near.join(sent(labels), "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
         step = pinned(
-            lower.join(jump, "low", "left").select(
+            lower.join(sent(jump), "low", "left").select(
                 "node", F.least("low", F.coalesce("further", "low")).alias("new"), "label"
             ),
             name,

@@ -8,9 +8,9 @@ below 1e-5, so with the keys of a class ordered from the rarest, only its first
 of one class only take places of the prefix and are never posted, so documents without a near copy
 leave at once, and keys that very many unrelated documents share fall behind the prefix.
 
-Lists are merged with skipping. In each of a few rounds every list is paired with its most popular
-document whose group was not tried yet (popularity: how many postings its keys have; the origin of a
-group of copies comes first). Then each pair still open is met once, at the first key both post. A pair
+Lists are merged with skipping. First every list is paired with its most popular document (popularity: how
+many postings its keys have; the origin of a group of copies comes first), and lists of which that reached
+less than half have up to two more such rounds. Then each pair still open is met once, at the first key both post. A pair
 is skipped when links found earlier join both already (only components are asked for), when sizes or the
 rare shingles that both do not share rule the threshold out, or when the distances to one pivot differ by
 too much (Jaccard distance is a metric). Collisions of the other pairs are counted over all coordinates,
@@ -40,8 +40,8 @@ ALL_MATCHES = 174
 STAR_ROUNDS = 3
 #: Documents in lists of at least DENSE have their rare shingles (in at most RARE of them) listed before they
 #: are paired; sets over RARE_SIZE are paired without.
-DENSE = 64
-RARE = 40
+DENSE = 128
+RARE = 96
 RARE_SIZE = 2_000
 
 _SEEDS = mix64(np.arange(1, POSTED + CHECKED + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -215,6 +215,7 @@ def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
     state = alive.select(
         "cid", F.col("cid").alias("root"), F.lit(None).cast("long").alias("pivot"), F.lit(0.0).alias("near")
     )
+    sizes = pinned(posts.groupBy("token").agg(F.count("*").alias("size")), "near-sizes")
     found, tried = [], None
     close = (F.col("n") >= share * F.col("ln")) & (F.col("ln") >= share * F.col("n"))
     for turn in range(STAR_ROUNDS):
@@ -224,10 +225,12 @@ def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
             roots = state.select(F.col("cid").alias("leader"), "root")
             done = pinned(tried.join(sent(roots), "leader").select("token", "root").distinct(), f"near-done{turn}")
             rest = placed.join(maybe_broadcast(done), ["token", "root"], "left_anti")
+        elected = rest.groupBy("token").agg(F.max(F.struct("pop", "cid", "n", "root")).alias("m"), F.count("*").alias("left"))
+        if tried is not None:
+            # Another leader only where those before reached less than half of the list.
+            elected = elected.join(maybe_broadcast(sizes), "token").where(2 * F.col("left") > F.col("size"))
         lead = pinned(
-            rest.groupBy("token")
-            .agg(F.max(F.struct("pop", "cid", "n", "root")).alias("m"))
-            .select("token", F.col("m.cid").alias("leader"), F.col("m.n").alias("ln"), F.col("m.root").alias("lroot")),
+            elected.select("token", F.col("m.cid").alias("leader"), F.col("m.n").alias("ln"), F.col("m.root").alias("lroot")),
             f"near-lead{turn}",
         )
         pairs = (
@@ -236,35 +239,33 @@ def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         )
         checked = _checked(pairs, sketches, sets, percent, f"near-star{turn}")
         found.append(checked)
-        # Of two linked roots the less popular one hooks on the other; then every root is followed to its end.
+        # Of two linked roots the less popular one hooks on the other; hooks are followed to their end.
         place = alive.select("cid", F.struct("pop", "cid").alias("o"))
         ends = checked.where("linked").select("a", "b")
         for side in ("a", "b"):
             at = state.select(F.col("cid").alias(side), F.col("root").alias("cid")).join(sent(place), "cid")
             ends = ends.join(sent(at.select(side, F.col("o").alias(f"o_{side}"))), side)
-        hook = (
+        hook = pinned(
             ends.where("o_a <> o_b")
-            .select(F.least("o_a", "o_b")["cid"].alias("root"), F.greatest("o_a", "o_b").alias("o"))
-            .groupBy("root").agg(F.max("o").alias("o")).select("root", F.col("o.cid").alias("next"))
+            .select(F.least("o_a", "o_b")["cid"].alias("low"), F.greatest("o_a", "o_b").alias("o"))
+            .groupBy("low").agg(F.max("o").alias("o")).select("low", F.col("o.cid").alias("high")),
+            f"near-hook{turn}",
         )
+        while True:
+            further = hook.select(F.col("low").alias("high"), F.col("high").alias("further"))
+            step = pinned(hook.join(sent(further), "high", "left").select("low", F.coalesce("further", "high").alias("high"), F.col("further").isNotNull().alias("moved")), f"near-hook{turn}")
+            hook = step.select("low", "high")
+            if not step.where("moved").limit(1).count():
+                break
         pivots = checked.select("b", "a", "jaccard").union(checked.select(F.col("a").alias("b"), "a", F.lit(1.0).alias("jaccard")))
         pivots = pivots.groupBy(F.col("b").alias("cid")).agg(F.max(F.struct("jaccard", "a")).alias("p"))
         state = pinned(
-            state.join(sent(pivots), "cid", "left").join(sent(hook), "root", "left")
-            .select("cid", F.coalesce("next", "root").alias("root"),
+            state.join(sent(pivots), "cid", "left").join(sent(hook), F.col("root") == F.col("low"), "left")
+            .select("cid", F.coalesce("high", "root").alias("root"),
                     F.when(F.col("p.jaccard") > F.col("near"), F.col("p.a")).otherwise(F.col("pivot")).alias("pivot"),
                     F.greatest(F.coalesce("p.jaccard", F.lit(0.0)), "near").alias("near")),
-            f"near-hook{turn}",
+            f"near-state{turn}",
         )
-        while True:
-            ups = state.select(F.col("cid").alias("root"), F.col("root").alias("uproot"))
-            step = pinned(
-                state.join(sent(ups), "root", "left").select("cid", F.coalesce("uproot", "root").alias("root"), "pivot", "near", (F.col("uproot") != F.col("root")).alias("moved")),
-                f"near-state{turn}",
-            )
-            state = step.drop("moved")
-            if not step.where("moved").limit(1).count():
-                break
         tried = lead.select("token", "leader") if tried is None else tried.union(lead.select("token", "leader"))
 
     # What the rounds have not joined: every pair of two roots, once, at the first key both post.
