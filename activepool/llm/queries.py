@@ -159,7 +159,21 @@ def op8(spark, folder):
     return fingerprint.compare_edited(table(spark, folder, "documents"))
 
 
-@query("op9_chat_formatting")
+CHAT = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(role) + length(regexp_replace(role, '[^\\\\#<:]', '', 'g')) + length(text)
+    + length(regexp_replace(text, '[^\\\\#<]', '', 'g')) + length('### : </turn>') + 1 AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::bigint AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+@query("op9_chat_formatting", CHAT)
 def op9(spark, folder):
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
