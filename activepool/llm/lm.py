@@ -1,22 +1,23 @@
 """Language-model scoring with a hierarchical Pitman-Yor model, fitted by Gibbs sampling on Spark.
 
-Tokens are lower-cased words and one end for each text. A token's context is the last byte of the word
-before it; every context is a restaurant, all share the root restaurant as their parent, and the root's
-base is the smoothed unigram distribution. A restaurant seats each token as a customer: at a table that
-serves its word already (weight: customers there less the discount) or at a new one (weight: strength
-plus discount times tables, times the parent's probability); every new table is a customer of the parent.
-
-The corpus statistics are one row for each word of the whole corpus, with its count in each context. One
-Gibbs sweep empties and reseats the customers of every (context, word) given all else as the sweep before
-left it, then those of every word in the root. What a sweep needs of the others are only the customers
-and tables of each context and of the root (257 numbers of each kind), so a sweep is one pass over the
-word rows and a small sum. Draws are hashes of (word, context, sweep, customer), so a pass repeats the
-sweeps before it exactly and no seating is stored. Customers after the 32nd of a word are seated in blocks
-that grow by an eighth. Predictive probabilities are averaged over the sweeps after the burn-in.
-
-Texts never move: a shard (a bounded run of rows of one task) posts its words with the documents and
-contexts they occur in, the postings meet the probabilities of their word, and sums for each shard come
-back.
+Tokens are lower-cased words and one end for each text. A token's context is the whole word before it (its
+64-bit hash; the start of the text for the first); every context is a restaurant, all share the root
+restaurant as their parent, and the root's base is the smoothed unigram distribution. A restaurant seats
+each token as a customer: at a table that serves its word already (weight: customers there less the
+discount) or at a new one (weight: strength plus discount times tables, times the parent's probability);
+every new table is a customer of the parent.
+
+The corpus statistics are one row for each distinct (context, word), summed from blocks that each shard
+deals out by the pair's hash, so no context and no word is held by a task. One Gibbs sweep empties and
+reseats the customers of every (context, word) given all else as the sweep before left it, then those of
+every word in the root. A pair seen once has one table for good, and so has a word of one context and one
+table: sweeps touch the others only. Tables are summed by context and by word with partial aggregates and
+joined back. Draws are hashes of (word, context, sweep, customer), the same on every partitioning.
+Customers after the 32nd of a word are seated in blocks that grow by an eighth. Predictive probabilities
+are averaged over the sweeps after the burn-in.
+
+Texts never move: a shard (a bounded run of rows of one task) posts its pairs with the documents they
+occur in, the postings meet the probabilities of their pair, and sums for each shard come back.
 """
 
 from __future__ import annotations
@@ -27,28 +28,28 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from activepool.llm.common import bounded, mix64, picked, texts_of, uniform
+from activepool.llm.common import bounded, maybe_broadcast, mix64, picked, texts_of, uniform
 from activepool.session import pinned
 
-CONTEXTS = 257  # the last byte of the word before, or the start of the text
-START = 256
+#: The context of a text's first token; no word is empty.
+START = xxhash.xxh3_64_intdigest(b"")
 SHARD_WORDS = 4_000_000
 SHARD_DOCS = 65_000
 BURN_IN, KEPT = 3, 4
 STRENGTH = 1.0
 #: Sums of at most this many documents are held by a task before they are passed on.
 HELD_DOCS = 2_000_000
+#: Pairs that a task collects before it deals them out in blocks.
+HELD_PAIRS = 1_000_000
 
-_ENTRY = np.dtype([("ctx", "<u2"), ("n", "<u4")])
-_POST = np.dtype([("ctx", "<u2"), ("doc", "<u2"), ("n", "u1")])
-_LOGP = np.dtype([("ctx", "<u2"), ("logp", "<f8")])
-
-#: kind 0: the documents of a shard; kind 1: a word of a shard.
+#: kind 0: the documents of a shard; kind 1: its pairs of a bucket, with ``k`` postings (doc, m) each.
 _POSTED = pa.schema(
     [("shard", pa.int64()), ("kind", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-     ("lens", pa.list_(pa.int32())), ("w", pa.int64()), ("counts", pa.binary()), ("posts", pa.binary())]
+     ("lens", pa.list_(pa.int32())), ("bucket", pa.int32()), ("c", pa.binary()), ("w", pa.binary()), ("n", pa.binary()),
+     ("k", pa.binary()), ("doc", pa.binary()), ("m", pa.binary())]
 )
-_POSTED_DDL = "shard long, kind int, doc_ids array<long>, held array<boolean>, lens array<int>, w long, counts binary, posts binary"
+_POSTED_DDL = """shard long, kind int, doc_ids array<long>, held array<boolean>, lens array<int>, bucket int, c binary, w binary,
+n binary, k binary, doc binary, m binary"""
 
 
 class _Numbers(dict):
@@ -57,114 +58,95 @@ class _Numbers(dict):
         return number
 
 
-def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary array whose items are the runs of ``data`` that end at ``ends``."""
-    offsets = np.concatenate([[0], ends * data.dtype.itemsize]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+def _pair(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The 64-bit name of a (context, word)."""
+    return mix64(mix64(w.view(np.uint64)) + c.view(np.uint64))
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.empty(0, np.int64)
 
 
-def _flat(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The items of a binary array one after the other, and how many each row has."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return np.frombuffer(data.tobytes(), dtype), np.diff(offsets) // dtype.itemsize
+def _joined(rows: pa.Table, name: str, dtype) -> np.ndarray:
+    """The arrays of a binary column, one after the other."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in rows.column(name)] or [np.empty(0, dtype)])
 
 
-def _posted(batches):
-    """Words of each shard with their contexts, documents and counts."""
-    base = TaskContext.get().partitionId() << 32
+def _posted(buckets: int):
+    """Pairs of each shard with their documents and counts, dealt out to ``buckets`` by the pair's name."""
 
     def flush(shard, numbers, codes, lens, ids, held):
         end = numbers[b"\n"]  # not a word: the end of a text
-        names = list(numbers)
-        last = np.fromiter((w[-1] for w in names), np.int64, len(names))
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names)).view(np.int64)
+        size = len(numbers)
+        hashes = np.fromiter((*map(xxhash.xxh3_64_intdigest, numbers), START), np.uint64, size + 1).view(np.int64)
         lens = np.array(lens, np.int64)
         tokens = np.concatenate([np.append(c, end) for c in codes]).astype(np.int64)
-        ctx = np.empty_like(tokens)
-        ctx[1:] = last[tokens[:-1]]
-        first = np.cumsum(lens) - lens
-        ctx[first] = START
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[np.cumsum(lens) - lens] = size
         doc = np.repeat(np.arange(len(lens)), lens)
-        key = ((tokens << 9 | ctx) << 16) | doc
+        pairs, at = np.unique(before * size + tokens, return_inverse=True)
+        c, w = hashes[pairs // size], hashes[pairs % size]
+        bucket = (_pair(c, w) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((w, c, bucket))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        c, w, bucket = c[order], w[order], bucket[order]
+        key = place[at.reshape(-1)] << 16 | doc
         key.sort()
-        at = np.concatenate([[True], key[1:] != key[:-1]])
-        key, n = key[at], np.diff(np.append(np.nonzero(at)[0], len(key)))
-        word, c, d = key >> 25, (key >> 16) & 511, key & 65535
+        first = _starts(key)
+        key, m = key[first], np.diff(np.append(first, len(key)))
+        pair, d = key >> 16, key & 65535
+        # Counts of learning documents by pair.
         trained = ~np.array(held, bool)
-        # Counts of learning documents by (word, context).
-        at = np.nonzero(np.concatenate([[True], key[1:] >> 16 != key[:-1] >> 16]))[0]
-        counts = np.zeros(len(at), _ENTRY)
-        counts["ctx"], counts["n"] = c[at], np.add.reduceat(n * trained[d], at)
-        ends = np.searchsorted(word[at], np.arange(len(names)), side="right")
+        n = np.add.reduceat(m * trained[d], _starts(pair))
         # A count over 255 is posted as several entries.
-        more = (n + 254) // 255
-        posts = np.zeros(more.sum(), _POST)
-        posts["ctx"], posts["doc"], posts["n"] = np.repeat(c, more), np.repeat(d, more), 255
-        tail = np.cumsum(more) - 1
-        posts["n"][tail] = n - 255 * (more - 1)
-        post_ends = np.searchsorted(np.repeat(word, more), np.arange(len(names)), side="right")
-        count_column, post_column = _cut(counts, ends), _cut(posts, post_ends)
-        size = len(names)
-        for start in range(0, size, 20_000):
-            m = min(20_000, size - start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, shard)), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.list_(pa.int64())),
-                 pa.nulls(m, pa.list_(pa.bool_())), pa.nulls(m, pa.list_(pa.int32())), pa.array(hashes[start : start + m]),
-                 count_column.slice(start, m), post_column.slice(start, m)], schema=_POSTED)
+        more = (m + 254) // 255
+        pair, d, tail = np.repeat(pair, more), np.repeat(d, more), np.cumsum(more) - 1
+        rest = m - 255 * (more - 1)
+        m = np.full(len(d), 255)
+        m[tail] = rest
+        k = np.bincount(pair, minlength=len(c))
+        starts = _starts(bucket)
+        posts = np.concatenate([[0], np.cumsum(k)])
+        none = {"doc_ids": None, "held": None, "lens": None}
+        for a, b in zip(starts, np.append(starts[1:], len(bucket))):
+            x, y = posts[a], posts[b]
+            yield pa.RecordBatch.from_pylist(
+                [{"shard": shard, "kind": 1, **none, "bucket": int(bucket[a]), "c": c[a:b].tobytes(), "w": w[a:b].tobytes(),
+                  "n": n[a:b].astype("<u4").tobytes(), "k": k[a:b].astype("<u4").tobytes(),
+                  "doc": d[x:y].astype("<u2").tobytes(), "m": m[x:y].astype("u1").tobytes()}], schema=_POSTED)
         yield pa.RecordBatch.from_pylist([{"shard": shard, "kind": 0, "doc_ids": ids, "held": held, "lens": lens.tolist()}], schema=_POSTED)
 
-    fresh = lambda: (_Numbers({b"\n": 0}), [], [], [], [])
-    (numbers, codes, lens, ids, held), seen, shard = fresh(), 0, base
-    for batch in bounded(batches):
-        for doc_id, out, text in zip(batch.column("doc_id"), batch.column("held"), texts_of(batch.column("text"))):
-            words = text.lower().split() if text else []
-            codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            lens.append(len(words) + 1)
-            ids.append(doc_id.as_py())
-            held.append(out.as_py())
-            seen += lens[-1]
-            if seen >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
-                yield from flush(shard, numbers, codes, lens, ids, held)
-                (numbers, codes, lens, ids, held), seen, shard = fresh(), 0, shard + 1
-    if ids:
-        yield from flush(shard, numbers, codes, lens, ids, held)
-
-
-_WORDS = pa.schema([("w", pa.int64()), ("counts", pa.binary())])
-
-
-def _summed(batches):
-    """Rows sorted by word become one row for each word, with its count in each context."""
-
-    def rows(w, ctx, n):
-        key = np.lexsort((ctx, w))
-        w, ctx, n = w[key], ctx[key], n[key]
-        at = np.nonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1])]))[0]
-        counts = np.zeros(len(at), _ENTRY)
-        counts["ctx"], counts["n"] = ctx[at], np.add.reduceat(n, at)
-        w = w[at]
-        ends = np.append(np.nonzero(w[1:] != w[:-1])[0] + 1, len(w))
-        return pa.RecordBatch.from_arrays([pa.array(w[ends - 1]), _cut(counts, ends)], schema=_WORDS)
-
-    none = np.empty(0, np.int64)
-    kept = (none, none, none)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        flat, times = _flat(batch.column("counts"), _ENTRY)
-        w = np.repeat(np.asarray(batch.column("w")), times)
-        w, ctx, n = (np.concatenate(x) for x in zip(kept, (w, flat["ctx"].astype(np.int64), flat["n"].astype(np.int64))))
-        last = w == w[-1]
-        if not last.all():
-            yield rows(w[~last], ctx[~last], n[~last])
-        # The last word may go on in the next batch: it waits as one count for each context.
-        held = np.bincount(ctx[last], weights=n[last], minlength=CONTEXTS).astype(np.int64)
-        seen = np.unique(ctx[last])
-        kept = (np.full(len(seen), w[-1]), seen, held[seen])
-    if len(kept[0]):
-        yield rows(*kept)
+    def run(batches):
+        base = TaskContext.get().partitionId() << 32
+        fresh = lambda: (_Numbers({b"\n": 0}), [], [], [], [])
+        (numbers, codes, lens, ids, held), seen, shard = fresh(), 0, base
+        for batch in bounded(batches):
+            for doc_id, out, text in zip(batch.column("doc_id"), batch.column("held"), texts_of(batch.column("text"))):
+                words = text.lower().split() if text else []
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                lens.append(len(words) + 1)
+                ids.append(doc_id.as_py())
+                held.append(out.as_py())
+                seen += lens[-1]
+                if seen >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
+                    yield from flush(shard, numbers, codes, lens, ids, held)
+                    (numbers, codes, lens, ids, held), seen, shard = fresh(), 0, shard + 1
+        if ids:
+            yield from flush(shard, numbers, codes, lens, ids, held)
+
+    return run
+
+
+def _summed(blocks: pa.Table) -> pa.Table:
+    """One row for each (context, word) of a bucket, with its count."""
+    c, w, n = _joined(blocks, "c", "<i8"), _joined(blocks, "w", "<i8"), _joined(blocks, "n", "<u4").astype(np.int64)
+    order = np.lexsort((w, c))
+    c, w, n = c[order], w[order], n[order]
+    at = np.nonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))[0]
+    return pa.table({"c": c[at], "w": w[at], "n": np.add.reduceat(n, at)})
 
 
 def _binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -204,155 +186,105 @@ def reseat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.n
     return tables
 
 
-class Seating:
-    """What a task needs to repeat the sweeps: corpus totals and the counts that each sweep left."""
-
-    def __init__(self, tokens: int, words: int, customers: np.ndarray, kinds: np.ndarray, discount: float, root_discount: float):
-        self.tokens, self.words = tokens, words
-        self.customers, self.discount, self.root_discount = customers, discount, root_discount
-        self.tables = [kinds.astype(np.float64)]  # of each context, by sweep; at first one for each word
-        self.root = [(float(kinds.sum()), float(max(words, 1)))]  # customers and tables of the root
-
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.1) / (self.tokens + 0.1 * (self.words + 1))
-
-    def sweep(self, w: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray, rows: int, sweeps: int):
-        """Yields (tables by entry, root customers, root tables, root probability by row) of each sweep."""
-        total = np.bincount(row, weights=n, minlength=rows)
-        base = self.base(total)
-        p_root = base
-        d, d0 = self.discount, self.root_discount
-        key = mix64(w.astype(np.uint64))
-        entry = mix64(key[row] + ctx.astype(np.uint64) + np.uint64(1))
-        for s in range(sweeps):
-            mark = np.uint64(s + 1) * np.uint64(0xD1342543DE82EF95)
-            t = reseat(n, (STRENGTH + d * self.tables[s][ctx]) * p_root[row], d, entry + mark)
-            c0, t0 = self.root[s]
-            customers = np.bincount(row, weights=t, minlength=rows)
-            tables = reseat(customers.astype(np.int64), (STRENGTH + d0 * t0) * base, d0, key + mark)
-            p_root = np.maximum(customers - d0 * tables, 0) + (STRENGTH + d0 * t0) * base
-            p_root = p_root / (STRENGTH + c0)
-            yield t, customers, tables, p_root
-
-
-def _entries(batch: pa.RecordBatch):
-    flat, times = _flat(batch.column("counts"), _ENTRY)
-    row = np.repeat(np.arange(batch.num_rows), times)
-    return np.asarray(batch.column("w")), row, flat["ctx"].astype(np.int64), flat["n"].astype(np.int64)
-
-
-_TOTALS = pa.schema([("name", pa.string()), ("ctx", pa.int32()), ("value", pa.float64())])
-
-
-def _totals(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
-    names = np.repeat(list(sums), [len(v) for v in sums.values()])
-    at = np.concatenate([np.arange(len(v)) for v in sums.values()])
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(at, pa.int32()), pa.array(np.concatenate(list(sums.values())))], schema=_TOTALS)
-
-
-def _counted(batches):
-    """Corpus totals: tokens, distinct words, words seen once or twice (also by context), by context."""
-    customers, kinds = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    rest = np.zeros(6)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, row, ctx, n = _entries(batch)
-        total = np.bincount(row, weights=n, minlength=batch.num_rows)
-        customers += np.bincount(ctx, weights=n, minlength=CONTEXTS)
-        kinds += np.bincount(ctx, weights=n > 0, minlength=CONTEXTS)
-        rest += [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum(), (n == 1).sum(), (n == 2).sum()]
-    yield _totals({"customers": customers, "kinds": kinds, "rest": rest})
-
-
-def _swept(seating: Seating):
+def _base(count, tokens: int, words: int):
+    """The smoothed unigram probability (of arrays and of columns)."""
+    return (count + 0.1) / (tokens + 0.1 * (words + 1))
+
+
+_SEATED = "c long, w long, n long, t double, sum double"
+
+
+def _swept(sweep: int, discount: float):
+    """Reseats the customers of each (context, word); ``sum`` adds up its tables after the burn-in."""
+    mark = np.uint64((sweep + 1) * 0xD1342543DE82EF95 % 2**64)
+
     def run(batches):
-        tables, root = np.zeros(CONTEXTS), np.zeros(2)
-        sweeps = len(seating.tables)
         for batch in batches:
-            if batch.num_rows:
-                w, row, ctx, n = _entries(batch)
-                for t, customers, root_tables, _ in seating.sweep(w, row, ctx, n, batch.num_rows, sweeps):
-                    pass
-                tables += np.bincount(ctx, weights=t, minlength=CONTEXTS)
-                root += [customers.sum(), root_tables.sum()]
-        yield _totals({"tables": tables, "root": root})
+            c, w, n, t, total, tables, p = (np.asarray(batch.column(x)) for x in ("c", "w", "n", "t", "sum", "tables", "p"))
+            t = reseat(n, (STRENGTH + discount * tables) * p, discount, mix64(_pair(c, w) + np.uint64(1)) + mark)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (c, w, n, t, total + t * (sweep >= BURN_IN)))], names=["c", "w", "n", "t", "sum"])
 
     return run
 
 
-_PROBABLE = pa.schema([("w", pa.int64()), ("known", pa.bool_()), ("base", pa.float64()), ("logps", pa.binary())])
+_ROOT = "w long, total long, ones long, k long, t double, kept array<double>"
 
 
-def _probable(seating: Seating):
-    """Averaged predictive log probabilities of each word in each of its contexts."""
+def _rooted(sweep: int, discount: float, tables: float, tokens: int, words: int):
+    """Reseats the customers of each word in the root."""
+    mark = np.uint64((sweep + 1) * 0xD1342543DE82EF95 % 2**64)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            w, row, ctx, n = _entries(batch)
-            total = np.bincount(row, weights=n, minlength=batch.num_rows)
-            p = np.zeros(len(n))
-            sweeps = len(seating.tables) - 1
-            for s, (t, _, _, p_root) in enumerate(seating.sweep(w, row, ctx, n, batch.num_rows, sweeps)):
-                if s >= BURN_IN:
-                    tables = seating.tables[s + 1][ctx]
-                    new = (STRENGTH + seating.discount * tables) * p_root[row]
-                    p += (np.maximum(n - seating.discount * t, 0) + new) / (STRENGTH + seating.customers[ctx])
-            logps = np.zeros(len(n), _LOGP)
-            logps["ctx"], logps["logp"] = ctx, np.log10(p / (sweeps - BURN_IN))
-            ends = np.searchsorted(row, np.arange(batch.num_rows), side="right")
+            w, total, k = (np.asarray(batch.column(x)) for x in ("w", "total", "k"))
+            t = reseat(k, (STRENGTH + discount * tables) * _base(total, tokens, words), discount, mix64(w.view(np.uint64)) + mark)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("w"), pa.array(total > 0), pa.array(np.log10(seating.base(total))), _cut(logps, ends)], schema=_PROBABLE
+                [batch.column("w"), batch.column("total"), batch.column("ones"), batch.column("k"), pa.array(t), batch.column("kept")],
+                names=["w", "total", "ones", "k", "t", "kept"],
             )
 
     return run
 
 
-_SUMS = pa.schema([("shard", pa.int64()), ("docs", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
+_PROBABLE = pa.schema([("bucket", pa.int32()), ("pair", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("logp", pa.binary())])
 
 
-def _scored(batches):
-    """Sums of each shard's documents over the words of a task."""
-    held: dict[int, np.ndarray] = {}
+def _probable(buckets: int, discount: float, tokens: int, words: int):
+    """Averaged predictive log probabilities of each (context, word), in blocks of the pairs' buckets."""
 
-    def out():
-        for shard, sums in held.items():
-            at = np.nonzero(sums.any(axis=0))[0]
-            known, base, score = sums[:, at]
+    def dealt(parts):
+        pair, known, base, logp = (np.concatenate(x) for x in zip(*parts))
+        bucket = (pair % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        starts = _starts(bucket[order])
+        for a, b in zip(starts, np.append(starts[1:], len(order))):
+            i = order[a:b]
             yield pa.RecordBatch.from_pylist(
-                [{"shard": shard, "docs": at.astype("<u2").tobytes(), "known": known.astype("<u4").tobytes(),
-                  "base": base.tobytes(), "score": score.tobytes()}], schema=_SUMS)
-        held.clear()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        posts, times = _flat(batch.column("posts"), _POST)
-        logps, each = _flat(batch.column("logps"), _LOGP)
-        row = np.repeat(np.arange(batch.num_rows), times)
-        places = np.repeat(np.arange(batch.num_rows), each) * 512 + logps["ctx"]
-        logp = logps["logp"][np.searchsorted(places, row * 512 + posts["ctx"])]
-        n = posts["n"].astype(np.float64)
-        known = np.asarray(batch.column("known"))[row] * n
-        base = np.asarray(batch.column("base"))[row] * n
-        shard = np.asarray(batch.column("shard"))[row]
-        doc = posts["doc"].astype(np.int64)
-        for s in np.unique(shard):
-            at = shard == s
-            sums = held.get(s)
-            size = int(doc[at].max()) + 1
-            if sums is None or sums.shape[1] < size:
-                wider = np.zeros((3, max(size, 1024, 0 if sums is None else 2 * sums.shape[1])))
-                if sums is not None:
-                    wider[:, : sums.shape[1]] = sums
-                sums = held[s] = wider
-            for k, x in enumerate((known, base, logp * n)):
-                sums[k, :size] += np.bincount(doc[at], weights=x[at], minlength=size)
-        if sum(x.shape[1] for x in held.values()) > HELD_DOCS:
-            yield from out()
-    yield from out()
+                [{"bucket": int(bucket[i[0]]), "pair": pair[i].tobytes(), "known": known[i].tobytes(), "base": base[i].tobytes(),
+                  "logp": logp[i].tobytes()}], schema=_PROBABLE)
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, w, n, total, here, ctx_n = (np.asarray(batch.column(x)) for x in ("c", "w", "n", "total", "sum", "ctx_n"))
+            base = np.log10(_base(total, tokens, words))
+            logp = base
+            if tokens:
+                p, tables = (np.asarray(batch.column(x).flatten()).reshape(-1, KEPT) for x in ("kept", "tables"))
+                own = np.maximum(n - discount * here / KEPT, 0)
+                logp = np.log10((own + ((STRENGTH + discount * tables) * p).mean(axis=1)) / (STRENGTH + ctx_n))
+            parts.append((_pair(c, w), total > 0, base, logp))
+            size += len(c)
+            if size >= HELD_PAIRS:
+                yield from dealt(parts)
+                parts, size = [], 0
+        if parts:
+            yield from dealt(parts)
+
+    return run
+
+
+_SUMS = pa.schema([("shard", pa.int64()), ("docs", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
+
+
+def _scored(posted: pa.Table, probable: pa.Table) -> pa.Table:
+    """Sums of each shard's documents over the pairs of a bucket."""
+    pair = _joined(probable, "pair", "<u8")
+    order = np.argsort(pair)
+    pair = pair[order]
+    values = [_joined(probable, x, t)[order].astype(np.float64) for x, t in (("known", "?"), ("base", "<f8"), ("logp", "<f8"))]
+    out = []
+    for r in posted.to_pylist():
+        c, w = np.frombuffer(r["c"], "<i8"), np.frombuffer(r["w"], "<i8")
+        at = np.repeat(np.searchsorted(pair, _pair(c, w)), np.frombuffer(r["k"], "<u4"))
+        doc, m = np.frombuffer(r["doc"], "<u2").astype(np.int64), np.frombuffer(r["m"], "u1")
+        docs = np.unique(doc)
+        known, base, score = (np.bincount(doc, weights=x[at] * m)[docs] for x in values)
+        out.append({"shard": r["shard"], "docs": docs.astype("<u2").tobytes(), "known": np.rint(known).astype("<u4").tobytes(),
+                    "base": base.tobytes(), "score": score.tobytes()})
+    return pa.Table.from_pylist(out, schema=_SUMS)
 
 
 def _together(tokens: int):
@@ -374,16 +306,68 @@ def _together(tokens: int):
     return run
 
 
-def _collected(words: DataFrame, run) -> dict[str, np.ndarray]:
-    """A few hundred sums over all word rows."""
-    rows = words.mapInArrow(run, "name string, ctx int, value double").groupBy("name", "ctx").agg(F.sum("value").alias("value")).collect()
-    out: dict[str, np.ndarray] = {}
-    for name in {r["name"] for r in rows}:
-        part = [r for r in rows if r["name"] == name]
-        out[name] = np.zeros(len(part))
-        for r in part:
-            out[name][r["ctx"]] = r["value"]
-    return out
+def _dropped(df: DataFrame) -> None:
+    """Deletes the files of a written table that later ones replace."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _fitted(pairs: DataFrame, words: DataFrame, contexts: DataFrame, discount: float, root_discount: float, tokens: int, kinds: int):
+    """(pairs with the sum of their tables, words with root probabilities, contexts with tables) of the kept sweeps."""
+    none = F.array().cast("array<double>")
+    unseated = F.least("n", F.lit(1)).cast("double")
+    seated = pinned(pairs.where("n > 1").select("c", "w", "n", unseated.alias("t"), F.lit(0.0).alias("sum")), "lm-seated")
+    moves = (F.col("ones") + F.col("many") > 1) | (F.col("many") > 0)
+    k = F.col("ones") + F.col("many")
+    root = words.where(moves).select("w", "total", "ones", k.alias("k"), F.lit(1.0).alias("t"), none.alias("kept"))
+    root = pinned(root, "lm-root")
+    still = words.where(~moves).select("w", "total", "ones")
+    lone = still.agg(F.coalesce(F.sum("ones"), F.lit(0))).first()[0]  # customers and tables that stay
+    tabled = contexts.where("many > 0").select("c", "ones", (F.col("ones") + F.col("many")).cast("double").alias("t"), none.alias("kept"))
+    tabled = pinned(tabled, "lm-tabled")
+
+    def sums():
+        r = root.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("t")).first()
+        return float(r["k"] + lone), float(r["t"] + lone)
+
+    def probability(customers, tables, at):
+        share = F.lit(STRENGTH + root_discount * at[1]) * _base(F.col("total"), tokens, kinds)
+        return (customers - F.lit(root_discount) * tables + share) / F.lit(STRENGTH + at[0])
+
+    at, history = sums(), []
+    for s in range(BURN_IN + KEPT):
+        now = root.select("w", probability(F.col("k"), F.col("t"), at).alias("p"))
+        state = seated.join(maybe_broadcast(tabled.select("c", F.col("t").alias("tables"))), "c").join(maybe_broadcast(now), "w")
+        before = (seated, root, tabled)
+        seated = pinned(state.select("c", "w", "n", "t", "sum", "tables", "p").mapInArrow(_swept(s, discount), _SEATED), "lm-seated")
+        by_word = seated.groupBy("w").agg(F.sum("t").cast("long").alias("more"))
+        customers = root.join(by_word, "w", "left").select("w", "total", "ones", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("k"), "kept")
+        root = pinned(customers.mapInArrow(_rooted(s, root_discount, at[1], tokens, kinds), _ROOT), "lm-root")
+        at = sums()
+        by_context = seated.groupBy("c").agg(F.sum("t").alias("more"))
+        tabled = tabled.join(by_context, "c").select("c", "ones", (F.col("ones") + F.col("more")).alias("t"), "kept")
+        if s >= BURN_IN:
+            history.append(at)
+            tabled = tabled.withColumn("kept", F.concat("kept", F.array("t")))
+        tabled = pinned(tabled, "lm-tabled")
+        if s >= BURN_IN:
+            # Probabilities need the sums over the sweep's root, so they are kept with a second write.
+            more = F.concat("kept", F.array(probability(F.col("k"), F.col("t"), at)))
+            wider, root = root, pinned(root.withColumn("kept", more), "lm-root")
+            before += (wider,)
+        for df in before:
+            _dropped(df)
+    lonely = F.col("ones").cast("double")
+    word = root.select("w", "total", "kept").union(
+        still.select("w", "total", F.array(*[probability(lonely, lonely, at) for at in history]).alias("kept"))
+    )
+    context = contexts.join(tabled.select("c", "kept"), "c", "left").select(
+        "c", F.col("total").alias("ctx_n"), F.coalesce("kept", F.array_repeat(F.col("ones").cast("double"), KEPT)).alias("tables")
+    )
+    once = pairs.where("n <= 1").select("c", "w", "n", (KEPT * F.col("n")).cast("double").alias("sum"))
+    return once.union(seated.select("c", "w", "n", "sum")), word, context
 
 
 def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,50 +383,33 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     """
     rows = picked(docs, doc_id=id_col, text=text_col)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(True))
-    posted = pinned(rows.select("doc_id", "text", held.alias("held")).mapInArrow(_posted, _POSTED_DDL), "lm-posted")
-    by_word = posted.where("kind = 1")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = pinned(
-        by_word.select("w", "counts").repartition(parts, "w").sortWithinPartitions("w").mapInArrow(_summed, "w long, counts binary"), "lm-words"
-    )
-    totals = _collected(words, _counted)
-    if "rest" not in totals:
-        totals = {"rest": np.zeros(6), "customers": np.zeros(CONTEXTS), "kinds": np.zeros(CONTEXTS)}
-    tokens, kinds, once, twice, once_ctx, twice_ctx = totals["rest"]
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = pinned(rows.select("doc_id", "text", held.alias("held")).mapInArrow(_posted(buckets), _POSTED_DDL), "lm-posted")
+    blocks = posted.where("kind = 1")
+    pairs = pinned(blocks.select("bucket", "c", "w", "n").groupBy("bucket").applyInArrow(_summed, "c long, w long, n long"), "lm-pairs")
+    counts = [F.sum("n").alias("total"), F.expr("count_if(n = 1)").alias("ones"), F.expr("count_if(n > 1)").alias("many")]
+    words = pinned(pairs.groupBy("w").agg(*counts), "lm-words")
+    contexts = pinned(pairs.groupBy("c").agg(*counts), "lm-contexts")
+    number = lambda df, *of: [x or 0 for x in df.agg(*of).first()]
+    tokens, kinds, once, twice = number(words, F.sum("total"), F.expr("count_if(total > 0)"), F.expr("count_if(total = 1)"), F.expr("count_if(total = 2)"))
+    once_ctx, twice_ctx = number(pairs, F.expr("count_if(n = 1)"), F.expr("count_if(n = 2)"))
     share = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
-    seating = Seating(int(tokens), int(kinds), totals["customers"], totals["kinds"], share(once_ctx, twice_ctx), share(once, twice))
+    discount = share(once_ctx, twice_ctx)
     if tokens:
-        for _ in range(BURN_IN + KEPT):
-            swept = _collected(words, _swept(seating))
-            seating.tables.append(swept["tables"])
-            seating.root.append((swept["root"][0], swept["root"][1]))
-        probable = words.mapInArrow(_probable(seating), "w long, known boolean, base double, logps binary")
-    else:
-        probable = words.mapInArrow(_unlearned(seating), "w long, known boolean, base double, logps binary")
-    sums = (
-        by_word.select("w", "shard", "posts").join(probable, "w").select("shard", "posts", "known", "base", "logps")
-        .mapInArrow(_scored, "shard long, docs binary, known binary, base binary, score binary")
-    )
+        fit, word, context = _fitted(pairs, words, contexts, discount, share(once, twice), tokens, kinds)
+    else:  # without learning rows only the base is left
+        none = F.array().cast("array<double>")
+        fit = pairs.withColumn("sum", F.lit(0.0))
+        word = words.select("w", "total", none.alias("kept"))
+        context = contexts.select("c", F.col("total").alias("ctx_n"), none.alias("tables"))
+    probable = fit.join(context, "c").join(word, "w").mapInArrow(
+        _probable(buckets, discount, tokens, kinds), "bucket int, pair binary, known binary, base binary, logp binary"
+    )
+    sums = blocks.select("bucket", "shard", "c", "w", "k", "doc", "m").groupBy("bucket").cogroup(probable.groupBy("bucket")).applyInArrow(
+        _scored, "shard long, docs binary, known binary, base binary, score binary"
+    )
     documents = posted.where("kind = 0").select("shard", "doc_ids", "held", "lens")
     return documents.groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(
-        _together(int(tokens)),
+        _together(tokens),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
-
-
-def _unlearned(seating: Seating):
-    """Without learning rows only the base is left."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                _, row, ctx, _ = _entries(batch)
-                base = np.log10(seating.base(np.zeros(batch.num_rows)))
-                logps = np.zeros(len(ctx), _LOGP)
-                logps["ctx"], logps["logp"] = ctx, base[row]
-                ends = np.searchsorted(row, np.arange(batch.num_rows), side="right")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("w"), pa.array(np.zeros(batch.num_rows, bool)), pa.array(base), _cut(logps, ends)], schema=_PROBABLE
-                )
-
-    return run

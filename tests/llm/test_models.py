@@ -128,6 +128,19 @@ def test_lm_edges(spark, docs):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["score"] == r["base_score"]) for r in rows) == [(1, 0, 0, True), (3, 0, 0, True)]
 
 
+def test_lm_learns_word_pairs(spark, docs):
+    """The words before end in the same byte, and in the same byte of another character."""
+    pairs = [(i, ["new york", "few books", "новый город", "дикий берег"][i % 4]) for i in range(120)]
+    probes = {1000: "new york", 1001: "few york", 1002: "новый город", 1003: "дикий город", 1004: "unseen york"}
+    rows = lm.lm_scores(docs(pairs + [*probes.items()]), F.col("doc_id") >= 1000).collect()
+    score = {r["doc_id"]: r["score"] for r in rows}
+    assert score[1000] - score[1001] > 1 and score[1002] - score[1003] > 1
+    # york after new: 30 customers of a restaurant that serves nothing else.
+    base = {r["doc_id"]: r["base_score"] for r in rows}
+    assert all(r["n_known"] == (2 if r["doc_id"] == 1004 else 3) for r in rows)
+    assert score[1000] > base[1000] and score[1004] < score[1001]
+
+
 def test_reseat_matches_a_simulation():
     rng = np.random.default_rng(1)
     for customers, weight, d in ((1, 0.5, 0.5), (2, 0.3, 0.7), (30, 1.2, 0.6), (3000, 2.0, 0.5)):
