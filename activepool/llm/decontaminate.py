@@ -259,8 +259,13 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold an occurrence; columns unchanged, rows without id stay."""
-    hit = contamination(docs, items, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+    """``docs`` without the documents that hold an occurrence; columns unchanged, rows without id stay.
+
+    Decided by row: of an id that repeats with several texts, only those that hold an occurrence go.
+    """
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    named = docs.where(F.col(f"`{id_col}`").isNotNull()).select(row.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    hit = contamination(named, items, **options).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
     hit = maybe_broadcast(pinned(hit, "decon-hit"))
-    return docs.join(hit, F.col(f"`{id_col}`") == F.col("__hit"), "left_anti")
+    return docs.join(hit, F.col(f"`{id_col}`").isNotNull() & (row == F.col("__hit")), "left_anti")

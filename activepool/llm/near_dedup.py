@@ -96,17 +96,18 @@ def _name(s: np.ndarray) -> bytes:
 
 
 def _named(size: int):
-    """Size and name of each row's set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
+    """Size and name of each row's set; other columns than the text stay."""
 
     def run(batches):
         hashes = _WordHashes()
         for batch in bounded(batches):
             sets = [shingle_set(text, size, hashes) for text in texts_of(batch.column("text"))]
+            given = [x for x in batch.schema.names if x not in ("doc_id", "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.binary())],
-                schema=schema,
-            )
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.binary()),
+                 *[batch.column(x) for x in given]],
+                names=["doc_id", "n", "key", *given],
+            )
 
     return run
 
@@ -314,10 +315,15 @@ def near_duplicates(
     rows stay, with equal values; a row without an id is linked with nothing, has no component and is
     kept; an empty table gives an empty one.
     """
+    return _decided(picked(docs, doc_id=id_col, text=text_col), size, percent)
+
+
+def _decided(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` for ``rows(doc_id, text)``, with ``text_hash`` if they have that column."""
     if percent < 80:
         raise ValueError("similarity below 0.8 isn't covered by the match thresholds")
-    rows = picked(docs, doc_id=id_col, text=text_col)
-    signed = pinned(rows.mapInArrow(_named(size), "doc_id long, n long, key binary"), "near-named")
+    given = [c for c in rows.columns if c == "text_hash"]
+    signed = pinned(rows.mapInArrow(_named(size), ", ".join(["doc_id long, n long, key binary", *[f"{c} long" for c in given]])), "near-named")
     owners = pinned(
         signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
         .withColumn("cid", F.monotonically_increasing_id()),
@@ -373,22 +379,23 @@ def near_duplicates(
     by_key = pinned(joined.join(lowest, "label").select("key", "lowest", "n_links"), "near-lowest")
     placed = classes.select("key", "rep").join(maybe_broadcast(by_key), "key", "left")
     placed = placed.select("key", F.coalesce("lowest", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    named = signed.select("doc_id", F.col("n").alias("n_shingles"), "key")
-    out = named.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed, "key").select("doc_id", "n_shingles", "component_id", "n_links")
+    named = signed.select("doc_id", F.col("n").alias("n_shingles"), "key", *given)
+    out = named.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed, "key").select("doc_id", "n_shingles", "component_id", "n_links", *given)
     alone = named.where("n_shingles = 0 OR doc_id IS NULL").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), *given
     )
     return out.union(alone).select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links"
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links", *given
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents of which a near copy with a smaller id stays; columns unchanged.
 
-    Rows without an id stay; rows that repeat an id that stays, stay too.
+    Decided by row: of an id that repeats with several texts, only the near copies go. Rows without an id
+    stay; rows that repeat an id that stays, stay too.
     """
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("NOT kept").select("doc_id").distinct()
-    gone = pinned(gone, "near-gone").withColumnRenamed("doc_id", "__gone")
-    left = docs.join(maybe_broadcast(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    return left
+    rows = picked(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
+    gone = _decided(rows, size, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    same = (F.col(f"`{id_col}`") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    return docs.join(maybe_broadcast(pinned(gone, "near-gone")), same, "left_anti")

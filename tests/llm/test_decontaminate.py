@@ -80,3 +80,9 @@ def test_removal_keeps_columns(spark, docs):
     assert left.columns == docs([]).columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "3", "None"]
     assert hashlib  # digests are built by the query
+
+
+def test_removal_leaves_other_texts_of_an_id(spark, docs):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    left = decontaminate.without_contaminated(docs([(1, "x a b c y"), (1, "x"), (1, None), (2, "a b c"), (3, "x"), (3, "x")]), items)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(1, "x"), (1, None), (3, "x"), (3, "x")], key=repr)

@@ -113,6 +113,12 @@ def test_one_id_with_two_texts(spark, docs):
     assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
 
+def test_a_near_copy_leaves_other_texts_of_its_id(spark, docs):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    kept = near_dedup.keep_one(docs([(1, a), (5, a), (5, b), (7, b), (None, a), (5, None)])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, a), (5, b), (None, a), (5, None)], key=repr)
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(1)
     hashes = _WordHashes()
