@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from activepool.llm import bpe, chat, decontaminate, fingerprint, langid, line_dedup, lm, near_dedup, quality, url_filter
+from activepool.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    fim,
+    fingerprint,
+    langid,
+    line_dedup,
+    lm,
+    near_dedup,
+    periodic,
+    quality,
+    sentence_pieces,
+    url_filter,
+)
 from activepool.llm.common import bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,10 +41,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_minhash_near_dedup")
@@ -208,3 +222,61 @@ FROM docs d LEFT JOIN stay s ON s.doc_id = d.doc_id AND s.text = d.text"""
 def op10(spark, folder):
     cleaned = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+MIDDLES = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+cuts AS (
+  SELECT *, least(('0x' || substr(h, 1, 8))::ubigint % (len(w) + 1), ('0x' || substr(h, 9, 8))::ubigint % (len(w) + 1))::bigint AS i,
+         greatest(('0x' || substr(h, 1, 8))::ubigint % (len(w) + 1), ('0x' || substr(h, 9, 8))::ubigint % (len(w) + 1))::bigint AS j,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR ('0x' || substr(h, 17, 8))::ubigint % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::ubigint % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+parts AS (
+  SELECT *, array_to_string(w[1 : i], '') AS p, array_to_string(w[i + 1 : j], '') AS m, array_to_string(w[j + 1 :], '') AS s FROM cuts)
+SELECT doc_id, len(w)::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::bigint AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::bigint AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts"""
+
+
+@query("op11_fill_in_middle", MIDDLES)
+def op11(spark, folder):
+    cut = fim.restore(fim.fill_in_middle(table(spark, folder, "documents")))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the contract's periods: of a tenth of the ids, the words from one on repeat."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    rows = docs.select("doc_id", "text", h.alias("h"), words.alias("w"))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    a = g % n
+    again = "array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')"
+    rows = rows.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8))))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.expr(again)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_run_detection")
+def op12(spark, folder):
+    found = periodic.periodic_runs(_with_periods(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.withColumn("best", longest)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_sentencepiece_encoding_and_decoding")
+def op13(spark, folder):
+    return sentence_pieces.digests(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
