@@ -19,6 +19,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from activepool.llm.common import bounded, picked
 from activepool.session import scratch_path
 
-#: A shard ends at this many words or distinct words.
-SHARD_WORDS = 3_000_000
-SHARD_DISTINCT = 1_000_000
+#: A shard ends at this many words, distinct words, or bytes of distinct words.
+SHARD_WORDS = 1_500_000
+SHARD_DISTINCT = 300_000
+SHARD_BYTES = 8 << 20
 
 #: Fixed value: the splitting pattern of byte-level BPE, with letters and digits as Python's re names them.
 WORD = re.compile(r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
@@ -136,11 +138,12 @@ def _split(text: str, buckets: int):
         return pa.RecordBatch.from_pylist([dict(zip(_SPLIT.names, x)) for x in items], schema=_SPLIT)
 
     def run(batches):
-        split, numbers, seen, held = _Splitter(text), _Numbers(), 0, False
+        split, numbers, seen, size, held = _Splitter(text), _Numbers(), 0, 0, False
         shard = TaskContext.get().partitionId() << 32
 
         def flush():
             words = list(numbers)
+            numbers.clear()
             of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(buckets + 1))
@@ -152,18 +155,19 @@ def _split(text: str, buckets: int):
                     yield rows((shard, 1, b, None, None, _text_block([words[i] for i in order[ends[b] : ends[b + 1]]])))
 
         for batch in bounded(batches, 4 << 20):
-            lens, codes = [], []
+            lens, codes, known = [], [], len(numbers)
             for value in batch.column("text"):
                 words = split(value.as_py())
                 lens.append(len(words))
                 codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             seen += sum(lens)
+            size += sum(map(len, islice(numbers, known, None)))
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             yield rows((shard, 0, -1, ids, lens, _packed(np.concatenate(codes))))
             held = True
-            if seen >= SHARD_WORDS or len(numbers) >= SHARD_DISTINCT:
+            if seen >= SHARD_WORDS or len(numbers) >= SHARD_DISTINCT or size >= SHARD_BYTES:
                 yield from flush()
-                numbers, seen, shard, held = _Numbers(), 0, shard + 1, False
+                seen, size, shard, held = 0, 0, shard + 1, False
         if held:  # empty texts only, perhaps
             yield from flush()
 
@@ -201,27 +205,47 @@ def _encoded_bucket(text: str):
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _joined(texts: pa.Table, blocks: pa.Table) -> pa.Table:
-    """Ids of each text of a shard, taken by word number."""
-    order = {r["bucket"]: r for r in blocks.to_pylist()}
-    words = [order[b] for b in sorted(order)]
-    empty = np.empty(0, np.uint32)
-    lens = np.concatenate([_unpacked(r["lens"]) for r in words] or [empty]).astype(np.int64)
-    flat = np.concatenate([_unpacked(r["ids"]) for r in words] or [empty])
-    starts = np.cumsum(lens) - lens
-    texts = texts.to_pylist()
-    place = next(_unpacked(r["data"]) for r in texts if r["kind"] == 2)
-    batches = []
-    for r in texts:
-        if r["kind"] == 0:
-            at = place[_unpacked(r["data"])]
+_DECODED = pa.schema([*_IDS, ("text", pa.string())])
+
+
+def _decoded(ids: pa.ListArray, lookup: pa.Array) -> pa.Array:
+    """Texts of lists of ids, joined with the id-to-piece table; its last entry is empty, for ids outside."""
+    flat = np.asarray(ids.flatten())
+    flat = np.where((flat >= 0) & (flat < len(lookup) - 1), flat, len(lookup) - 1)
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lookup.take(pa.array(flat))), pa.scalar(b"", pa.binary()))
+    return pa.array([x.as_py().decode("utf-8", errors="replace") for x in joined], pa.string())
+
+
+def _joined(table: list[bytes] | None = None):
+    """Ids of each text of a shard, taken by word number; with a table of pieces also their text."""
+
+    def run(texts: pa.Table, blocks: pa.Table) -> pa.Table:
+        blocks = blocks.sort_by("bucket")
+        empty = np.empty(0, np.uint32)
+        lens = np.concatenate([empty, *(_unpacked(x.as_py()) for x in blocks.column("lens"))]).astype(np.int64)
+        flat = np.concatenate([empty, *(_unpacked(x.as_py()) for x in blocks.column("ids"))])
+        starts = np.cumsum(lens) - lens
+        kind = texts.column("kind").to_numpy()
+        place = _unpacked(texts.column("data")[int(np.flatnonzero(kind == 2)[0])].as_py())
+        lookup = None if table is None else pa.array([*table, b""], pa.binary())
+        batches = []
+        for k in np.flatnonzero(kind == 0).tolist():
+            at = place[_unpacked(texts.column("data")[k].as_py())]
             n = lens[at]
             ends = np.cumsum(n)
             ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(r["lens"])])]
-            column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
-            batches.append(pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), column], schema=_IDS))
-    return pa.Table.from_batches(batches, schema=_IDS)
+            words = texts.column("lens")[k].values.to_numpy()
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+            columns = [texts.column("doc_ids")[k].values, lists]
+            if lookup is None:
+                batches.append(pa.RecordBatch.from_arrays(columns, schema=_IDS))
+            else:
+                batches.append(pa.RecordBatch.from_arrays([*columns, _decoded(lists, lookup)], schema=_DECODED))
+        return pa.Table.from_batches(batches, schema=_IDS if lookup is None else _DECODED)
+
+    return run
 
 
 def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
@@ -234,12 +258,7 @@ def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
     return table
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row: what the tokenizer file encodes the whole text to, no tokens added.
-
-    Edge cases: null is an empty text and has no ids; repeated rows stay repeated; null ids stay; an
-    empty table gives an empty one. The tokenizer (a fixed file) is sent to the tasks.
-    """
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     spark = docs.sparkSession
     text = tokenizer_json(path)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -250,7 +269,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         .groupBy("bucket").applyInArrow(_encoded_bucket(text), "shard long, bucket int, lens binary, ids binary")
     )
     texts = split.where("kind <> 1").select("shard", "kind", "doc_ids", "lens", "data")
-    return texts.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_joined, "doc_id long, ids array<int>")
+    join, ddl = _joined(pieces(text) if decoded else None), "doc_id long, ids array<int>" + (", text string" if decoded else "")
+    return texts.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(join, ddl)
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every row: what the tokenizer file encodes the whole text to, no tokens added.
+
+    Edge cases: null is an empty text and has no ids; repeated rows stay repeated; null ids stay; an
+    empty table gives an empty one. The tokenizer (a fixed file) is sent to the tasks.
+    """
+    return _encoded(docs, path, id_col, text_col, decoded=False)
 
 
 def pieces(text: str) -> list[bytes]:
@@ -272,26 +301,22 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     empty text.
     """
     table = pieces(tokenizer_json(path))
-    schema = pa.schema([*_IDS, ("text", pa.string())])
 
     def run(batches):
         lookup = pa.array([*table, b""], pa.binary())
         for batch in bounded(batches, 4 << 20):
             ids = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
-            flat = np.asarray(ids.flatten())
-            flat = np.where((flat >= 0) & (flat < len(table)), flat, len(table))
-            lens = np.asarray(pc.list_value_length(ids))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, lookup.take(pa.array(flat))), pa.scalar(b"", pa.binary()))
-            texts = [x.as_py().decode("utf-8", errors="replace") for x in joined]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, _decoded(ids, lookup)], schema=_DECODED)
 
     return picked(encoded, doc_id=id_col, ids=ids_col).mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, through ``encode`` and ``decode``."""
-    return decode(encode(docs, path, id_col, text_col), path).select(
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, as of ``encode`` and ``decode``.
+
+    A shard's ids are joined with the pieces where they are put together, in the same task.
+    """
+    return _encoded(docs, path, id_col, text_col, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
