@@ -9,13 +9,12 @@ are read; a text is a sum over its bytes, so no vector leaves a task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from activepool.llm.common import bounded, picked
 from activepool.session import pinned
@@ -34,10 +33,14 @@ FAMILIES = {
     "turkic": "tr az kk ky uz tt".split(),
     "indic": "hi bn mr gu pa ur ne".split(),
 }
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of Unicode category L; number signs such as superscripts are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def family_of(language: str) -> str:
     return next((name for name, members in FAMILIES.items() if language in members), language)
 
@@ -57,13 +60,15 @@ def fit_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int =
     """Linear support vector machine (squared hinge) for y of -1 and 1, classes weighted alike; bias last."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w, look, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
-    rate = 1 / (2 * 2 + ridge)  # rows have a norm of sqrt(2)
+    y, weight = y.astype(x.dtype), weight.astype(x.dtype)  # one type: no copy of x in a step
+    w, look, speed = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype), 1.0
+    rate = x.dtype.type(1 / (2 * 2 + ridge))  # rows have a norm of sqrt(2)
+    ridge = x.dtype.type(ridge)
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ look))
         new = look - rate * (ridge * look - 2 * (x.T @ (weight * y * slack)))
         faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
-        look, w, speed = new + (speed - 1) / faster * (new - w), new, faster
+        look, w, speed = new + x.dtype.type((speed - 1) / faster) * (new - w), new, faster
     return w
 
 
@@ -85,23 +90,14 @@ def _votes(machines: dict, names: list[str], x: np.ndarray) -> tuple[str, float]
 class Hierarchy:
     """The family classifier and the machines inside each family."""
 
-    def __init__(self, x: np.ndarray, languages: list[str]):
-        languages = np.array(languages)
-        families = np.array([family_of(n) for n in languages])
-        self.languages = {f: sorted(set(languages[families == f])) for f in sorted(set(families))}
-        self.top = self._pairs(x, families, list(self.languages))
-        self.inside = {f: self._pairs(x, languages, names) for f, names in self.languages.items()}
-
-    @staticmethod
-    def _pairs(x: np.ndarray, of: np.ndarray, names: list[str]) -> dict:
-        out = {}
-        for a, b in combinations(names, 2):
-            at = (of == a) | (of == b)
-            out[a, b] = fit_machine(x[at], np.where(of[at] == a, 1.0, -1.0))
-        return out
+    def __init__(self, languages: list[str], machines: dict[tuple[str, str, str], np.ndarray]):
+        """``machines`` has one for each pair of families and for each pair of languages of one family."""
+        self.languages = {f: sorted(n for n in languages if family_of(n) == f) for f in sorted(set(map(family_of, languages)))}
+        self.top = {(a, b): machines["/", a, b] for a, b in combinations(self.languages, 2)}
+        self.inside = {f: {(a, b): machines[f, a, b] for a, b in combinations(names, 2)} for f, names in self.languages.items()}
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not has_letter(text) or not self.languages:
             return UNDETERMINED, 0.0
         x = grams(text)
         family, sure = _votes(self.top, list(self.languages), x)
@@ -112,27 +108,53 @@ class Hierarchy:
 def _grams_of(batches):
     schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
     for batch in bounded(batches):
-        at = [k for k, t in enumerate(batch.column("text")) if t.as_py() and _LETTER.search(t.as_py())]
+        at = [k for k, t in enumerate(batch.column("text")) if has_letter(t.as_py())]
         x = [grams(batch.column("text")[k].as_py()).astype(np.float16).tobytes() for k in at]
         yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(at, pa.int64())), pa.array(x, pa.binary())], schema=schema)
 
 
+def _pairs_of(languages: list[str]) -> list[tuple[str, str, str, str]]:
+    """(level, first, second, language) for each machine and each language whose texts it is fitted on.
+
+    The level is ``/`` between families, else the family.
+    """
+    families = sorted(set(map(family_of, languages)))
+    out = [("/", a, b, n) for a, b in combinations(families, 2) for n in languages if family_of(n) in (a, b)]
+    for f in families:
+        out += [(f, a, b, n) for a, b in combinations(sorted(n for n in languages if family_of(n) == f), 2) for n in (a, b)]
+    return out
+
+
+def _fit_pair(key, table):
+    level, a, b = (k.as_py() for k in key)
+    table = table.sort_by([("lang", "ascending"), ("x", "ascending")])  # sums don't depend on the order of arrival
+    of = np.array([family_of(n) if level == "/" else n for n in table.column("lang").to_pylist()])
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    w = fit_machine(x, np.where(of == a, 1.0, -1.0))
+    return pa.table({"level": [level], "a": [a], "b": [b], "w": [w.astype(np.float64).tobytes()]})
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Hierarchy:
-    """The hierarchy learned from a bounded sample of ``docs`` (null languages and texts are left out)."""
+    """The hierarchy learned from a bounded sample of ``docs`` (null languages and texts are left out).
+
+    The sample is the ``fit_rows`` rows of each language with the smallest hashes of their ids, found in one pass.
+    Each machine is fitted in a task of its own, from the sample rows of its two sides; weights alone come back.
+    """
     rows = picked(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
-    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row a language
-    order = F.xxhash64("doc_id", F.lit("langid"))
-    sample = None
-    for name in names:
-        part = rows.where(F.col("lang") == name).select("doc_id", "lang", order.alias("o")).orderBy("o", "doc_id").limit(fit_rows)
-        sample = part if sample is None else sample.union(part)
-    if sample is None:
-        return Hierarchy(np.empty((0, WIDTH), np.float32), [])
-    chosen = pinned(sample.select("doc_id", "lang"), "langid-sample").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("langid")), "doc_id")
+    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= fit_rows)
+    chosen = pinned(chosen.select("doc_id", "lang"), "langid-sample").distinct()
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most fit_rows ids a language
-    found = texts.select("lang", "text").mapInArrow(_grams_of, "lang string, x binary").collect()
-    x = np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    return Hierarchy(x, [r["lang"] for r in found])
+    found = pinned(texts.select("lang", "text").mapInArrow(_grams_of, "lang string, x binary"), "langid-grams")
+    languages = sorted(r["lang"] for r in found.select("lang").distinct().collect())  # one row a language
+    pairs = _pairs_of(languages)
+    if not pairs:
+        return Hierarchy(languages, {})
+    of = F.broadcast(docs.sparkSession.createDataFrame(pairs, "level string, a string, b string, lang string"))
+    machines = (
+        found.join(of, "lang").groupBy("level", "a", "b").applyInArrow(_fit_pair, "level string, a string, b string, w binary").collect()
+    )
+    return Hierarchy(languages, {(r["level"], r["a"], r["b"]): np.frombuffer(r["w"]) for r in machines})
 
 
 def identify(docs: DataFrame, model: Hierarchy, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
