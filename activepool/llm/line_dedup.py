@@ -6,7 +6,8 @@ occurrence is the smallest document id and position); every later occurrence cov
 positions are merged, and the document is put together again without them. Blank lines neither count as
 lines nor end a window.
 
-Texts are not moved with the windows: windows are a few numbers, and only documents that lose lines are
+A document of fewer filled lines than a window has is one window of its own, padded: it meets only documents of
+exactly these lines. Texts are not moved with the windows: windows are a few numbers, and only documents that lose lines are
 joined back. A window that a large part of all documents share is counted by partial aggregates, and its
 occurrences meet its one first place in a join that can be split.
 """
@@ -42,17 +43,22 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, text_hash, left): for each document that loses lines, the positions (from 0) that stay."""
     rows = picked(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL")
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(_lines(F.col("text"))).alias("n"), "text")
-    lined = _bound(rows, "ls", _filled(F.col("text"))).where(F.size("ls") >= window)
+    lined = _bound(rows, "ls", _filled(F.col("text"))).where(F.size("ls") > 0)
     parts = lambda i: [F.element_at("ls", i + k) for k in range(window)]
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("ls") - (window - 1)),
-        lambda i: F.struct(
-            F.xxhash64(*[p["h"] for p in parts(i)]).alias("w1"),
-            F.xxhash64(F.lit(window), *[p["h"] for p in reversed(parts(i))]).alias("w2"),
-            parts(i)[0]["pos"].alias("at"),
-            parts(i)[-1]["pos"].alias("to"),
-        ),
+
+    def struct(hashes, first: Column, last: Column, size) -> Column:
+        return F.struct(
+            F.xxhash64(*hashes).alias("w1"), F.xxhash64(size, *reversed(hashes)).alias("w2"), first["pos"].alias("at"), last["pos"].alias("to")
+        )
+
+    # A place past the end gives null, which a window's hash passes over; the size in the second hash tells it apart.
+    short = [F.get("ls", F.lit(k))["h"] for k in range(window - 1)]
+    padded = struct(short, F.element_at("ls", 1), F.element_at("ls", -1), -F.size("ls"))
+    whole = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("ls") - (window - 1), F.lit(1))),
+        lambda i: struct([p["h"] for p in parts(i)], parts(i)[0], parts(i)[-1], F.lit(window)),
     )
+    windows = F.when(F.size("ls") >= window, whole).otherwise(F.array(padded))
     wide = pinned(
         lined.select("doc_id", "text_hash", "n", F.explode(windows).alias("w")).select("doc_id", "text_hash", "n", "w.*"),
         "line-windows",
@@ -72,8 +78,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The first occurrence (smallest id, then position) stays whole; blank lines inside a removed window go
     with it. Documents left without lines get an empty text and stay as rows. Edge cases: null texts stay
-    null; documents of fewer than ``window`` filled lines have no windows and stay as they are; windows
-    repeated inside one document count too; rows that repeat both id and text count as one document and
+    null; a document of fewer than ``window`` filled lines loses them if an earlier document has exactly
+    these; windows repeated inside one document count too; rows that repeat both id and text count as one document and
     get the same result, so do rows without an id and of the same text; an empty table gives an empty
     one. Other columns are untouched (a column named ``n_removed`` is replaced).
     """

@@ -91,15 +91,42 @@ def _url_sql() -> str:
     pick = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h, p)}'" for v, h, p in rules) + " END"
     end = "(\\.[A-Za-z]{1,5})?\\z"
     varies = f"regexp_matches(s, '^[0-9]+{end}') OR regexp_matches(s, '^[0-9a-fA-F-]{{16,}}{end}') OR regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?\\z')"
-    step = lambda part, of: f"floor((8 * {part} + {of}) / (2.0 * {of}))::bigint::varchar"
     levels = ""
     for k in range(4):
         levels += f"""
 n{k} AS (SELECT host, branch, count(DISTINCT named[{k + 1}]) AS names FROM t{k} WHERE len(named) > {k + 1} GROUP BY ALL),
 t{k + 1} AS (
-  SELECT t.host, named, n, labelled, blocked, leaf, CASE WHEN len(named) > {k + 1} THEN t.branch ELSE parent END AS parent,
+  SELECT t.host, named, n, labelled, blocked, leaf,
          CASE WHEN len(named) > {k + 1} THEN t.branch || '/' || CASE WHEN names > 64 THEN '*' ELSE named[{k + 1}] END ELSE t.branch END AS branch
   FROM t{k} t LEFT JOIN n{k} USING (host, branch)),"""
+    merges = ""
+    for k in range(5, 0, -1):
+        merges += f"""
+d{k} AS (
+  SELECT host, array_to_string(segs[1 : {k - 1}], '/') AS parent, segs[{k}] AS name, array_to_string(segs[{k + 1} : 5], '/') || '/' || leaf AS ending,
+         sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM m{k + 1} WHERE len(segs) >= {k} GROUP BY ALL),
+b{k} AS (
+  SELECT host, parent, name, sum(n) AS b_n, sum(labelled) AS b_labelled, sum(blocked) AS b_blocked, arg_max(ending, (n, ending)) AS commonest
+  FROM d{k} GROUP BY ALL),
+c{k} AS (SELECT * FROM d{k} JOIN b{k} USING (host, parent, name)),
+p{k} AS (SELECT host, parent, commonest, ending, sum(n) AS p_n FROM c{k} GROUP BY ALL),
+s{k} AS (
+  SELECT host, parent, commonest, sum(n) AS t_n, sum(labelled) AS t_labelled, sum(blocked) AS t_blocked, count(DISTINCT ending) AS endings
+  FROM c{k} GROUP BY ALL),
+f{k} AS (
+  SELECT host, parent, name, commonest, round(1 - sum(least(n / b_n::double, p_n / t_n::double)), 9) AS variation, max(b_n) AS b_n,
+         max(b_labelled) AS b_labelled, max(b_blocked) AS b_blocked, max(t_blocked) / greatest(max(t_labelled), 1)::double AS share, max(endings) AS endings
+  FROM c{k} JOIN p{k} USING (host, parent, commonest, ending) JOIN s{k} USING (host, parent, commonest) GROUP BY host, parent, name, commonest),
+a{k} AS (
+  SELECT *, min(name) OVER (PARTITION BY host, parent, commonest) AS first FROM f{k}
+  WHERE variation <= round(0.2 + sqrt(endings / b_n::double) / 2, 9)
+    AND (b_labelled = 0 OR round(abs(b_blocked / greatest(b_labelled, 1)::double - share), 9)
+      <= round(0.1 + 2 * sqrt(share * (1 - share) / greatest(b_labelled, 1)::double), 9))),
+m{k} AS (
+  SELECT t.host, named, n, labelled, blocked, leaf,
+         CASE WHEN first IS NOT NULL THEN segs[1 : {k - 1}] || [first] || segs[{k + 1} :] ELSE segs END AS segs
+  FROM (SELECT *, CASE WHEN len(segs) >= {k} THEN array_to_string(segs[1 : {k - 1}], '/') END AS parent FROM m{k + 1}) t
+  LEFT JOIN (SELECT host, parent, name, first FROM a{k}) r ON r.host = t.host AND r.parent = t.parent AND r.name = t.segs[{k}]),"""
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 split AS (
@@ -112,21 +139,14 @@ pages2 AS (
            lambda s: CASE WHEN {varies} THEN '*' || regexp_extract(s, '{end}', 1) ELSE s END) AS named
   FROM ruled),
 t0 AS (
-  SELECT host, named, count(*) AS n, count(vote) AS labelled, coalesce(sum(vote), 0)::bigint AS blocked, '' AS parent, '' AS branch,
+  SELECT host, named, count(*) AS n, count(vote) AS labelled, coalesce(sum(vote), 0)::bigint AS blocked, '' AS branch,
          coalesce(named[len(named)], '') AS leaf FROM pages2 GROUP BY host, named),{levels}
-t5 AS (
-  SELECT host, named, n, labelled, blocked, leaf, CASE WHEN len(named) > 5 THEN branch ELSE parent END AS parent,
-         CASE WHEN len(named) > 5 THEN branch || '/**' ELSE branch END AS branch FROM t4),
+t5 AS (SELECT host, named, n, labelled, blocked, leaf, CASE WHEN len(named) > 5 THEN branch || '/**' ELSE branch END AS branch FROM t4),
 many AS (SELECT host, branch, count(DISTINCT leaf) AS leaves FROM t5 GROUP BY ALL),
-tree AS (SELECT host, named, n, labelled, blocked, parent, branch, CASE WHEN leaves > 64 THEN '*' ELSE leaf END AS leaf FROM t5 JOIN many USING (host, branch)),
-leaf AS (SELECT host, parent, branch, leaf, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree GROUP BY ALL),
-whole AS (SELECT host, parent, branch, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(blocked) AS all_blocked FROM leaf GROUP BY ALL),
-shape AS (
-  SELECT host, parent, branch, string_agg(leaf || ':' || {step('n', 'all_n')}, '|' ORDER BY leaf || ':' || {step('n', 'all_n')}) AS leaves,
-         max(CASE WHEN all_labelled >= 10 THEN {step('all_blocked', 'all_labelled')} ELSE 'none' END) AS state
-  FROM leaf JOIN whole USING (host, parent, branch) GROUP BY host, parent, branch),
-merged AS (SELECT host, branch, min(branch) OVER (PARTITION BY host, parent, leaves, state) AS merged FROM shape),
-placed AS (SELECT * FROM tree JOIN merged USING (host, branch)),
+m6 AS (
+  SELECT host, named, n, labelled, blocked, CASE WHEN leaves > 64 THEN '*' ELSE leaf END AS leaf,
+         CASE WHEN branch = '' THEN []::varchar[] ELSE string_split(substr(branch, 2), '/') END AS segs FROM t5 JOIN many USING (host, branch)),{merges}
+placed AS (SELECT host, named, n, labelled, blocked, leaf, array_to_string(list_transform(segs, lambda x: '/' || x), '') AS merged FROM m1),
 templates AS (SELECT host, merged, leaf, sum(labelled) AS labelled, sum(blocked) AS blocked FROM placed GROUP BY ALL),
 branches AS (SELECT host, merged, sum(labelled) AS bl, sum(blocked) AS bb FROM templates GROUP BY ALL),
 hosts AS (SELECT host, sum(bl) AS hl, sum(bb) AS hb FROM branches GROUP BY ALL),
@@ -205,7 +225,9 @@ filled AS (
 windows AS (
   SELECT * FROM (
     SELECT doc_id, text, pos AS head, lead(pos, 2) OVER w AS tail, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c
-    FROM filled WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)) WHERE tail IS NOT NULL),
+    FROM filled WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)) WHERE tail IS NOT NULL
+  UNION ALL SELECT doc_id, text, min(pos), max(pos), arg_min(line, pos), CASE WHEN count(*) = 2 THEN arg_max(line, pos) END, NULL
+  FROM filled GROUP BY doc_id, text HAVING count(*) < 3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, head) AS k FROM windows),
 covered AS (SELECT DISTINCT doc_id, text, unnest(generate_series(head, tail)) AS pos FROM ranked WHERE k > 1),
 touched AS (SELECT DISTINCT doc_id, text FROM covered),

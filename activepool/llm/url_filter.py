@@ -3,11 +3,15 @@
 Per host, each path becomes a template: segments whose form says that they vary (numbers, long
 hexadecimal names, dates) become wildcards with their extension kept, and so does, level by level, any
 place of the tree with too many distinct names. The last segment of a template is a leaf of the branch of
-the segments before it. Sibling branches of one parent are merged when they are statistically alike: the
-same leaves in the same proportions and the same share of blocked labels, each up to a coarse step
-(branches without enough labels are only alike to each other). Labels vote: a template's share of blocked
-votes is smoothed by its branch's, that by its host's and that by the share over all hosts, and the
-template is rejected when enough labels make it high.
+the segments before it. Sibling branches of one parent are merged when they are statistically alike, from
+the deepest level up, so that parents are compared by what their merged children hold. Siblings with the same
+commonest ending are one pool; a branch is alike to its pool if its counts of endings are at most a fixed
+total variation from the pool's, and its share of blocked labels a fixed difference, each with an allowance
+for the few pages or labels that it has. Rare endings weigh what they are, few labels say little and none
+nothing, and at any size the same shares get the same answer up to that allowance.
+
+Labels vote: a template's share of blocked votes is smoothed by its branch's, that by its host's and that by
+the share over all hosts, and the template is rejected when enough labels make it high.
 
 Given rules (verdict, host, path) decide the urls they fit; these urls are labels, too, beside a labels
 table if one is given. All statistics are grouped counts, so a host with a third of all pages is combined
@@ -37,8 +41,9 @@ LEVELS = 4
 PRIOR_WEIGHT = 5
 LEAST_LABELS = 10
 REJECT_SHARE = 0.8
-#: Steps in which the leaves' proportions and the shares of blocked labels of siblings are compared.
-ALIKE_STEPS = 4
+#: Largest total variation of endings, and difference of blocked shares, of branches that are alike.
+ALIKE = 0.2
+ALIKE_LABELS = 0.1
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,12 +78,48 @@ def _share(part: Column, of: Column, above: Column) -> Column:
     return (part + PRIOR_WEIGHT * above) / (of + PRIOR_WEIGHT)
 
 
-def _step(part: Column, of: Column) -> Column:
-    """part / of in ALIKE_STEPS steps, rounded, by whole numbers."""
-    return F.floor((2 * ALIKE_STEPS * part + of) / (2 * of)).cast("string")
+def _merged_level(tree: DataFrame, k: int) -> DataFrame:
+    """``tree`` with the k-th names of ``segs`` that are alike among siblings replaced by the first of them."""
+    tree = pinned(tree, "url-merge")
+    deep = tree.where(F.size("segs") >= k).select(
+        "host", "n", "labelled", "blocked", F.array_join(F.slice("segs", 1, k - 1), "/").alias("parent"), F.get("segs", F.lit(k - 1)).alias("name"),
+        F.concat(F.array_join(F.slice("segs", k + 1, LEVELS + 1), "/"), F.lit("/"), "leaf").alias("ending"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    counts = deep.groupBy("host", "parent", "name", "ending").agg(*sums)
+    branch = ["host", "parent", "name"]
+    branches = counts.groupBy(*branch).agg(
+        *[F.sum(c).alias(f"b_{c}") for c in ("n", "labelled", "blocked")], F.max_by("ending", F.struct("n", "ending")).alias("commonest")
+    )
+    counts = counts.join(branches, branch)
+    pool = ["host", "parent", "commonest"]
+    pooled = counts.groupBy(*pool, "ending").agg(F.sum("n").alias("p_n"))
+    totals = counts.groupBy(*pool).agg(
+        F.sum("n").alias("t_n"), F.sum("labelled").alias("t_labelled"), F.sum("blocked").alias("t_blocked"), F.count_distinct("ending").alias("endings")
+    )
+    common = F.least(F.col("n") / F.col("b_n"), F.col("p_n") / F.col("t_n"))
+    seen = counts.join(pooled, [*pool, "ending"]).join(totals, pool)
+    fits = seen.groupBy(*branch, "commonest").agg(
+        F.round(1 - F.sum(common), 9).alias("variation"),
+        *[F.max(c).alias(c) for c in ("b_n", "b_labelled", "b_blocked", "t_labelled", "t_blocked", "endings")],
+    )
+    share = F.col("t_blocked") / F.greatest("t_labelled", F.lit(1))
+    gap = F.abs(F.col("b_blocked") / F.greatest("b_labelled", F.lit(1)) - share)
+    votes = F.round(ALIKE_LABELS + 2 * F.sqrt(share * (1 - share) / F.greatest("b_labelled", F.lit(1))), 9)
+    alike = (F.col("variation") <= F.round(ALIKE + F.sqrt(F.col("endings") / F.col("b_n")) / 2, 9)) & (
+        (F.col("b_labelled") == 0) | (F.round(gap, 9) <= votes)
+    )
+    fits = pinned(fits.where(alike).select(*branch, "commonest"), "url-alike")
+    first = fits.groupBy(*pool).agg(F.min("name").alias("first"))
+    renamed = fits.join(first, pool).select("host", F.col("parent").alias("_parent"), F.col("name").alias("_name"), "first")
+    named = tree.withColumn("_parent", F.when(F.size("segs") >= k, F.array_join(F.slice("segs", 1, k - 1), "/"))).withColumn(
+        "_name", F.get("segs", F.lit(k - 1))
+    )
+    new = F.transform("segs", lambda s, i: F.when((i == k - 1) & F.col("first").isNotNull(), F.col("first")).otherwise(s))
+    return named.join(renamed, ["host", "_parent", "_name"], "left").withColumn("segs", new).select(*tree.columns)
 
 
-def template_tree(voted: DataFrame, most_names: int = MOST_NAMES, least_labels: int = LEAST_LABELS) -> DataFrame:
+def template_tree(voted: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
     """(host, named, template, labelled, share) for each distinct path form of ``voted(host, named, vote)``.
 
     ``template`` is the merged branch with its leaf; ``share`` its smoothed share of blocked votes.
@@ -87,9 +128,7 @@ def template_tree(voted: DataFrame, most_names: int = MOST_NAMES, least_labels:
         F.count("*").alias("n"), F.count("vote").alias("labelled"), F.coalesce(F.sum("vote"), F.lit(0)).alias("blocked")
     )
     at = lambda k: F.get("named", F.lit(k))
-    tree = forms.select(
-        "*", F.lit("").alias("parent"), F.lit("").alias("branch"), F.coalesce(F.element_at("named", -1), F.lit("")).alias("leaf")
-    )
+    tree = forms.select("*", F.lit("").alias("branch"), F.coalesce(F.element_at("named", -1), F.lit("")).alias("leaf"))
     for k in range(LEVELS):
         tree = pinned(tree, "url-tree")
         is_dir = F.size("named") > k + 1  # the last entry is the leaf
@@ -98,40 +137,21 @@ def template_tree(voted: DataFrame, most_names: int = MOST_NAMES, least_labels:
         name = F.when(F.col("names") > most_names, F.lit("*")).otherwise(at(k))
         tree = tree.select(
             "host", "named", "n", "labelled", "blocked", "leaf",
-            F.when(is_dir, F.col("branch")).otherwise(F.col("parent")).alias("parent"),
             F.when(is_dir, F.concat("branch", F.lit("/"), name)).otherwise(F.col("branch")).alias("branch"),
         )
     tree = pinned(tree, "url-tree")
     deep = F.size("named") > LEVELS + 1
-    tree = tree.select(
-        "host", "named", "n", "labelled", "blocked", "leaf", F.when(deep, F.col("branch")).otherwise(F.col("parent")).alias("parent"),
-        F.when(deep, F.concat("branch", F.lit("/**"))).otherwise(F.col("branch")).alias("branch"),
-    )
+    tree = tree.withColumn("branch", F.when(deep, F.concat("branch", F.lit("/**"))).otherwise(F.col("branch")))
     many = tree.groupBy("host", "branch").agg(F.count_distinct("leaf").alias("leaves"))
     tree = tree.join(many, ["host", "branch"]).withColumn(
         "leaf", F.when(F.col("leaves") > most_names, F.lit("*")).otherwise(F.col("leaf"))
     )
 
-    tree = pinned(tree, "url-tree")
-
-    # Siblings are alike if their leaves' proportions and their blocked shares fall on the same steps.
-    leaves = tree.groupBy("host", "parent", "branch", "leaf").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    whole = leaves.groupBy("host", "parent", "branch").agg(
-        F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
-    )
-    state = F.when(F.col("all_labelled") >= least_labels, _step(F.col("all_blocked"), F.col("all_labelled"))).otherwise(F.lit("none"))
-    shape = (
-        leaves.join(whole, ["host", "parent", "branch"])
-        .groupBy("host", "parent", "branch")
-        .agg(
-            F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "leaf", _step(F.col("n"), F.col("all_n")))))).alias("leaves"),
-            F.max(state).alias("state"),
-        )
-    )
-    merged = shape.groupBy("host", "parent", "leaves", "state").agg(F.min("branch").alias("merged"))
-    merged = shape.join(merged, ["host", "parent", "leaves", "state"]).select("host", "branch", "merged")
-
-    placed = pinned(tree.join(merged, ["host", "branch"]), "url-placed")
+    segs = F.when(F.col("branch") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("branch", 2, 1 << 30), "/", -1))
+    tree = tree.select("host", "named", "n", "labelled", "blocked", "leaf", segs.alias("segs"))
+    for k in range(LEVELS + 1, 0, -1):
+        tree = _merged_level(tree, k)
+    placed = pinned(tree.withColumn("merged", F.concat_ws("", F.transform("segs", lambda s: F.concat(F.lit("/"), s)))).drop("segs"), "url-placed")
     votes = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
     templates = placed.groupBy("host", "merged", "leaf").agg(*votes)
     branches = templates.groupBy("host", "merged").agg(F.sum("labelled").alias("b_labelled"), F.sum("blocked").alias("b_blocked"))
@@ -176,7 +196,7 @@ def judge(
     # Segments as they are named in a template; the last entry is the leaf (empty for a path ending in /).
     named = F.transform(F.split(F.regexp_replace("path", "^/+", ""), "/+", -1), _segment)
     rows = rows.select("page_id", "host", "path", "rule", "ruled", vote.cast("int").alias("vote"), named.alias("named"))
-    tree = template_tree(rows.select("host", "named", "vote"), most_names, least_labels)
+    tree = template_tree(rows.select("host", "named", "vote"), most_names)
     rejected = (F.col("labelled") >= least_labels) & (F.col("share") >= reject_share)
     return rows.join(tree, ["host", "named"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(rejected, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),

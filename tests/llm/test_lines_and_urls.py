@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from activepool.llm import line_dedup, url_filter
 
 
@@ -11,10 +13,10 @@ def brute_lines(pairs, window=3):
         lines = t.split("\n")
         filled = [(i, x.strip()) for i, x in enumerate(lines) if x.strip()]
         covered = set()
-        for k in range(len(filled) - window + 1):
+        for k in range(max(len(filled) - window + 1, len(filled) > 0)):
             key = tuple(x for _, x in filled[k : k + window])
             if key in seen:
-                covered |= set(range(filled[k][0], filled[k + window - 1][0] + 1))
+                covered |= set(range(filled[k][0], filled[min(k + window, len(filled)) - 1][0] + 1))
             seen.add(key)
         out[d if named else None, t] = ("\n".join(x for i, x in enumerate(lines) if i not in covered), len(covered))
     return sorted(((d, *((None, 0) if t is None else out[d, t])) for d, t in pairs), key=repr)
@@ -24,7 +26,7 @@ def test_lines_against_brute_force(spark, docs):
     rng = random.Random(4)
     pool = [f"line {i} of text" for i in range(12)] + ["", "  ", "x"]
     pairs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(14)))) for i in range(120)]
-    pairs += [(200, None), (201, ""), (202, "a\nb"), (203, "a\nb"), (204, "p\nq\nr"), (205, "p\n\nq\n\n r \n\ns"), (205, "p\n\nq\n\n r \n\ns")]
+    pairs += [(200, None), (201, ""), (202, "a\nb"), (203, "a\nb"), (204, "p\nq\nr"), (210, "b\na"), (211, "\n a \n\n b\n"), (212, "a"), (213, " a"), (214, "a\na"), (215, "b"), (205, "p\n\nq\n\n r \n\ns"), (205, "p\n\nq\n\n r \n\ns")]
     rows = line_dedup.dedup_lines(docs(pairs))
     assert rows.columns == [*docs([]).columns, "n_removed"]
     assert sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in rows.collect()), key=repr) == brute_lines(pairs)
@@ -87,6 +89,55 @@ def test_wildcards_and_merging(spark):
 
 
 def test_one_host_with_most_pages(spark):
-    urls = [f"http://hot.net/{'es' if i % 2 else 'en'}/{i}" for i in range(2000)]
+    urls = [f"http://hot.net/{'es' if i % 2 else 'en'}/{'x/' if i % 2 else ''}{i}" for i in range(2000)]
     rows = verdicts(spark, urls)
     assert Counter((r["rule"], r["verdict"]) for r in rows) == {("net/es/", "block"): 1000, (None, "allow"): 1000}
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_own_labels_block_a_template(spark, tmp_path, times):
+    """The registered query, whose only labels are its rules: at two sizes the same templates go.
+
+    /it/ and /pt/ hold what the blocked /es/ and /fr/ hold, up to a rare ending; /blog/ does not.
+    """
+    from activepool.llm.queries import op3
+
+    urls = []
+    for lang, pages in (("es", 12), ("fr", 14), ("it", 10), ("pt", 8)):
+        urls += [f"http://a.net/{lang}/{i}.html" for i in range(pages * times)] + [f"http://a.net/{lang}/tag-{lang}" for _ in range(times)]
+    urls += [f"http://a.net/blog/{i}/post" for i in range(20 * times)] + [f"http://b.org/es/{i}.html" for i in range(20 * times)]
+    urls += [u for u in (None, "", "http://a.net/it/1.html")]
+    rows = [(i, u) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in op3(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    found = Counter((u.split("/")[2] + "/" + u.split("/")[3], got[i]["rule"], got[i]["verdict"]) for i, u in rows if u and u.endswith(".html"))
+    assert {k: v for k, v in found.items() if "a.net" in k[0]} == {
+        ("a.net/es", "net/es/", "block"): 12 * times, ("a.net/fr", "net/fr/", "block"): 14 * times,
+        ("a.net/it", None, "block"): 10 * times + 1, ("a.net/pt", None, "block"): 8 * times,
+    }
+    assert {got[i]["verdict"] for i, u in rows if not u or "/blog/" in u or "b.org" in u} == {"allow"}
+
+
+def test_merging_goes_from_the_leaves_up(spark):
+    """Parents are alike by what their merged children hold, and a branch of another kind keeps its name."""
+    urls = [f"http://u.org/{lang}/{topic}/{i}.html" for lang in ("de", "en") for topic in ("art", "law", "war") for i in range(20)]
+    urls += [f"http://u.org/{lang}/{topic}/rare-{lang}" for lang, topic in (("de", "art"), ("en", "war"))]
+    urls += [f"http://u.org/js/lib/{i}.js" for i in range(30)] + [f"http://u.org/one/page/{i}.html" for i in range(3)]
+    rows = verdicts(spark, urls)
+    assert {r["template"] for r in rows[:120]} == {"/de/art/*.html"}
+    assert {r["template"] for r in rows[122:152]} == {"/js/lib/*.js"}
+
+
+def test_branches_with_opposite_labels_stay_apart(spark):
+    urls = [f"http://l.org/{name}/{i}.html" for name in ("bad", "good") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "page_id long, blocked int")
+    rows = verdicts(spark, urls, labels=labels)
+    assert [r["verdict"] for r in rows] == ["block"] * 40 + ["allow"] * 40
+    assert {r["template"] for r in rows} == {"/bad/*.html", "/good/*.html"}
+
+
+def test_repeated_pages_stay_and_vote(spark):
+    urls = ["http://r.net/es/1"] * 12 + ["http://r.net/it/1"] * 3
+    rows = verdicts(spark, urls)
+    assert Counter((r["rule"], r["verdict"], r["labelled"]) for r in rows) == {("net/es/", "block", 12): 12, (None, "block", 12): 3}

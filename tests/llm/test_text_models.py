@@ -24,7 +24,8 @@ def test_fold_matches_crc32(spark):
 def quality_case():
     rng = random.Random(1)
     words = ["stone", "river", "walks", "under", "light", "morning", "of", "the", "and", "quiet", "hill", "house"]
-    good = ["\n".join(sentence(rng, words, rng.randrange(5, 15)) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    # Texts of a few words are scored towards the average on purpose, so the good ones have three lines or more.
+    good = ["\n".join(sentence(rng, words, rng.randrange(5, 15)) for _ in range(rng.randrange(3, 11))) for _ in range(300)]
     bad = [" ".join(rng.choice(words).upper() + "!!" for _ in range(rng.randrange(10, 90))) for _ in range(60)]
     bad += [(rng.choice(words) + " ") * rng.randrange(20, 60) for _ in range(60)]
     pairs = [*enumerate(good + bad)]
@@ -100,7 +101,6 @@ def test_lm_does_not_depend_on_shards(spark, docs, monkeypatch):
     score = lambda df: sorted((r["doc_id"], round(r["score"], 9)) for r in lm.lm_scores(df).collect())
     whole = score(docs(pairs).coalesce(1))
     monkeypatch.setattr(lm, "SHARD_WORDS", 30)
-    monkeypatch.setattr(lm, "HELD_DOCS", 2000)
     assert score(docs(pairs).repartition(3)) == whole
 
 
@@ -168,14 +168,14 @@ LANGUAGES = {
 def test_language_identification(spark):
     rng = random.Random(3)
     rows = [(i, sentence(rng, LANGUAGES[n], rng.randrange(3, 30)), n) for i, n in enumerate(rng.choices(list(LANGUAGES), k=400))]
-    rows += [(1000, None, "en"), (1001, "", None), (1002, "123 ... 45", "de"), (1003, "the house", None), (1003, "the house", None), (None, "la casa", "es")]
+    rows += [(1000, None, "en"), (1001, "", None), (1002, "123 ... 45", "de"), (1004, "½ ² ① Ⅻ ٣ _", "de"), (1003, "the house", None), (1003, "the house", None), (None, "la casa", "es")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     found = langid.identify_held_out(df, lambda d: d % 5 != 0).collect()
     assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
     truth = {i: n for i, _, n in rows}
     held = [r for r in found if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1000]
     assert held and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
-    assert {r["lang_pred"] for r in found if r["doc_id"] in (1000, 1001, 1002)} == {"und"}
+    assert {r["lang_pred"] for r in found if r["doc_id"] in (1000, 1001, 1002, 1004)} == {"und"}
     assert {r["lang_pred"] for r in found if r["doc_id"] == 1003} == {"en"}
     only = langid.identify_held_out(df.limit(0), lambda d: d % 5 != 0)
     assert only.collect() == []
