@@ -17,6 +17,8 @@ WORDS = r"([^ \n\t\r]+)"
 
 KEY_SYMBOLS = tuple("BCNOSPFIbcnosp()=#-+/:@*0123456789")
 KEY_COUNT = 167
+#: How far a minimum hash moves for each empty bin that borrows it.
+EMPTY_STEP = 40_503
 
 
 def tokenize(text: Column, pattern: str = LINE_NOTATION) -> Column:
@@ -88,15 +90,29 @@ def count_keys(text: Column) -> Column:
     )
 
 
-def _min_hashes(pieces: Column, length: int) -> Column:
-    """For each of ``length`` hash functions the smallest hash over the pieces."""
-    signature = F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda p: F.array_min(
-            F.transform(pieces, lambda g: F.md5(F.concat_ws(":", p.cast("string"), g)))
-        ),
-    )
-    return F.filter(signature, lambda m: m.isNotNull())
+def min_hashes(pieces: Column, length: int) -> Column:
+    """``length`` minimum hashes over the pieces, from one hash of each; empty without pieces.
+
+    A piece's hash names one of ``length`` bins and a value; a bin keeps its smallest value. A bin that got
+    none takes that of the next filled bin to its right (past the last comes the first), moved on by a fixed
+    step for each bin between, so that equal texts agree in it and others seldom do.
+    """
+    half = lambda digest, at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    cell = lambda digest: F.struct(F.pmod(half(digest, 1), F.lit(length)).alias("bin"), half(digest, 9).alias("v"))
+    cells = F.array_sort(F.transform(pieces, lambda g: let(F.md5(g), cell)))
+
+    def filled(cells):
+        return F.filter(cells, lambda x, i: (i == 0) | (x["bin"] != F.element_at(cells, F.greatest(i, F.lit(1)))["bin"]))
+
+    def spread(bins):
+        def stretch(x, i):
+            around = F.element_at(bins, -1)["bin"] - F.lit(length)
+            before = F.when(i == 0, around).otherwise(F.element_at(bins, F.greatest(i, F.lit(1)))["bin"])
+            return F.transform(F.sequence(F.lit(0).cast("bigint"), x["bin"] - before - 1), lambda d: x["v"] + d * F.lit(EMPTY_STEP))
+
+        return F.flatten(F.transform(bins, stretch))
+
+    return let(let(cells, filled), spread)
 
 
 def feature_slots(
@@ -112,8 +128,10 @@ def feature_slots(
     else:
         pieces = let(tokenize(text, pattern), lambda tokens: grams(tokens, kind, radius))
         if kind == "map4":
-            pieces = let(pieces, lambda g: _min_hashes(g, length))
-        slots = F.array_sort(F.array_distinct(F.transform(pieces, lambda g: slot_of(g, length))))
+            ones = F.transform(min_hashes(pieces, length), lambda v: F.pmod(v, F.lit(length)).cast("int"))
+        else:
+            ones = F.transform(pieces, lambda g: slot_of(g, length))
+        slots = F.array_sort(F.array_distinct(ones))
     return F.when(F.length(F.trim(text)) > 0, slots)
 
 

@@ -75,17 +75,36 @@ def kth_best(scores: DataFrame, k: int, key: str = "id", score: str = "score") -
     return best.agg(kth.alias("kth_best"))
 
 
-def progress(scores: DataFrame, k: int, key: str = "id", score: str = "score") -> DataFrame:
-    """One row: ``top_avg`` and ``kth_best`` (see there) and ``n``, from one pass over the scores."""
-    best = top_n(scores.select(F.col(key), rank_score(F.col(score)).alias("_v"), F.col(score).alias("_s")), k, "_v", key)
+def best_rows(scores: DataFrame, k: int, key: str = "id", score: str = "score") -> DataFrame:
+    """``(key, score)`` of the best k rows, failures last: the state from which progress can go on."""
+    ranked = scores.select(F.col(key), F.col(score).alias("score"), rank_score(F.col(score)).alias("_v"))
+    return top_n(ranked, k, "_v", key).drop("_v")
+
+
+def merge_best(best: DataFrame, rows: DataFrame, k: int, key: str = "id", score: str = "score") -> DataFrame:
+    """The best k rows after ``rows`` (of new keys) joined those that ``best`` was kept for.
+
+    Reads k and the new rows, whatever was scored before: a row outside the best k stays outside.
+    """
+    return best_rows(best.select(key, "score").unionByName(rows.select(key, F.col(score).alias("score"))), k, key)
+
+
+def progress_of(best: DataFrame, k: int) -> DataFrame:
+    """One row: ``top_avg``, ``kth_best`` and ``n`` of the rows kept by ``best_rows``."""
     n = F.count(F.lit(1))
+    value = rank_score(F.col("score"))
     return best.agg(
-        (F.sum(F.coalesce(F.col("_s"), F.lit(0.0))) / F.nullif(n, F.lit(0))).alias("top_avg"),
-        F.when(n >= k, F.min("_v")).otherwise(F.max("_v")).alias("kth_best"),
+        (F.sum(F.coalesce(F.col("score"), F.lit(0.0))) / F.nullif(n, F.lit(0))).alias("top_avg"),
+        F.when(n >= k, F.min(value)).otherwise(F.max(value)).alias("kth_best"),
         n.alias("n"),
     )
 
 
+def progress(scores: DataFrame, k: int, key: str = "id", score: str = "score") -> DataFrame:
+    """One row: ``top_avg`` and ``kth_best`` (see there) and ``n``, from one pass over the scores."""
+    return progress_of(best_rows(scores, k, key, score), k)
+
+
 def final_scores(scores: DataFrame, key: str = "id", score: str = "score") -> DataFrame:
     """Best first, failures last, as a globally sorted table."""
     return scores.orderBy(F.col(score).desc_nulls_last(), F.col(key).desc())

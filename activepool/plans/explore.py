@@ -2,7 +2,9 @@
 
 The driver holds one small row per round. Pool, scores and predictions stay tables: every round's
 scores are their own directory (never rewritten), so no lineage grows and a restart reads what is
-there.
+there. The best k rows so far are a table of their own, into which a round merges its batch, so a round's
+averages cost k and the batch, not all that was scored. Scores that a function sells are kept in a journal
+as they come in.
 """
 
 from __future__ import annotations
@@ -26,15 +28,17 @@ from ..operators.acquisition import (
 )
 from ..operators.prune import expected_pruned, prune, prune_threshold
 from ..operators.scores import (
+    best_rows,
     final_averages,
-    progress,
+    merge_best,
+    progress_of,
     resolve_size,
     scheduled_size,
     status_line,
     stops,
-    top_explored,
 )
 from ..session import scratch_scope
+from ..sources.colocated import is_written, read_colocated, write_colocated
 from ..sources.files import write_final_scores
 from ..surrogates import Surrogate, training_rows
 from .objective import Objective
@@ -67,10 +71,17 @@ class ExploreConfig:
     observed_threshold: bool = False
     checkpoint_every: int = 0
     prefilter_from: int = 1_000_000
+    # Files by key of the pool and of all predictions; 0 leaves them as they are.
+    buckets: int = 0
 
 
 class Explorer:
-    """``pool(id, features[, cluster_id])``; all output goes below ``path``."""
+    """``pool(id, features[, cluster_id])``; all output goes below ``path``.
+
+    With ``buckets`` in the configuration (at least ``spark.sql.shuffle.partitions``) the pool is written once
+    in files by key and predictions follow it, so their joins with each other move no row and those with the
+    scores move the scores only. The pool of a path that holds one is not read again.
+    """
 
     def __init__(
         self,
@@ -85,9 +96,16 @@ class Explorer:
         check_model(config.metric, model.provides)
         if config.prune and "vars" not in model.provides:
             raise ValueError("pruning by probability needs a model with variances")
-        self.spark, self.pool, self.objective, self.model = spark, pool, objective, model
-        self.full_pool = pool
+        self.spark, self.objective, self.model = spark, objective, model
         self.config, self.path, self.true_top = config, path.rstrip("/"), true_top
+        if config.buckets:
+            # Written once; a run that goes on reads what is there.
+            placed = f"{self.path}/pool"
+            if is_written(spark, placed):
+                pool = read_colocated(spark, placed, config.buckets)
+            else:
+                pool = write_colocated(pool, placed, config.buckets)
+        self.pool = self.full_pool = pool
         self.pool_size = pool.count()
         self.k = min(resolve_size(config.k, self.pool_size), self.pool_size)
         self.budget = resolve_size(config.budget, self.pool_size)
@@ -102,6 +120,7 @@ class Explorer:
         self._preds: DataFrame | None = None
         self._preds_path: str | None = None
         self.prior_paths: list[str] = []
+        self._best_path: str | None = None
 
     # --- tables ---------------------------------------------------------------------------------
 
@@ -138,6 +157,9 @@ class Explorer:
         ).write.mode("overwrite").parquet(f"{self.path}/scores/iter={iteration}")
         return seen.get
 
+    def _round(self, iteration: int) -> DataFrame:
+        return self.spark.read.schema(self._score_schema()).parquet(f"{self.path}/scores/iter={iteration}")
+
     # --- rounds ---------------------------------------------------------------------------------
 
     def load_scores(self, prior: DataFrame) -> None:
@@ -156,6 +178,7 @@ class Explorer:
             self.n_prior = self.n_scored = self._write_round(rows, 0)["n"]
             self.iter = 1
             return
+        self._best_path = None  # loaded scores may replace rows of the best k, also by worse ones
         path = f"{self.path}/prior/part={len(self.prior_paths)}"
         rows = rows.withColumn("iter", F.lit(self.iter - 1))
         rows.write.mode("overwrite").parquet(path)
@@ -195,7 +218,7 @@ class Explorer:
         if self.config.prune:
             preds = self._prune(preds, scores)
         size = scheduled_size(self.batch_sizes, self.iter - 1)
-        best = self._kth_best(scores)
+        best = self._kth_best()
         args = UtilityArgs(
             best=F.lit(best),
             threshold=self.config.threshold,
@@ -231,14 +254,28 @@ class Explorer:
         floor = 1 if self.config.cluster else size
         return self._score_batch(batch.select("id", "utility"), size, exhausted_below=floor)
 
-    def _kth_best(self, scores: DataFrame) -> float:
+    def _kth_best(self) -> float:
         """The k-th best score so far, as the last round left it unless results were loaded since."""
         if self.run_log and self.run_log[-1]["n_acquired"] == self.n_scored and not self.prior_paths:
             best = self.run_log[-1]["kth_best"]
         else:
-            best = progress(scores, self.k).first()["kth_best"]
+            best = progress_of(self.best(), self.k).first()["kth_best"]
         return float("-inf") if best is None else best
 
+    def best(self) -> DataFrame:
+        """The best k rows so far, ``(id, score)``: the kept table, or all scores where there is none yet."""
+        if self._best_path is None:
+            self._keep_best(best_rows(self.scores(), self.k))
+        return self._read_best()
+
+    def _read_best(self) -> DataFrame:
+        return self.spark.read.schema(f"id {dict(self.pool.dtypes)['id']}, score double").parquet(self._best_path)
+
+    def _keep_best(self, rows: DataFrame) -> None:
+        path = f"{self.path}/best/iter={self.iter}-{len(self.prior_paths)}"
+        rows.write.mode("overwrite").parquet(path)
+        self._best_path = path
+
     def _any_valid(self, rows: DataFrame) -> bool:
         """Whether there is a row to fit on, from the run log where it says so."""
         if self.run_log and not self.prior_paths:
@@ -265,19 +302,26 @@ class Explorer:
             self.model.fit(rows)
         self._fitted = True
         path = f"{self.path}/preds/iter={self.iter}"
-        self.model.predict(self.pool, need_var).write.mode("overwrite").parquet(path)
-        self._preds, self._preds_path = self.spark.read.parquet(path), path
+        self._preds, self._preds_path = self._kept(self.model.predict(self.pool, need_var), path), path
         return self._preds
 
+    def _kept(self, rows: DataFrame, path: str) -> DataFrame:
+        """Rows of the pool as a table at ``path``; they lie as the pool lies, so none is moved."""
+        if self.config.buckets:
+            return write_colocated(rows, path, self.config.buckets, moved=False)
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _kept_before(self, path: str) -> DataFrame:
+        buckets = self.config.buckets
+        return read_colocated(self.spark, path, buckets) if buckets else self.spark.read.parquet(path)
+
     def _prune(self, preds: DataFrame, scores: DataFrame) -> DataFrame:
         row = prune_threshold(preds, scores, self.k, self.config.observed_threshold).first()
         threshold = F.lit(row["kth_best"])
         audit = expected_pruned(preds, threshold, self.config.prune_min_prob).first()
         path = f"{self.path}/retained/iter={self.iter}"
-        prune(preds, threshold, self.config.prune_min_prob).drop("p_hit").write.mode(
-            "overwrite"
-        ).parquet(path)
-        kept = self.spark.read.parquet(path)
+        kept = self._kept(prune(preds, threshold, self.config.prune_min_prob).drop("p_hit"), path)
         self.pool = self.full_pool.join(kept.select("id"), "id", "left_semi")
         log.info("kept %d rows, expected hits pruned: %.2f", audit["n_kept"], audit["expected_hits_pruned"])
         self._preds, self._preds_path = kept, path
@@ -294,6 +338,7 @@ class Explorer:
             payload = getattr(self.objective, "payload", "id")
             if payload != "id":
                 wanted = batch.join(self.pool.select("id", payload), "id")
+        self.objective.keep_journal(f"{self.path}/journal/iter={self.iter}")
         scored = self.objective.score(wanted, n)
         rows = batch.join(scored, "id", "left").select(
             "id", "score", "utility", F.lit(False).alias("is_prior")
@@ -305,7 +350,11 @@ class Explorer:
         self.iter += 1
         # A batch holds unexplored rows only, so the rows add up.
         self.n_scored += n
-        reached = progress(self.scores(), self.k).first()
+        if self._best_path is None:
+            self._keep_best(best_rows(self.scores(), self.k))
+        else:
+            self._keep_best(merge_best(self._read_best(), self._round(self.iter - 1), self.k))
+        reached = progress_of(self._read_best(), self.k).first()
         top = reached["top_avg"] if self.n_scored >= self.k else None
         self.run_log.append(
             {
@@ -339,8 +388,7 @@ class Explorer:
     def retrieval(self) -> float | None:
         if self.true_top is None:
             return None
-        best = top_explored(self.scores(), self.k)
-        return retrieval_rate(best, self.true_top, self.k).first()["rate"]
+        return retrieval_rate(self.best(), self.true_top, self.k).first()["rate"]
 
     def run(self) -> DataFrame:
         """Explores until a stop rule holds, writes the final scores and returns the final averages."""
@@ -378,6 +426,7 @@ class Explorer:
             "model": model_path,
             "preds": self._preds_path,
             "priors": self.prior_paths,
+            "best": self._best_path,
             "pruned": self.config.prune and self._preds is not None,
             "config": asdict(self.config),
         }
@@ -391,12 +440,13 @@ class Explorer:
         self.iter, self.n_prior, self.run_log = state["iter"], state["n_prior"], state["run_log"]
         self.n_scored = self.run_log[-1]["n_acquired"] if self.run_log else self.n_prior
         self.prior_paths = list(state["priors"])
+        self._best_path = state.get("best")
         if state["model"]:
             self.model.load(self.spark, state["model"])
             self._fitted = True
         if state["preds"]:
             self._preds_path = state["preds"]
-            self._preds = self.spark.read.parquet(self._preds_path)
+            self._preds = self._kept_before(self._preds_path)
             if state["pruned"]:
                 self.pool = self.full_pool.join(self._preds.select("id"), "id", "left_semi")
         return self

@@ -18,18 +18,28 @@ def _string_schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
 
 
-def line_key() -> Column:
-    """Orders rows as they stand in the files: file name, split start, row within the split.
-
-    Over several paths the file names decide, not the order in which the paths are given.
-    """
+def line_key(path: Column | None = None) -> Column:
+    """Orders rows as they stand in the files: place of the path, file name, split start, row within the split."""
     return F.struct(
+        (F.lit(0) if path is None else path).alias("path"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row"),
     )
 
 
+def path_places(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
+    """``(file, place)`` of every file below ``paths``; a file that several paths name counts by the last.
+
+    Files are listed as the readers list them (folders, patterns, several files a path); no file is read.
+    """
+    listed = spark.createDataFrame([], "file string, place int")
+    for place, path in enumerate(paths):
+        files = spark.read.format("binaryFile").options(**options).load(path).select(F.col("_metadata.file_path").alias("file"))
+        listed = listed.unionByName(files.withColumn("place", F.lit(place)))
+    return listed.groupBy("file").agg(F.max("place").alias("place"))
+
+
 def read_columns(
     spark: SparkSession,
     paths,
@@ -41,7 +51,8 @@ def read_columns(
     """String columns ``_c<n>`` by number. Compressed files are opened by suffix.
 
     The schema is built from the highest column number, so no file is read to infer it and only
-    the asked columns are parsed.
+    the asked columns are parsed. With ``line`` rows carry their order: that of the paths as given, then that
+    of the files below a path.
     """
     df = spark.read.csv(
         paths,
@@ -53,7 +64,15 @@ def read_columns(
         enforceSchema=True,
     )
     wanted = [F.col(f"_c{i}") for i in dict.fromkeys(columns)]
-    return df.select(*wanted, *([line_key().alias(LINE)] if line else []))
+    if not line:
+        return df.select(*wanted)
+    if isinstance(paths, str) or len(paths) == 1:
+        return df.select(*wanted, line_key().alias(LINE))
+    # One row a file: the place of its path is joined by the name that the scan gives.
+    keyed = df.select(*wanted, line_key().alias(LINE))
+    places = path_places(spark, paths).withColumnRenamed("place", "_place")
+    joined = keyed.join(places, F.col(f"{LINE}.file") == F.col("file"), "left")
+    return joined.select(*wanted, F.struct(F.col("_place").alias("path"), *[F.col(f"{LINE}.{c}") for c in ("file", "start", "row")]).alias(LINE))
 
 
 def read_library(

@@ -2,7 +2,8 @@
 
 With k(x, x') = sigma0^2 + x.x' the process is a Bayesian linear model on (sigma0, x). The data
 enter only through the Gram matrix, which is a sum over rows: one distributed aggregate, a solve of
-the feature width on the driver, and a per-row prediction.
+the feature width on the driver, and a per-row prediction. The marginal likelihood of the scores follows
+from the same matrix, so noise and bias scale can be fitted without another look at the rows.
 """
 
 from __future__ import annotations
@@ -45,16 +46,68 @@ def gram_rows(rows: DataFrame, sigma0: float) -> DataFrame:
     return summed.select("i", vector_to_array("_s").alias("row"))
 
 
+def _rescaled(gram: np.ndarray, factor: float) -> np.ndarray:
+    """The Gram matrix with its bias column multiplied."""
+    scale = np.ones(len(gram))
+    scale[0] = factor
+    return gram * scale[:, None] * scale
+
+
+class Evidence:
+    """Log marginal likelihood of normalised scores over noise variance ``alpha`` and bias scale ``sigma0``.
+
+    ``gram`` is Z'Z for Z = (1, x, y). The feature part is taken apart into eigenvalues once; the bias is a
+    border of the matrix, whose determinant and inverse follow from its Schur complement. A value then costs
+    the feature width, whatever the number of rows.
+    """
+
+    def __init__(self, gram: np.ndarray):
+        self.n = gram[0, 0]
+        mean = gram[0, -1] / self.n
+        spread = max(gram[-1, -1] / self.n - mean**2, 0.0) ** 0.5
+        spread = spread if spread > 0 else 1.0
+        self.values, vectors = np.linalg.eigh(gram[1:-1, 1:-1])
+        self.values = np.maximum(self.values, 0.0)
+        self.sums = vectors.T @ gram[0, 1:-1]
+        self.target = vectors.T @ (gram[1:-1, -1] - mean * gram[0, 1:-1]) / spread
+        self.square = max(gram[-1, -1] - self.n * mean**2, 0.0) / spread**2
+
+    def __call__(self, alpha, sigma0):
+        """Values at every pair of ``alpha`` and ``sigma0`` (arrays of one shape)."""
+        alpha, bias = np.asarray(alpha, float), np.asarray(sigma0, float) ** 2
+        ridge = self.values + alpha[..., None]
+        corner = bias * self.n + alpha - bias * (self.sums**2 / ridge).sum(axis=-1)
+        explained = (self.target**2 / ridge).sum(axis=-1)
+        explained = explained + bias * (self.sums * self.target / ridge).sum(axis=-1) ** 2 / corner
+        logdet = (self.n - len(self.values) - 1) * np.log(alpha) + np.log(ridge).sum(axis=-1) + np.log(corner)
+        return -0.5 * ((self.square - explained) / alpha + logdet + self.n * np.log(2 * np.pi))
+
+    def best(self, low: float = 1e-5, high: float = 1e5, points: int = 25, zooms: int = 30) -> tuple[float, float]:
+        """The pair with the largest value between the bounds: a grid of logarithms that closes in."""
+        centre = np.full(2, (np.log(low) + np.log(high)) / 2)
+        reach = (np.log(high) - np.log(low)) / 2
+        for _ in range(zooms):
+            axes = [np.clip(c + np.linspace(-reach, reach, points), np.log(low), np.log(high)) for c in centre]
+            value = np.stack([self(np.full(points, np.exp(a)), np.exp(axes[1])) for a in axes[0]])
+            i, j = np.unravel_index(np.argmax(value), value.shape)
+            centre, reach = np.array([axes[0][i], axes[1][j]]), reach / 2
+        return float(np.exp(centre[0])), float(np.exp(centre[1]))
+
+
 @register_model("gp")
 class LinearGaussianSurrogate(Surrogate):
-    """``alpha`` is the noise variance in units of normalised targets, ``sigma0`` the bias scale."""
+    """``alpha`` is the noise variance in units of normalised targets, ``sigma0`` the bias scale.
+
+    With ``tune`` both are fitted to the rows by the largest marginal likelihood, after every fit and online
+    step; the given values then count for nothing.
+    """
 
     online = True
 
-    def __init__(self, alpha: float = 1e-2, sigma0: float = 1.0, **_):
+    def __init__(self, alpha: float = 1e-2, sigma0: float = 1.0, tune: bool = False, **_):
         if alpha <= 0 or sigma0 <= 0:
             raise ValueError("alpha and sigma0 must be greater than 0")
-        self.alpha, self.sigma0 = float(alpha), float(sigma0)
+        self.alpha, self.sigma0, self.tune = float(alpha), float(sigma0), tune
         self.gram = None
         self.n = 0
 
@@ -69,8 +122,19 @@ class LinearGaussianSurrogate(Surrogate):
         if online and self.gram is not None:
             gram, n = gram + self.gram, n + self.n
         self.gram, self.n = gram, n
+        if self.tune:
+            self._tune()
         return self._solve()
 
+    def evidence(self) -> Evidence:
+        """The marginal likelihood of the fitted rows."""
+        return Evidence(_rescaled(self.gram, 1 / self.sigma0))
+
+    def _tune(self) -> None:
+        self.alpha, sigma0 = self.evidence().best()
+        # The kept matrix has the bias scale in its first row and column.
+        self.gram, self.sigma0 = _rescaled(self.gram, sigma0 / self.sigma0), sigma0
+
     def _solve(self) -> "LinearGaussianSurrogate":
         a, b = self.gram[:-1, :-1], self.gram[:-1, -1]
         sums = self.gram[0, :] / self.sigma0
@@ -108,13 +172,14 @@ class LinearGaussianSurrogate(Surrogate):
         from pyspark.sql import SparkSession
 
         # One row of the matrix a table row; every row repeats the few settings.
-        rows = [(i, [float(v) for v in row], int(self.n), self.alpha, self.sigma0) for i, row in enumerate(self.gram)]
-        schema = "i int, row array<double>, n bigint, alpha double, sigma0 double"
+        settings = (int(self.n), self.alpha, self.sigma0, self.tune)
+        rows = [(i, [float(v) for v in row], *settings) for i, row in enumerate(self.gram)]
+        schema = "i int, row array<double>, n bigint, alpha double, sigma0 double, tune boolean"
         SparkSession.getActiveSession().createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
         return path
 
     def load(self, spark, path: str) -> "LinearGaussianSurrogate":
         rows = spark.read.parquet(path).orderBy("i").collect()  # as wide as the features
         self.gram, self.n = np.array([r["row"] for r in rows]), rows[0]["n"]
-        self.alpha, self.sigma0 = rows[0]["alpha"], rows[0]["sigma0"]
+        self.alpha, self.sigma0, self.tune = rows[0]["alpha"], rows[0]["sigma0"], rows[0]["tune"]
         return self._solve()

@@ -1,91 +1,57 @@
-"""Tree ensembles from Spark ml; per-tree variance from the node tables in one pandas UDF."""
+"""Tree ensembles from Spark ml; the variance over the trees from the leaf that each tree gives a row."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
+import re
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import scratch_path
-from .base import Surrogate, register_model
+from ..functions import let
+from ..session import pinned
+from .base import Surrogate, register_model, wide_moments
 
 
-def node_tables(spark: SparkSession, path: str) -> list[tuple]:
-    """Per tree: (feature, threshold, left, right, value) arrays, read from a saved model.
+#: Training rows that a part of the table holds at least, once there are as many.
+PART_ROWS = 10_000
+
+_TREE = re.compile(r"^ *Tree \d+", re.M)
+_LEAF = re.compile(r"Predict: (\S+)")
 
-    At most trees x 2^(depth+1) rows, set by the model options and not by the data.
-    """
-    import numpy as np
-
-    nodes = (
-        spark.read.parquet(f"{path}/data")
-        .select("treeID", "nodeData.*")
-        .select(
-            "treeID",
-            "id",
-            "prediction",
-            "leftChild",
-            "rightChild",
-            F.col("split.featureIndex").alias("feature"),
-            F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        )
-        .toPandas()
-    )
-    tables = []
-    for _, tree in nodes.sort_values(["treeID", "id"]).groupby("treeID", sort=True):
-        leaf = tree["leftChild"].to_numpy() < 0
-        own = tree["id"].to_numpy()
-        tables.append(
-            (
-                np.where(leaf, 0, tree["feature"].to_numpy()).astype("int32"),
-                np.where(leaf, np.inf, tree["threshold"].to_numpy(dtype="float64", na_value=np.inf)),
-                np.where(leaf, own, tree["leftChild"].to_numpy()).astype("int32"),
-                np.where(leaf, own, tree["rightChild"].to_numpy()).astype("int32"),
-                tree["prediction"].to_numpy(dtype="float64"),
-            )
-        )
-    return tables
 
+def leaf_values(model) -> list[list[float]]:
+    """The outputs of each tree's leaves, in the order in which the model numbers them (left to right).
 
-def tree_moments(features: Column, tables: list[tuple], weights, depth: int) -> Column:
-    """Struct (mean, var) over the trees' outputs, one vectorised walk per tree and Arrow batch."""
-    weights = [float(w) for w in weights]
+    Read off the model's own description, one string: trees x leaves numbers, set by the model options.
+    """
+    text = model.toDebugString
+    starts = [m.start() for m in _TREE.finditer(text)]
+    return [[float(v) for v in _LEAF.findall(text[a:b])] for a, b in zip(starts, [*starts[1:], len(text)])]
 
-    @F.pandas_udf("mean double, var double")
-    def walk(batch: pd.Series) -> pd.DataFrame:
-        import numpy as np
 
-        if len(batch) == 0:
-            return pd.DataFrame({"mean": [], "var": []})
-        x = np.stack(batch.to_numpy()).astype("float64")
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        squares = np.zeros(len(x))
-        for seen, ((feature, threshold, left, right, value), weight) in enumerate(zip(tables, weights), 1):
-            at = np.zeros(len(x), dtype="int32")
-            for _ in range(depth):
-                at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
-            out = value[at] * weight
-            step = out - total
-            total += step / seen
-            squares += step * (out - total)
-        return pd.DataFrame({"mean": total, "var": squares / len(tables)})
+def leaf_moments(leaves: Column, values: list[list[float]], weights) -> tuple[Column, Column]:
+    """Mean and population variance over the trees' outputs, from the leaf of each tree (an array column).
 
-    return walk(features)
+    All outputs are one constant array, given as one string that the planner turns into an array once, so no
+    row leaves the JVM and the plan stays short.
+    """
+    constant = lambda numbers, kind: F.split(F.lit(",".join(map(repr, numbers))), ",").cast(f"array<{kind}>")
+    starts = [0]
+    for tree in values[:-1]:
+        starts.append(starts[-1] + len(tree))
+    flat, first = constant([float(w * v) for w, tree in zip(weights, values) for v in tree], "double"), constant(starts, "int")
+    out = F.transform(leaves, lambda leaf, t: F.get(flat, F.get(first, t) + leaf.cast("int")))
+    return let(out, lambda x: wide_moments(x)[0]), let(out, lambda x: wide_moments(x)[1])
 
 
 class _TreeSurrogate(Surrogate):
     model = None
-    depth = 8
-
-    def _remember(self, spark: SparkSession, path: str) -> None:
-        self._tables = node_tables(spark, path)
 
     def save(self, path: str) -> str:
         self.model.write().overwrite().save(path)
@@ -96,10 +62,10 @@ class _TreeSurrogate(Surrogate):
             array_to_vector(F.col("features").cast("array<double>")).alias("x"),
             F.col("score").cast("double").alias("y"),
         )
-        self.model = estimator.fit(data)
-        path = scratch_path(rows.sparkSession, "trees")
-        self.save(path)
-        self._remember(rows.sparkSession, path)
+        # Read several times by the fit. Every part of the table sends its own counts of all open nodes, which
+        # outweigh its rows if these are few, so parts have a least size.
+        data = pinned(data, "training")
+        self.model = estimator.fit(data.coalesce(max(data.count() // PART_ROWS, 1)))
         return self
 
     def _means(self, pool: DataFrame) -> DataFrame:
@@ -109,11 +75,11 @@ class _TreeSurrogate(Surrogate):
         )
 
     def _both(self, pool: DataFrame, weights) -> DataFrame:
-        features = F.col("features").cast("array<double>")
-        out = tree_moments(features, self._tables, weights, self.depth)
-        return pool.select("id", out.alias("_m")).select(
-            "id", F.col("_m.mean").alias("_mean"), F.col("_m.var").alias("var")
-        )
+        vector = array_to_vector(F.col("features").cast("array<double>"))
+        leaves = self.model.copy().setLeafCol("leaves").transform(pool.select("id", vector.alias("x")))
+        found = leaves.select("id", vector_to_array("leaves").alias("leaves"))
+        mean, var = leaf_moments(F.col("leaves"), leaf_values(self.model), weights)
+        return found.select("id", mean.alias("_mean"), var.alias("var"))
 
 
 @register_model("rf")
@@ -124,7 +90,6 @@ class ForestSurrogate(_TreeSurrogate):
         self.options = dict(
             numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, seed=seed
         )
-        self.depth = max_depth
 
     def fit(self, rows: DataFrame) -> "ForestSurrogate":
         return self._fit(
@@ -141,12 +106,11 @@ class ForestSurrogate(_TreeSurrogate):
     def predict(self, pool: DataFrame, need_var: bool = True) -> DataFrame:
         if not need_var:
             return self._means(pool)
-        both = self._both(pool, [1.0] * len(self._tables))
+        both = self._both(pool, [1.0] * self.model.getNumTrees)
         return both.select("id", F.col("_mean").alias("mu"), "var")
 
     def load(self, spark, path: str) -> "ForestSurrogate":
         self.model = RandomForestRegressionModel.load(path)
-        self._remember(spark, path)
         return self
 
 
@@ -156,7 +120,6 @@ class BoostedTreesSurrogate(_TreeSurrogate):
 
     def __init__(self, n_estimators=100, max_depth=5, seed=0, **_):
         self.options = dict(maxIter=n_estimators, maxDepth=max_depth, seed=seed)
-        self.depth = max_depth
 
     def fit(self, rows: DataFrame) -> "BoostedTreesSurrogate":
         return self._fit(rows, GBTRegressor(featuresCol="x", labelCol="y", **self.options))
@@ -170,5 +133,4 @@ class BoostedTreesSurrogate(_TreeSurrogate):
 
     def load(self, spark, path: str) -> "BoostedTreesSurrogate":
         self.model = GBTRegressionModel.load(path)
-        self._remember(spark, path)
         return self

@@ -11,6 +11,7 @@ from activepool.operators import acquisition as acq
 from activepool.operators.ordering import number_rows, top_n, top_quota
 from activepool.operators.rows import lookup_scores
 from activepool.operators.scores import kth_best, top_explored
+from activepool.sources.colocated import write_colocated
 from activepool.session import one_row, pinned
 
 from .registry import (
@@ -292,6 +293,28 @@ def joi3(t):
     return pool(t).select("id", "cluster_id").join(predictions(t), "id")
 
 
+def _colocated(t, rows, name):
+    return write_colocated(rows, t.scratch(name), max(8, int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+@query(
+    "joi2_colocated_unexplored_rows",
+    f"{BASE} SELECT id, payload, cluster_id FROM pool WHERE id NOT IN (SELECT id FROM explored)",
+)
+def joi2_colocated(t):
+    """The pool in files by key: an anti join that moves the scored keys only."""
+    return acq.unexplored(_colocated(t, pool(t).select("id", "payload", "cluster_id"), "pool"), explored(t))
+
+
+@query(
+    "joi3_colocated_pool_predictions_clusters",
+    f"WITH {PREDS}, {POOL} SELECT p.id, p.cluster_id, r.mu, r.var FROM pool p JOIN preds r ON r.id = p.id",
+)
+def joi3_colocated(t):
+    """Pool and predictions in files by the same key: joined file by file."""
+    return _colocated(t, pool(t).select("id", "cluster_id"), "pool").join(_colocated(t, predictions(t), "preds"), "id")
+
+
 TRUE_K = "true_top AS (SELECT id, y FROM truth ORDER BY y DESC, id DESC LIMIT 100)"
 
 

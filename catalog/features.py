@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from activepool.functions import hash_uniform
 from activepool.functions.tokens import WORDS
 from activepool.operators import acquisition as acq
-from activepool.operators.features import as_vector, cluster_centres, components, hashed_vectors, project
+from activepool.operators.features import (
+    as_vector,
+    assign_centres,
+    cluster_centres,
+    components,
+    hashed_vectors,
+    mini_batch_centres,
+    project,
+)
 from activepool.operators.pool import make_pool
 from activepool.plans.objective import FunctionObjective, LookupObjective, build_objective
 from activepool.session import one_row
@@ -68,6 +76,41 @@ def mlp5(t):
     return far.select("id", (own <= F.array_min("_d") * (1 + 1e-9) + 1e-9).alias("nearest"))
 
 
+def _mini_batch_sql(k=5, size=256, count=3) -> str:
+    """The same batches and steps, a query for each step."""
+    steps = ""
+    for b in range(count):
+        steps += f"""
+  near{b} AS (
+    SELECT b.id, any_value(b.x) AS x, arg_max(c.c, list_inner_product(b.x, c.x) - list_inner_product(c.x, c.x) / 2) AS c
+    FROM batches b, c{b} c WHERE b.batch = {b} GROUP BY b.id),
+  mean{b} AS (
+    SELECT c, max(n) AS n, list(m ORDER BY i) AS m FROM (
+      SELECT c, i, count(*) AS n, avg(x[i]) AS m FROM near{b}, range(1, 65) r(i) GROUP BY c, i) GROUP BY c),
+  c{b + 1} AS (
+    SELECT c.c, c.taken + coalesce(n, 0) AS taken, CASE WHEN n IS NULL THEN c.x
+        ELSE list_transform(list_zip(c.x, m.m), lambda z: z[1] + n / (c.taken + n)::double * (z[2] - z[1])) END AS x
+    FROM c{b} c LEFT JOIN mean{b} m ON m.c = c.c),"""
+    return f"""WITH v AS (SELECT vec_id AS id, embedding::double[] AS x FROM embeddings),
+  dealt AS (SELECT greatest(count(*) // {size}, 1) AS d FROM v),
+  batches AS (
+    SELECT * FROM (SELECT id, x, e * d + floor({u_sql('id', "batch/1/' || e || '")} * d) AS batch FROM v, dealt, range({count}) r(e)
+      WHERE e < ceil({count} / d::double)) WHERE batch < {count}),
+  c0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY {u_sql('id', 'centre/1')} DESC, id DESC) - 1 AS c, x, 0 AS taken FROM v) WHERE c < {k}),{steps}
+  own AS (
+    SELECT v.id, arg_max(c.c, list_inner_product(v.x, c.x) - list_inner_product(c.x, c.x) / 2) AS c FROM v, c{count} c GROUP BY v.id)
+  SELECT id, own.c::int AS cluster_id, round(c.x[1], 6) AS first, round(c.x[64], 6) AS last FROM own JOIN c{count} c ON c.c = own.c"""
+
+
+@query("mlp5_mini_batch_clusters", _mini_batch_sql())
+def mlp5_mini_batch(t):
+    """Centres after three mini-batches, and every row's nearest of them."""
+    centres = mini_batch_centres(vectors(t), k=5, seed=1, size=256, count=3, group=1)
+    ends = t.spark.createDataFrame([(c, float(x[0]), float(x[-1])) for c, x in enumerate(centres)], "cluster_id int, first double, last double")
+    rows = assign_centres(vectors(t), centres).join(F.broadcast(ends), "cluster_id")  # one row a centre
+    return rows.select("id", "cluster_id", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
+
+
 def _tree_facts(t, name, **options):
     """Mean of the model, mean over its trees walked one by one, variance over them."""
     model = _fitted(t, name, **options)
@@ -158,6 +201,29 @@ def mlp8_all(t):
     return t.spark.createDataFrame(gaps, "i int, gap double").select("i", (F.abs("gap") < 1e-9).alias("solved"))
 
 
+EVIDENCE_GRID = [(a, s) for a in (0.01, 0.1, 1.0, 10.0) for s in (0.1, 1.0, 10.0)]
+# Of n normal scores with covariance alpha I + Z Z', Z = (sigma0, a, b): determinant and inverse of the 3 x 3 matrix written out.
+EVIDENCE = f"""{NORMAL.split("  g AS (")[0].rstrip().rstrip(",")},
+  s AS (
+    SELECT max(n) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum((y - mean) ** 2) / max(std) ** 2 AS tt,
+      sum(a * (y - mean)) / max(std) AS ca, sum(b * (y - mean)) / max(std) AS cb FROM chosen, m),
+  w AS (
+    SELECT alpha, sigma0, n, tt, ca, cb, sigma0 ** 2 * n + alpha AS m11, sigma0 * sa AS m12, sigma0 * sb AS m13, aa + alpha AS m22, ab AS m23,
+      bb + alpha AS m33 FROM s, (VALUES {", ".join(f"({a}::double, {v}::double)" for a, v in EVIDENCE_GRID)}) grid(alpha, sigma0)),
+  d AS (SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m13 * m23) + m13 * (m12 * m23 - m13 * m22) AS det FROM w)
+  SELECT alpha, sigma0, round(-0.5 * ((tt - (ca * ca * (m11 * m33 - m13 * m13) + 2 * ca * cb * (m12 * m13 - m11 * m23)
+      + cb * cb * (m11 * m22 - m12 * m12)) / det) / alpha + (n - 3) * ln(alpha) + ln(det) + n * ln(2 * pi())), 3) AS evidence FROM d"""
+
+
+@query("mlp8_log_evidence", EVIDENCE)
+def mlp8_evidence(t):
+    """Log marginal likelihood over a grid of noise variances and bias scales, beside determinants written out."""
+    rows = training_rows(_two(t), scored_vectors(t), retrain=True)
+    evidence = build_model("gp", alpha=ALPHA).fit(rows).evidence()
+    found = [(a, s, float(evidence(a, s))) for a, s in EVIDENCE_GRID]
+    return t.spark.createDataFrame(found, "alpha double, sigma0 double, evidence double").withColumn("evidence", F.round("evidence", 3))
+
+
 RANDOM_MODEL = f"""SELECT vec_id AS id, round({u_sql('vec_id', 'mean/5')}, 9) AS mu,
   round({u_sql('vec_id', 'var/5')}, 9) AS var FROM embeddings"""
 
@@ -186,6 +252,20 @@ def mlp10(t):
     return both.select("id", *[F.round(c, 5).alias(c) for c in ("mu", "mu_online")])
 
 
+@query("mlp10_online_fit_of_all_features", "SELECT vec_id AS id, true AS same FROM embeddings")
+def mlp10_all(t):
+    """All 64 features: two online steps and one fit over all rows predict the same."""
+    scores = scored_vectors(t).withColumn("iter", (hash_uniform(F.col("id"), "half") < 0.5).cast("int"))
+    once = LinearGaussianSurrogate(alpha=ALPHA).fit(training_rows(vectors(t), scores, retrain=True))
+    steps = LinearGaussianSurrogate(alpha=ALPHA).fit(training_rows(vectors(t), scores, False, last_iter=0))
+    steps.fit(training_rows(vectors(t), scores, False, last_iter=1), online=True)
+    both = once.predict(vectors(t)).join(
+        steps.predict(vectors(t)).select("id", F.col("mu").alias("mu_online"), F.col("var").alias("var_online")), "id"
+    )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-8
+    return both.select("id", (near("mu", "mu_online") & near("var", "var_online")).alias("same"))
+
+
 @query("mlp11_mean_only_prediction", "SELECT vec_id AS id, 'id,mu' AS columns, true AS same FROM embeddings")
 def mlp11(t):
     """Greedy needs no variance: only the mean is planned, and it is that of the full prediction."""

@@ -6,11 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
+from activepool.operators.acquisition import initial_batch
 from activepool.operators.ordering import top_n
 from activepool.plans.explore import ExploreConfig, Explorer
 from activepool.plans.extract import first_scored
-from activepool.plans.objective import LookupObjective
+from activepool.plans.objective import FunctionObjective, LookupObjective
 from activepool.plans.retrospect import read_runs, reward_matrix
+from activepool.session import pinned
 from activepool.sources.files import read_ordered_scores
 from activepool.surrogates import BatchFunctionSurrogate, build_model
 
@@ -49,6 +51,17 @@ def lop1(t):
     return explorer.scores().select("id", "iter", "score")
 
 
+@query(
+    "lop1_colocated_loop",
+    f"{BASE}, {PICKS} SELECT t.id, t.iter, o.y AS score FROM taken t LEFT JOIN truth o ON o.id = t.id",
+)
+def lop1_colocated(t):
+    """The same loop over a pool and predictions in files by key."""
+    explorer = _explorer(t, t.scratch("explore"), buckets=max(8, int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
+    explorer.run()
+    return explorer.scores().select("id", "iter", "score")
+
+
 @query(
     "lop1_loop_final_ranking",
     f"""{BASE}, {PICKS} SELECT t.id::varchar AS id, round(o.y, 6) AS score,
@@ -196,6 +209,34 @@ def snk5_rescue(t):
     return again.scores().select("id", "iter", "score")
 
 
+@query(
+    "snk4_journal_of_a_killed_batch",
+    f"""{BASE}, b AS (SELECT id, payload FROM pool WHERE id IN (SELECT id FROM explored))
+    SELECT id, length(payload)::double AS score, 1::bigint AS times_paid FROM b""",
+)
+def snk4_journal(t):
+    """A batch dies with one of its tasks; scoring it again buys what is left, and the journal has each row once."""
+    n = math.ceil(t.part.count() * 0.01)
+    batch = pinned(initial_batch(pool(t).select("id", "payload"), n, "s"), "batch")
+    journal, last = t.scratch("journal"), batch.agg(F.max(F.struct("id", "payload")).alias("m")).first()["m"]["payload"]
+
+    def score(stops_at=None):
+        def price(name):
+            if name == stops_at:  # ends the task the way a lost worker does: no row of it comes back
+                raise type("Stopped", (BaseException,), {})
+            return float(len(name))
+
+        return FunctionObjective(price, payload="payload", journal=journal, journal_rows=4).score(batch, n)
+
+    try:
+        score(stops_at=last)
+    except Exception as e:  # the job's error, as Spark reports it
+        assert "Stopped" in str(e)
+    scored = score()
+    rows = t.spark.read.schema("id bigint, score double, error string").option("recursiveFileLookup", "true").parquet(journal)
+    return scored.join(rows.groupBy("id").agg(F.count("*").alias("times_paid")), "id").select("id", "score", "times_paid")
+
+
 @query(
     "lop3_warm_start_of_a_run",
     f"""{BASE}, later AS (SELECT id, y FROM truth WHERE id % 10 = 3),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from activepool.functions.tokens import KEY_COUNT, KEY_SYMBOLS, WORDS, feature_slots, fully_tokenized
+from activepool.functions.tokens import EMPTY_STEP, KEY_COUNT, KEY_SYMBOLS, WORDS, feature_slots, fully_tokenized
 from activepool.operators import rows as rw
 from activepool.operators.pool import make_pool
 from activepool.session import spread
 
 from .registry import POOL, pool, query
+from .sources import stored_parts
 
 LETTERS = "[a-zA-Z ]"
 
@@ -37,6 +38,17 @@ def prj16_slice(t):
     return rw.slice_rows(rows, quarter, 3 * quarter, [F.col("payload").asc(), F.col("id").asc()])
 
 
+@query(
+    "prj16_slice_stored_rows",
+    """WITH r AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS p FROM part),
+    n AS (SELECT count(*) // 4 AS q FROM part) SELECT p_partkey, p_name FROM r, n WHERE p > q AND p <= 3 * q""",
+)
+def prj16_slice_stored(t):
+    """The middle half of the stored rows by position; files outside of it are not read."""
+    stored = stored_parts(t)
+    return stored.slice(stored.n // 4, 3 * (stored.n // 4))
+
+
 @query(
     "prj16_membership",
     """SELECT b.item_id, b.text IN (SELECT text FROM documents) AS found FROM benchmark b""",
@@ -112,8 +124,8 @@ def _features_sql(grams: str, table: str = "documents") -> str:
     FROM cut c JOIN documents d ON d.doc_id = c.doc_id WHERE length(trim(d.text)) > 0"""
 
 
-def _features(t, kind: str, radius: int = 2):
-    slots = feature_slots(F.col("text"), kind, radius, WIDTH, WORDS)
+def _features(t, kind: str, radius: int = 2, length: int = WIDTH):
+    slots = feature_slots(F.col("text"), kind, radius, length, WORDS)
     rows = make_pool(spread(t.documents, "doc_id"), "doc_id", "lang", slots, eager=False)
     return rows.select(F.col("id").alias("doc_id"), F.col("features").alias("s")).select(
         "doc_id",
@@ -172,24 +184,26 @@ def prj1_maccs(t):
     return rows.select(F.col("id").alias("doc_id"), F.array_join(bits, "").alias("bits"))
 
 
+BINS = 2048
+
+
 @query(
     "prj1_features_map4",
-    f"""WITH names AS (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS text FROM part),
-    cut AS (SELECT text, regexp_extract_all(text, '(.)', 1) AS tk FROM names),
-    grams AS ("""
-    + " UNION ALL ".join(
-        f"SELECT text, array_to_string(tk[i:i + {n - 1}], ' ') AS g FROM cut, range(1, len(tk) - {n} + 2) r(i)"
-        for n in (1, 2, 3)
-    )
-    + f"""), perms AS (SELECT text, p, min(md5(p || ':' || g)) AS m FROM grams, range(16) q(p) GROUP BY 1, 2),
-    slots AS (SELECT DISTINCT text, {_slot_sql('m', 16)} AS s FROM perms)
-    SELECT text, string_agg(s::varchar, ' ' ORDER BY s) AS ones FROM slots GROUP BY 1""",
+    f"""WITH cut AS (SELECT doc_id, {WORDS_SQL} AS tk FROM documents),
+    grams AS (SELECT DISTINCT doc_id, md5(g) AS h FROM ({_ngrams_sql((1, 2, 3))})),
+    filled AS (
+      SELECT doc_id, ('0x' || substr(h, 1, 8))::bigint % {BINS} AS bin, min(('0x' || substr(h, 9, 8))::bigint) AS v FROM grams GROUP BY 1, 2),
+    gaps AS (
+      SELECT doc_id, v, bin - coalesce(lag(bin) OVER w, max(bin) OVER (PARTITION BY doc_id) - {BINS}) AS gap
+      FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY bin)),
+    slots AS (SELECT DISTINCT doc_id, (v + d * {EMPTY_STEP}) % {BINS} AS s FROM (SELECT doc_id, v, unnest(range(0, gap)) AS d FROM gaps)),
+    ones AS (SELECT doc_id, count(*) AS n, string_agg(s::varchar, ' ' ORDER BY s) AS s FROM slots GROUP BY 1)
+    SELECT d.doc_id, coalesce(o.n, 0)::int AS n_ones, coalesce(o.s, '') AS ones FROM documents d LEFT JOIN ones o ON o.doc_id = d.doc_id
+    WHERE length(trim(d.text)) > 0""",
 )
 def prj1_map4(t):
-    """Folded MinHash of the character runs of a part's description."""
-    names = t.part.select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")).distinct()
-    slots = feature_slots(F.col("text"), "map4", 2, 16, "(.)")
-    return names.select("text", F.array_join(F.transform(slots, lambda v: v.cast("string")), " ").alias("ones"))
+    """Folded minimum hashes of runs of 1 to 3 tokens, whole texts, 2,048 slots."""
+    return _features(t, "map4", length=BINS)
 
 
 @query(

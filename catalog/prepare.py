@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from activepool.functions import decode_mean_var, one_hot_unknown
 from activepool.functions.tokens import LINE_NOTATION, detokenize, tokenize
 from activepool.operators import prepare as prep
-from activepool.operators.ordering import chunk_rows
+from activepool.operators.ordering import chunk_rows, number_rows
 from activepool.operators.vocabulary import build_vocabulary, encode
 from activepool.session import one_row, spread
 
@@ -76,17 +76,20 @@ def prj4(t):
 
 DOC_VOCAB = f"""counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM documents) GROUP BY 1),
   vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM counts),
-  flat AS (SELECT doc_id, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS place FROM (SELECT doc_id, {TOKENS} AS tk FROM documents WHERE doc_id % 7 <> 0)),
+  flat AS (SELECT doc_id, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS place FROM (SELECT doc_id, {TOKENS} AS tk FROM documents)),
   coded AS (SELECT f.doc_id, string_agg(v.token_id::varchar, ' ' ORDER BY place) AS body, count(*) AS n FROM flat f JOIN vocab v ON v.token = f.token GROUP BY 1)
-  SELECT d.doc_id, CASE WHEN d.doc_id % 7 <> 0 THEN md5('0 ' || coalesce(body || ' ', '') || '1') END AS digest,
-    CASE WHEN d.doc_id % 7 <> 0 THEN coalesce(n, 0)::int + 2 END AS n FROM documents d LEFT JOIN coded c ON c.doc_id = d.doc_id"""
+  SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN md5('0 ' || coalesce(body || ' ', '') || '1') END AS digest,
+    CASE WHEN d.text IS NOT NULL THEN coalesce(n, 0)::int + 2 END AS n FROM documents d LEFT JOIN coded c ON c.doc_id = d.doc_id
+  UNION ALL SELECT -item_id, NULL, NULL FROM (SELECT row_number() OVER () AS item_id FROM benchmark)"""
 
 
 def _coded_documents(t, dict_limit):
-    """Every whole text with the whole vocabulary; some texts are NULL, one key holds all rows."""
+    """Every whole text with the whole vocabulary, rows without a text beside them; one key holds all rows."""
     from activepool.session import pinned
 
-    rows = t.documents.select("doc_id", F.lit(1).alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
+    rows = t.documents.select("doc_id", F.lit(1).alias("id"), "text")
+    empty = number_rows(t.benchmark.select("item_id"), [F.col("item_id").asc()], name="n")
+    rows = rows.unionByName(empty.select((-F.col("n")).alias("doc_id"), F.lit(1).alias("id"), F.lit(None).cast("string").alias("text")))
     vocabulary = pinned(build_vocabulary(t.documents, "text"), "vocabulary")
     coded = encode(rows, "text", vocabulary, pad_to=0, dict_limit=dict_limit)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")

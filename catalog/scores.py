@@ -10,7 +10,7 @@ from activepool.operators.acquisition import initial_batch
 from activepool.operators.ordering import number_rows, top_n
 from activepool.operators.rows import lookup_scores
 from activepool.plans.extract import first_scored
-from activepool.session import one_row
+from activepool.session import one_row, pinned
 from activepool.surrogates import ensemble_moments
 from activepool.surrogates.base import training_errors, wide_moments
 
@@ -168,6 +168,28 @@ def agg1_failures(t):
     return sc.top_average(scores, k).select(F.round("top_avg", 6).alias("top_avg"))
 
 
+@query(
+    "agg1_progress_round_by_round",
+    f"""WITH {DOC_SCORES}, rounds AS (SELECT DISTINCT iter FROM docs),
+    ranked AS (SELECT r.iter, d.score, row_number() OVER (PARTITION BY r.iter ORDER BY d.score DESC NULLS LAST, d.id DESC) AS k
+      FROM rounds r JOIN docs d ON d.iter <= r.iter)
+    SELECT iter, round(sum(coalesce(score, 0)) / count(*), 6) AS top_avg, count(*) AS n,
+      round(CASE WHEN count(*) >= {K} THEN min(coalesce(score, '-infinity'::double)) ELSE max(coalesce(score, '-infinity'::double)) END, 6) AS kth_best
+    FROM ranked WHERE k <= {K} GROUP BY iter""",
+)
+def agg1_rounds(t):
+    """Each round merges its rows into the best ones kept by the round before; no earlier score is read again."""
+    rows, best, out = document_scores(t), None, None
+    for it in sorted(r["iter"] for r in rows.select("iter").distinct().collect()):
+        new = rows.filter(F.col("iter") == it)
+        best = pinned(sc.best_rows(new, K) if best is None else sc.merge_best(best, new, K), "best")
+        line = sc.progress_of(best, K).select(
+            F.lit(it).alias("iter"), F.round("top_avg", 6).alias("top_avg"), "n", F.round("kth_best", 6).alias("kth_best")
+        )
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 @query("agg2_batch_average", f"WITH {DOC_SCORES} SELECT iter, round(avg(score), 6) AS batch_avg FROM docs GROUP BY 1")
 def agg2(t):
     return document_scores(t).groupBy("iter").agg(F.round(F.avg("score"), 6).alias("batch_avg"))

@@ -9,6 +9,7 @@ from activepool.operators.ordering import top_n
 from activepool.operators.prepare import valid_keys
 from activepool.operators.rows import draw_rows
 from activepool.sources import files, text
+from activepool.sources.offsets import RowOffsets, draw_stored
 
 from .registry import query, u_sql
 
@@ -67,6 +68,20 @@ def src3(t):
     return text.read_oracle(t.spark, _oracle_file(t), key_col=1, score_col=2)
 
 
+@query(
+    "src3_lookup_oracle_of_several_paths",
+    """SELECT p_name AS id, arg_max(p_retailprice, (p_partkey % 2, p_partkey)) AS y FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1""",
+)
+def src3_paths(t):
+    """Two folders whose names sort against the order in which they are given: the last one given counts."""
+    base = t.scratch("lookup")
+    score = F.when(F.col("p_brand") == "Brand#3", F.lit("failed")).otherwise(F.col("p_retailprice").cast("string"))
+    rows = t.part.select("p_partkey", F.col("p_name").alias("key"), score.alias("score"))
+    for name, half in (("z-even", 0), ("a-odd", 1)):
+        write_csv(rows.filter(F.col("p_partkey") % 2 == half), f"{base}/{name}", order="p_partkey")
+    return text.read_oracle(t.spark, [f"{base}/z-even", f"{base}/a-odd"], key_col=1, score_col=2)
+
+
 @query(
     "src4_signed_oracle",
     """SELECT p_name AS id, -arg_max(p_retailprice, p_partkey) AS y FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1""",
@@ -98,6 +113,22 @@ def src5(t):
     return text.read_scores(t.spark, _score_file(t))
 
 
+@query(
+    "src5_previous_scores_of_several_paths",
+    f"""WITH {SCORED} SELECT id, (arg_max(struct_pack(v := score), (c_custkey % 3 <> 0, c_custkey))).v AS score FROM s GROUP BY 1""",
+)
+def src5_paths(t):
+    """Logs of two runs; the later path's row of a key counts, also where it failed."""
+    key, base = F.concat_ws("/", "c_mktsegment", "c_nationkey"), t.scratch("scores")
+    score = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string"))
+    for name, first in (("run-2", True), ("run-1", False)):
+        rows = t.customer.filter((F.col("c_custkey") % 3 == 0) == first).select("c_custkey", key.alias("smiles"), score.alias("score"))
+        parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartitionByRange(parts, "c_custkey").sortWithinPartitions("c_custkey")
+        rows.select("smiles", "score").write.csv(f"{base}/{name}", header=True)
+    return text.read_scores(t.spark, [f"{base}/run-2", f"{base}/run-1"])
+
+
 @query(
     "src6_scores_and_failures",
     f"""WITH {SCORED} SELECT id, arg_max(score, c_custkey) AS score, 'score' AS kind FROM s WHERE score IS NOT NULL GROUP BY 1
@@ -404,6 +435,27 @@ def src20(t):
     return draw_rows(lines, 400, 3, 4, [F.col("p_partkey").asc()])
 
 
+def stored_parts(t) -> RowOffsets:
+    """The parts in files by key; their positions are those of the key order."""
+    path = t.scratch("lines")
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = t.part.select("p_partkey", "p_name").repartitionByRange(parts, "p_partkey").sortWithinPartitions("p_partkey")
+    rows.write.parquet(path)
+    return RowOffsets(t.spark, path)
+
+
+@query(
+    "src20_random_stored_lines",
+    f"""WITH n AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part),
+    d AS (SELECT i // 400 AS rep, i % 400 AS draw, floor({u_sql('i', 'draw/4')} * (SELECT count(*) FROM part)) AS pos
+          FROM range(1200) r(i))
+    SELECT rep::bigint AS rep, draw, p_partkey, p_name FROM d JOIN n ON n.pos = d.pos""",
+)
+def src20_stored(t):
+    """Three samples of 400 stored lines by their positions, with replacement: no line is moved."""
+    return draw_stored(stored_parts(t), 400, 3, 4)
+
+
 @query(
     "src21_prediction_shards",
     """SELECT p_partkey AS idx, p_name AS key, round(ln(p_retailprice), 6) AS mu FROM part""",

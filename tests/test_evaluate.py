@@ -22,13 +22,19 @@ def heap_curve(scores, k):
     return out
 
 
-@pytest.mark.parametrize("k,block", [(5, 50), (1, 10), (30, 400)])
-def test_top_average_curve_per_row(spark, k, block):
+@pytest.mark.parametrize("k,block,few", [(5, 50, 10**6), (1, 10, 10**6), (30, 400, 10**6), (7, 20, 0), (40, 16, 10**6)])
+def test_top_average_curve_per_row(spark, monkeypatch, k, block, few):
+    monkeypatch.setattr(cv, "FEW_EVENTS", few)
+    monkeypatch.setattr(cv, "BLOCK", 33)
     rnd = random.Random(1)
-    runs = {"hot": 300, "cold": 40, "short": 3}
+    runs = {"hot": 300, "cold": 40, "short": 3, "rising": 90, "failed": 12}
     rows, want = [], {}
     for run, n in runs.items():
         scores = [None if rnd.random() < 0.2 else float(rnd.randint(0, 50)) for _ in range(n)]
+        if run == "rising":  # every row enters
+            scores = [float(i) for i in range(n)]
+        if run == "failed":
+            scores = [None] * n
         rows += [(run, i + 1, f"{run}{i}", s) for i, s in enumerate(scores)]
         want[run] = heap_curve(scores, k)
     df = spark.createDataFrame(rows, "run_id string, seq long, id string, score double")
@@ -38,6 +44,17 @@ def test_top_average_curve_per_row(spark, k, block):
         assert r["reward"] == pytest.approx(want[r["run_id"]][r["n_sampled"] - 1])
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_best_upto_is_a_prefix_scan(spark, fan):
+    rnd = random.Random(2)
+    lists = {(g, i + 1): sorted((float(rnd.randint(0, 99)) for _ in range(rnd.randint(0, 4))), reverse=True) for g, n in (("a", 23), ("b", 1), ("c", 9)) for i in range(n)}
+    rows = [(g, i, x or None) for (g, i), x in lists.items()]
+    df = spark.createDataFrame(rows, "g string, at long, _best array<double>")
+    got = {(r["g"], r["at"]): r["_upto"] for r in cv.best_upto(df, ["g"], "at", 4, fan).collect()}
+    for g, i in lists:
+        assert got[g, i] == sorted((x for j in range(1, i + 1) for x in lists[g, j]), reverse=True)[:4]
+
+
 def test_hit_curve_counts_only_as_many_ties_as_wanted(spark):
     rows = [("r", i, str(i), s) for i, s in enumerate([1.0, 5.0, 3.0, 3.0, None, 3.0, 9.0])]
     df = spark.createDataFrame(rows, "run_id string, seq long, id string, score double")
