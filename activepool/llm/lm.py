@@ -1,55 +1,49 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model, fitted by Gibbs sampling on Spark.
-
-Tokens are lower-cased words and one end for each text. A token's context is the whole word before it (its
-64-bit hash; the start of the text for the first); every context is a restaurant, all share the root
-restaurant as their parent, and the root's base is the smoothed unigram distribution. A restaurant seats
-each token as a customer: at a table that serves its word already (weight: customers there less the
-discount) or at a new one (weight: strength plus discount times tables, times the parent's probability);
-every new table is a customer of the parent.
-
-The corpus statistics are one row for each distinct (context, word), summed from blocks that each shard
-deals out by the pair's hash, so no context and no word is held by a task. One Gibbs sweep empties and
-reseats the customers of every (context, word) given all else as the sweep before left it, then those of
-every word in the root. A pair seen once has one table for good, and so has a word of one context and one
-table: sweeps touch the others only. Tables are summed by context and by word with partial aggregates and
-joined back. Draws are hashes of (word, context, sweep, customer), the same on every partitioning.
-Customers after the 32nd of a word are seated in blocks that grow by an eighth. Predictive probabilities
-are averaged over the sweeps after the burn-in.
-
-Texts never move: a shard (a bounded run of rows of one task) posts its pairs with the documents they
-occur in, the postings meet the probabilities of their pair, and sums for each shard come back.
+"""Language-model scoring with a hierarchical Pitman-Yor model, fitted by sampling on Spark.
+
+Tokens are lower-cased words and one end for each text. A token's context is the whole word before it (the
+start of the text for the first); every context is a restaurant, all share the root restaurant as their parent,
+and the root's base is the smoothed unigram distribution. A restaurant seats each token as a customer: at a
+table that serves its word already (weight: customers there less the discount) or at a new one (weight: strength
+plus discount times tables, times the parent's probability); every new table is a customer of the parent.
+
+One sweep empties and reseats the customers of every (context, word) given all else as the sweep before left it,
+without the dish's own tables, then those of every word in the root. That is Gibbs sampling done in parallel, an
+approximation (a test holds it against an exact sampler). A pair seen once has one table for good; sweeps touch
+the others only. Draws are hashes of (word, context, sweep, customer), the same on every partitioning. Customers
+after the 32nd of a word are seated in blocks that grow by an eighth. Predictive probabilities are averaged over
+the sweeps after the burn-in.
+
+How it lies on the cluster. Words are dealt to buckets by their hash and numbered there, the commonest first, so a
+word is a small number from then on. Shards (bounded runs of rows of one task) post their distinct pairs to
+buckets of the context's number; a context with over HOT tokens is split over several buckets by the word. What
+travels are packed blocks, one for each shard and bucket or for two buckets: sorted numbers as differences, byte
+plane by byte plane, compressed. In a sweep the word buckets send customers and tables of the words that a pair
+bucket asked for, the pair buckets seat and send back their new tables; all counts are kept by the two sides, and
+no row for each pair is ever written. At the end each shard gets the numbers of its words and pairs in its own
+order and adds up its documents. No context, no word and no document is held whole by more than its bucket.
 """
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from activepool.llm.common import bounded, maybe_broadcast, mix64, picked, texts_of, uniform
-from activepool.session import pinned
+from activepool.llm.common import bounded, mix64, picked, texts_of, uniform
+from activepool.session import pinned, scratch_path
 
-#: The context of a text's first token; no word is empty.
-START = xxhash.xxh3_64_intdigest(b"")
 SHARD_WORDS = 4_000_000
 SHARD_DOCS = 65_000
 BURN_IN, KEPT = 3, 4
 STRENGTH = 1.0
-#: Sums of at most this many documents are held by a task before they are passed on.
-HELD_DOCS = 2_000_000
-#: Pairs that a task collects before it deals them out in blocks.
-HELD_PAIRS = 1_000_000
-
-#: kind 0: the documents of a shard; kind 1: its pairs of a bucket, with ``k`` postings (doc, m) each.
-_POSTED = pa.schema(
-    [("shard", pa.int64()), ("kind", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-     ("lens", pa.list_(pa.int32())), ("bucket", pa.int32()), ("c", pa.binary()), ("w", pa.binary()), ("n", pa.binary()),
-     ("k", pa.binary()), ("doc", pa.binary()), ("m", pa.binary())]
-)
-_POSTED_DDL = """shard long, kind int, doc_ids array<long>, held array<boolean>, lens array<int>, bucket int, c binary, w binary,
-n binary, k binary, doc binary, m binary"""
+#: Tokens of a context in one pair bucket, about.
+HOT = 1 << 20
+#: Local numbers of the end and the start of a text; no word is a line feed or empty.
+END, START = 0, 1
 
 
 class _Numbers(dict):
@@ -58,75 +52,89 @@ class _Numbers(dict):
         return number
 
 
-def _pair(c: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The 64-bit name of a (context, word)."""
-    return mix64(mix64(w.view(np.uint64)) + c.view(np.uint64))
+# --- packed arrays --------------------------------------------------------------------------------
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as byte planes, compressed: planes of zeros are left out or nearly empty."""
+    values = np.ascontiguousarray(values, "<u8")
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    data = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return len(values).to_bytes(8, "little") + bytes([planes]) + pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n, planes = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros((n, 8), np.uint8)
+    raw = pa.decompress(data[9:], decompressed_size=n * planes, codec="zstd", asbytes=True)
+    out[:, :planes] = np.frombuffer(raw, np.uint8).reshape(planes, n).T
+    return out.view("<u8").reshape(n).astype(np.int64)
+
+
+def _rising(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=0))
+
+
+def _risen(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data))
 
 
 def _starts(key: np.ndarray) -> np.ndarray:
     """Where the runs of equal values of a sorted array begin."""
-    return np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
 
 
-def _joined(rows: pa.Table, name: str, dtype) -> np.ndarray:
-    """The arrays of a binary column, one after the other."""
-    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in rows.column(name)] or [np.empty(0, dtype)])
+#: Every step's rows: what they are, the bucket that they go to, the one they come from, the shard, packed arrays
+#: and two sums.
+_BLOCK = pa.schema([("kind", pa.string()), ("at", pa.int32()), ("by", pa.int32()), ("shard", pa.int64()), ("d", pa.list_(pa.binary())),
+                    ("x", pa.int64()), ("y", pa.int64())])
+_BLOCK_DDL = "kind string, at int, by int, shard long, d array<binary>, x long, y long"
 
 
-def _posted(buckets: int):
-    """Pairs of each shard with their documents and counts, dealt out to ``buckets`` by the pair's name."""
+def _block(kind, d, at=-1, by=-1, shard=-1, x=0, y=0) -> dict:
+    return {"kind": kind, "at": at, "by": by, "shard": shard, "d": d, "x": x, "y": y}
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_BLOCK)
+
+
+# --- shards and numbers ----------------------------------------------------------------------------
+
+_DOCS = pa.schema([*_BLOCK, ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32()))])
+
+
+def _split(buckets: int):
+    """Texts of each shard as local word numbers, and its words' hashes and learning counts by bucket."""
 
     def flush(shard, numbers, codes, lens, ids, held):
-        end = numbers[b"\n"]  # not a word: the end of a text
         size = len(numbers)
-        hashes = np.fromiter((*map(xxhash.xxh3_64_intdigest, numbers), START), np.uint64, size + 1).view(np.int64)
-        lens = np.array(lens, np.int64)
-        tokens = np.concatenate([np.append(c, end) for c in codes]).astype(np.int64)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[np.cumsum(lens) - lens] = size
-        doc = np.repeat(np.arange(len(lens)), lens)
-        pairs, at = np.unique(before * size + tokens, return_inverse=True)
-        c, w = hashes[pairs // size], hashes[pairs % size]
-        bucket = (_pair(c, w) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((w, c, bucket))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        c, w, bucket = c[order], w[order], bucket[order]
-        key = place[at.reshape(-1)] << 16 | doc
-        key.sort()
-        first = _starts(key)
-        key, m = key[first], np.diff(np.append(first, len(key)))
-        pair, d = key >> 16, key & 65535
-        # Counts of learning documents by pair.
-        trained = ~np.array(held, bool)
-        n = np.add.reduceat(m * trained[d], _starts(pair))
-        # A count over 255 is posted as several entries.
-        more = (m + 254) // 255
-        pair, d, tail = np.repeat(pair, more), np.repeat(d, more), np.cumsum(more) - 1
-        rest = m - 255 * (more - 1)
-        m = np.full(len(d), 255)
-        m[tail] = rest
-        k = np.bincount(pair, minlength=len(c))
-        starts = _starts(bucket)
-        posts = np.concatenate([[0], np.cumsum(k)])
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, size)
+        tokens = np.concatenate([np.append(c, END) for c in codes])
+        learns = np.repeat(~np.array(held, bool), lens)
+        counts = np.bincount(tokens[learns], minlength=size)
+        counts[START] = len(held) - sum(held)
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        rows = [_block("texts", [_pack(tokens), _pack(place)], shard=shard) | {"doc_ids": ids, "held": held, "lens": lens}]
         none = {"doc_ids": None, "held": None, "lens": None}
-        for a, b in zip(starts, np.append(starts[1:], len(bucket))):
-            x, y = posts[a], posts[b]
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": shard, "kind": 1, **none, "bucket": int(bucket[a]), "c": c[a:b].tobytes(), "w": w[a:b].tobytes(),
-                  "n": n[a:b].astype("<u4").tobytes(), "k": k[a:b].astype("<u4").tobytes(),
-                  "doc": d[x:y].astype("<u2").tobytes(), "m": m[x:y].astype("u1").tobytes()}], schema=_POSTED)
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "kind": 0, "doc_ids": ids, "held": held, "lens": lens.tolist()}], schema=_POSTED)
+        starts = _starts(bucket[order])
+        for a, b in zip(starts, np.append(starts[1:], size)):
+            at = order[a:b]
+            start = int(np.flatnonzero(at == START)[0]) if bucket[START] == bucket[at[0]] else -1
+            rows.append(_block("hashes", [hashes[at].tobytes(), _pack(counts[at])], at=int(bucket[at[0]]), shard=shard, x=start) | none)
+        yield pa.RecordBatch.from_pylist(rows, schema=_DOCS)
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        fresh = lambda: (_Numbers({b"\n": 0}), [], [], [], [])
+        fresh = lambda: (_Numbers({b"\n": END, b"": START}), [], [], [], [])
         (numbers, codes, lens, ids, held), seen, shard = fresh(), 0, base
         for batch in bounded(batches):
             for doc_id, out, text in zip(batch.column("doc_id"), batch.column("held"), texts_of(batch.column("text"))):
                 words = text.lower().split() if text else []
-                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 lens.append(len(words) + 1)
                 ids.append(doc_id.as_py())
                 held.append(out.as_py())
@@ -140,13 +148,125 @@ def _posted(buckets: int):
     return run
 
 
-def _summed(blocks: pa.Table) -> pa.Table:
-    """One row for each (context, word) of a bucket, with its count."""
-    c, w, n = _joined(blocks, "c", "<i8"), _joined(blocks, "w", "<i8"), _joined(blocks, "n", "<u4").astype(np.int64)
+def _numbered(buckets: int):
+    """Numbers (rank in the bucket times buckets plus bucket) and counts of each shard's words; counts by rank."""
+
+    def run(key, table):
+        b = key[0].as_py()
+        rows = table.select(["shard", "d", "x"]).to_pylist()
+        hashes = [np.frombuffer(r["d"][0], np.uint64) for r in rows]
+        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.concatenate([_unpack(r["d"][1]) for r in rows])
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, at, counts)
+        order = np.argsort(-total, kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        out, first, start = [], 0, -1
+        for r, h in zip(rows, hashes):
+            own = at[first : first + len(h)]
+            if r["x"] >= 0:
+                start = int(rank[own[r["x"]]])
+            out.append(_block("numbers", [_pack(rank[own] * buckets + b), _pack(total[own])], at=b, shard=r["shard"]))
+            first += len(h)
+        # The start of a text is a context only, no word.
+        words = total[order].copy()
+        if start >= 0:
+            words[start] = 0
+        out.append(_block("totals", [_pack(words)], at=b, x=int(words.sum()), y=int((words > 0).sum())))
+        out.append(_block("rare", [], at=b, x=int((words == 1).sum()), y=int((words == 2).sum())))
+        return _table(out)
+
+    return run
+
+
+def _local(texts: pa.Table, others: list[dict]):
+    """(tokens by local number, word before, numbers and counts by local number) of a shard."""
+    tokens, place = (_unpack(x.as_py()) for x in texts.column("d")[0].values)
+    blocks = sorted((r for r in others if r["kind"] == "numbers"), key=lambda r: r["at"])
+    ids, total = (np.concatenate([_unpack(r["d"][k]) for r in blocks])[place] for k in range(2))
+    lens = texts.column("lens")[0].values.to_numpy()
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lens) - lens] = START
+    return tokens, before, lens, ids, total
+
+
+def _pairs_of(tokens, before, ids, total, buckets):
+    """The shard's distinct pairs by (bucket, context, word): (bucket, c, w, each token's place among them)."""
+    size = len(ids)
+    pairs, at = np.unique(before * size + tokens, return_inverse=True)
+    left, right = pairs // size, pairs % size
+    c, w = ids[left], ids[right]
+    parts = 1 + total[left] // HOT
+    part = (mix64(w.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.uint64)
+    bucket = (mix64(c.astype(np.uint64) + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((w, c, bucket))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return bucket[order], c[order], w[order], place[at.reshape(-1)], left[order], right[order]
+
+
+def _posted(buckets: int):
+    """Distinct pairs of each shard with their learning counts, in a block for each pair bucket."""
+
+    def run(texts, numbers):
+        tokens, before, lens, ids, total = _local(texts, numbers.to_pylist())
+        bucket, c, w, at, _, _ = _pairs_of(tokens, before, ids, total, buckets)
+        learns = np.repeat(~texts.column("held")[0].values.to_numpy(zero_copy_only=False), lens)
+        n = np.bincount(at[learns], minlength=len(c))
+        starts, shard = _starts(bucket), texts.column("shard")[0].as_py()
+        return _table([
+            _block("posted", [_rising(c[a:b]), _pack(w[a:b]), _pack(n[a:b])], at=int(bucket[a]), shard=shard)
+            for a, b in zip(starts, np.append(starts[1:], len(c)))
+        ])
+
+    return run
+
+
+def _merged(rows: list[dict]):
+    """All shards' pairs of a bucket: (c, w, n, place of each posted pair)."""
+    c, w, n = (np.concatenate([read(r["d"][k]) for r in rows]) for k, read in enumerate((_risen, _unpack, _unpack)))
     order = np.lexsort((w, c))
-    c, w, n = c[order], w[order], n[order]
-    at = np.nonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))[0]
-    return pa.table({"c": c[at], "w": w[at], "n": np.add.reduceat(n, at)})
+    c, w = c[order], w[order]
+    first = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(first) - 1
+    return c[first], w[first], np.bincount(at, weights=n, minlength=int(first.sum())).astype(np.int64), at
+
+
+def _summed(buckets: int):
+    """Of a pair bucket: pairs seen more than once, what it asks of each word bucket, and its counts for them."""
+
+    def run(key, table):
+        p = key[0].as_py()
+        c, w, n, _ = _merged(table.select(["shard", "d"]).to_pylist())
+        out = []
+
+        def by_bucket(ids):
+            """Distinct numbers by (word bucket, rank), each entry's place among them, and the buckets' bounds."""
+            order, at = np.unique((ids % buckets) * (1 << 40) + ids // buckets, return_inverse=True)
+            return order & ((1 << 40) - 1), at.reshape(-1), np.searchsorted(order, np.arange(buckets + 1) << 40)
+
+        seen = n > 0
+        for kind, ids in (("contexts", c[seen]), ("words", w[seen])):
+            m = n[seen]
+            rank, at, ends = by_bucket(ids)
+            sums = [np.bincount(at, weights=x, minlength=len(rank)).astype(np.int64) for x in (m, m == 1, m > 1)]
+            for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+                part = slice(ends[b], ends[b + 1])
+                out.append(_block(kind, [_rising(rank[part]), *(_pack(x[part]) for x in sums)], at=b, by=p))
+        many, once, twice = n > 1, int((n == 1).sum()), int((n == 2).sum())
+        c, w, n = c[many], w[many], n[many]
+        (wr, wi, w_ends), (cr, ci, c_ends) = by_bucket(w), by_bucket(c)
+        for b in np.flatnonzero((w_ends[1:] > w_ends[:-1]) | (c_ends[1:] > c_ends[:-1])).tolist():
+            out.append(_block("asked", [_rising(wr[w_ends[b] : w_ends[b + 1]]), _rising(cr[c_ends[b] : c_ends[b + 1]])], at=b, by=p))
+        key_of = mix64(mix64(w.astype(np.uint64)) + c.astype(np.uint64)).astype(np.uint64)
+        one = np.ones(len(n), np.int64)
+        out.append(_block("seated", [_pack(wi), _pack(ci), _pack(n), _pack(one), _pack(0 * one), key_of.tobytes()], at=p, x=once, y=twice))
+        return _table(out)
+
+    return run
 
 
 def _binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -167,15 +287,20 @@ def _binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.where(few, out, np.clip(np.rint(n * p + np.sqrt(n * p * (1 - p)) * z), 0, n))
 
 
-def reseat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
-    """Tables of each dish after its customers are seated one by one; ``weight`` is that of a new table."""
+def reseat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
+    """Tables of each dish after its customers are seated one by one.
+
+    ``weight`` is that of a new table without the dish's own tables; each of these adds ``more``.
+    """
     tables = np.minimum(customers, 1).astype(np.float64)
     seated, step = 1, 0
+    more = np.broadcast_to(more, len(customers))
     active = np.nonzero(customers > 1)[0]
     while len(active):
         m = max(1, seated // 8) if seated >= 32 else 1
         left = np.minimum(customers[active] - seated, m)
-        a, t = weight[active], tables[active]
+        t = tables[active]
+        a = weight[active] + more[active] * t
         p = a / (a + np.maximum(seated + (left - 1) / 2 - discount * t, 1e-9))
         step += 1
         draw = mix64(key[active] + np.array(step, np.uint64) * np.array(0x9E3779B97F4A7C15, np.uint64))
@@ -191,191 +316,242 @@ def _base(count, tokens: int, words: int):
     return (count + 0.1) / (tokens + 0.1 * (words + 1))
 
 
-_SEATED = "c long, w long, n long, t double, sum double"
+# --- sweeps ----------------------------------------------------------------------------------------
+
+#: Arrays of a word bucket's state, by rank; behind them customers, tables and context tables of each kept sweep.
+TOTAL, ONES, MANY, CTX_TOTAL, CTX_ONES, CUSTOMERS, TABLES, CTX_TABLES, KEEPS = range(9)
+
 
+def _state(totals, counts):
+    """A word bucket before the first sweep: every pair has one table, and every word one in the root."""
+    total = _unpack(totals.column("d")[0].values[0].as_py())
+    word, context = np.zeros((3, len(total)), np.int64), np.zeros((3, len(total)), np.int64)
+    for r in counts.select(["kind", "d"]).to_pylist():
+        rank, into = _risen(r["d"][0]), word if r["kind"] == "words" else context
+        for k in range(3):
+            into[k, rank] += _unpack(r["d"][k + 1])
+    customers = word[1] + word[2]
+    tables = np.minimum(customers, 1)
+    arrays = [total, word[1], word[2], context[0], context[1], customers, tables, context[1] + context[2]]
+    return _table([_block("state", [_pack(x) for x in arrays], at=totals.column("at")[0].as_py(), x=int(customers.sum()), y=int(tables.sum()))])
 
-def _swept(sweep: int, discount: float):
-    """Reseats the customers of each (context, word); ``sum`` adds up its tables after the burn-in."""
+
+def _served(sweep: int, buckets: int, root_discount: float, root_tables: float, tokens: int, kinds: int):
+    """A word bucket after a sweep over the pairs (none: sweep -1), and what each pair bucket asked of it."""
     mark = np.uint64((sweep + 1) * 0xD1342543DE82EF95 % 2**64)
 
-    def run(batches):
-        for batch in batches:
-            c, w, n, t, total, tables, p = (np.asarray(batch.column(x)) for x in ("c", "w", "n", "t", "sum", "tables", "p"))
-            t = reseat(n, (STRENGTH + discount * tables) * p, discount, mix64(_pair(c, w) + np.uint64(1)) + mark)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (c, w, n, t, total + t * (sweep >= BURN_IN)))], names=["c", "w", "n", "t", "sum"])
+    def run(own, told):
+        rows = own.select(["kind", "at", "by", "d"]).to_pylist()
+        state = next(r for r in rows if r["kind"] == "state")
+        asked = sorted((r for r in rows if r["kind"] == "asked"), key=lambda r: r["by"])
+        b, d = state["at"], [_unpack(x) for x in state["d"]]
+        wanted = [(r["by"], _risen(r["d"][0]), _risen(r["d"][1])) for r in asked]
+        if sweep >= 0:
+            tables = {r["by"]: r["d"] for r in told.select(["by", "d"]).to_pylist()}
+            more, ctx_more = np.zeros(len(d[TOTAL]), np.int64), np.zeros(len(d[TOTAL]), np.int64)
+            for p, words, contexts in wanted:
+                more[words] += _unpack(tables[p][0])
+                ctx_more[contexts] += _unpack(tables[p][1])
+            moves = np.flatnonzero((d[ONES] + d[MANY] > 1) | (d[MANY] > 0))
+            d[CUSTOMERS] = d[ONES] + more
+            d[CTX_TABLES] = d[CTX_ONES] + ctx_more
+            base = _base(d[TOTAL][moves], tokens, kinds)
+            own_tables = d[TABLES][moves]
+            key = mix64((moves * buckets + b).astype(np.uint64)) + mark
+            weight = (STRENGTH + root_discount * (root_tables - own_tables)) * base
+            d[TABLES][moves] = reseat(d[CUSTOMERS][moves], weight, root_discount, key, root_discount * base)
+            if sweep >= BURN_IN:
+                d += [d[CUSTOMERS].copy(), d[TABLES].copy(), d[CTX_TABLES].copy()]
+        out = [_block("state", [_pack(x) for x in d], at=b, x=int(d[CUSTOMERS].sum()), y=int(d[TABLES].sum()))]
+        for p, words, contexts in wanted:
+            out.append(_block("served", [_pack(x) for x in (d[CUSTOMERS][words], d[TABLES][words], d[TOTAL][words], d[CTX_TABLES][contexts])], at=p, by=b))
+        return _table(out)
 
     return run
 
 
-_ROOT = "w long, total long, ones long, k long, t double, kept array<double>"
+def _root(customers, tables, total, sums, root_discount, tokens, kinds):
+    """Probabilities of words in the root."""
+    share = (STRENGTH + root_discount * sums[1]) * _base(total, tokens, kinds)
+    return (customers - root_discount * tables + share) / (STRENGTH + sums[0])
 
 
-def _rooted(sweep: int, discount: float, tables: float, tokens: int, words: int):
-    """Reseats the customers of each word in the root."""
+def _seat(sweep: int, discount: float, root_discount: float, sums, tokens: int, kinds: int):
+    """Reseats the pairs of a pair bucket and tells the word buckets the new tables."""
     mark = np.uint64((sweep + 1) * 0xD1342543DE82EF95 % 2**64)
 
-    def run(batches):
-        for batch in batches:
-            w, total, k = (np.asarray(batch.column(x)) for x in ("w", "total", "k"))
-            t = reseat(k, (STRENGTH + discount * tables) * _base(total, tokens, words), discount, mix64(w.view(np.uint64)) + mark)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("w"), batch.column("total"), batch.column("ones"), batch.column("k"), pa.array(t), batch.column("kept")],
-                names=["w", "total", "ones", "k", "t", "kept"],
-            )
+    def run(seated, served):
+        row = seated.select(["at", "d"]).to_pylist()[0]
+        wi, ci, n, t, total = (_unpack(x) for x in row["d"][:5])
+        name = np.frombuffer(row["d"][5], np.uint64)
+        rows = sorted(served.select(["by", "d"]).to_pylist(), key=lambda r: r["by"])
+        if not len(n):
+            return _table([_block("seated", row["d"], at=row["at"])])
+        parts = [[_unpack(x) for x in r["d"]] for r in rows]
+        customers, tables, words, contexts = (np.concatenate(x) for x in zip(*parts))
+        p = _root(customers, tables, words, sums, root_discount, tokens, kinds)[wi]
+        t = reseat(n, (STRENGTH + discount * (contexts[ci] - t)) * p, discount, mix64(name + np.uint64(1)) + mark, discount * p).astype(np.int64)
+        if sweep >= BURN_IN:
+            total = total + t
+        out = [_block("seated", [*row["d"][:3], _pack(t), _pack(total), row["d"][5]], at=row["at"])]
+        by_word = np.bincount(wi, weights=t, minlength=len(customers)).astype(np.int64)
+        by_context = np.bincount(ci, weights=t, minlength=len(contexts)).astype(np.int64)
+        a = c = 0
+        for r, x in zip(rows, parts):
+            out.append(_block("told", [_pack(by_word[a : a + len(x[0])]), _pack(by_context[c : c + len(x[3])])], at=r["by"], by=row["at"]))
+            a, c = a + len(x[0]), c + len(x[3])
+        return _table(out)
 
     return run
 
 
-_PROBABLE = pa.schema([("bucket", pa.int32()), ("pair", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("logp", pa.binary())])
+# --- scores ----------------------------------------------------------------------------------------
 
 
-def _probable(buckets: int, discount: float, tokens: int, words: int):
-    """Averaged predictive log probabilities of each (context, word), in blocks of the pairs' buckets."""
+def _pair_values(posted, seated):
+    """Counts and summed tables of each shard's pairs, in the shard's order."""
+    rows = posted.select(["at", "shard", "d"]).to_pylist()
+    _, _, n, at = _merged(rows)
+    total = KEPT * np.minimum(n, 1)
+    total[n > 1] = _unpack(seated.column("d")[0].values[4].as_py())
+    out, first = [], 0
+    for r in rows:
+        size = int.from_bytes(r["d"][0][:8], "little")
+        own = at[first : first + size]
+        out.append(_block("pair", [_pack(n[own]), _pack(total[own])], at=r["at"], shard=r["shard"]))
+        first += size
+    return _table(out)
 
-    def dealt(parts):
-        pair, known, base, logp = (np.concatenate(x) for x in zip(*parts))
-        bucket = (pair % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        starts = _starts(bucket[order])
-        for a, b in zip(starts, np.append(starts[1:], len(order))):
-            i = order[a:b]
-            yield pa.RecordBatch.from_pylist(
-                [{"bucket": int(bucket[i[0]]), "pair": pair[i].tobytes(), "known": known[i].tobytes(), "base": base[i].tobytes(),
-                  "logp": logp[i].tobytes()}], schema=_PROBABLE)
 
-    def run(batches):
-        parts, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c, w, n, total, here, ctx_n = (np.asarray(batch.column(x)) for x in ("c", "w", "n", "total", "sum", "ctx_n"))
-            base = np.log10(_base(total, tokens, words))
-            logp = base
-            if tokens:
-                p, tables = (np.asarray(batch.column(x).flatten()).reshape(-1, KEPT) for x in ("kept", "tables"))
-                own = np.maximum(n - discount * here / KEPT, 0)
-                logp = np.log10((own + ((STRENGTH + discount * tables) * p).mean(axis=1)) / (STRENGTH + ctx_n))
-            parts.append((_pair(c, w), total > 0, base, logp))
-            size += len(c)
-            if size >= HELD_PAIRS:
-                yield from dealt(parts)
-                parts, size = [], 0
-        if parts:
-            yield from dealt(parts)
+def _word_values(buckets: int):
+    """Counts, customers and tables of each shard's words, in the shard's order."""
+
+    def run(numbers, state):
+        d = [_unpack(x.as_py()) for x in state.column("d")[0].values]
+        out = []
+        for r in numbers.select(["at", "shard", "d"]).to_pylist():
+            rank = _unpack(r["d"][0]) // buckets
+            out.append(_block("word", [_pack(x[rank]) for x in (d[CTX_TOTAL], *d[KEEPS:])], at=r["at"], shard=r["shard"]))
+        return _table(out)
 
     return run
 
 
-_SUMS = pa.schema([("shard", pa.int64()), ("docs", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
-
-
-def _scored(posted: pa.Table, probable: pa.Table) -> pa.Table:
-    """Sums of each shard's documents over the pairs of a bucket."""
-    pair = _joined(probable, "pair", "<u8")
-    order = np.argsort(pair)
-    pair = pair[order]
-    values = [_joined(probable, x, t)[order].astype(np.float64) for x, t in (("known", "?"), ("base", "<f8"), ("logp", "<f8"))]
-    out = []
-    for r in posted.to_pylist():
-        c, w = np.frombuffer(r["c"], "<i8"), np.frombuffer(r["w"], "<i8")
-        at = np.repeat(np.searchsorted(pair, _pair(c, w)), np.frombuffer(r["k"], "<u4"))
-        doc, m = np.frombuffer(r["doc"], "<u2").astype(np.int64), np.frombuffer(r["m"], "u1")
-        docs = np.unique(doc)
-        known, base, score = (np.bincount(doc, weights=x[at] * m)[docs] for x in values)
-        out.append({"shard": r["shard"], "docs": docs.astype("<u2").tobytes(), "known": np.rint(known).astype("<u4").tobytes(),
-                    "base": base.tobytes(), "score": score.tobytes()})
-    return pa.Table.from_pylist(out, schema=_SUMS)
-
-
-def _together(tokens: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
-        d = docs.to_pylist()[0]
-        sums = np.zeros((3, len(d["lens"])))
-        for r in sorted(parts.to_pylist(), key=lambda r: r["score"]):  # the same order of adding on every run
-            at = np.frombuffer(r["docs"], "<u2")
-            for k, (name, kind) in enumerate((("known", "<u4"), ("base", "<f8"), ("score", "<f8"))):
-                sums[k, at] += np.frombuffer(r[name], kind)
-        size = len(d["lens"])
+def log_probability(n, total, tables, p, ctx_n, discount):
+    """Predictive log10 probabilities: counts and summed tables of the pairs; rows are the kept sweeps in ``tables``
+    (of the contexts) and ``p`` (of the words in the root)."""
+    own = np.maximum(n - discount * total / KEPT, 0)
+    return np.log10((own + ((STRENGTH + discount * tables) * p).mean(axis=0)) / (STRENGTH + ctx_n))
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _scored(buckets: int, fit: dict | None, tokens: int, kinds: int):
+    """Scores of a shard's documents; without a fit (nothing to learn from) those of the base."""
+
+    def run(texts, values):
+        rows = values.select(["kind", "at", "d"]).to_pylist()
+        words, before, lens, ids, total = _local(texts, rows)
+        base = np.log10(_base(total, tokens, kinds))
+        logp = base[words]
+        if fit is not None:
+            _, place = (_unpack(x.as_py()) for x in texts.column("d")[0].values)
+            blocks = [[_unpack(x) for x in r["d"]] for r in sorted((r for r in rows if r["kind"] == "word"), key=lambda r: r["at"])]
+            ctx_n, *kept = (np.concatenate(x)[place] for x in zip(*blocks))
+            p = np.stack([_root(kept[3 * s], kept[3 * s + 1], total, sums, fit["root"], tokens, kinds) for s, sums in enumerate(fit["sums"])])
+            tables = np.stack(kept[2::3])
+            _, _, _, at, left, right = _pairs_of(words, before, ids, total, buckets)
+            blocks = [[_unpack(x) for x in r["d"]] for r in sorted((r for r in rows if r["kind"] == "pair"), key=lambda r: r["at"])]
+            n, seated = (np.concatenate(x) for x in zip(*blocks))
+            logp = log_probability(n, seated, tables[:, left], p[:, right], ctx_n[left], fit["discount"])[at]
+        doc = np.repeat(np.arange(len(lens)), lens)
+        known, base_score, score = (np.bincount(doc, weights=x, minlength=len(lens)) for x in ((total > 0)[words], base[words], logp))
         return pa.Table.from_arrays(
-            [pa.array(d["doc_ids"], pa.int64()), pa.array(d["held"], pa.bool_()), pa.array(d["lens"], pa.int64()),
-             pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, tokens)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
+            [texts.column("doc_ids")[0].values, texts.column("held")[0].values, pa.array(lens.astype(np.int64)), pa.array(known.astype(np.int64)),
+             pa.array(np.full(len(lens), tokens)), pa.array(base_score), pa.array(score)], schema=_SCORED)
 
     return run
 
 
-def _dropped(df: DataFrame) -> None:
-    """Deletes the files of a written table that later ones replace."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _fitted(pairs: DataFrame, words: DataFrame, contexts: DataFrame, discount: float, root_discount: float, tokens: int, kinds: int):
-    """(pairs with the sum of their tables, words with root probabilities, contexts with tables) of the kept sweeps."""
-    none = F.array().cast("array<double>")
-    unseated = F.least("n", F.lit(1)).cast("double")
-    seated = pinned(pairs.where("n > 1").select("c", "w", "n", unseated.alias("t"), F.lit(0.0).alias("sum")), "lm-seated")
-    moves = (F.col("ones") + F.col("many") > 1) | (F.col("many") > 0)
-    k = F.col("ones") + F.col("many")
-    root = words.where(moves).select("w", "total", "ones", k.alias("k"), F.lit(1.0).alias("t"), none.alias("kept"))
-    root = pinned(root, "lm-root")
-    still = words.where(~moves).select("w", "total", "ones")
-    lone = still.agg(F.coalesce(F.sum("ones"), F.lit(0))).first()[0]  # customers and tables that stay
-    tabled = contexts.where("many > 0").select("c", "ones", (F.col("ones") + F.col("many")).cast("double").alias("t"), none.alias("kept"))
-    tabled = pinned(tabled, "lm-tabled")
-
-    def sums():
-        r = root.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("t")).first()
-        return float(r["k"] + lone), float(r["t"] + lone)
-
-    def probability(customers, tables, at):
-        share = F.lit(STRENGTH + root_discount * at[1]) * _base(F.col("total"), tokens, kinds)
-        return (customers - F.lit(root_discount) * tables + share) / F.lit(STRENGTH + at[0])
-
-    at, history = sums(), []
-    for s in range(BURN_IN + KEPT):
-        now = root.select("w", probability(F.col("k"), F.col("t"), at).alias("p"))
-        state = seated.join(maybe_broadcast(tabled.select("c", F.col("t").alias("tables"))), "c").join(maybe_broadcast(now), "w")
-        before = (seated, root, tabled)
-        seated = pinned(state.select("c", "w", "n", "t", "sum", "tables", "p").mapInArrow(_swept(s, discount), _SEATED), "lm-seated")
-        by_word = seated.groupBy("w").agg(F.sum("t").cast("long").alias("more"))
-        customers = root.join(by_word, "w", "left").select("w", "total", "ones", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("k"), "kept")
-        root = pinned(customers.mapInArrow(_rooted(s, root_discount, at[1], tokens, kinds), _ROOT), "lm-root")
-        at = sums()
-        by_context = seated.groupBy("c").agg(F.sum("t").alias("more"))
-        tabled = tabled.join(by_context, "c").select("c", "ones", (F.col("ones") + F.col("more")).alias("t"), "kept")
-        if s >= BURN_IN:
-            history.append(at)
-            tabled = tabled.withColumn("kept", F.concat("kept", F.array("t")))
-        tabled = pinned(tabled, "lm-tabled")
-        if s >= BURN_IN:
-            # Probabilities need the sums over the sweep's root, so they are kept with a second write.
-            more = F.concat("kept", F.array(probability(F.col("k"), F.col("t"), at)))
-            wider, root = root, pinned(root.withColumn("kept", more), "lm-root")
-            before += (wider,)
-        for df in before:
-            _dropped(df)
-    lonely = F.col("ones").cast("double")
-    word = root.select("w", "total", "kept").union(
-        still.select("w", "total", F.array(*[probability(lonely, lonely, at) for at in history]).alias("kept"))
-    )
-    context = contexts.join(tabled.select("c", "kept"), "c", "left").select(
-        "c", F.col("total").alias("ctx_n"), F.coalesce("kept", F.array_repeat(F.col("ones").cast("double"), KEPT)).alias("tables")
-    )
-    once = pairs.where("n <= 1").select("c", "w", "n", (KEPT * F.col("n")).cast("double").alias("sum"))
-    return once.union(seated.select("c", "w", "n", "sum")), word, context
+# --- on Spark --------------------------------------------------------------------------------------
+
+
+class _Kinds:
+    """Rows written in a folder for each kind, so that a kind can be read and deleted by itself."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.columns = df.sparkSession, df.columns
+        self.path, self.schema = scratch_path(self.spark, name), df.schema
+        df.write.partitionBy("kind").parquet(self.path)
+
+    def __getitem__(self, kind: str) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        return rows.where(F.col("kind") == kind).select(*self.columns)
+
+    def drop(self, kind: str = "*") -> None:
+        """Deletes a kind's files (all without one), and shuffles that nothing refers to any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path + ("" if kind == "*" else f"/kind={kind}"))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+class Fit:
+    """Learned tables: ``state`` of the word buckets, ``seated`` pairs of the pair buckets, and the numbers of the fit."""
+
+    def __init__(self, seated, state, discount: float, root: float, sums: list):
+        self.seated, self.state = seated, state
+        self.numbers = {"discount": discount, "root": root, "sums": sums}
 
 
-def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sums(served: _Kinds) -> tuple[float, float]:
+    r = served["state"].agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
+    return float(r["x"]), float(r["y"])
+
+
+def _fitted(counted: _Kinds, totals: DataFrame, buckets: int, root: float, tokens: int, kinds: int) -> Fit:
+    """All sweeps over the counts of ``counted``."""
+    r = counted["seated"].agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
+    discount = _share(r["x"], r["y"])
+    counts = counted["contexts"].unionAll(counted["words"])
+    state = pinned(totals.groupBy("at").cogroup(counts.groupBy("at")).applyInArrow(_state, _BLOCK_DDL), "lm-state")
+    for kind in ("contexts", "words"):
+        counted.drop(kind)
+    seated, told, history = counted["seated"], counted["asked"].limit(0), []
+    before, sums = None, (0.0, 0.0)
+    for sweep in range(-1, BURN_IN + KEPT):
+        if sweep >= 0:
+            rows = seated.groupBy("at").cogroup(served["served"].groupBy("at"))
+            moved = _Kinds(rows.applyInArrow(_seat(sweep, discount, root, sums, tokens, kinds), _BLOCK_DDL), "lm-seated")
+            seated, told = moved["seated"], moved["told"]
+        own = state.unionAll(counted["asked"])
+        now = own.groupBy("at").cogroup(told.groupBy("at")).applyInArrow(_served(sweep, buckets, root, sums[1], tokens, kinds), _BLOCK_DDL)
+        now = _Kinds(now, "lm-served")
+        state, sums = now["state"], _sums(now)
+        if sweep >= BURN_IN:
+            history.append(sums)
+        if before is not None:
+            for old in before:
+                old.drop()
+        before = [now] if sweep < 0 else [now, moved]
+        served = now
+    return Fit(seated, state, discount, root, history)
+
+
+def _share(once, twice) -> float:
+    return float(np.clip((once or 0) / max((once or 0) + 2 * (twice or 0), 1), 0.1, 0.95))
+
+
+def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     ``held_out`` is a condition over ``doc_id``: such rows (and rows for which it is null) are scored, but
     not learned from. Scores are log10 probabilities of the whole text with its end;
     ``10 ** (-score / n_tokens)`` is the perplexity. ``base_score`` is that of the smoothed unigrams.
+    ``buckets`` of words and of pairs grow with the square root of the rows unless given; the draws follow
+    the numbers of the words, so another number of buckets is another draw.
 
     Edge cases: null and wordless texts have their end only; without learning rows every word is unknown
     and both scores are the base's; repeated rows are repeated evidence and stay; an empty table gives an
@@ -383,33 +559,25 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     """
     rows = picked(docs, doc_id=id_col, text=text_col)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(True))
-    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = pinned(rows.select("doc_id", "text", held.alias("held")).mapInArrow(_posted(buckets), _POSTED_DDL), "lm-posted")
-    blocks = posted.where("kind = 1")
-    pairs = pinned(blocks.select("bucket", "c", "w", "n").groupBy("bucket").applyInArrow(_summed, "c long, w long, n long"), "lm-pairs")
-    counts = [F.sum("n").alias("total"), F.expr("count_if(n = 1)").alias("ones"), F.expr("count_if(n > 1)").alias("many")]
-    words = pinned(pairs.groupBy("w").agg(*counts), "lm-words")
-    contexts = pinned(pairs.groupBy("c").agg(*counts), "lm-contexts")
-    number = lambda df, *of: [x or 0 for x in df.agg(*of).first()]
-    tokens, kinds, once, twice = number(words, F.sum("total"), F.expr("count_if(total > 0)"), F.expr("count_if(total = 1)"), F.expr("count_if(total = 2)"))
-    once_ctx, twice_ctx = number(pairs, F.expr("count_if(n = 1)"), F.expr("count_if(n = 2)"))
-    share = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
-    discount = share(once_ctx, twice_ctx)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
+    if buckets is None:
+        buckets = max(8, int(rows.count() ** 0.5 / 4))
+    split = _Kinds(rows.mapInArrow(_split(buckets), f"{_BLOCK_DDL}, doc_ids array<long>, held array<boolean>, lens array<int>"), "lm-split")
+    hashes = split["hashes"].select(*_BLOCK.names)
+    numbered = _Kinds(hashes.groupBy("at").applyInArrow(_numbered(buckets), _BLOCK_DDL), "lm-numbers")
+    split.drop("hashes")
+    count = lambda kind: numbered[kind].agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
+    tokens, kinds = (v or 0 for v in count("totals"))
+    texts, values, fit = split["texts"], numbered["numbers"], None
     if tokens:
-        fit, word, context = _fitted(pairs, words, contexts, discount, share(once, twice), tokens, kinds)
-    else:  # without learning rows only the base is left
-        none = F.array().cast("array<double>")
-        fit = pairs.withColumn("sum", F.lit(0.0))
-        word = words.select("w", "total", none.alias("kept"))
-        context = contexts.select("c", F.col("total").alias("ctx_n"), none.alias("tables"))
-    probable = fit.join(context, "c").join(word, "w").mapInArrow(
-        _probable(buckets, discount, tokens, kinds), "bucket int, pair binary, known binary, base binary, logp binary"
-    )
-    sums = blocks.select("bucket", "shard", "c", "w", "k", "doc", "m").groupBy("bucket").cogroup(probable.groupBy("bucket")).applyInArrow(
-        _scored, "shard long, docs binary, known binary, base binary, score binary"
-    )
-    documents = posted.where("kind = 0").select("shard", "doc_ids", "held", "lens")
-    return documents.groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(
-        _together(tokens),
+        posted = pinned(texts.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(_posted(buckets), _BLOCK_DDL), "lm-posted")
+        counted = _Kinds(posted.groupBy("at").applyInArrow(_summed(buckets), _BLOCK_DDL), "lm-counted")
+        learned = _fitted(counted, numbered["totals"], buckets, _share(*count("rare")), tokens, kinds)
+        fit = learned.numbers
+        pairs = posted.groupBy("at").cogroup(learned.seated.groupBy("at")).applyInArrow(_pair_values, _BLOCK_DDL)
+        words = values.groupBy("at").cogroup(learned.state.groupBy("at")).applyInArrow(_word_values(buckets), _BLOCK_DDL)
+        values = values.unionAll(pairs).unionAll(words)
+    return texts.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(
+        _scored(buckets, fit, tokens, kinds),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from activepool.llm import near_dedup
@@ -119,6 +121,38 @@ def test_a_near_copy_leaves_other_texts_of_its_id(spark, docs):
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, a), (5, b), (None, a), (5, None)], key=repr)
 
 
+def test_very_long_sets_near_the_threshold(spark, docs):
+    """One common shingle short of the threshold, where halves of the hashes count one too many; and one that reaches it."""
+    n, hashes = 72_000, _WordHashes()
+    for seed in range(40):
+        texts = []
+        for common in (63_999, 64_000):
+            shared = [f"s{seed}x{i}" for i in range(common)]
+            texts += [" ".join(shared + [f"{side}{common}x{seed}x{i}" for i in range(n - common)]) for side in "pq"]
+        x, y = (np.frombuffer(near_dedup._short(shingle_set(t.encode(), 1, hashes))[0], np.uint32) for t in texts[:2])
+        if len(np.intersect1d(x, y)) > 63_999:
+            break
+    else:
+        raise AssertionError("no pair is misjudged by halves")
+    rows = near_dedup.near_duplicates(docs([(10, texts[0]), (11, texts[1])]), size=1).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == [(10, n, 10), (11, n, 11)]
+    rows = near_dedup.near_duplicates(docs([(20, texts[2]), (21, texts[3])]), size=1).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(20, 20), (21, 20)]
+
+
+def test_halves_that_coincide_are_in_doubt():
+    """Sets whose upper halves repeat: what they say of the pair may be wrong both ways."""
+    low = np.arange(10, dtype=np.uint64)
+    x = np.sort(np.concatenate([low, (np.arange(30, dtype=np.uint64) + np.uint64(9)) << np.uint64(32)]))
+    y = np.sort(np.concatenate([low + np.uint64(5), (np.arange(30, dtype=np.uint64) + np.uint64(9)) << np.uint64(32)]))
+    halves = [near_dedup._short(s) for s in (x, y)]
+    columns = {"a": [1], "b": [2]} | {f"{name}_{side}": [h[k]] for side, h in zip("ab", halves) for k, name in enumerate(("set", "low", "n"))}
+    batch = pa.RecordBatch.from_pydict(columns)
+    found = next(near_dedup._confirmed(80)([batch])).to_pylist()[0]
+    assert found["doubt"] and found["total"] == 80
+    assert next(near_dedup._exact([batch])).to_pylist() == [{"a": 1, "b": 2, "common": 35, "total": 80}]
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(1)
     hashes = _WordHashes()

@@ -46,6 +46,14 @@ def test_quality_separates_held_out(spark, docs):
     assert left.columns == docs([]).columns and None in {r["doc_id"] for r in left.collect()}
 
 
+def test_a_rejected_text_leaves_other_texts_of_its_id(spark, docs):
+    pairs, labels = quality_case()
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    twice = [*pairs, (1, pairs[350][1]), (1, pairs[350][1]), (None, pairs[350][1])]
+    left = sorted((str(r["doc_id"]), r["text"]) for r in quality.without_rejected(docs(twice), table).collect() if r["doc_id"] in (1, None))
+    assert left == [("1", pairs[1][1]), ("None", pairs[350][1])]
+
+
 def test_quality_reads_only_labels_to_learn(spark, docs):
     pairs, labels = quality_case()
     flipped = [(i, 1 - q) if i % 4 == 1 else (i, q) for i, q in labels + [(i, 0) for i in range(1, 300, 4)]]
@@ -104,30 +112,27 @@ def test_lm_does_not_depend_on_shards(spark, docs, monkeypatch):
     assert score(docs(pairs).repartition(3)) == whole
 
 
-def test_lm_probabilities_sum_to_one(spark, docs, monkeypatch):
-    """Over all words and the unknown one, in one context."""
-    pairs = [(i, t) for i, t in lm_case() if t and t.strip() and i < 500]
-    words = sorted({w for _, t in pairs for w in t.split()})
-    probes = [(1000 + k, w) for k, w in enumerate(words + ["unseen"])]
-    rows = {r["doc_id"]: r for r in lm.lm_scores(docs(pairs + probes), F.col("doc_id") >= 1000).collect()}
-    # score(w) = log p(w | start) + log p(end | last byte of w); the second part cancels inside a last byte.
-    ends = {}
-    for last in "ab":
-        w = next(w for w in words if w.endswith(last))
-        twice = [(2000, w), (2001, f"{w} {w}")]
-        r = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs(pairs + twice), F.col("doc_id") >= 1000).collect()}
-        ends[last] = r
-    assert all(rows[d]["score"] < 0 for d, _ in probes)
-    total = sum(10 ** rows[1000 + k]["score"] for k in range(len(words)))
-    assert 0 < total < 1
-
-
 def test_lm_edges(spark, docs):
     assert lm.lm_scores(docs([])).collect() == []
     rows = lm.lm_scores(docs([(1, "a b"), (None, None)]), F.lit(True)).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["score"] == r["base_score"]) for r in rows) == [(1, 0, 0, True), (3, 0, 0, True)]
 
 
+def test_lm_does_not_depend_on_splits_of_a_context(spark, docs, monkeypatch):
+    """A context of many tokens is dealt to several buckets; what comes out is the same model."""
+    pairs = lm_case()
+    score = lambda: sorted((r["doc_id"], round(r["score"], 9)) for r in lm.lm_scores(docs(pairs), buckets=11).collect())
+    whole = score()
+    monkeypatch.setattr(lm, "HOT", 20)
+    assert score() == whole
+
+
+def test_lm_packs_any_numbers():
+    rng = np.random.default_rng(0)
+    for x in (np.empty(0, np.int64), np.zeros(5, np.int64), np.arange(70_000), rng.integers(0, 1 << 40, 1000), np.array([255, 256, 65_535, 65_536])):
+        assert (lm._unpack(lm._pack(x)) == x).all() and (lm._risen(lm._rising(np.sort(x))) == np.sort(x)).all()
+
+
 def test_lm_learns_word_pairs(spark, docs):
     """The words before end in the same byte, and in the same byte of another character."""
     pairs = [(i, ["new york", "few books", "новый город", "дикий берег"][i % 4]) for i in range(120)]
