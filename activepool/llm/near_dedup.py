@@ -14,7 +14,8 @@ less than half have up to two more such rounds. Then each pair still open is met
 is skipped when links found earlier join both already (only components are asked for), when sizes or the
 rare shingles that both do not share rule the threshold out, or when the distances to one pivot differ by
 too much (Jaccard distance is a metric). Collisions of the other pairs are counted over all coordinates,
-and pairs above the match threshold are confirmed on the full sets. So a group of copies costs a few
+and pairs above the match threshold are confirmed on the full sets: by halves of the shingles' 64-bit hashes,
+and by the whole hashes where the halves leave a doubt. So a group of copies costs a few
 pairs for each copy.
 """
 
@@ -142,9 +143,9 @@ def _once(df: DataFrame, name: str) -> DataFrame:
     return df if counts["n"] == counts["cids"] else pinned(df.dropDuplicates(["cid"]), name)
 
 
-def _short(s: np.ndarray) -> tuple[bytes, int]:
-    """The set as sorted 32-bit hashes, with its size: two sets of n share a hash by chance with n * n / 2^32."""
-    return np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes(), len(s)
+def _short(s: np.ndarray) -> tuple[bytes, bytes, int]:
+    """The upper and the lower halves of the set's 64-bit hashes, in their order, with its size."""
+    return (s >> np.uint64(32)).astype(np.uint32).tobytes(), s.astype(np.uint32).tobytes(), len(s)
 
 
 def _counted(batches):
@@ -160,34 +161,59 @@ def _counted(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _confirmed(batches):
-    """Size of the intersection and union of each pair of full sets."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("united", pa.int64())])
+def _confirmed(percent: int):
+    """Common shingles of each pair by the upper halves, linked or not, and whether that is in doubt.
+
+    Upper halves alone may count shingles of different hashes as common (of two sets of n by chance
+    n * n / 2^32) and pass over common ones whose halves coincide in a set. Where these errors could move the
+    pair over the threshold it is in doubt.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64()), ("doubt", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x, y, n, m in zip(*(batch.column(c) for c in ("set_a", "set_b", "n_a", "n_b"))):
+                x, y = (np.frombuffer(v.as_py(), np.uint32) for v in (x, y))
+                x, y = (v if (v[1:] != v[:-1]).all() else np.unique(v) for v in (x, y))
+                common, n, m = len(np.intersect1d(x, y, assume_unique=True)), n.as_py(), m.as_py()
+                chance = n * m / 2**32
+                most = common + n + m - len(x) - len(y)
+                least = common - int(np.ceil(2 + chance + 6 * np.sqrt(chance)))
+                rows.append((common, n + m, (100 * most >= percent * (n + m - most)) != (100 * least >= percent * (n + m - least))))
+            common, total, doubt = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64()), pa.array(doubt, pa.bool_())], schema=schema)
+
+    return run
+
+
+def _exact(batches):
+    """Common shingles of each pair by the whole hashes."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
     for batch in batches:
-        common, united = [], []
-        for x, y, n, m in zip(*(batch.column(c) for c in ("set_a", "set_b", "n_a", "n_b"))):
-            x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            common.append(both)
-            united.append(n.as_py() + m.as_py() - both)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(united, pa.int64())], schema=schema
-        )
+        common, total = [], []
+        for x, u, y, v, n, m in zip(*(batch.column(c) for c in ("set_a", "low_a", "set_b", "low_b", "n_a", "n_b"))):
+            x, u, y, v = (np.frombuffer(h.as_py(), np.uint32).astype(np.uint64) for h in (x, u, y, v))
+            common.append(len(np.intersect1d(x << np.uint64(32) | u, y << np.uint64(32) | v, assume_unique=True)))
+            total.append(n.as_py() + m.as_py())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], schema=schema)
 
 
 def _checked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Pairs (a, b) above the match threshold with their similarity, as a written table.
 
     Sketches and sets of documents without a pair stay where they are: the ids of the pairs, while
-    few, are sent to the scans.
+    few, are sent to the scans. Lower halves are read for pairs in doubt only.
     """
     counted = pinned(_with_both(pinned(pairs, f"{name}-pairs"), sketches, "chk").mapInArrow(_counted, "a long, b long"), f"{name}-counted")
-    return pinned(
-        _with_both(counted, sets, "set").mapInArrow(_confirmed, "a long, b long, common long, united long")
-        .select("a", "b", (F.col("common") / F.col("united")).alias("jaccard"),
-                (100 * F.col("common") >= percent * F.col("united")).alias("linked")),
-        f"{name}-checked",
-    )
+    ddl = "a long, b long, common long, total long"
+    found = pinned(_with_both(counted, sets.drop("low"), "set").mapInArrow(_confirmed(percent), f"{ddl}, doubt boolean"), f"{name}-confirmed")
+    doubt = found.where("doubt").select("a", "b")
+    if doubt.limit(1).count():
+        again = _with_both(pinned(doubt, f"{name}-doubt"), sets, "set").mapInArrow(_exact, ddl)
+        found = pinned(found.where("NOT doubt").drop("doubt").union(again), f"{name}-exact")
+    united = F.col("total") - F.col("common")
+    return found.select("a", "b", (F.col("common") / united).alias("jaccard"), (100 * F.col("common") >= percent * united).alias("linked"))
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, prefix: str) -> DataFrame:
@@ -290,7 +316,7 @@ def _near_links(alive: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         & (F.col("n") >= share * F.col("o_n"))
         & (F.col("o_n") >= share * F.col("n"))
         & in_reach
-        & ~(F.coalesce(F.col("pivot") == F.col("o_pivot"), F.lit(False)) & (F.abs(F.col("near") - F.col("o_near")) > 1 - share + 1e-9))
+        & ~(F.coalesce(F.col("pivot") == F.col("o_pivot"), F.lit(False)) & (F.abs(F.col("near") - F.col("o_near")) > 1 - share + 1e-3))
         & (F.array_intersect("prefix", "o_prefix")[0] == F.col("token")),
     ).select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
     found.append(_checked(pairs, sketches, sets, percent, "near-rest"))
@@ -356,7 +382,9 @@ def _decided(rows: DataFrame, size: int, percent: int) -> DataFrame:
     sketches = pinned(
         signatures.select("cid", "data").join(maybe_broadcast(alive.select("cid")), "cid", "left_semi"), "near-sketches"
     )
-    sets = of_owners(alive, _short, [("data", pa.binary()), ("n", pa.int64())], "cid long, data binary, n long")
+    sets = of_owners(
+        alive, _short, [("data", pa.binary()), ("low", pa.binary()), ("n", pa.int64())], "cid long, data binary, low binary, n long"
+    )
 
     def rare_shingles(ids: DataFrame) -> DataFrame:
         short = alive.where(F.col("n") <= RARE_SIZE).join(ids, "cid", "left_semi")

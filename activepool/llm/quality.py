@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from activepool.llm.common import bounded, mix64, picked, texts_of
+from activepool.llm.common import bounded, maybe_broadcast, picked, texts_of
 from activepool.session import pinned
 
 #: Documents that the fit reads, of positives and of unlabelled text each, chosen by a hash of the id.
@@ -82,10 +82,10 @@ def text_features(text: bytes | None) -> np.ndarray:
 
 
 def _featured(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("x", pa.list_(pa.float32()))])
     for batch in bounded(batches):
         x = [text_features(t).astype(np.float32) for t in texts_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(x, pa.list_(pa.float32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(x, pa.list_(pa.float32()))], schema=schema)
 
 
 class Scaled:
@@ -137,13 +137,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def _scored(model: Scaled):
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column("x").flatten(), np.float64).reshape(batch.num_rows, FEATURES)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(model.score(x))], schema=schema)
 
     return run
 
@@ -164,7 +164,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     1 (nothing is rejected); repeated rows stay, a label repeated for an id counts once (the largest); an
     empty table gives an empty one.
     """
-    featured = pinned(picked(docs, doc_id=id_col, text=text_col).mapInArrow(_featured, "doc_id long, x array<float>"), "quality-features")
+    return _scores(docs, labels, id_col, text_col, label_col, learn, fit_rows, threshold).drop("text_hash")
+
+
+def _scores(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", learn=None,
+            fit_rows: int = FIT_ROWS, threshold: float = REJECT_BELOW) -> DataFrame:
+    """The rows of ``quality_scores`` with the hash of their text."""
+    rows = picked(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
+    featured = pinned(rows.mapInArrow(_featured, "doc_id long, text_hash long, x array<float>"), "quality-features")
     known = picked(labels, doc_id=id_col, label=label_col)
     if learn is not None:
         known = known.where(learn(F.col("doc_id")))
@@ -174,7 +181,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marked = pinned(marked.select("doc_id", "x", F.coalesce("trusted", F.lit(0)).alias("trusted")), "quality-marked")
     positive, unlabelled = _sample(marked.where("trusted = 1"), fit_rows), _sample(marked.where("trusted = 0"), fit_rows)
     if not len(positive) or not len(unlabelled):
-        return featured.select("doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
+        return featured.select("doc_id", "text_hash", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
     prior = 0.5
     for _ in range(3):
         # The prior is read off the scores of all rows, not of the sample.
@@ -189,8 +196,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if abs(found - prior) < 0.01:
             break
         prior = found
-    return featured.mapInArrow(_scored(model), "doc_id long, score double").select(
-        "doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    return featured.mapInArrow(_scored(model), "doc_id long, text_hash long, score double").select(
+        "doc_id", "text_hash", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
@@ -210,13 +217,12 @@ def _binned(model: Scaled):
     return run
 
 
-def without_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def without_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns unchanged, rows without id stay.
 
-    An id that repeats with several texts goes only if all of them are rejected.
+    Decided by row: of an id that repeats with several texts, only the rejected ones go.
     """
-    gone = quality_scores(docs, labels, id_col=id_col, **options).groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0")
-    gone = gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone"))
-    from activepool.llm.common import maybe_broadcast
-
-    return docs.join(maybe_broadcast(pinned(gone, "quality-gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = _scores(docs, labels, id_col, text_col, **options).where("predicted = 0 AND doc_id IS NOT NULL")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    same = (F.col(f"`{id_col}`") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    return docs.join(maybe_broadcast(pinned(gone, "quality-gone")), same, "left_anti")
