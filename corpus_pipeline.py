@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from activepool.llm import bpe, decontaminate, line_dedup, near_dedup, quality
 from activepool.llm.queries import table, tokenizer_path
-from activepool.session import pinned
+from activepool.session import scratch_path, scratch_scope
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written before the next reads it."""
+    """All stages over ``documents``; what a stage returns is written before the next reads it.
+
+    The tables that a stage makes on its way are deleted when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = pinned(docs, f"pipeline-{k}")
+    for k, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"pipeline-{k}")
+        with scratch_scope(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
