@@ -124,6 +124,7 @@ def test_the_fit_beside_a_plain_descent():
     rng = np.random.default_rng(2)
     p = rng.normal(0.8, 1, (300, quality.FEATURES))
     u = np.concatenate([rng.normal(0.8, 1, (300, quality.FEATURES)), rng.normal(-0.8, 1, (700, quality.FEATURES))])
+    p[:, 15] = u[:, 15] = math.log1p(100) / 10  # this feature says how many words the others stand on
     model = quality.fit_nonnegative(p, u, 0.3)
     at, w, eye = plain_risk(model, model.w, p, u, 0.3), np.zeros_like(model.w), np.eye(len(model.w)) * 1e-5
     low, rate = plain_risk(model, w, p, u, 0.3), 1.0
