@@ -2,14 +2,14 @@
 
 The index is partitioned by document: a shard (a bounded run of rows of one task) holds, for each term of
 the test items, the list of its positions in the shard's documents, numbered through; it is written once.
-Every shard answers the test windows by itself: the list of the window's rarest term (rarity counted over
-the whole corpus), shifted by the term's offset, is intersected with the shifted list of the next rarest,
-until it is empty or all terms are through. What is left are exact occurrences (or, with a slop, places
+Windows are a table, too: their terms with their offsets, put in order of rarity by a join with the terms'
+counts over the whole corpus; a window with a term that the corpus lacks goes. It is sent to the shards that
+have its rarest term, where that term's list, shifted by the term's offset, is intersected with the shifted
+list of the next rarest, until it is empty or all terms are through. What is left are exact occurrences (or, with a slop, places
 where every term is within that distance of its offset). Documents in front of each other in a shard are
 kept apart by a gap, so no window spans two.
 
-Test items are a small table; still, their windows are sent to the tasks in blocks of a bounded size, one
-pass over the index for each block.
+Nothing of the test items passes through the driver but their distinct words, while these are few.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame, functions as F
 from activepool.llm.common import bounded, maybe_broadcast, picked, texts_of
 from activepool.session import pinned
 
-#: Windows sent to the tasks at once.
-BLOCK_WINDOWS = 200_000
 #: Distinct test words sent to the tasks (8 bytes each); with more, all words of the corpus are posted.
 VOCABULARY = 1_000_000
 SHARD_WORDS = 4_000_000
@@ -117,12 +115,12 @@ def _within(starts: np.ndarray, places: np.ndarray, slop: int) -> np.ndarray:
     return (at < len(places)) & (places[np.minimum(at, len(places) - 1)] <= starts + slop)
 
 
-def _matches(windows: list[tuple[int, np.ndarray, np.ndarray]], names: list[str], gap: int, slop: int):
-    """windows: (item, terms from the rarest, their offsets)."""
-    schema = pa.schema([("shard", pa.int64()), ("ord", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+def _matches(gap: int, slop: int):
+    """Occurrences, in a shard, of the windows (item, terms from the rarest, their offsets) that came to it."""
+    schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
                         ("start", pa.list_(pa.int32())), ("length", pa.list_(pa.int32())), ("item", pa.list_(pa.string()))])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table, windows):
         kinds, terms = np.asarray(table.column("kind")), np.asarray(table.column("term"))
         lists = table.column("places").combine_chunks()
         ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
@@ -133,7 +131,8 @@ def _matches(windows: list[tuple[int, np.ndarray, np.ndarray]], names: list[str]
         base = np.cumsum(lens + gap) - (lens + gap)
         items, starts, lengths = [], [], []
         none = np.empty(0, np.int64)
-        for item, rare, offsets in windows:
+        names = windows.column("item")
+        for item, (rare, offsets) in enumerate(zip(windows.column("terms").to_pylist(), windows.column("offsets").to_pylist())):
             left = of(rare[0]) - offsets[0]
             for t, o in zip(rare[1:], offsets[1:]):
                 if not len(left):
@@ -151,22 +150,42 @@ def _matches(windows: list[tuple[int, np.ndarray, np.ndarray]], names: list[str]
         order = np.lexsort((starts, doc))
         bounds = pa.array(np.searchsorted(doc[order], np.arange(len(ids) + 1)), pa.int32())
         column = lambda x, kind: pa.ListArray.from_arrays(bounds, x.cast(kind))
-        label = pa.array(names, pa.string()).take(pa.array(items[order]))
+        label = names.combine_chunks().take(pa.array(items[order])) if len(names) else pa.array([], pa.string())
         return pa.Table.from_arrays(
-            [pa.array(np.full(len(ids), table.column("shard")[0].as_py())), pa.array(np.arange(len(ids)), pa.int32()),
-             pa.array(ids, pa.int64()), pa.array(lens), column(pa.array((starts - base[doc])[order]), pa.int32()),
+            [pa.array(np.full(len(ids), table.column("shard")[0].as_py())), pa.array(ids, pa.int64()), pa.array(lens), column(pa.array((starts - base[doc])[order]), pa.int32()),
              column(pa.array(lengths[order]), pa.int32()), column(label, pa.string())], schema=schema)
 
     return run
 
 
-_FOUND = "shard long, ord int, doc_id long, n_words long, start array<int>, length array<int>, item array<string>"
+_FOUND = "shard long, doc_id long, n_words long, start array<int>, length array<int>, item array<string>"
 
 
-def _windows(items: list[tuple[str, list[bytes]]], window: int):
-    for k, (_, words) in enumerate(items):
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            yield k, [_term(w) for w in words[i : i + window]]
+def _windows(window: int):
+    """The windows of each item, as the terms of their words."""
+    schema = pa.schema([("item", pa.string()), ("terms", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in bounded(batches, 1 << 20):
+            names, windows = [], []
+            for item, words in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
+                terms = [_term(w) for w in words]
+                for i in range(max(1, len(terms) - window + 1) if terms else 0):
+                    names.append(item)
+                    windows.append(terms[i : i + window])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(windows, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _by_rarity(item_words: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(wid, item, term, terms, offsets): windows whose terms all occur, ``terms`` from the rarest (``term``) on."""
+    windows = item_words.mapInArrow(_windows(window), "item string, terms array<long>").distinct()
+    windows = pinned(windows.withColumn("wid", F.monotonically_increasing_id()), "decon-windows")
+    placed = windows.select("wid", "item", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
+    ranked = placed.join(counts, "term").groupBy("wid", "item", "length").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("ts"))
+    ranked = ranked.where(F.size("ts") == F.col("length"))  # as many as the window has words
+    return ranked.select("wid", "item", F.col("ts")[0]["term"].alias("term"), F.col("ts.term").alias("terms"), F.col("ts.offset").alias("offsets"))
 
 
 def find_matches(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id",
@@ -177,8 +196,8 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     is ``window`` consecutive words of an item, an item with fewer words is one window. With ``slop`` the
     terms need not stand exactly at their offsets but within that distance of them (proximity).
 
-    The words of the test items are read by the driver. Up to VOCABULARY distinct ones they go to the
-    tasks and only they are posted; beyond, all words are. Windows go to the tasks in blocks.
+    Up to VOCABULARY distinct words of the test items go to the tasks, and only they are posted; beyond, all
+    words are.
 
     Edge cases: null or wordless texts have no words and no matches; items that are wordless or have no
     id match nothing; repeated rows stay; an empty ``docs`` gives no rows, empty ``items`` rows without
@@ -194,27 +213,15 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     gap = window + 2 * slop + 1
     index = build_index(docs, id_col, text_col, vocabulary, gap)
     wanted = words.mapInArrow(_hashed, "term long")
-    counts = index.where("kind = 1").groupBy("term").agg(F.sum(F.size("places")).alias("n"))
+    postings = index.where("kind = 1")
+    counts = postings.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
     counts = pinned(counts.join(wanted, "term", "left_semi"), "decon-counts")
-    weights = {r["term"]: r["n"] for r in counts.toLocalIterator()}  # one entry a distinct test word
-    found = None
-    for block in _blocks(item_words):
-        windows = []
-        for item, terms in _windows(block, window):
-            weight = np.array([weights.get(t, 0) for t in terms])
-            if weight.min() > 0:
-                order = np.argsort(weight, kind="stable")
-                windows.append((item, [terms[i] for i in order], order))
-        part = index.groupBy("shard").applyInArrow(_matches(windows, [n for n, _ in block], gap, slop), _FOUND)
-        part = part.select("shard", "ord", "doc_id", "n_words", F.arrays_zip("start", "length", "item").alias("matches"))
-        if found is None:
-            found = part
-        else:
-            more = part.select("shard", "ord", F.col("matches").alias("more"))
-            found = found.join(more, ["shard", "ord"]).select(
-                "shard", "ord", "doc_id", "n_words", F.concat("matches", "more").alias("matches")
-            )
-    return found.select("doc_id", "n_words", F.array_sort("matches").alias("matches"))
+    windows = pinned(_by_rarity(item_words, counts, window), "decon-ranked")
+    holds = postings.select(F.col("shard").alias("to"), "term")
+    sent = holds.join(maybe_broadcast(windows.select("term", "wid")), "term").select("to", "wid")
+    sent = sent.join(windows.select("wid", "item", "terms", "offsets"), "wid")
+    found = index.groupBy("shard").cogroup(sent.groupBy("to")).applyInArrow(_matches(gap, slop), _FOUND)
+    return found.select("doc_id", "n_words", F.array_sort(F.arrays_zip("start", "length", "item")).alias("matches"))
 
 
 def _hashed(batches):
@@ -223,21 +230,6 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64())], names=["term"])
 
 
-def _blocks(item_words: DataFrame):
-    """Items in blocks of at most BLOCK_WINDOWS windows (an item longer than that is a block of its own);
-    at least one block, so that documents are returned without items, too."""
-    block, size, given = [], 0, False
-    for r in item_words.orderBy("item", "words").toLocalIterator():
-        words = [bytes(w) for w in r["words"]]
-        if block and size + len(words) > BLOCK_WINDOWS:
-            yield block
-            block, size, given = [], 0, True
-        block.append((r["item"], words))
-        size += len(words)
-    if block or not given:
-        yield block
-
-
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) of every row of ``docs``.
 

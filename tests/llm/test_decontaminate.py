@@ -49,10 +49,9 @@ def test_against_brute_force(spark, docs):
     assert found(spark, docs, pairs, items, window=3) == brute(pairs, items, 3)
 
 
-def test_blocks_and_whole_index(spark, docs, monkeypatch):
+def test_small_shards_and_whole_index(spark, docs, monkeypatch):
     pairs, items = case()
     expected = brute(pairs, items)
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 20)
     monkeypatch.setattr(decontaminate, "VOCABULARY", 5)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 100)
     assert found(spark, docs, pairs, items) == expected
