@@ -125,3 +125,62 @@ def test_a_tuned_process(spark, tmp_path):
     steps.fit(rows.filter("id % 3 <> 0"), online=True)
     assert (steps.alpha, steps.sigma0) == pytest.approx((model.alpha, model.sigma0), rel=1e-3)
     assert steps.predict(rows).filter(F.col("mu").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["rf", "gbt"])
+def test_variance_over_the_trees(spark, tmp_path, kind):
+    """Mean and variance beside the predictions of each tree by itself; no row leaves the JVM for them."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    y = x[:, 0] * 2 - np.abs(x[:, 1]) + 0.1 * rng.normal(size=300)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], float(s)) for i, (r, s) in enumerate(zip(x, y))], "id long, features array<double>, score double")
+    model = build_model(kind, n_estimators=7, max_depth=4, seed=3).fit(rows)
+    plan = model.predict(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
+    got = {r["id"]: r for r in model.predict(rows).collect()}
+    weights = model.model.treeWeights if kind == "gbt" else [1.0] * 7
+    for i in range(0, 300, 17):
+        each = [w * t.predict(Vectors.dense(x[i])) for w, t in zip(weights, model.model.trees)]
+        assert got[i]["mu"] == pytest.approx(np.sum(each) if kind == "gbt" else np.mean(each), abs=1e-9)
+        assert got[i]["var"] == pytest.approx(np.var(each), abs=1e-9)
+    again = build_model(kind).load(spark, model.save(f"{tmp_path}/model"))
+    assert sorted(map(tuple, again.predict(rows).collect())) == sorted(map(tuple, model.predict(rows).collect()))
+
+
+def plain_min_hashes(pieces, length):
+    """The rule of the minimum hashes, bin by bin."""
+    import hashlib
+
+    bins = {}
+    for g in pieces:
+        h = hashlib.md5(g.encode()).hexdigest()
+        at, v = int(h[:8], 16) % length, int(h[8:16], 16)
+        bins[at] = min(v, bins.get(at, v))
+    out = []
+    for b in range(length if bins else 0):
+        d = next(d for d in range(length) if (b + d) % length in bins)
+        out.append(bins[(b + d) % length] + d * 40_503)
+    return sorted(out)
+
+
+def test_one_permutation_hashes(spark):
+    from activepool.functions.tokens import min_hashes
+
+    cases = [[], ["a"], ["a", "a"], [f"g{i}" for i in range(5)], [f"x{i}" for i in range(200)]]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id long, g array<string>")
+    for length in (1, 16, 64):
+        got = {r["id"]: sorted(r["m"]) for r in rows.select("id", min_hashes(F.col("g"), length).alias("m")).collect()}
+        assert got == {i: plain_min_hashes(c, length) for i, c in enumerate(cases)}
+
+
+def test_like_texts_share_minimum_hashes(spark):
+    from activepool.functions.tokens import min_hashes
+
+    base = [f"g{i}" for i in range(300)]
+    near, far = base[:270] + [f"n{i}" for i in range(30)], [f"f{i}" for i in range(300)]
+    rows = spark.createDataFrame([(0, base), (1, near), (2, far)], "id long, g array<string>")
+    m = {r["id"]: r["m"] for r in rows.select("id", min_hashes(F.col("g"), 512).alias("m")).collect()}
+    share = lambda a, b: np.mean([x == y for x, y in zip(m[a], m[b])])
+    assert abs(share(0, 1) - 270 / 330) < 0.1 and share(0, 2) < 0.02

@@ -150,3 +150,19 @@ def test_sorted_score_files_keep_their_order(spark, tmp_path):
     got = files.read_ordered_scores(spark, path).orderBy("pos").collect()
     want = sorted(range(500), key=lambda i: (i % 3 == 0, -i))
     assert [int(r["id"]) for r in got] == want and got[0]["pos"] == 1
+
+
+def test_the_order_of_paths_decides(spark, tmp_path):
+    """Names sort against the order given; a folder, a file in it and a pattern may be named."""
+    for name, value in (("a", 1), ("b", 2), ("c", 3)):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "scores.csv").write_text(f"smiles,score\nx,{value}\n{name},{value}\n")
+    read = lambda *paths: {r["id"]: r["score"] for r in text.read_scores(spark, [f"{tmp_path}/{p}" for p in paths]).collect()}
+    assert read("a", "b") == {"x": 2.0, "a": 1.0, "b": 2.0}
+    assert read("b", "a") == {"x": 1.0, "a": 1.0, "b": 2.0}
+    assert read("c/scores.csv", "b", "a/*.csv")["x"] == 1.0
+    assert read("b", "c", "a", "b")["x"] == 2.0  # a path named again counts where it was named last
+    assert {r["id"]: r["y"] for r in text.read_oracle(spark, [f"{tmp_path}/c", f"{tmp_path}/a"]).collect()}["x"] == 1.0
+    single = {r["id"]: r["score"] for r in text.read_scores(spark, f"{tmp_path}/*").collect()}
+    assert single["x"] == 3.0
