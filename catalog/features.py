@@ -202,7 +202,7 @@ def mlp8_all(t):
 
 
 EVIDENCE_GRID = [(a, s) for a in (0.01, 0.1, 1.0, 10.0) for s in (0.1, 1.0, 10.0)]
-# Of n normal scores with covariance alpha I + Z Z', Z = (sigma0, a, b): determinant and inverse of the 3 x 3 matrix written out.
+# Of n normal scores with covariance alpha I + Z Z', Z = (sigma0, a, b): the 3 x 3 matrix taken apart into triangles.
 EVIDENCE = f"""{NORMAL.split("  g AS (")[0].rstrip().rstrip(",")},
   s AS (
     SELECT max(n) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum((y - mean) ** 2) / max(std) ** 2 AS tt,
@@ -210,14 +210,17 @@ EVIDENCE = f"""{NORMAL.split("  g AS (")[0].rstrip().rstrip(",")},
   w AS (
     SELECT alpha, sigma0, n, tt, ca, cb, sigma0 ** 2 * n + alpha AS m11, sigma0 * sa AS m12, sigma0 * sb AS m13, aa + alpha AS m22, ab AS m23,
       bb + alpha AS m33 FROM s, (VALUES {", ".join(f"({a}::double, {v}::double)" for a, v in EVIDENCE_GRID)}) grid(alpha, sigma0)),
-  d AS (SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m13 * m23) + m13 * (m12 * m23 - m13 * m22) AS det FROM w)
-  SELECT alpha, sigma0, round(-0.5 * ((tt - (ca * ca * (m11 * m33 - m13 * m13) + 2 * ca * cb * (m12 * m13 - m11 * m23)
-      + cb * cb * (m11 * m22 - m12 * m12)) / det) / alpha + (n - 3) * ln(alpha) + ln(det) + n * ln(2 * pi())), 3) AS evidence FROM d"""
+  l1 AS (SELECT *, sqrt(m11) AS a11, m12 / sqrt(m11) AS a21, m13 / sqrt(m11) AS a31 FROM w),
+  l2 AS (SELECT *, sqrt(m22 - a21 * a21) AS a22, (m23 - a31 * a21) / sqrt(m22 - a21 * a21) AS a32 FROM l1),
+  l3 AS (SELECT *, sqrt(m33 - a31 * a31 - a32 * a32) AS a33 FROM l2),
+  z AS (SELECT *, ca / a22 AS z2, (cb - a32 * ca / a22) / a33 AS z3 FROM l3)
+  SELECT alpha, sigma0, round(-0.5 * ((tt - z2 * z2 - z3 * z3) / alpha + (n - 3) * ln(alpha) + 2 * (ln(a11) + ln(a22) + ln(a33))
+      + n * ln(2 * pi())), 3) AS evidence FROM z"""
 
 
 @query("mlp8_log_evidence", EVIDENCE)
 def mlp8_evidence(t):
-    """Log marginal likelihood over a grid of noise variances and bias scales, beside determinants written out."""
+    """Log marginal likelihood over a grid of noise variances and bias scales, beside the matrix written out."""
     rows = training_rows(_two(t), scored_vectors(t), retrain=True)
     evidence = build_model("gp", alpha=ALPHA).fit(rows).evidence()
     found = [(a, s, float(evidence(a, s))) for a, s in EVIDENCE_GRID]
