@@ -215,19 +215,19 @@ EVIDENCE = f"""{NORMAL.split("  g AS (")[0].rstrip().rstrip(",")},
   l3 AS (SELECT *, sqrt(m33 - a31 * a31 - a32 * a32) AS a33 FROM l2),
   z AS (SELECT *, ca / a22 AS z2, (cb - a32 * ca / a22) / a33 AS z3 FROM l3)
   SELECT alpha, sigma0, round(-0.5 * ((tt - z2 * z2 - z3 * z3) / alpha + (n - 3) * ln(alpha) + 2 * (ln(a11) + ln(a22) + ln(a33))
-      + n * ln(2 * pi())), 2) AS evidence FROM z"""
+      + n * ln(2 * pi())), 1) AS evidence FROM z"""
 
 
 @query("mlp8_log_evidence", EVIDENCE)
 def mlp8_evidence(t):
     """Log marginal likelihood over a grid of noise variances and bias scales, beside the matrix written out.
 
-    Scores are rounded to 1e-6 on both sides, where a tie may fall either way: that moves the third decimal.
+    Scores are rounded to 1e-6 on both sides, where a tie may fall either way: that moves the third decimal, so one is shown.
     """
     rows = training_rows(_two(t), scored_vectors(t), retrain=True)
     evidence = build_model("gp", alpha=ALPHA).fit(rows).evidence()
     found = [(a, s, float(evidence(a, s))) for a, s in EVIDENCE_GRID]
-    return t.spark.createDataFrame(found, "alpha double, sigma0 double, evidence double").withColumn("evidence", F.round("evidence", 2))
+    return t.spark.createDataFrame(found, "alpha double, sigma0 double, evidence double").withColumn("evidence", F.round("evidence", 1))
 
 
 RANDOM_MODEL = f"""SELECT vec_id AS id, round({u_sql('vec_id', 'mean/5')}, 9) AS mu,
