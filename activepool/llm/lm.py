@@ -438,10 +438,12 @@ def _word_values(buckets: int):
 
 
 def log_probability(n, total, tables, p, ctx_n, discount):
-    """Predictive log10 probabilities: counts and summed tables of the pairs; rows are the kept sweeps in ``tables``
-    (of the contexts) and ``p`` (of the words in the root)."""
-    own = np.maximum(n - discount * total / KEPT, 0)
-    return np.log10((own + ((STRENGTH + discount * tables) * p).mean(axis=0)) / (STRENGTH + ctx_n))
+    """Predictive log10 probabilities: counts and summed tables of the pairs, and for each kept sweep the tables of
+    their contexts and the probabilities of their words in the root."""
+    share = 0.0
+    for here, above in zip(tables, p):
+        share = share + (STRENGTH + discount * here) * above
+    return np.log10((np.maximum(n - discount * total / KEPT, 0) + share / KEPT) / (STRENGTH + ctx_n))
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -453,21 +455,28 @@ def _scored(buckets: int, fit: dict | None, tokens: int, kinds: int):
 
     def run(texts, values):
         rows = values.select(["kind", "at", "d"]).to_pylist()
-        words, before, lens, ids, total = _local(texts, rows)
-        base = np.log10(_base(total, tokens, kinds))
-        logp = base[words]
+        words, before, lens, ids, total = _local(texts, [r for r in rows if r["kind"] == "numbers"])
+
+        def arrays(kind, k):
+            """The k-th array of all blocks of a kind, one after the other."""
+            return np.concatenate([_unpack(r["d"][k]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["at"])])
+
+        # One array of a pair at a time: a shard has millions of them.
+        logp = at = None
         if fit is not None:
-            _, place = (_unpack(x.as_py()) for x in texts.column("d")[0].values)
-            blocks = [[_unpack(x) for x in r["d"]] for r in sorted((r for r in rows if r["kind"] == "word"), key=lambda r: r["at"])]
-            ctx_n, *kept = (np.concatenate(x)[place] for x in zip(*blocks))
-            p = np.stack([_root(kept[3 * s], kept[3 * s + 1], total, sums, fit["root"], tokens, kinds) for s, sums in enumerate(fit["sums"])])
-            tables = np.stack(kept[2::3])
-            _, _, _, at, left, right = _pairs_of(words, before, ids, total, buckets)
-            blocks = [[_unpack(x) for x in r["d"]] for r in sorted((r for r in rows if r["kind"] == "pair"), key=lambda r: r["at"])]
-            n, seated = (np.concatenate(x) for x in zip(*blocks))
-            logp = log_probability(n, seated, tables[:, left], p[:, right], ctx_n[left], fit["discount"])[at]
-        doc = np.repeat(np.arange(len(lens)), lens)
-        known, base_score, score = (np.bincount(doc, weights=x, minlength=len(lens)) for x in ((total > 0)[words], base[words], logp))
+            *_, at, left, right = _pairs_of(words, before, ids, total, buckets)
+            del before, ids
+            place = _unpack(texts.column("d")[0].values[1].as_py())
+            word = lambda k: arrays("word", k)[place]
+            tables = (word(3 * s + 3)[left] for s in range(KEPT))
+            p = (_root(word(3 * s + 1), word(3 * s + 2), total, sums, fit["root"], tokens, kinds)[right] for s, sums in enumerate(fit["sums"]))
+            logp = log_probability(arrays("pair", 0), arrays("pair", 1), tables, p, word(0)[left], fit["discount"])
+            del left, right, place
+        base = np.log10(_base(total, tokens, kinds))
+        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+        added = lambda x: np.bincount(doc, weights=x, minlength=len(lens))
+        known, base_score = added((total > 0)[words]), added(base[words])
+        score = base_score if logp is None else added(logp[at])
         return pa.Table.from_arrays(
             [texts.column("doc_ids")[0].values, texts.column("held")[0].values, pa.array(lens.astype(np.int64)), pa.array(known.astype(np.int64)),
              pa.array(np.full(len(lens), tokens)), pa.array(base_score), pa.array(score)], schema=_SCORED)
