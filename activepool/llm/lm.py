@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from activepool.llm.common import bounded, mix64, picked, texts_of, uniform
 from activepool.session import pinned, scratch_path
 
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 SHARD_DOCS = 65_000
 BURN_IN, KEPT = 3, 4
 STRENGTH = 1.0
@@ -183,6 +183,7 @@ def _numbered(buckets: int):
 def _local(texts: pa.Table, others: list[dict]):
     """(tokens by local number, word before, numbers and counts by local number) of a shard."""
     tokens, place = (_unpack(x.as_py()) for x in texts.column("d")[0].values)
+    tokens = tokens.astype(np.int32)
     blocks = sorted((r for r in others if r["kind"] == "numbers"), key=lambda r: r["at"])
     ids, total = (np.concatenate([_unpack(r["d"][k]) for r in blocks])[place] for k in range(2))
     lens = texts.column("lens")[0].values.to_numpy()
@@ -195,7 +196,7 @@ def _local(texts: pa.Table, others: list[dict]):
 def _pairs_of(tokens, before, ids, total, buckets):
     """The shard's distinct pairs by (bucket, context, word): (bucket, c, w, each token's place among them)."""
     size = len(ids)
-    pairs, at = np.unique(before * size + tokens, return_inverse=True)
+    pairs, at = np.unique(before.astype(np.int64) * size + tokens, return_inverse=True)
     left, right = pairs // size, pairs % size
     c, w = ids[left], ids[right]
     parts = 1 + total[left] // HOT
