@@ -89,15 +89,20 @@ def merge_best(best: DataFrame, rows: DataFrame, k: int, key: str = "id", score:
     return best_rows(best.select(key, "score").unionByName(rows.select(key, F.col(score).alias("score"))), k, key)
 
 
-def progress_of(best: DataFrame, k: int) -> DataFrame:
-    """One row: ``top_avg``, ``kth_best`` and ``n`` of the rows kept by ``best_rows``."""
+def progress_columns(k: int) -> list:
+    """Aggregates ``top_avg``, ``kth_best`` and ``n`` over rows kept by ``best_rows``."""
     n = F.count(F.lit(1))
     value = rank_score(F.col("score"))
-    return best.agg(
+    return [
         (F.sum(F.coalesce(F.col("score"), F.lit(0.0))) / F.nullif(n, F.lit(0))).alias("top_avg"),
         F.when(n >= k, F.min(value)).otherwise(F.max(value)).alias("kth_best"),
         n.alias("n"),
-    )
+    ]
+
+
+def progress_of(best: DataFrame, k: int) -> DataFrame:
+    """One row: ``top_avg``, ``kth_best`` and ``n`` of the rows kept by ``best_rows``."""
+    return best.agg(*progress_columns(k))
 
 
 def progress(scores: DataFrame, k: int, key: str = "id", score: str = "score") -> DataFrame:

@@ -31,6 +31,7 @@ from ..operators.scores import (
     best_rows,
     final_averages,
     merge_best,
+    progress_columns,
     progress_of,
     resolve_size,
     scheduled_size,
@@ -271,10 +272,13 @@ class Explorer:
     def _read_best(self) -> DataFrame:
         return self.spark.read.schema(f"id {dict(self.pool.dtypes)['id']}, score double").parquet(self._best_path)
 
-    def _keep_best(self, rows: DataFrame) -> None:
+    def _keep_best(self, rows: DataFrame) -> dict:
+        """Writes the best rows; their averages are observed during the write."""
         path = f"{self.path}/best/iter={self.iter}-{len(self.prior_paths)}"
-        rows.write.mode("overwrite").parquet(path)
+        seen = Observation(f"best {self.iter}")
+        rows.observe(seen, *progress_columns(self.k)).write.mode("overwrite").parquet(path)
         self._best_path = path
+        return seen.get
 
     def _any_valid(self, rows: DataFrame) -> bool:
         """Whether there is a row to fit on, from the run log where it says so."""
@@ -351,10 +355,9 @@ class Explorer:
         # A batch holds unexplored rows only, so the rows add up.
         self.n_scored += n
         if self._best_path is None:
-            self._keep_best(best_rows(self.scores(), self.k))
+            reached = self._keep_best(best_rows(self.scores(), self.k))
         else:
-            self._keep_best(merge_best(self._read_best(), self._round(self.iter - 1), self.k))
-        reached = progress_of(self._read_best(), self.k).first()
+            reached = self._keep_best(merge_best(self._read_best(), self._round(self.iter - 1), self.k))
         top = reached["top_avg"] if self.n_scored >= self.k else None
         self.run_log.append(
             {
