@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from activepool.llm.common import bounded, mix64, picked, texts_of, uniform
 from activepool.session import pinned, scratch_path
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 3_000_000
 SHARD_DOCS = 65_000
 BURN_IN, KEPT = 3, 4
 STRENGTH = 1.0
@@ -547,6 +547,10 @@ def _fitted(counted: _Kinds, totals: DataFrame, buckets: int, root: float, token
                 old.drop()
         before = [now] if sweep < 0 else [now, moved]
         served = now
+    # What only sweeps read goes before the scores are put together.
+    counted.drop()
+    now.drop("served")
+    moved.drop("told")
     return Fit(seated, state, discount, root, history)
 
 
