@@ -1,4 +1,4 @@
-"""Column builders: everything here returns a Column and stays in the JVM."""
+"""Column builders: everything here returns a Column; all but the labels of counts stays in the JVM."""
 
 from .numbers import (  # noqa: F401
     abbreviate_count,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Text that a score column may hold: decimal or exponent notation, inf, nan. Spark's own cast is
@@ -54,13 +55,25 @@ def one_hot_unknown(value: Column, choices: list) -> Column:
 
 
 def abbreviate_count(x: Column) -> Column:
-    """1500000 -> '1.5M', 12000 -> '12k', 1200 -> '1.2k', 999 -> '999'."""
-    return (
-        F.when(x >= 1e6, F.format_string("%.1fM", x * F.lit(1e-6)))
-        .when(x >= 1e4, F.format_string("%.0fk", x * F.lit(1e-3)))
-        .when(x >= 1e3, F.format_string("%.1fk", x * F.lit(1e-3)))
-        .otherwise(F.format_string("%.0f", x.cast("double")))
-    )
+    """1500000 -> '1.5M', 12000 -> '12k', 1200 -> '1.2k', 999 -> '999'.
+
+    Halves go to the even digit, by the number's exact binary value, as C and Python print it; Spark's own
+    ``format_string`` rounds the shortest decimal form up (198500 would be '199k').
+    """
+
+    @F.pandas_udf("string")
+    def label(batch: pd.Series) -> pd.Series:
+        def one(v):
+            if v >= 1e6:
+                return f"{v * 1e-6:.1f}M"
+            if v >= 1e4:
+                return f"{v * 1e-3:.0f}k"
+            return f"{v * 1e-3:.1f}k" if v >= 1e3 else f"{v:.0f}"
+
+        return batch.map(one)
+
+    value = x.cast("double")
+    return F.when(value.isNotNull(), label(value))
 
 
 def temperature(t: Column, start: float, end: float) -> Column:

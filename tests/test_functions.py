@@ -62,6 +62,13 @@ def test_abbreviate(spark, x, label):
     assert one(spark, fn.abbreviate_count(F.lit(x))) == label
 
 
+@pytest.mark.parametrize(
+    "x,label", [(198500.0, "198k"), (199500.0, "200k"), (1250.0, "1.2k"), (0.5, "0"), (2.5, "2"), (None, None)]
+)
+def test_abbreviate_rounds_halves_to_even(spark, x, label):
+    assert one(spark, fn.abbreviate_count(F.lit(x).cast("double"))) == label
+
+
 def test_one_hot_unknown_value_takes_last_slot(spark):
     assert one(spark, fn.one_hot_unknown(F.lit("b"), ["a", "b"])) == [0, 1, 0]
     assert one(spark, fn.one_hot_unknown(F.lit("z"), ["a", "b"])) == [0, 0, 1]
