@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .numbers import let
@@ -10,6 +11,8 @@ from .numbers import let
 LINE_NOTATION = (
     r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|\%[0-9]{2}|[0-9])"
 )
+#: The same tokens: single symbols are one class, so a symbol is tested once and not against each in turn.
+LINE_TOKENS = r"(\[[^\]]+]|Br?|Cl?|[NOSPFIbcnosp().=#\-+\\/:~@?>*$0-9]|%[0-9]{2})"
 SPECIAL_TOKENS = ("<bos>", "<eos>", "<pad>", "<mask>")
 BOS, EOS, PAD, MASK = range(4)
 
@@ -22,6 +25,7 @@ EMPTY_STEP = 40_503
 
 
 def tokenize(text: Column, pattern: str = LINE_NOTATION) -> Column:
+    pattern = LINE_TOKENS if pattern == LINE_NOTATION else pattern
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
@@ -36,7 +40,7 @@ def fully_tokenized(text: Column, pattern: str = LINE_NOTATION) -> Column:
 
 
 def slot_of(gram: Column, length: int) -> Column:
-    """Hash slot in 0..length-1."""
+    """Hash slot in 0..length-1, as a column; ``feature_slots`` takes the same slots in its tasks."""
     return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint"), F.lit(length)).cast(
         "int"
     )
@@ -93,6 +97,8 @@ def count_keys(text: Column) -> Column:
 def min_hashes(pieces: Column, length: int) -> Column:
     """``length`` minimum hashes over the pieces, from one hash of each; empty without pieces.
 
+    A column for pieces of any origin; ``feature_slots`` takes the same hashes of its tokens in its tasks.
+
     A piece's hash names one of ``length`` bins and a value; a bin keeps its smallest value. A bin that got
     none takes that of the next filled bin to its right (past the last comes the first), moved on by a fixed
     step for each bin between, so that equal texts agree in it and others seldom do.
@@ -115,6 +121,56 @@ def min_hashes(pieces: Column, length: int) -> Column:
     return let(let(cells, filled), spread)
 
 
+def _slots(kind: str, radius: int, length: int):
+    """Tokens of each row to the sorted slots of their pieces, as ``grams`` names them.
+
+    A piece's slot comes from the first 32 bits of its MD5. For map4 these bits name one of ``length`` bins and
+    the next 32 are a value; a bin keeps its smallest value. A bin that got none takes that of the next filled
+    bin to its right (past the last comes the first), moved on by a fixed step for each bin between, so that
+    equal texts agree in it and others seldom do.
+    """
+    if kind not in ("pair", "morgan", "rdkit", "map4"):
+        raise ValueError(f"unknown feature kind: {kind}")
+    step = EMPTY_STEP
+
+    @F.pandas_udf("array<int>")
+    def slots(batch: pd.Series) -> pd.Series:
+        from hashlib import md5
+
+        import numpy as np
+
+        def pieces(tk):
+            n, found = len(tk), set()
+            if kind == "pair":
+                for gap in range(1, 2 + radius):
+                    mid = f" {gap} "
+                    found.update(a + mid + b for a, b in zip(tk, tk[gap:]))
+            else:
+                for k in [2 * half + 1 for half in range(radius + 1)] if kind == "morgan" else range(1, 2 + radius):
+                    if k == 1:
+                        found.update(tk)
+                    else:
+                        found.update(map(" ".join, zip(*[tk[i : n - k + 1 + i] for i in range(k)])) if n >= k else ())
+            return found
+
+        def one(tk):
+            if tk is None:
+                return None
+            digests = b"".join([md5(g.encode()).digest()[:8] for g in pieces(tk.tolist())])
+            at, value = np.frombuffer(digests, ">u4").astype(np.int64).reshape(-1, 2).T
+            if kind == "map4" and len(at):
+                order = np.lexsort((value, at % length))
+                bins, first = np.unique(at[order] % length, return_index=True)
+                gaps = np.diff(bins, prepend=bins[-1] - length)
+                moved = np.arange(length) - np.repeat(np.cumsum(gaps) - gaps, gaps)
+                at = np.repeat(value[order][first], gaps) + moved * step
+            return np.unique(at % length).astype(np.int32)
+
+        return batch.map(one)
+
+    return slots
+
+
 def feature_slots(
     text: Column, kind: str = "pair", radius: int = 2, length: int = 2048, pattern: str = LINE_NOTATION
 ) -> Column:
@@ -126,12 +182,7 @@ def feature_slots(
         ones = F.transform(count_keys(text), lambda v, i: F.when(v == 1, i))
         slots = F.filter(ones, lambda i: i.isNotNull())
     else:
-        pieces = let(tokenize(text, pattern), lambda tokens: grams(tokens, kind, radius))
-        if kind == "map4":
-            ones = F.transform(min_hashes(pieces, length), lambda v: F.pmod(v, F.lit(length)).cast("int"))
-        else:
-            ones = F.transform(pieces, lambda g: slot_of(g, length))
-        slots = F.array_sort(F.array_distinct(ones))
+        slots = _slots(kind, radius, length)(tokenize(text, pattern))
     return F.when(F.length(F.trim(text)) > 0, slots)
 
 

@@ -21,7 +21,7 @@ from activepool.operators.features import (
 )
 from activepool.operators.pool import make_pool
 from activepool.plans.objective import FunctionObjective, LookupObjective, build_objective
-from activepool.session import one_row
+from activepool.session import one_row, spread
 from activepool.surrogates import (
     BatchFunctionSurrogate,
     LinearGaussianSurrogate,
@@ -409,8 +409,9 @@ def udf5(t):
     from activepool.functions.tokens import feature_slots
 
     slots = feature_slots(F.col("text"), "pair", 1, 2048, WORDS)
-    eager = make_pool(t.documents, "doc_id", "text", slots, eager=True)
-    lazy = make_pool(t.documents, "doc_id", "text", slots, eager=False)
+    documents = spread(t.documents.select("doc_id", "text"), "doc_id")
+    eager = make_pool(documents, "doc_id", "text", slots, eager=True)
+    lazy = make_pool(documents, "doc_id", "text", slots, eager=False)
     both = eager.join(lazy.select("id", F.col("features").alias("again")), "id")
     return both.select("id", (F.col("features") == F.col("again")).alias("same"))
 

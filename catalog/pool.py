@@ -222,7 +222,8 @@ def prj1_map4(t):
 )
 def prj2(t):
     """One expression for a whole column, with radius and width as options."""
-    rows = t.customer.select(F.col("c_custkey").alias("id"), F.concat("c_name", "c_mktsegment").alias("text"))
+    customers = spread(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+    rows = customers.select(F.col("c_custkey").alias("id"), F.concat("c_name", "c_mktsegment").alias("text"))
     slots = feature_slots(F.col("text"), "pair", 1, 64, "(.)")
     return rows.select("id", slots.alias("s")).select(
         "id",

@@ -87,10 +87,11 @@ def _coded_documents(t, dict_limit):
     """Every whole text with the whole vocabulary, rows without a text beside them; one key holds all rows."""
     from activepool.session import pinned
 
-    rows = t.documents.select("doc_id", F.lit(1).alias("id"), "text")
+    documents = spread(t.documents.select("doc_id", "text"), "doc_id")
+    rows = documents.select("doc_id", F.lit(1).alias("id"), "text")
     empty = number_rows(t.benchmark.select("item_id"), [F.col("item_id").asc()], name="n")
     rows = rows.unionByName(empty.select((-F.col("n")).alias("doc_id"), F.lit(1).alias("id"), F.lit(None).cast("string").alias("text")))
-    vocabulary = pinned(build_vocabulary(t.documents, "text"), "vocabulary")
+    vocabulary = pinned(build_vocabulary(documents, "text"), "vocabulary")
     coded = encode(rows, "text", vocabulary, pad_to=0, dict_limit=dict_limit)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     n = F.when(F.col("ids").isNotNull(), F.size("ids"))

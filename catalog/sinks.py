@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from activepool.functions.tokens import feature_slots
 from activepool.operators import prepare as prep
 from activepool.operators.ordering import number_rows
+from activepool.session import spread
 from activepool.sources import files
 from activepool.sources.text import read_columns, read_config
 
@@ -43,7 +44,8 @@ def snk2(t):
 def snk3(t):
     """Feature table of the valid rows, and the ids of the invalid ones (here: a blanked segment)."""
     name = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).otherwise(F.lit(" "))
-    rows = t.customer.select(F.col("c_custkey").alias("id"), name.alias("text"))
+    customers = spread(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+    rows = customers.select(F.col("c_custkey").alias("id"), name.alias("text"))
     slots = feature_slots(F.col("text"), "pair", 2, 256, pattern="(.)")
     path, invalid = files.write_feature_table(rows, t.scratch("features"), slots)
     written = files.read_features(t.spark, path).filter("valid = 1").select("id", F.lit(False).alias("invalid"))
