@@ -53,7 +53,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -150,9 +150,7 @@ def _short(s: np.ndarray) -> tuple[bytes, bytes, int]:
 
 def _counted(batches):
     """Collisions over all coordinates; pairs below the match threshold go."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in bounded(batches):
 
         def bytes_(name):
             return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(batch.num_rows, POSTED + CHECKED)
@@ -171,7 +169,7 @@ def _confirmed(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64()), ("doubt", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             rows = []
             for x, y, n, m in zip(*(batch.column(c) for c in ("set_a", "set_b", "n_a", "n_b"))):
                 x, y = (np.frombuffer(v.as_py(), np.uint32) for v in (x, y))
@@ -190,7 +188,7 @@ def _confirmed(percent: int):
 def _exact(batches):
     """Common shingles of each pair by the whole hashes."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
-    for batch in batches:
+    for batch in bounded(batches):
         common, total = [], []
         for x, u, y, v, n, m in zip(*(batch.column(c) for c in ("set_a", "low_a", "set_b", "low_b", "n_a", "n_b"))):
             x, u, y, v = (np.frombuffer(h.as_py(), np.uint32).astype(np.uint64) for h in (x, u, y, v))

@@ -159,3 +159,23 @@ def test_signatures_estimate_similarity():
     for found, error in ((shares, 0.035), (posted, 0.065)):
         assert abs(sum(found) / len(found)) < 0.015
         assert (sum(s * s for s in found) / len(found)) ** 0.5 < error
+
+
+def test_freed_memory_of_a_task_is_given_back():
+    """A worker that had large batches is small again when they are through."""
+    import psutil
+    import pyarrow as pa
+
+    from activepool.llm.common import bounded
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"text": [b"x" * 1000] * 100})
+
+    size = psutil.Process().memory_info
+    list(bounded(batches()))
+    before = size().rss
+    kept = [bytes(1000) for _ in range(200_000)]
+    spread_out = kept[::1000]
+    del kept
+    list(bounded(batches()))
+    assert size().rss - before < 60 << 20 and len(spread_out) == 200
