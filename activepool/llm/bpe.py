@@ -19,7 +19,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from activepool.llm.common import bounded, picked
+from activepool.llm.common import bounded, give_back, gives_back, picked
 from activepool.session import scratch_path
 
 #: A shard ends at this many words, distinct words, or bytes of distinct words.
 SHARD_WORDS = 1_500_000
 SHARD_DISTINCT = 300_000
 SHARD_BYTES = 8 << 20
+#: Text of a block: what stands in a task many times over (word numbers, places, ids, pieces) while its ids are put together.
+BLOCK_BYTES = 1 << 20
 
 #: Fixed value: the splitting pattern of byte-level BPE, with letters and digits as Python's re names them.
 WORD = re.compile(r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
@@ -62,6 +64,10 @@ def _load(text: str):
     tokenizer = Tokenizer.from_str(text)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    # Words come here once, so the library's memory of words is of no use, and it outlives its tokenizer: a
+    # worker would grow by megabytes with every bucket. Versions without this setting keep theirs.
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)
     return tokenizer
 
 
@@ -137,7 +143,7 @@ def _split(text: str, buckets: int):
     def rows(*items):
         return pa.RecordBatch.from_pylist([dict(zip(_SPLIT.names, x)) for x in items], schema=_SPLIT)
 
-    def run(batches):
+    def shards(batches):
         split, numbers, seen, size, held = _Splitter(text), _Numbers(), 0, 0, False
         shard = TaskContext.get().partitionId() << 32
 
@@ -154,7 +160,7 @@ def _split(text: str, buckets: int):
                 if ends[b] < ends[b + 1]:
                     yield rows((shard, 1, b, None, None, _text_block([words[i] for i in order[ends[b] : ends[b + 1]]])))
 
-        for batch in bounded(batches, 4 << 20):
+        for batch in bounded(batches, BLOCK_BYTES):
             lens, codes, known = [], [], len(numbers)
             for value in batch.column("text"):
                 words = split(value.as_py())
@@ -171,35 +177,51 @@ def _split(text: str, buckets: int):
         if held:  # empty texts only, perhaps
             yield from flush()
 
+    def run(batches):
+        yield from shards(batches)
+        give_back()  # the numbered words are gone by now
+
     return run
 
 
+def _slices(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``flat`` of the given starts and lengths, one after the other, and where each ends."""
+    ends = np.cumsum(lens)
+    return flat[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 def _encoded_bucket(text: str):
-    """All shards' words of one bucket: each distinct word is encoded once."""
+    """All shards' words of one bucket: each distinct word is encoded once.
+
+    A block's words are numbers as soon as it is read, and ids are flat: no object is kept for an entry.
+    """
     schema = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("lens", pa.binary()), ("ids", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        blocks = [_block_words(x.as_py()) for x in table.column("data")]
-        known: dict[bytes, int] = {}
-        for words in blocks:
-            for w in words:
-                known.setdefault(w, len(known))
-        tokenizer, ids, all_words = _load(text), [], list(known)
-        for start in range(0, len(all_words), 20_000):
-            part = [w.decode() for w in all_words[start : start + 20_000]]
-            ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        known, blocks = _Numbers(), []
+        for x in table.column("data"):
+            words = _block_words(x.as_py())
+            blocks.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+        all_words, words = list(known), None
+        known.clear()
+        tokenizer, lens, flat = _load(text), [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for start in range(0, len(all_words), 5_000):
+            part = [w.decode() for w in all_words[start : start + 5_000]]
+            ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens[-1].sum())))
+        lens, flat = np.concatenate(lens), np.concatenate(flat)
+        starts = np.cumsum(lens) - lens
         out_lens, out_ids = [], []
-        for words in blocks:
-            at = [known[w] for w in words]
+        for at in blocks:
             out_lens.append(_packed(lens[at]))
-            out_ids.append(_packed(np.concatenate([ids[i] for i in at])))
+            out_ids.append(_packed(_slices(flat, starts[at], lens[at])[0]))
         return pa.Table.from_arrays(
             [table.column("shard"), table.column("bucket"), pa.array(out_lens, pa.binary()), pa.array(out_ids, pa.binary())],
             schema=schema,
         )
 
-    return run
+    return gives_back(run)
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -232,9 +254,7 @@ def _joined(table: list[bytes] | None = None):
         batches = []
         for k in np.flatnonzero(kind == 0).tolist():
             at = place[_unpacked(texts.column("data")[k].as_py())]
-            n = lens[at]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            ids, ends = _slices(flat, starts[at], lens[at])
             words = texts.column("lens")[k].values.to_numpy()
             bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
@@ -245,7 +265,7 @@ def _joined(table: list[bytes] | None = None):
                 batches.append(pa.RecordBatch.from_arrays([*columns, _decoded(lists, lookup)], schema=_DECODED))
         return pa.Table.from_batches(batches, schema=_IDS if lookup is None else _DECODED)
 
-    return run
+    return gives_back(run)
 
 
 def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:

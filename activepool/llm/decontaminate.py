@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from activepool.llm.common import bounded, maybe_broadcast, picked, texts_of
+from activepool.llm.common import bounded, gives_back, maybe_broadcast, picked, texts_of
 from activepool.session import pinned
 
 #: Distinct test words sent to the tasks (8 bytes each); with more, all words of the corpus are posted.
@@ -155,7 +155,7 @@ def _matches(gap: int, slop: int):
             [pa.array(np.full(len(ids), table.column("shard")[0].as_py())), pa.array(ids, pa.int64()), pa.array(lens), column(pa.array((starts - base[doc])[order]), pa.int32()),
              column(pa.array(lengths[order]), pa.int32()), column(label, pa.string())], schema=schema)
 
-    return run
+    return gives_back(run)
 
 
 _FOUND = "shard long, doc_id long, n_words long, start array<int>, length array<int>, item array<string>"

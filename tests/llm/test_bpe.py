@@ -66,3 +66,38 @@ def test_empty_and_refused(spark, docs, tmp_path):
     other.write_text('{"model": {"type": "WordPiece"}, "pre_tokenizer": {"type": "Whitespace"}}')
     with pytest.raises(ValueError):
         bpe.encode(docs([]), str(other))
+
+
+def test_a_worker_does_not_grow_with_its_buckets():
+    """Buckets of new words, encoded one after the other as in one Python worker, leave no memory behind."""
+    import psutil
+    import pyarrow as pa
+
+    run = bpe._encoded_bucket(bpe.tokenizer_json(PATH))
+
+    def bucket(k):
+        data = bpe._text_block([f" word{j}x{k}" for j in range(12_000)])
+        run(pa.table({"shard": pa.array([0], pa.int64()), "bucket": pa.array([k], pa.int32()), "data": pa.array([data], pa.binary())}))
+        return psutil.Process().memory_info().rss
+
+    first = [bucket(k) for k in range(4)][-1]
+    assert [bucket(k) for k in range(4, 20)][-1] - first < 16 << 20
+
+
+def test_putting_ids_together_takes_little_more_than_its_result():
+    """A shard's texts are put together block by block: blocks are small beside the shard."""
+    import pyarrow as pa
+
+    from pyspark import TaskContext
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(4000), pa.int64()), "text": pa.array([f"some words of text {i} " * 50 for i in range(4000)])})
+    held, TaskContext.get = TaskContext.get, staticmethod(lambda: Task)
+    try:
+        rows = pa.Table.from_batches(list(bpe._split(bpe.tokenizer_json(PATH), 8)(iter([batch]))))
+    finally:
+        TaskContext.get = held
+    lens = [sum(x) for x, kind in zip(rows["lens"].to_pylist(), rows["kind"].to_pylist()) if kind == 0]
+    assert len(lens) > 3 and max(lens) <= 400_000
